@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, langid, packing, quality_zdict, token_scan
+from . import chat_windows, decontaminate, html_extract, langid, packing, quality_zdict, token_scan, trie_join
 from .common import prepare
 
 
@@ -26,6 +26,14 @@ def id_fold(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality_zdict.fit_quality(docs, labels.where(id_fold(3) != 1))
@@ -33,6 +41,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_fold(3) == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.PackOptions(tokenizer_path()))
 
@@ -61,7 +73,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
+    "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
+    "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
     "op8_chat": op8_chat,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontaminate, html_extract, langid, packing, quality_zdict, token_scan, trie_join, va_topk
+from . import chat_windows, decontaminate, html_extract, langid, packing, pii_bootstrap, quality_zdict, token_scan, trie_join, va_topk
 from .common import prepare
 
 
@@ -68,6 +68,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.format_windows(rows.unionByName(made_up)))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_bootstrap.find_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 END_OF_DOCUMENT = 49407
 
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
     "op8_chat": op8_chat,
+    "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
 }
 

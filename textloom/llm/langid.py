@@ -97,12 +97,17 @@ def fit_languages(docs: DataFrame, options: FitOptions = FitOptions()) -> Langua
     """Learn from (doc_id, text, lang); the caller gives only rows that may be learnt from."""
     o, spark = options, prepare(docs.sparkSession)
     rows = string_columns(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text != ''")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").where("doc_id IS NOT NULL").withColumn("r", F.row_number().over(order)).where(F.col("r") <= o.docs_per_language)
-    names = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    counted = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    names = sorted(counted)
     if not names:
         return LanguageModel((), np.zeros(1, np.uint64), np.zeros(0), o.sizes, o.hashes, 0)
-    chosen = [(r.doc_id, r.lang) for r in ids.where(F.col("lang").isin(names)).select("doc_id", "lang").distinct().collect()]  # bounded
+    # The sample is the first ids by hash; a threshold on the hash thins a common language out before its ids are ordered.
+    least = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, 1.5 * o.docs_per_language / counted[n] + 1e-4))]), F.col("lang"))
+    ids = rows.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isin(names))
+    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < least * (1 << 20))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id")
+    ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= o.docs_per_language)
+    chosen = [(r.doc_id, r.lang) for r in ids.select("doc_id", "lang").distinct().collect()]  # bounded by docs_per_language
     texts = rows.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, lang string")), ["doc_id", "lang"], "left_semi").select("text", "lang")
     code = {x: i for i, x in enumerate(names)}
 

@@ -31,7 +31,7 @@ class PackOptions:
     end_id: int = 1
     open_windows: int = 64
     least_cut: int = 16  # a gap below this is padded rather than filled with a sliver
-    merge_partitions: int = 64
+    merge_partitions: int = 16
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -46,7 +46,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie_join.jaccard_components(_table(spark, sf_dir, "documents"))
+    return trie_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare, row_shingles, string_columns, text_bytes, word_hashes
@@ -230,7 +230,7 @@ def _may_link(n1: str, p1: str, n2: str, p2: str) -> str:
 
 
 def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, node) of every row of (doc_id, text); rows of equal sets share a `node`."""
     o, spark = options, prepare(docs.sparkSession)
     docs = string_columns(docs, "doc_id", "text")
     read = materialize(_sets_and_common(docs), "sets")
@@ -249,12 +249,50 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) ->
         labels = connected_components(spark.createDataFrame([], "a long, b long"))
     else:
         labels = _link(docs, dealt, lows, order, o)
-    best = rows.where("n > 0").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
-    best = materialize(best, "labelled")
-    names = best.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = best.join(names, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    # Sets are named first and rows after: a set that very many rows share is one row until the last join.
+    named = lows.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min(F.nullif("low", F.lit(NO_ID))).alias("component_id"))
+    named = materialize(named.join(least, "label").select("node", "component_id"), "named")
+    found = rows.join(named, "node", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node")
+
+
+def keep_one(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
+    """`docs`, all columns, with one row of each component: that of its smallest doc_id.
+
+    Rows without shingles link with nothing and all stay. Where a doc_id is repeated or null, one of the rows that have the
+    component's set is kept.
+    """
+    found = materialize(jaccard_components(docs, options).where("n_shingles > 0"), "components")
+    counts = found.groupBy("doc_id").agg(F.count("*").alias("k"), F.first("component_id").alias("component_id"))
+    # Plain ids: one row each, so that the id alone decides. Only the ids that go are joined, without the texts of a group.
+    gone = materialize(counts.where("k = 1 AND doc_id <> component_id").select(F.col("doc_id").alias("gone_id")), "gone")
+    odd = materialize(counts.where("k > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("odd_id")), "odd")
+    if odd.isEmpty():
+        return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    plain = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti").join(odd, docs["doc_id"].eqNullSafe(odd["odd_id"]), "left_anti")
+    kept = found.groupBy(F.coalesce("component_id", "node").alias("group"), F.col("component_id").isNull().alias("nameless"))
+    kept = kept.agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "node")).alias("m")).select(F.col("m.col1").alias("keep_id"), F.col("m.node").alias("keep_node"))
+    rest = docs.join(odd, docs["doc_id"].eqNullSafe(odd["odd_id"]), "left_semi")
+    noted = rest.mapInArrow(_with_node(rest.columns), rest.schema.add("_node", "long").add("_size", "long"))
+    first = Window.partitionBy("doc_id", "_node").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in rest.columns]))
+    noted = noted.withColumn("_r", F.when(F.col("_size") == 0, 1).otherwise(F.row_number().over(first))).where("_r = 1")
+    match = (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("keep_id")) & (F.col("_node") == F.col("keep_node"))
+    single = noted.where("_size > 0").join(kept, match, "left_semi").unionByName(noted.where("_size = 0"))
+    return plain.unionByName(single.select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _with_node(names: list[str]):
+    at, text = names.index("doc_id"), names.index("text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = pa.RecordBatch.from_arrays([batch.column(at), batch.column(text)], names=["doc_id", "text"])
+            sets = [s for _, s in _rows(pairs)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=[*names, "_node", "_size"])
+
+    return read
 
 
 def _link(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, o: JoinOptions) -> DataFrame:

@@ -14,6 +14,11 @@ CACHE_WORDS = 250_000
 _ENCODERS: dict = {}
 
 
+def _closes_word(mark: str) -> bool:
+    """Whether the tokenizer still sees a letter or digit at the end of what it makes of this one."""
+    return unicodedata.category(unicodedata.normalize("NFC", mark).lower()[-1])[0] in "LN"
+
+
 class WordEncoder:
     """Encode texts to little-endian unsigned 32-bit ids; `literal` reads special tokens' strings as ordinary text."""
 
@@ -40,7 +45,7 @@ class WordEncoder:
         text = word.decode()
         # A closing run of these marks is a token of its own after a letter or digit, and case never matters.
         core = text.rstrip(".,!?")
-        if "<|" in text or not core or unicodedata.category(core[-1])[0] not in "LN":
+        if "<|" in text or not core or not _closes_word(core[-1]):
             ids = self._ids(text)
         else:
             bare, tail = core.encode().lower(), text[len(core) :].encode()

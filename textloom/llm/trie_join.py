@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialize, prepare, row_shingles, string_columns, text_bytes, word_hashes
 from .components import connected_components
@@ -275,7 +276,7 @@ def keep_one(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame
     kept = found.groupBy(F.coalesce("component_id", "node").alias("group"), F.col("component_id").isNull().alias("nameless"))
     kept = kept.agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "node")).alias("m")).select(F.col("m.col1").alias("keep_id"), F.col("m.node").alias("keep_node"))
     rest = docs.join(odd, docs["doc_id"].eqNullSafe(odd["odd_id"]), "left_semi")
-    noted = rest.mapInArrow(_with_node(rest.columns), rest.schema.add("_node", "long").add("_size", "long"))
+    noted = rest.mapInArrow(_with_node(rest.columns), StructType([*rest.schema.fields, StructField("_node", LongType()), StructField("_size", LongType())]))
     first = Window.partitionBy("doc_id", "_node").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in rest.columns]))
     noted = noted.withColumn("_r", F.when(F.col("_size") == 0, 1).otherwise(F.row_number().over(first))).where("_r = 1")
     match = (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("keep_id")) & (F.col("_node") == F.col("keep_node"))

@@ -41,7 +41,7 @@ ID_BITS = 1 << 20
 class JoinOptions:
     common_shingles: int = 1 << 18  # how many of the commonest are put last in the order; the rest go by hash
     least_common: int = 4
-    rounds: int = 2
+    rounds: int = 3
     members_per_tree: int = 256
 
 
@@ -243,9 +243,9 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) ->
     lows = rows.where("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("low"))
 
     # Postings are dealt by shingle once; those of shingles that only one set has are dropped at once.
-    dealt = _postings(docs, order).repartition("token")
-    shared = dealt.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
-    dealt = materialize(dealt.join(shared.hint("shuffle_hash"), "token").distinct(), "postings")
+    alike = Window.partitionBy("token")
+    dealt = _postings(docs, order).withColumn("shared", F.min("node").over(alike) != F.max("node").over(alike))
+    dealt = materialize(dealt.where("shared").drop("shared").distinct(), "postings")
     if dealt.isEmpty():
         labels = connected_components(spark.createDataFrame([], "a long, b long"))
     else:
@@ -313,7 +313,10 @@ def _link(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, o: JoinO
         now = postings if labels is None else postings.join(labels, "node", "left")
         now = now.withColumn("part", F.coalesce("label", "node") if labels is not None else F.col("node"))
         me = F.struct("node", "n", "pos", "part")
-        groups = now.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min_by(me, F.xxhash64("node", F.lit(step))).alias("c")).where("x <> y")
+        # First centre of a group: the member with the fewest rarer shingles, which is the nearest to what its copies share.
+        # Then 4, 16, ... centres by chance.
+        choice = F.struct("pos", F.xxhash64("node")) if step == 0 else F.struct(F.xxhash64("node", F.pmod("token", F.lit(4**step)), F.lit(step)))
+        groups = now.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min_by(me, choice).alias("c")).where("x <> y")
         if step < o.rounds:
             pairs = now.join(groups, "token").where("part <> c.part").where(_may_link("n", "pos", "c.n", "c.pos")).select(F.col("c.node").alias("centre"), "node")
         else:
@@ -331,6 +334,8 @@ def _link(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, o: JoinO
             continue
         found = materialize(_verify(pairs, lows, sets, o), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
+        if found.isEmpty():
+            continue
         edges = found if edges is None else edges.unionByName(found)
         labels = connected_components(edges)
     return labels if labels is not None else connected_components(postings.sparkSession.createDataFrame([], "a long, b long"))

@@ -43,6 +43,7 @@ class JoinOptions:
     least_common: int = 4
     rounds: int = 3
     members_per_tree: int = 256
+    broadcast_pairs: int = 200_000  # five numbers each, some 10 MB
 
 
 def needed_overlap(a: int, b: int) -> int:
@@ -196,8 +197,10 @@ def _verify(pairs: DataFrame, lows: DataFrame, sets: DataFrame, o: JoinOptions)
     chunk = F.pmod(F.xxhash64("node"), F.col("trees").cast("long")).cast("int")
     members = pairs.join(sizes, "centre").select("centre", chunk.alias("chunk"), "node", F.lit(1).alias("side"))
     centres = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("chunk"), F.col("centre").alias("node"), F.lit(0).alias("side"))
-    wanted = members.unionByName(centres).join(lows, "node")
-    rows = wanted.join(sets.withColumnRenamed("doc_id", "low").drop("n"), ["node", "low"]).select("centre", "chunk", "side", "node", "tokens")
+    wanted = materialize(members.unionByName(centres).join(lows, "node"), "wanted")
+    # Pairs are few next to sets: where their number is small enough, they go to the sets rather than the sets to them.
+    near = F.broadcast(wanted) if wanted.count() <= o.broadcast_pairs else wanted
+    rows = sets.withColumnRenamed("doc_id", "low").drop("n").join(near, ["node", "low"]).select("centre", "chunk", "side", "node", "tokens")
     rows = rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "side", "node")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

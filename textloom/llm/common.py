@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 512
+ARROW_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -31,10 +31,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to a table in the shared folder and read it back: lineage is cut, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, name)
+
+
+class Scratch:
+    """Written tables of one call of an operator. `clear` deletes those that its result does not read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{checkpoint_dir(self.spark)}/textloom/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def clear(self, *keep: DataFrame) -> None:
+        kept = {id(df) for df in keep}
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for key, (_, path) in list(self.paths.items()):
+            if key not in kept:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+                del self.paths[key]
 
 
 def string_columns(table: DataFrame, *names: str) -> DataFrame:

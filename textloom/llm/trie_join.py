@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, prepare, row_shingles, string_columns, text_bytes, word_hashes
+from .common import Scratch, materialize, prepare, row_shingles, string_columns, text_bytes, word_hashes
 from .components import connected_components
 
 NO_ID = -(1 << 63)
@@ -41,7 +41,7 @@ ID_BITS = 1 << 20
 class JoinOptions:
     common_shingles: int = 1 << 18  # how many of the commonest are put last in the order; the rest go by hash
     least_common: int = 4
-    rounds: int = 3
+    rounds: int = 2
     members_per_tree: int = 256
     broadcast_pairs: int = 200_000  # five numbers each, some 10 MB
 
@@ -190,14 +190,14 @@ def probe_tree(centre: np.ndarray, members: list[np.ndarray], step: int = 64) ->
     return found
 
 
-def _verify(pairs: DataFrame, lows: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
+def _verify(pairs: DataFrame, lows: DataFrame, sets: DataFrame, o: JoinOptions, scratch: Scratch) -> DataFrame:
     """The pairs (centre, node) that are links, as edges (a, b)."""
     sizes = pairs.groupBy("centre").agg(F.count("*").alias("k"))
     sizes = sizes.withColumn("trees", F.ceil(F.col("k") / o.members_per_tree).cast("int"))
     chunk = F.pmod(F.xxhash64("node"), F.col("trees").cast("long")).cast("int")
     members = pairs.join(sizes, "centre").select("centre", chunk.alias("chunk"), "node", F.lit(1).alias("side"))
     centres = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("chunk"), F.col("centre").alias("node"), F.lit(0).alias("side"))
-    wanted = materialize(members.unionByName(centres).join(lows, "node"), "wanted")
+    wanted = scratch.write(members.unionByName(centres).join(lows, "node"), "wanted")
     # Pairs are few next to sets: where their number is small enough, they go to the sets rather than the sets to them.
     near = F.broadcast(wanted) if wanted.count() <= o.broadcast_pairs else wanted
     rows = sets.withColumnRenamed("doc_id", "low").drop("n").join(near, ["node", "low"]).select("centre", "chunk", "side", "node", "tokens")
@@ -237,7 +237,8 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) ->
     """(doc_id, n_shingles, component_id, node) of every row of (doc_id, text); rows of equal sets share a `node`."""
     o, spark = options, prepare(docs.sparkSession)
     docs = string_columns(docs, "doc_id", "text")
-    read = materialize(_sets_and_common(docs), "sets")
+    scratch = Scratch(spark)
+    read = scratch.write(_sets_and_common(docs), "sets")
     rows = read.where("times = 0").select("doc_id", "n", "node")
     common = read.where("times > 0").groupBy("node").agg(F.sum("times").alias("t")).where(F.col("t") >= o.least_common)
     top = common.orderBy(F.desc("t"), "node").limit(o.common_shingles).select("node", "t").toPandas()  # bounded
@@ -245,18 +246,28 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) ->
     order = spark.sparkContext.broadcast(_Order(top["node"].to_numpy(np.int64).view(np.uint64)))
     lows = rows.where("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("low"))
 
-    # Postings are dealt by shingle once; those of shingles that only one set has are dropped at once.
+    # Postings are dealt by shingle once, in order of length. Those are dropped that cannot be half of a candidate pair: shingles
+    # of one set only, members whose neighbours in length are too short and too long, and pairs that fail the exact bound.
     alike = Window.partitionBy("token")
-    dealt = _postings(docs, order).withColumn("shared", F.min("node").over(alike) != F.max("node").over(alike))
-    dealt = materialize(dealt.where("shared").drop("shared").distinct(), "postings")
-    if dealt.isEmpty():
-        labels = connected_components(spark.createDataFrame([], "a long, b long"))
-    else:
-        labels = _link(docs, dealt, lows, order, o)
+    ranked = alike.orderBy("n", "node")
+    dealt = _postings(docs, order).withColumns(
+        {
+            "shared": F.min("node").over(alike) != F.max("node").over(alike),
+            "two": (F.count("*").over(alike) == 2) & (9 * F.min(F.col("n") - F.col("pos")).over(alike) < 4 * F.sum("n").over(alike)),
+            "shorter": F.lag("n").over(ranked),
+            "longer": F.lead("n").over(ranked),
+        }
+    )
+    longest = F.least(5 * F.col("n"), 5 * F.col("n") - 9 * F.col("pos"))  # four times the longest partner
+    near = (10 * F.col("shorter") >= 8 * F.col("n")) | (4 * F.col("longer") <= longest)
+    dealt = dealt.where(F.col("shared") & ~F.col("two") & F.coalesce(near, F.lit(False))).select("token", "node", "n", "pos")
+    dealt = scratch.write(dealt.distinct(), "postings")
+    labels = spark.createDataFrame([], "node long, label long") if dealt.isEmpty() else _link(docs, dealt, lows, order, o, scratch)
     # Sets are named first and rows after: a set that very many rows share is one row until the last join.
     named = lows.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min(F.nullif("low", F.lit(NO_ID))).alias("component_id"))
-    named = materialize(named.join(least, "label").select("node", "component_id"), "named")
+    named = scratch.write(named.join(least, "label").select("node", "component_id"), "named")
+    scratch.clear(read, named)
     found = rows.join(named, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node")
@@ -299,17 +310,17 @@ def _with_node(names: list[str]):
     return read
 
 
-def _link(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, o: JoinOptions) -> DataFrame:
+def _link(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, o: JoinOptions, scratch: Scratch) -> DataFrame:
     """Labels (node, label) of the components of all links between nodes that share a posting."""
     nodes = postings.select("node").distinct()
-    lows = materialize(lows.join(nodes, "node"), "lows")
+    lows = scratch.write(lows.join(nodes, "node"), "lows")
     position = F.pmod(F.col("low"), F.lit(ID_BITS)) + 1  # bits of a bucket stand for values from 1
     buckets = lows.groupBy(F.bitmap_bucket_number(position).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits")).collect()  # ID_BITS bits in all
     bits = np.zeros(ID_BITS, bool)
     for r in buckets:
         got = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little").astype(bool)
         bits[np.flatnonzero(got) + (r.k - 1) * 32768] = True
-    sets = materialize(_whole_sets(docs, order, bits), "whole")
+    sets = scratch.write(_whole_sets(docs, order, bits), "whole")
 
     edges, tested, labels = None, None, None
     for step in range(o.rounds + 1):
@@ -330,15 +341,15 @@ def _link(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, o: JoinO
         if tested is not None:
             known = tested.select("centre", "node").unionByName(tested.select(F.col("node").alias("centre"), F.col("centre").alias("node")))
             pairs = pairs.join(known, ["centre", "node"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = scratch.write(pairs, "pairs")
         if pairs.isEmpty():
             if step == o.rounds:
                 break
             continue
-        found = materialize(_verify(pairs, lows, sets, o), "links")
+        found = scratch.write(_verify(pairs, lows, sets, o, scratch), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.unionByName(found)
-        labels = connected_components(edges)
-    return labels if labels is not None else connected_components(postings.sparkSession.createDataFrame([], "a long, b long"))
+        labels = connected_components(edges, scratch)
+    return labels if labels is not None else scratch.spark.createDataFrame([], "node long, label long")

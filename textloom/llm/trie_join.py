@@ -141,8 +141,40 @@ def _postings(docs: DataFrame, order) -> DataFrame:
     return docs.mapInArrow(read, "token long, node long, n int, pos int")
 
 
+BINS = 256
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of 256 bins, 255 at most: the smaller counts bound the overlap of two sets."""
+    return np.minimum(np.bincount((shingles & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _may_overlap(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
+    """The pairs (centre, node) whose bins allow the overlap that they need; a few hundred bytes stand for each set.
+
+    A full bin says nothing: 255 may be any number, so a pair where both have one stays.
+    """
+    bins = sets.select("node", "n", "sketch")
+    mine = bins.select(F.col("node").alias("centre"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
+    first = mine.join(F.broadcast(pairs) if pairs.count() <= o.broadcast_pairs else pairs, "centre")
+    both = first.join(bins, "node").select("centre", "node", "n1", "n", "s1", "sketch")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), np.uint8).reshape(n, BINS) for i in (4, 5))
+            least = np.minimum(a, b)
+            sizes = np.array(batch.column(2)).astype(np.int64) + np.array(batch.column(3))
+            keep = (9 * least.sum(axis=1, dtype=np.int64) >= 4 * sizes) | (least == 255).any(axis=1)
+            yield batch.select(["centre", "node"]).filter(pa.array(keep))
+
+    return both.mapInArrow(bound, "centre long, node long").distinct()
+
+
 def _whole_sets(docs: DataFrame, order, bits: np.ndarray) -> DataFrame:
-    """(node, doc_id, n, tokens): sets, common shingles first, of documents whose id is marked in `bits`."""
+    """(node, doc_id, n, sketch, tokens): sets, common shingles first, of documents whose id is marked in `bits`."""
     marked = docs.sparkSession.sparkContext.broadcast(bits)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +184,12 @@ def _whole_sets(docs: DataFrame, order, bits: np.ndarray) -> DataFrame:
             rows = []
             for doc, shingles in _rows(batch):
                 if len(shingles):
-                    rows.append((_node(shingles), NO_ID if doc is None else doc, len(shingles), order.value.arrange(shingles)[::-1].tobytes()))
+                    rows.append((_node(shingles), NO_ID if doc is None else doc, len(shingles), sketch(shingles), order.value.arrange(shingles)[::-1].tobytes()))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "doc_id", "n", "tokens"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "doc_id", "n", "sketch", "tokens"])
 
-    return docs.mapInArrow(read, "node long, doc_id long, n int, tokens binary")
+    return docs.mapInArrow(read, "node long, doc_id long, n int, sketch binary, tokens binary")
 
 
 def probe_tree(centre: np.ndarray, members: list[np.ndarray], step: int = 64) -> list[int]:
@@ -200,7 +232,7 @@ def _verify(pairs: DataFrame, lows: DataFrame, sets: DataFrame, o: JoinOptions,
     wanted = scratch.write(members.unionByName(centres).join(lows, "node"), "wanted")
     # Pairs are few next to sets: where their number is small enough, they go to the sets rather than the sets to them.
     near = F.broadcast(wanted) if wanted.count() <= o.broadcast_pairs else wanted
-    rows = sets.withColumnRenamed("doc_id", "low").drop("n").join(near, ["node", "low"]).select("centre", "chunk", "side", "node", "tokens")
+    rows = sets.select("node", F.col("doc_id").alias("low"), "tokens").join(near, ["node", "low"]).select("centre", "chunk", "side", "node", "tokens")
     rows = rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "side", "node")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +378,8 @@ def _link(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, o: JoinO
             if step == o.rounds:
                 break
             continue
-        found = scratch.write(_verify(pairs, lows, sets, o, scratch), "links")
+        likely = scratch.write(_may_overlap(pairs, sets, o), "likely")
+        found = scratch.write(_verify(likely, lows, sets, o, scratch), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if found.isEmpty():
             continue

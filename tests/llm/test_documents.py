@@ -192,6 +192,23 @@ def test_decontamination_edges(spark):
     assert decontaminate.find_contamination(_docs(spark, rows), bench.limit(0)).collect() == []
 
 
+def test_edited_items_are_found_wherever_the_edits_are():
+    rng = random.Random(11)
+    options, missed, seen = decontaminate.LeakOptions(), 0, 0
+    for _ in range(300):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([15, 20, 33, 50, 59, 100, 260]))]
+        copy = list(words)
+        for _ in range(rng.randint(0, max(1, len(words) // 45))):
+            copy[rng.choice([0, len(words) - 1, rng.randrange(len(words))])] = f"x{rng.randrange(5000)}"
+        text = " ".join([f"a{rng.randrange(5000)}" for _ in range(40)] + copy + [f"b{rng.randrange(5000)}" for _ in range(40)])
+        items = decontaminate.prepare_items([(1, " ".join(words))], options)
+        a, b = (Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4)) for x in (words, copy))
+        if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+            seen += 1
+            missed += not decontaminate.search(pa.array([text]), items, options)
+    assert seen > 200 and missed == 0
+
+
 def test_simhash_windows_and_hamming_blocks():
     words = np.random.default_rng(2).integers(0, 2**63, 300, dtype=np.uint64)
     prints = decontaminate._Fingerprints(words)

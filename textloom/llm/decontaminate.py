@@ -1,7 +1,8 @@
 """Benchmark decontamination (SimHash of item-sized windows, multi-index Hamming blocks, exact verification).
 
-An item of n words is given the window size of its class: the largest of 1, 2, 3, 4, 6, 8, 12, 16, 24, ... not above n. The
-SimHash of its first and of its last window of that size are its fingerprints. In each document the SimHash of every window of
+An item of n words is given the window size of its class: the largest of 1, 2, 3, 4, 6, 8, 12, 16, 24, ... not above n - 4. The
+SimHashes of its first, middle and last window of that size are its fingerprints; a long item, which may differ in several
+places and still be similar enough, also has as many separate smaller windows as leave one of them untouched. In each document the SimHash of every window of
 every size in use is formed; it is cut into radius + 1 blocks, so that any two fingerprints within the radius agree on one block
 at least, and the tables of block values miss none of them. A window within the radius gives a place where the item may stand;
 there the weighted Jaccard similarity of the five-word shingles (weight: how often each occurs) is taken exactly.
@@ -69,6 +70,21 @@ class _Fingerprints:
         return np.packbits(counts > size // 2, axis=1).view("<u8").ravel()
 
 
+def item_windows(n: int) -> list[tuple[int, int]]:
+    """(size, first word) of the windows of an item of n words.
+
+    An inner edit costs about four of its shingles and adds five, so that one edit in forty shingles is all that a similarity of
+    0.8 allows: with one more separate window than that, one of them is as it was.
+    """
+    size = window_sizes(max(1, n - SHINGLE + 1))[-1]
+    found = {(size, 0), (size, (n - size) // 2), (size, n - size)}
+    parts = max(0, n - SHINGLE + 1) // 40 + 1
+    if parts > 1:
+        small = window_sizes(n // parts)[-1]
+        found |= {(small, j * (n // parts)) for j in range(parts)}
+    return sorted(found)
+
+
 @dataclass
 class _Items:
     """A bounded block of items, ready to search with."""
@@ -90,10 +106,9 @@ def prepare_items(rows: list[tuple[int, str]], o: LeakOptions) -> _Items:
     kept = [(i, words[a:b]) for (i, _), a, b in zip(rows, first[:-1], first[1:], strict=True) if b - a >= max(1, o.least_words)]
     classes: dict[int, list] = {}
     for number, (_, w) in enumerate(kept):
-        size = window_sizes(len(w))[-1]
-        prints = _Fingerprints(w).of(size)
-        for place in {0, len(w) - size}:
-            classes.setdefault(size, []).append((prints[place], number, place))
+        prints = _Fingerprints(w)
+        for size, place in item_windows(len(w)):
+            classes.setdefault(size, []).append((prints.of(size)[place], number, place))
     packed = {s: (np.array([x[0] for x in v], np.uint64), np.array([x[1] for x in v]), np.array([x[2] for x in v])) for s, v in classes.items()}
     tables: dict[int, list[np.ndarray]] = {}
     width = -(-64 // (o.radius + 1))

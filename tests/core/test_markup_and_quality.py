@@ -204,7 +204,7 @@ def test_ai_review(spark):
     def reviewer(batch, glossary):
         return '```json\n{"issues": [{"index": 0, "suggestion": "Bonjour"}, {"index": 1, "suggestion": "Adieu"}, {"index": 9, "suggestion": "x"}, {"index": 1, "suggestion": " "}]}\n```'
 
-    (issue,) = quality.review(entries, "ai", reviewer=reviewer).collect() if False else quality.review_with(entries, reviewer).collect()
+    (issue,) = quality.review(entries, "ai", reviewer=reviewer).collect()
     assert (issue.kind, issue.suggestion, issue.severity) == ("ai-enhance", "Bonjour[XENO:a ]", "medium")
     assert quality.review_with(entries, lambda b, g: "no json").collect() == []
 

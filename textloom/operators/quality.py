@@ -133,6 +133,8 @@ def review(entries: DataFrame, mode: str = "all", scope: str = "all", reviewer:
         parts.append(scan_line_split(scoped, compat))
     if reviewer is not None and mode in ("ai", "all"):
         parts.append(review_with(scoped, reviewer))
+    if not parts:
+        raise ValueError(f"no scan for mode {mode!r} without a reviewer")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linesplit, markup
 from ..functions.text import format_file_size, join_path, output_name, parent_path, progress_percent, smart_chunks
+from ..jsstr import word_count
 from ..operators import metadata, quality, rebuild
 from ..operators.translate import chunk_counts, glossary_lines, translate_by_column
 from ..schema import LANGUAGES
@@ -82,8 +83,6 @@ SELECT lang, count(DISTINCT file_id) AS files, count(*) AS segments,
   CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS words
 FROM paragraphs JOIN d ON file_id = doc_id GROUP BY lang""")
 def segment_totals(spark, sf_dir):
-    from ..jsstr import word_count
-
     rows = text_formats.txt_segments(A.document_files(spark, sf_dir), chunk_size=10**9)
     docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "lang")
     # Sums for each document first, so that no text crosses the join.
@@ -449,7 +448,7 @@ def tag_totals(spark, sf_dir):
 
 @query()
 def line_split_scan(spark, sf_dir):
-    """Line-split scores and proposals of sentence pairs made of neighbouring lines."""
+    """Scores and proposals of all pairs of an original and its changed copy."""
     rows = A.text_pairs(spark, sf_dir)
     scored = rows.select("path", linesplit.diagnose(F.col("original"), F.col("translation")).alias("d"), linesplit.propose(F.col("original"), F.col("translation")).alias("proposed"))
     return scored.select("path", "d.score", "d.orig_line_count", "d.tr_line_count", F.array_join("d.causes", ",").alias("causes"), "proposed")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import zipfile
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..jsstr import trim, unix_lines
 from .text_formats import _segments
 from .trees import html_tokens
 
@@ -87,8 +89,6 @@ def epub_entries(files: DataFrame) -> DataFrame:
 
 def docx_text(content: bytes) -> str:
     """Raw text: each paragraph followed by an empty line; tabs and breaks kept."""
-    import html
-
     with zipfile.ZipFile(io.BytesIO(content)) as package:
         body = package.read("word/document.xml").decode("utf-8", "replace")
     marks = {"tab": "\t", "br": "\n", "cr": "\n"}
@@ -105,8 +105,6 @@ def docx_segments(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"file_id": batch["file_id"], "content": [docx_text(c) for c in batch["content"]]})
 
-    from ..jsstr import trim, unix_lines
-
     texts = files.select("file_id", "content").mapInPandas(read, "file_id long, content string")
     parts = F.filter(F.transform(F.split(unix_lines(F.col("content")), r"\n\n+"), trim), lambda p: p != "")
     rows = texts.select("file_id", F.posexplode(parts).alias("seg_no", "text"))

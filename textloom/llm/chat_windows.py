@@ -48,7 +48,7 @@ def unescape_role(role: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Words and single other marks: an upper-bound style count that needs no vocabulary."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"))
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^ \t\n\x0B\f\r\p{L}\p{N}]"))
 
 
 def format_windows(conversations: DataFrame, options: ChatOptions = ChatOptions()) -> DataFrame:

@@ -110,4 +110,54 @@ WITH w AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_topk": _OP4_SQL}
+_OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT DISTINCT a AS start, a AS node FROM links
+  UNION
+  SELECT r.start, l.b FROM reach r JOIN links l ON l.a = r.node
+), least AS (SELECT start, min(node) AS c FROM reach GROUP BY start)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(c, doc_id), doc_id) AS component_id FROM sets LEFT JOIN least ON start = doc_id
+"""
+
+_OP8_SQL = r"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+), sized AS (
+  SELECT *, len(regexp_extract_all(text, '[\pL\pN]+|[^\t\n\x0B\f\r \pL\pN]')) + 4 AS tokens,
+    12 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;')) + 1 + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + 11 AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS no FROM raw
+), placed AS (
+  SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY no) - tokens AS BIGINT) AS pos, no = 1 AND role = 'system' AS opens,
+    first_value(CASE WHEN role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY no) AS opening,
+    first_value(CASE WHEN role = 'system' THEN chars ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY no) AS opening_chars FROM sized
+), cut AS (SELECT *, floor(greatest(1024 - 128 - opening, 2) / 2) AS half FROM placed
+), marked AS (SELECT *, floor((pos + tokens - 1) / half) AS bucket, tokens > half AS large FROM cut
+), starts AS (
+  SELECT *, CASE WHEN no = 1 THEN true WHEN lag(opens, 1, false) OVER w THEN false
+    ELSE lag(bucket, 1, -1) OVER w <> bucket OR large OR lag(large, 1, false) OVER w END AS fresh FROM marked WINDOW w AS (PARTITION BY conv_id ORDER BY no)
+), spans AS (
+  SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY no) - 1 AS window_no,
+    coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY pos RANGE BETWEEN 128 PRECEDING AND 1 PRECEDING), 0) AS before,
+    coalesce(sum(CASE WHEN no > 1 THEN chars ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos RANGE BETWEEN 128 PRECEDING AND 1 PRECEDING), 0) AS later FROM starts
+), windows AS (
+  SELECT conv_id, window_no, sum(chars) + min_by(CASE WHEN opening_chars > 0 AND window_no > 0 THEN opening_chars + later ELSE before END, no) AS chars FROM spans GROUP BY conv_id, window_no
+), totals AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM windows GROUP BY conv_id
+), said AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY no), '') AS loss FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM said JOIN totals USING (conv_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_topk": _OP4_SQL, "op5_ngram_join": _OP5_SQL, "op8_chat": _OP8_SQL}

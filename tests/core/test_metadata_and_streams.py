@@ -162,3 +162,17 @@ def test_captured_requests(spark):
     data = spark.createDataFrame(rows, "status int, content_type string, declared_length int, body string")
     got = [(r.body[:20], r.is_error, len(r.body)) for r in metadata.classify_requests(data).collect()]
     assert got == [("[streaming response]", False, 20), ("[large response]", True, 16), ("y" * 20, True, 10_240), ("[binary response]", False, 17)]
+
+
+def test_sanitized_json_dates_and_paths(spark, tmp_path):
+    given = '{"Token": 1, "a": {"b": {"c": {"d": {"e": {"f": 1}}}}}, "l": [1, 2], "s": "%s"}' % ("x" * 1001)
+    import json
+
+    out = json.loads(_one(spark, metadata.sanitize_json(F.lit(given))))
+    assert out["Token"] == "[REDACTED]" and out["a"]["b"]["c"]["d"]["e"]["f"] == "[Max Depth]" and out["s"].endswith("...[truncated]") and out["l"] == [1, 2]
+    assert _one(spark, metadata.sanitize_json(F.lit("{"))) is None
+    assert _one(spark, text.format_date(F.lit("2024-03-05 06:07:00").cast("timestamp"))) == "5 March 2024 06:07"
+    assert _one(spark, text.read_path(F.lit('{"a": [{"b": "x"}]}'), F.lit("root.a[0].b"))) == "x" and _one(spark, text.read_path(F.lit("{}"), F.lit("root.a"))) is None
+    for _ in range(2):
+        metadata.append_rows(spark.range(3), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 6

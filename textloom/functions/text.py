@@ -157,7 +157,8 @@ def compact_text(text: Column, limit: int = 80) -> Column:
     return F.when(F.length(short) > limit, F.concat(F.substring(short, 1, limit), F.lit("…"))).otherwise(short)
 
 
-SENSITIVE = ("password", "token", "secret", "key", "auth", "credential", "session")
+# Parts of field names whose values are never logged.
+SENSITIVE = ("password", "token", "secret", "key", "authorization", "cookie", "session")
 
 
 def clip(text: Column, limit: int = 1000) -> Column:
@@ -213,6 +214,16 @@ def restore_format_tags(text: Column, tags: Column) -> Column:
     return F.aggregate(tags, text, lambda acc, t: F.when(F.contains(acc, t), acc).otherwise(F.concat(acc, F.lit(" "), t)))
 
 
+def format_date(at: Column) -> Column:
+    """Day, month and year with the time, for lists."""
+    return F.date_format(at, "d MMMM yyyy HH:mm")
+
+
+def read_path(tree: Column, path: Column) -> Column:
+    """The scalar at a path such as `root.a.b[0]` of a JSON text; null where there is none."""
+    return F.call_function("get_json_object", tree, F.regexp_replace(path, r"^root", r"\\$"))
+
+
 def login_method(platforms: Column, fallback: Column) -> Column:
     """The first known sign-in platform in order of priority, else the lower-cased fallback."""
     out = F.lit(None).cast("string")

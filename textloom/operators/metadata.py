@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ..functions.text import SENSITIVE
 from ..jsstr import trim, utf16_length
 from ..schema import LANGUAGES, MEDIA_BY_EXTENSION, MEDIA_BY_TYPE, STATUSES, UPLOAD_EXTENSIONS, UPLOAD_LIMIT_BYTES, languages
 
@@ -192,5 +197,35 @@ def classify_requests(requests: DataFrame, limit: int = 10_240) -> DataFrame:
     return requests.withColumns({"body": body, "is_error": F.col("status") >= 400})
 
 
+def append_rows(table: DataFrame, path: str) -> None:
+    """Insert: rows are added beside those that are there."""
+    table.write.mode("append").parquet(path)
+
+
+def _sanitized(value: object, depth: int = 0) -> object:
+    if depth > 5:
+        return "[Max Depth]"
+    if isinstance(value, str):
+        return value if len(value) <= 1000 else f"{value[:1000]}...[truncated]"
+    if isinstance(value, list):
+        return [_sanitized(v, depth + 1) for v in value[:100]]
+    if isinstance(value, dict):
+        return {k: "[REDACTED]" if any(s in k.lower() for s in SENSITIVE) else _sanitized(v, depth + 1) for k, v in value.items()}
+    return value
+
+
+@F.pandas_udf(StringType())
+def sanitize_json(values: pd.Series) -> pd.Series:
+    """Logged JSON made safe: sensitive keys redacted, depth 5, strings of 1,000 and arrays of 100 at most; null if invalid."""
+
+    def safe(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(_sanitized(json.loads(text)), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return values.map(safe)
+
+
 def blank_to_null(text: Column) -> Column:
     return F.when(trim(text) != "", text)

@@ -21,8 +21,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names, or a folder of our own where none is named (tests)."""
+    """The shared folder that the cluster names; in local mode, where none is named, a folder of our own (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="textloom-checkpoint-"))

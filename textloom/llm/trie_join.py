@@ -106,6 +106,12 @@ class _Order:
         at = np.argsort(common)
         self.hashes, self.ranks = common[at], at.astype(np.int64)
 
+    def is_common(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(shingles), bool)
+        at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
+        return self.hashes[at] == shingles
+
     def arrange(self, shingles: np.ndarray) -> np.ndarray:
         """Rare first; `shingles` are sorted by hash already."""
         if not len(self.hashes):
@@ -117,7 +123,7 @@ class _Order:
 
 
 def _postings(docs: DataFrame, order) -> DataFrame:
-    """(token, node, n, pos): the rarest fifth plus one of each set; a set that a task has seen is not repeated."""
+    """(token, node, n, pos, common): the rarest fifth plus one of each set; a set that a task has seen is not repeated."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -135,10 +141,10 @@ def _postings(docs: DataFrame, order) -> DataFrame:
                 sizes.append(len(shingles))
             if tokens:
                 lens = [len(t) for t in tokens]
-                columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.int64), lens), np.repeat(np.array(sizes, np.int32), lens), np.concatenate([np.arange(k, dtype=np.int32) for k in lens])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "pos"])
+                columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.int64), lens), np.repeat(np.array(sizes, np.int32), lens), np.concatenate([np.arange(k, dtype=np.int32) for k in lens]), order.value.is_common(np.concatenate(tokens))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "pos", "common"])
 
-    return docs.mapInArrow(read, "token long, node long, n int, pos int")
+    return docs.mapInArrow(read, "token long, node long, n int, pos int, common boolean")
 
 
 BINS = 256
@@ -280,9 +286,11 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) ->
 
     # Postings are dealt by shingle once, in order of length. Those are dropped that cannot be half of a candidate pair: shingles
     # of one set only, members whose neighbours in length are too short and too long, and pairs that fail the exact bound.
-    alike = Window.partitionBy("token")
+    # A common shingle may belong to a large part of all sets: it is shared for certain, stays, and is spread by salt.
+    alike = Window.partitionBy("token", "salt")
     ranked = alike.orderBy("n", "node")
-    dealt = _postings(docs, order).withColumns(
+    salt = F.when(F.col("common"), F.pmod("node", F.lit(1024))).otherwise(-1)
+    dealt = _postings(docs, order).withColumn("salt", salt).withColumns(
         {
             "shared": F.min("node").over(alike) != F.max("node").over(alike),
             "two": (F.count("*").over(alike) == 2) & (9 * F.min(F.col("n") - F.col("pos")).over(alike) < 4 * F.sum("n").over(alike)),
@@ -290,10 +298,10 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) ->
             "longer": F.lead("n").over(ranked),
         }
     )
-    longest = F.least(5 * F.col("n"), 5 * F.col("n") - 9 * F.col("pos"))  # four times the longest partner
+    longest = 5 * F.col("n") - 9 * F.col("pos")  # four times the longest partner
     near = (10 * F.col("shorter") >= 8 * F.col("n")) | (4 * F.col("longer") <= longest)
-    dealt = dealt.where(F.col("shared") & ~F.col("two") & F.coalesce(near, F.lit(False))).select("token", "node", "n", "pos")
-    dealt = scratch.write(dealt.distinct(), "postings")
+    kept = dealt.where(F.col("common") | (F.col("shared") & ~F.col("two") & F.coalesce(near, F.lit(False))))
+    dealt = scratch.write(kept.select("token", "node", "n", "pos").distinct(), "postings")
     labels = spark.createDataFrame([], "node long, label long") if dealt.isEmpty() else _link(docs, dealt, lows, order, o, scratch)
     # Sets are named first and rows after: a set that very many rows share is one row until the last join.
     named = lows.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))

@@ -221,7 +221,7 @@ def format_date(at: Column) -> Column:
 
 def read_path(tree: Column, path: Column) -> Column:
     """The scalar at a path such as `root.a.b[0]` of a JSON text; null where there is none."""
-    return F.call_function("get_json_object", tree, F.regexp_replace(path, r"^root", r"\\$"))
+    return F.call_function("get_json_object", tree, F.concat(F.lit("$"), F.substr(path, F.lit(5))))
 
 
 def login_method(platforms: Column, fallback: Column) -> Column:

@@ -22,7 +22,7 @@ def ltrim(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return trim(text) == ""
+    return ~text.rlike(f"[^{WHITE_CLASS}]")
 
 
 def utf16_length(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import smart_chunks
-from ..jsstr import WS, is_blank, trim, unix_lines, words
+from ..jsstr import WS, is_blank, let, trim, unix_lines, words
 
 NO_ATTRS = "cast(map() as map<string,string>)"
 
@@ -33,15 +33,19 @@ def _filled(items: Column) -> Column:
 
 def paragraphs(content: Column) -> Column:
     """Blocks between empty lines; with one block at most, lines; else the trimmed text."""
-    text = unix_lines(content, lone_cr=True)
-    blocks = _filled(F.split(text, r"\n\n+"))
-    blocks = F.when((F.size(blocks) <= 1) & F.contains(text, F.lit("\n")), _filled(F.split(text, "\n"))).otherwise(blocks)
-    return F.when((F.size(blocks) == 0) & ~is_blank(text), F.array(trim(text))).otherwise(blocks)
+
+    def blocks(text: Column) -> Column:
+        lines = lambda found: F.when((F.size(found) <= 1) & F.contains(text, F.lit("\n")), _filled(F.split(text, "\n"))).otherwise(found)
+        whole = lambda found: F.when((F.size(found) == 0) & ~is_blank(text), F.array(trim(text))).otherwise(found)
+        return let(let(_filled(F.split(text, r"\n\n+")), lines), whole)
+
+    return let(unix_lines(content, lone_cr=True), blocks)
 
 
 def txt_chunks(content: Column, chunk_size: int = 500, lossless: bool = False) -> Column:
     """Paragraphs, those of more words than `chunk_size` in sentence chunks."""
-    cut = lambda p: F.when(F.size(words(p)) <= chunk_size, F.array(p)).otherwise(smart_chunks(p, chunk_size, lossless))
+    few = lambda p: (F.length(p) < chunk_size) | (F.size(words(p)) <= chunk_size)  # noqa: E731  short texts need no counting
+    cut = lambda p: F.when(few(p), F.array(p)).otherwise(smart_chunks(p, chunk_size, lossless))
     return F.flatten(F.transform(paragraphs(content), cut))
 
 

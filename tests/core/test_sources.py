@@ -258,9 +258,23 @@ def test_router(spark):
     rows = [(1, "a.txt", "one\ntwo"), (2, "b.md", "x\n\ny"), (3, "c.json", '{"a": "b"}'), (4, "d.csv", "a,1"), (5, "e.yaml", "k: v"), (6, "f.html", "<p>t</p>"), (7, "g.txt", "")]
     out = {r.file_id: r for r in translate_files(spark.createDataFrame(rows, "file_id long, file_name string, content string")).collect()}
     assert {i: r.type for i, r in out.items()} == {1: "txt", 2: "md", 3: "json", 4: "csv", 5: "yaml", 6: "html", 7: "txt"}
+    assert (out[1].total_chunks, out[1].processed_chunks, out[4].total_chunks, out[3].total_chunks) == (2, 2, 1, 1)
     assert out[1].output == "[T]one\n\n[T]two" and out[6].output == "<p>[T]t</p>" and out[4].output == "[T]a,1" and out[7].total_chunks == 0
 
 
+def test_router_with_staging_calls_once(spark, tmp_path):
+    rows = [(1, "a.txt", "one\ntwo"), (2, "b.json", '{"a": "b"}')]
+    calls = spark.sparkContext.accumulator(0)
+
+    def translator(text, prompt):
+        calls.add(1)
+        return f"<{text}>"
+
+    files = spark.createDataFrame(rows, "file_id long, file_name string, content string")
+    out = translate_files(files, lambda s: translate_segments(s, translator), ("txt", "json"), str(tmp_path / "staging")).collect()
+    assert sorted(r.output for r in out) == ["<one>\n\n<two>", '{\n  "a": "<b>"\n}'] and calls.value == 3
+
+
 def test_translate_with_retry_and_fall_back(spark):
     segments = text_formats.txt_segments(_files(spark, "good\nbad\n-\nskip")).withColumn("translatable", F.col("text") != "skip")
 

@@ -18,19 +18,37 @@ from ..functions import markup
 from ..sources.trees import entries, load
 
 
+def _counts(segments: DataFrame) -> list[Column]:
+    """Chunk counts that go along with a rebuild, so that segments are gone through once; none before the transform."""
+    if "ok" not in segments.columns:
+        return []
+    good = F.col("translatable")
+    return [F.count_if(good).alias("total_chunks"), F.count_if(good & ~F.col("ok")).alias("failed_chunks")]
+
+
+def _added(frame: DataFrame) -> list[Column]:
+    """The counts of a first level of groups, added up."""
+    return [F.sum(c).alias(c) for c in ("total_chunks", "failed_chunks") if c in frame.columns]
+
+
+def _kept(frame: DataFrame) -> list[str]:
+    return [c for c in ("total_chunks", "failed_chunks") if c in frame.columns]
+
+
 def _ordered(segments: DataFrame) -> DataFrame:
     """(file_id, s): a file's segments in order; attributes as JSON, which can be sorted with the rest."""
     item = F.struct("seg_no", F.coalesce("translated", "text").alias("t"), "kind", F.to_json("attrs").alias("attrs"))
-    return segments.groupBy("file_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    return segments.groupBy("file_id").agg(F.array_sort(F.collect_list(item)).alias("s"), *_counts(segments))
 
 
 def _attr(item: Column, name: str) -> Column:
     return F.get_json_object(item.attrs, f"$.{name}")
 
 
-def _join(segments: DataFrame, piece, separator: str, end: str = "") -> DataFrame:
+def _join(segments: DataFrame, piece, separator: str) -> DataFrame:
+    rows = _ordered(segments)
     text = F.array_join(F.transform("s", piece), separator)
-    return _ordered(segments).select("file_id", F.concat(text, F.lit(end)).alias("output"))
+    return rows.select("file_id", text.alias("output"), *_kept(rows))
 
 
 def write_txt(segments: DataFrame) -> DataFrame:
@@ -68,15 +86,15 @@ def write_csv(segments: DataFrame) -> DataFrame:
     """Cells with a comma, quote or break are quoted; rows end in a line feed but for the last."""
     text = F.coalesce("translated", "text")
     cell = F.when(text.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
-    cells = segments.select("file_id", F.col("attrs")["row"].cast("int").alias("r"), F.col("attrs")["col"].cast("int").alias("c"), cell.alias("t"))
-    rows = cells.groupBy("file_id", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "t"))), lambda x: x.t), ",").alias("t"))
-    return rows.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda x: x.t), "\n").alias("output"))
+    cells = segments.select("file_id", F.col("attrs")["row"].cast("int").alias("r"), F.col("attrs")["col"].cast("int").alias("c"), cell.alias("t"), *[c for c in ("translatable", "ok") if c in segments.columns])
+    rows = cells.groupBy("file_id", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "t"))), lambda x: x.t), ",").alias("t"), *_counts(cells))
+    return rows.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda x: x.t), "\n").alias("output"), *_added(rows))
 
 
 def replacements(segments: DataFrame) -> DataFrame:
     """(file_id, by_path): new texts by path; of a repeated path the last wins."""
-    rows = segments.where("path IS NOT NULL").groupBy("file_id", "path").agg(F.max_by(F.coalesce("translated", "text"), "seg_no").alias("t"))
-    return rows.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "t"))).alias("by_path"))
+    rows = segments.where("path IS NOT NULL").groupBy("file_id", "path").agg(F.max_by(F.coalesce("translated", "text"), "seg_no").alias("t"), *_counts(segments))
+    return rows.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "t"))).alias("by_path"), *_added(rows))
 
 
 def _replaced(tree: object, path: str, by_path: dict[str, str], keep_empty: bool) -> object:
@@ -94,6 +112,7 @@ def _replaced(tree: object, path: str, by_path: dict[str, str], keep_empty: bool
 
 def _write_trees(files: DataFrame, segments: DataFrame, kind: str, root: str, keep_empty: bool) -> DataFrame:
     both = files.select("file_id", "content").join(replacements(segments), "file_id", "left")
+    counts = _kept(both)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -106,9 +125,9 @@ def _write_trees(files: DataFrame, segments: DataFrame, kind: str, root: str, ke
                     out.append(yaml.safe_dump(tree, allow_unicode=True, sort_keys=False, width=float("inf")))
                 else:
                     out.append(json.dumps(tree, indent=2, ensure_ascii=False))
-            yield pd.DataFrame({"file_id": batch["file_id"], "output": out})
+            yield batch[["file_id", *counts]].assign(output=out)
 
-    return both.mapInPandas(write, "file_id long, output string")
+    return both.mapInPandas(write, ", ".join(["file_id long", "output string", *(f"{c} long" for c in counts)]))
 
 
 def write_json(files: DataFrame, segments: DataFrame) -> DataFrame:
@@ -131,9 +150,10 @@ def write_game_json(files: DataFrame, segments: DataFrame, restore_tags: bool =
 def write_epub(files: DataFrame, segments: DataFrame) -> DataFrame:
     """E-books with new texts in their chapters; all else is copied, `mimetype` first and stored."""
     item = F.struct(F.col("attrs")["start"].cast("int").alias("start"), F.col("attrs")["end"].cast("int").alias("end"), F.coalesce("translated", "text").alias("t"))
-    per = segments.groupBy("file_id", "path").agg(F.array_sort(F.collect_list(item)).alias("nodes"))
-    per = per.groupBy("file_id").agg(F.collect_list(F.struct("path", "nodes")).alias("chapters"))
+    per = segments.groupBy("file_id", "path").agg(F.array_sort(F.collect_list(item)).alias("nodes"), *_counts(segments))
+    per = per.groupBy("file_id").agg(F.collect_list(F.struct("path", "nodes")).alias("chapters"), *_added(per))
     both = files.select("file_id", "content").join(per, "file_id", "left")
+    counts = _kept(both)
 
     def rebuilt(page: str, nodes) -> str:
         out, at = [], 0
@@ -157,9 +177,9 @@ def write_epub(files: DataFrame, segments: DataFrame) -> DataFrame:
                         plain = zipfile.ZipInfo(info.filename, info.date_time)
                         new.writestr(plain, data, zipfile.ZIP_STORED if info.filename == "mimetype" else zipfile.ZIP_DEFLATED)
                 out.append(made.getvalue())
-            yield pd.DataFrame({"file_id": batch["file_id"], "output": out})
+            yield batch[["file_id", *counts]].assign(output=out)
 
-    return both.mapInPandas(write, "file_id long, output binary")
+    return both.mapInPandas(write, ", ".join(["file_id long", "output binary", *(f"{c} long" for c in counts)]))
 
 
 def to_tsv(segments: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rebuild
-from ..operators.translate import chunk_counts, translate_by_column
+from ..operators.translate import translate_by_column
 from ..sources import EXTRACTORS, with_types
 
 TEXT_TYPES = ("txt", "srt", "vtt", "md", "html", "csv", "json", "json_game", "yaml")
@@ -31,14 +31,21 @@ def translate_type(files: DataFrame, kind: str, transform: Transform = translate
         outputs = rebuild.write_epub(files, translated).withColumn("output", F.base64("output"))
     else:
         outputs = _WRITERS[kind](translated)
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    rows = files.select("file_id").join(outputs, "file_id", "left").join(chunk_counts(translated), "file_id", "left")
-    return rows.select("file_id", F.lit(kind).alias("type"), F.coalesce("output", F.lit("")).alias("output"), zero("total_chunks"), zero("processed_chunks"), zero("failed_chunks"))
+    # The counts come with the outputs: segments are transformed once, which matters where the transform is an external call.
+    rows = files.select("file_id").join(outputs, "file_id", "left").fillna(0, ["total_chunks", "failed_chunks"])
+    processed = (F.col("total_chunks") - F.col("failed_chunks")).alias("processed_chunks")
+    return rows.select("file_id", F.lit(kind).alias("type"), F.coalesce("output", F.lit("")).alias("output"), "total_chunks", processed, "failed_chunks")
 
 
-def translate_files(files: DataFrame, transform: Transform = translate_by_column, types: tuple[str, ...] = TEXT_TYPES) -> DataFrame:
-    """All files (file_id, file_name, content), each by its type."""
-    typed = with_types(files)
+def translate_files(files: DataFrame, transform: Transform = translate_by_column, types: tuple[str, ...] = TEXT_TYPES, staging: str | None = None) -> DataFrame:
+    """All files (file_id, file_name, content), each by its type.
+
+    With `staging`, the files are written there by type first, so that each format reads its own files only.
+    """
+    typed = with_types(files).select("file_id", "content", "type")
+    if staging is not None:
+        typed.write.mode("overwrite").partitionBy("type").parquet(staging)
+        typed = files.sparkSession.read.schema(typed.schema).parquet(staging)
     parts = [translate_type(typed.where(F.col("type") == kind).select("file_id", "content"), kind, transform) for kind in types]
     out = parts[0]
     for part in parts[1:]:

@@ -63,8 +63,8 @@ def translate_rebuild_txt(spark, sf_dir):
     """Flagship: every document split into paragraphs, each transformed, the document rebuilt."""
     files = A.document_files(spark, sf_dir)
     segments = translate_by_column(text_formats.txt_segments(files, chunk_size=10**9))
-    out = rebuild.write_txt(segments).join(chunk_counts(segments), "file_id")
-    return out.select("file_id", F.lit("txt").alias("type"), F.md5("output").alias("digest"), "total_chunks", "processed_chunks", "failed_chunks")
+    processed = (F.col("total_chunks") - F.col("failed_chunks")).alias("processed_chunks")
+    return rebuild.write_txt(segments).select("file_id", F.lit("txt").alias("type"), F.md5("output").alias("digest"), "total_chunks", processed, "failed_chunks")
 
 
 @query()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 256
+ARROW_ROWS = 64
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -134,7 +134,7 @@ def search(column: pa.Array, items: _Items, o: LeakOptions) -> list[tuple[int, i
     """(row, item number, first word, words, similarity, Hamming distance) of the best place of each item in each row."""
     words, first, _, _ = word_hashes(*text_bytes(column))
     best: dict[tuple[int, int], tuple] = {}
-    span = 1 << 16  # words at a time; windows that reach beyond are seen with the next span
+    span = 1 << 14  # words at a time; windows that reach beyond are seen with the next span
     reach = max(items.classes, default=1) - 1
     for at in range(0, len(words), span):
         prints_of = _Fingerprints(words[at : at + span + reach])

@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 from array import array
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 _ENCODERS: dict = {}
 
 

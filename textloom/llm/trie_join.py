@@ -86,7 +86,7 @@ def _sets_and_common(docs: DataFrame) -> DataFrame:
                     seen.add(node)
                     held.append(shingles)
                     size += len(shingles)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 rows += counted()
                 held, size = [], 0
                 seen.clear()

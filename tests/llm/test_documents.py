@@ -209,6 +209,40 @@ def test_edited_items_are_found_wherever_the_edits_are():
     assert seen > 200 and missed == 0
 
 
+def _least_lost(n, windows):
+    """The fewest shingles that changed words can take with them, over all placements that leave no window as it was."""
+    m, best = n - 4, {-1: 0}
+    reach = [min((a + s - 1 for s, a in windows if a > i), default=n) for i in range(-1, n)]  # the next change stands here at the latest
+    for j in range(n):
+        lost = [c + max(0, min(j, m - 1) - max(j - 4, i + 1, 0) + 1) for i, c in best.items() if j <= reach[i + 1]]
+        best[j] = min(lost) if lost else m
+    return min(c for i, c in best.items() if reach[i + 1] == n)
+
+
+def test_no_placement_of_edits_touches_every_window():
+    for n in range(8, 200):
+        lost, m = _least_lost(n, decontaminate.item_windows(n)), n - 4
+        assert 5 * (m - lost) < 4 * (m + lost), (n, lost)
+    rng = random.Random(12)
+    for n, edits in ((52, (0, 49)), (68, (0, 65)), (67, (0, 33)), (104, (0, 1, 26, 51, 103))):
+        for _ in range(20):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            copy = [f"x{rng.randrange(10**9)}" if k in edits else w for k, w in enumerate(words)]
+            a, b = (Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4)) for x in (words, copy))
+            if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                assert decontaminate.search(pa.array(["before " * 9 + " ".join(copy) + " after" * 9]), decontaminate.prepare_items([(1, " ".join(words))], decontaminate.LeakOptions()), decontaminate.LeakOptions())
+
+
+def test_texts_that_end_within_an_item_are_found():
+    rng = random.Random(13)
+    for n in range(10, 200):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        cut = (n - 4) // 5
+        items = decontaminate.prepare_items([(1, " ".join(words))], decontaminate.LeakOptions())
+        for left in {0, cut // 2, cut}:
+            assert decontaminate.search(pa.array([" ".join(words[left : n - cut + left])]), items, decontaminate.LeakOptions())
+
+
 def test_simhash_windows_and_hamming_blocks():
     words = np.random.default_rng(2).integers(0, 2**63, 300, dtype=np.uint64)
     prints = decontaminate._Fingerprints(words)

@@ -1,9 +1,9 @@
 """Benchmark decontamination (SimHash of item-sized windows, multi-index Hamming blocks, exact verification).
 
 An item of n words is given the window size of its class: the largest of 1, 2, 3, 4, 6, 8, 12, 16, 24, ... not above n - 4. The
-SimHashes of its first, middle and last window of that size are its fingerprints; a long item, which may differ in several
-places and still be similar enough, also has as many separate smaller windows as leave one of them untouched. In each document the SimHash of every window of
-every size in use is formed; it is cut into radius + 1 blocks, so that any two fingerprints within the radius agree on one block
+SimHashes of its first, middle and last window of that size are its fingerprints; as an item may differ in several places, its
+ends among them, and still be similar enough, it also has as many separate smaller windows as leave one of them untouched. In
+each document the SimHash of every window of every size in use is formed; it is cut into radius + 1 blocks, so that any two fingerprints within the radius agree on one block
 at least, and the tables of block values miss none of them. A window within the radius gives a place where the item may stand;
 there the weighted Jaccard similarity of the five-word shingles (weight: how often each occurs) is taken exactly.
 
@@ -73,15 +73,19 @@ class _Fingerprints:
 def item_windows(n: int) -> list[tuple[int, int]]:
     """(size, first word) of the windows of an item of n words.
 
-    An inner edit costs about four of its shingles and adds five, so that one edit in forty shingles is all that a similarity of
-    0.8 allows: with one more separate window than that, one of them is as it was.
+    Beside its first, middle and last window an item has separate ones, of which a copy of similarity 0.8 leaves one as it was.
+    Of m shingles such a copy may lack t cut off with its ends and d others, for which d new ones stand: t + 1.8 d <= 0.2 m. A
+    window that is no longer whole lacks four shingles at least, none of them those of another window, if `margin` words lie
+    before the first and behind the last and two between any: so the two outer ones cost 4 each, all others 7.2.
     """
     size = window_sizes(max(1, n - SHINGLE + 1))[-1]
     found = {(size, 0), (size, (n - size) // 2), (size, n - size)}
-    parts = max(0, n - SHINGLE + 1) // 40 + 1
-    if parts > 1:
-        small = window_sizes(n // parts)[-1]
-        found |= {(small, j * (n // parts)) for j in range(parts)}
+    m = max(1, n - SHINGLE + 1)
+    parts = 1 if m < 20 else 2 if m < 40 else 3 + (m - 40) // 36
+    margin = min(3, m // 5)
+    small = window_sizes((n - 2 * margin - 2 * (parts - 1)) // parts)[-1]
+    rest = n - 2 * margin - small
+    found |= {(small, margin + (j * rest // (parts - 1) if parts > 1 else rest // 2)) for j in range(parts)}
     return sorted(found)
 
 

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, string_columns
+from .common import Scratch, materialize, prepare, string_columns
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -31,7 +31,7 @@ class BootstrapOptions:
     rounds: int = 3
     least_seeds: int = 3  # distinct seeds that a pattern must be seen with
     confidence: float = 0.75
-    patterns_per_kind: int = 5000  # the best ones are sent to the tasks
+    patterns_per_block: int = 100_000  # so many are sent to the tasks at once, in as many passes as there are blocks
 
 
 # The base patterns. They find what the plain forms find (leftmost, greedy, without overlaps in a kind); a digit
@@ -121,7 +121,7 @@ def _instance(text: str) -> str:
 
 
 def context_graph(docs: DataFrame) -> DataFrame:
-    """Edges (kind, pattern, instance, seed), each once, over all texts."""
+    """Edges (kind, pattern, instance, seed, shaped), each once, over all texts; shaped: seen as no base span."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,17 +137,17 @@ def context_graph(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "pattern", "instance", "seed"])
 
     edges = docs.select("text").mapInArrow(read, "kind string, pattern string, instance string, seed boolean")
-    return materialize(edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
+    return materialize(edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), (~F.min("seed")).alias("shaped")), "graph")
 
 
 def score_patterns(edges: DataFrame, options: BootstrapOptions = BootstrapOptions()) -> DataFrame:
-    """(kind, pattern, seeds, confidence) after the last round."""
+    """(kind, pattern, seeds, shaped, confidence) after the last round."""
     o = options
     instances = edges.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("s"))
     patterns = None
     for step in range(o.rounds):
         near = edges.join(instances, ["kind", "instance"])
-        patterns = near.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), (F.sum("s") / (F.count("*") + 0.5)).alias("confidence"))
+        patterns = near.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), F.max("shaped").alias("shaped"), (F.sum("s") / (F.count("*") + 0.5)).alias("confidence"))
         patterns = materialize(patterns.withColumn("confidence", F.when(F.col("seeds") >= o.least_seeds, F.col("confidence")).otherwise(0.0)), "patterns")
         if step + 1 < o.rounds:
             # Noisy or: an instance that is no seed is believed as far as any of its patterns is.
@@ -157,24 +157,60 @@ def score_patterns(edges: DataFrame, options: BootstrapOptions = BootstrapOption
     return patterns
 
 
-def learn_patterns(docs: DataFrame, options: BootstrapOptions = BootstrapOptions()) -> dict[str, frozenset[str]]:
-    """The high-confidence patterns of each kind; their number is bounded."""
-    o = options
-    good = score_patterns(context_graph(docs), o).where(F.col("confidence") >= o.confidence)
-    best = Window.partitionBy("kind").orderBy(F.desc("confidence"), F.desc("seeds"), "pattern")
-    good = good.withColumn("r", F.row_number().over(best)).where(F.col("r") <= o.patterns_per_kind)
-    rows = good.select("kind", "pattern").collect()
-    return {k: frozenset(r.pattern for r in rows if r.kind == k) for k in KINDS}
+def learn_patterns(docs: DataFrame, options: BootstrapOptions = BootstrapOptions()) -> DataFrame:
+    """(kind, pattern) of all high-confidence patterns that stand around a string that is no base span."""
+    return score_patterns(context_graph(docs), options).where((F.col("confidence") >= options.confidence) & F.col("shaped")).select("kind", "pattern")
+
+
+def _pattern_blocks(patterns: DataFrame, o: BootstrapOptions) -> Iterator[dict[str, frozenset[str]]]:
+    """The patterns in blocks of bounded number, one at least; only one block is on the driver at a time."""
+    block: list[tuple[str, str]] = []
+    for r in patterns.toLocalIterator():
+        if len(block) >= o.patterns_per_block:
+            yield {k: frozenset(p for kind, p in block if kind == k) for k in KINDS}
+            block = []
+        block.append((r.kind, r.pattern))
+    yield {k: frozenset(p for kind, p in block if kind == k) for k in KINDS}
+
+
+def _with_last_block(rows: DataFrame, at: int, o: BootstrapOptions) -> tuple[DataFrame, dict[str, frozenset[str]]]:
+    """`rows` with a last column, the numbers of the shaped spans that all blocks of patterns but one find; and that one."""
+    spark = rows.sparkSession
+    blocks = _pattern_blocks(learn_patterns(rows.select(F.col(f"`{rows.columns[at]}`").alias("text")), o), o)
+    last = next(blocks)
+    rows = rows.withColumn("_" + "".join(rows.columns), F.lit(None).cast("array<int>"))  # a name that no column has
+    before = None
+    for block in blocks:
+        patterns = spark.sparkContext.broadcast(last)
+
+        def note(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, known = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+                known = [sorted({*(k or ()), *_believed(t, shaped_spans(t, base_spans(t)), patterns.value)}) if t else None for t, k in zip(texts, known, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(known, pa.list_(pa.int32()))], names=batch.schema.names)
+
+        scratch = Scratch(spark)
+        rows = scratch.write(rows.mapInArrow(note, rows.schema), "known")
+        if before is not None:
+            before.clear()
+        last, before = block, scratch
+    return rows, last
+
+
+def _believed(text: str, shaped: list[tuple[str, int, int]], patterns: dict[str, frozenset[str]]) -> list[int]:
+    return [i for i, (kind, a, b) in enumerate(shaped) if patterns[kind] and any(p in patterns[kind] for p in contexts(text, a, b))]
 
 
-def all_spans(text: str, patterns: dict[str, frozenset[str]]) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans by kind and start with those that a pattern finds."""
+def all_spans(text: str, patterns: dict[str, frozenset[str]], known: list[int] | None = None) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
+    """Base spans, and all spans by kind and start with those that a pattern finds or that are known (by number) already."""
     base = base_spans(text)
     taken = [s for spans in base.values() for s in spans]
     added: list[tuple[str, int, int]] = []
-    if any(patterns.values()):
-        for kind, a, b in shaped_spans(text, base):
-            if patterns[kind] and not _overlaps((a, b), taken) and any(p in patterns[kind] for p in contexts(text, a, b)):
+    if known or any(patterns.values()):
+        shaped = shaped_spans(text, base)
+        for i in sorted({*(known or ()), *_believed(text, shaped, patterns)}):
+            kind, a, b = shaped[i]
+            if not _overlaps((a, b), taken):
                 added.append((kind, a, b))
                 taken.append((a, b))
     whole = [(k, a, b) for k in KINDS for a, b in sorted([*base[k], *((a, b) for kind, a, b in added if kind == k)])]
@@ -188,15 +224,15 @@ def _joined(spans) -> str:
 def find_spans(docs: DataFrame, options: BootstrapOptions = BootstrapOptions()) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) of every row of (doc_id, text)."""
     spark = prepare(docs.sparkSession)
-    rows = string_columns(docs, "doc_id", "text")
-    patterns = spark.sparkContext.broadcast(learn_patterns(rows, options))
+    rows, last = _with_last_block(string_columns(docs, "doc_id", "text"), 1, options)
+    patterns = spark.sparkContext.broadcast(last)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
             plain, whole = [], []
-            for text in batch.column(1).to_pylist():
-                base, spans = all_spans(text or "", patterns.value)
+            for text, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                base, spans = all_spans(text or "", patterns.value, known)
                 for c, k in zip(counts, KINDS, strict=True):
                     c.append(len(base[k]))
                 plain.append(_joined((k, a, b) for k in KINDS for a, b in base[k]))
@@ -210,13 +246,14 @@ def mask(docs: DataFrame, options: BootstrapOptions = BootstrapOptions()) -> Dat
     """`docs`, all columns, with every span in `text` replaced by its kind in brackets."""
     spark = prepare(docs.sparkSession)
     at, names = docs.columns.index("text"), docs.columns
-    patterns = spark.sparkContext.broadcast(learn_patterns(docs, options))
+    rows, last = _with_last_block(docs, at, options)
+    patterns = spark.sparkContext.broadcast(last)
 
-    def hide(text: str | None) -> str | None:
+    def hide(text: str | None, known: list[int] | None) -> str | None:
         if not text:
             return text
         out, upto = [], 0
-        for kind, a, b in sorted(all_spans(text, patterns.value)[1], key=lambda x: (x[1], x[2])):
+        for kind, a, b in sorted(all_spans(text, patterns.value, known)[1], key=lambda x: (x[1], x[2])):
             if b > upto:
                 # Of overlapping spans the first names the hole; the later one only widens it.
                 out += [text[upto:a], f"[{kind.upper()}]"] if a >= upto else []
@@ -225,8 +262,8 @@ def mask(docs: DataFrame, options: BootstrapOptions = BootstrapOptions()) -> Dat
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns)
-            columns[at] = pa.array([hide(t) for t in columns[at].to_pylist()], pa.string())
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array([hide(*x) for x in zip(columns[at].to_pylist(), batch.columns[-1].to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(change, docs.schema)
+    return rows.mapInArrow(change, docs.schema)

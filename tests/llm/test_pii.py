@@ -24,3 +24,20 @@ def test_blocks_of_patterns_find_what_one_block_finds(spark):
         assert got == want
     masked = {r.doc_id: r.text for r in pii_bootstrap.mask(_rows(spark, rows), small).collect()}
     assert all("[EMAIL]" in masked[100 + i] and "(at)" not in masked[100 + i] for i in range(8)) and masked[200] is None
+
+
+TWO_HOPS = [(i, f"please reach me at user{i}@mail.example.com any time") for i in range(60)]
+TWO_HOPS += [(100 + i, f"please reach me at jane{i} (at) example (dot) org any time") for i in range(8)]
+TWO_HOPS += [(200 + i, f"letters go straight unto jane{i} (at) example (dot) org in spring") for i in range(8)]
+
+
+def test_contexts_of_discovered_instances_find_more(spark):
+    rows = [*TWO_HOPS, (300, "letters go straight unto mary (at) example (dot) org in spring"), (301, "nobody met bob (at) example (dot) org there")]
+    got = {r.doc_id: r.spans for r in pii_bootstrap.find_spans(_rows(spark, rows)).collect()}
+    assert got[100] and got[200] and got[300].startswith("email:25:") and got[301] == ""
+
+
+def test_upper_case_marks_are_looked_at(spark):
+    rows = [*TWO_HOPS, (300, "please reach me at JANE (AT) HOST (DOT) ORG any time"), (301, "please reach me at Jane [At] Host [Dot] Org any time")]
+    got = {r.doc_id: r.spans for r in pii_bootstrap.find_spans(_rows(spark, rows)).collect()}
+    assert got[300] == "email:19:43" and got[301] == "email:19:43"

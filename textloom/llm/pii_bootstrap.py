@@ -3,7 +3,8 @@
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; these are the seeds. The words around each seed, and
 around each string that is only shaped like such data, are lexical patterns. Spark builds the graph of patterns and instances
 over the whole corpus and scores it in rounds: a pattern is as good as the instances that it is seen with, an instance that is
-no seed as good as its patterns together. Strings in the context of a high-confidence pattern are then reported as well.
+no seed as good as its patterns together. What a high-confidence pattern finds supports further patterns in the next round, as
+seeds do. Strings in the context of a high-confidence pattern are then reported as well.
 
 Base spans always stay. Spans are in code points, end exclusive.
 
@@ -29,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 @dataclass(frozen=True)
 class BootstrapOptions:
     rounds: int = 3
-    least_seeds: int = 3  # distinct seeds that a pattern must be seen with
+    least_seeds: int = 3  # distinct seeds, or instances that a good pattern of the round before finds, that a pattern must be seen with
     confidence: float = 0.75
     patterns_per_block: int = 100_000  # so many are sent to the tasks at once, in as many passes as there are blocks
 
@@ -90,7 +91,7 @@ def shaped_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tupl
     """Strings that are shaped like personal data and are no base span."""
     taken = sorted(s for spans in base.values() for s in spans)
     out = []
-    if "@" in text or "(at)" in text or "[at]" in text:
+    if "@" in text or "(" in text or "[" in text:
         for m in _AT.finditer(text):
             left, right = _BEFORE_AT.search(text[max(0, m.start() - 64) : m.start()]), _AFTER_AT.match(text, m.end())
             if left and right:
@@ -141,19 +142,20 @@ def context_graph(docs: DataFrame) -> DataFrame:
 
 
 def score_patterns(edges: DataFrame, options: BootstrapOptions = BootstrapOptions()) -> DataFrame:
-    """(kind, pattern, seeds, shaped, confidence) after the last round."""
+    """(kind, pattern, seeds, shaped, confidence) after the last round; seeds: with instances that a good pattern has found."""
     o = options
-    instances = edges.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("s"))
+    instances = edges.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("s"), F.max("seed").alias("believed"))
     patterns = None
     for step in range(o.rounds):
         near = edges.join(instances, ["kind", "instance"])
-        patterns = near.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), F.max("shaped").alias("shaped"), (F.sum("s") / (F.count("*") + 0.5)).alias("confidence"))
+        patterns = near.groupBy("kind", "pattern").agg(F.count_if("believed").alias("seeds"), F.max("shaped").alias("shaped"), (F.sum("s") / (F.count("*") + 0.5)).alias("confidence"))
         patterns = materialize(patterns.withColumn("confidence", F.when(F.col("seeds") >= o.least_seeds, F.col("confidence")).otherwise(0.0)), "patterns")
         if step + 1 < o.rounds:
             # Noisy or: an instance that is no seed is believed as far as any of its patterns is.
             told = edges.join(patterns.where("confidence > 0").select("kind", "pattern", "confidence"), ["kind", "pattern"], "left")
+            best = F.coalesce(F.max("confidence"), F.lit(0.0))
             doubt = F.exp(F.sum(F.log(1 - F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))
-            instances = materialize(told.groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("s")), "instances")
+            instances = materialize(told.groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("s"), (F.max("seed") | (best >= o.confidence)).alias("believed")), "instances")
     return patterns
 
 

@@ -10,7 +10,8 @@ is left as soon as the shingles that remain cannot reach the overlap that is nee
 
 Components need no more than one link between two parts. So a group that shares a shingle is first held against centres of its
 own (a few rounds, by different hashes), and only members that are still in different components are then paired. No link
-between different components is missed: the last round pairs all of them, and the filters above lose no pair.
+between different components is missed: the last round pairs all of them, and the filters above lose no pair. `jaccard_links`
+takes all candidates instead and gives every link, `link_counts` the number of links of each document.
 
 Defined cases: null, empty or blank texts have no shingles, link with nothing and are components of their own; with fewer than
 five words the whole sequence is the one shingle; repeated rows and equal texts share a component; a row with a null doc_id
@@ -43,6 +44,7 @@ class JoinOptions:
     least_common: int = 4
     rounds: int = 2
     members_per_tree: int = 256
+    members_per_block: int = 1000  # of one shingle, where all pairs are asked for
     broadcast_pairs: int = 200_000  # five numbers each, some 10 MB
 
 
@@ -271,11 +273,9 @@ def _may_link(n1: str, p1: str, n2: str, p2: str) -> str:
     return f"9 * (1 + least({n1} - {p1} - 1, {n2} - {p2} - 1)) >= 4 * ({n1} + {n2}) AND 10 * least({n1}, {n2}) >= 8 * greatest({n1}, {n2})"
 
 
-def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of every row of (doc_id, text); rows of equal sets share a `node`."""
-    o, spark = options, prepare(docs.sparkSession)
-    docs = string_columns(docs, "doc_id", "text")
-    scratch = Scratch(spark)
+def _posted(docs: DataFrame, o: JoinOptions, scratch: Scratch) -> tuple:
+    """The written rows of all documents, these rows (doc_id, n, node), (node, low) of sets, the order, the postings that matter."""
+    spark = docs.sparkSession
     read = scratch.write(_sets_and_common(docs), "sets")
     rows = read.where("times = 0").select("doc_id", "n", "node")
     common = read.where("times > 0").groupBy("node").agg(F.sum("times").alias("t")).where(F.col("t") >= o.least_common)
@@ -302,6 +302,15 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) ->
     near = (10 * F.col("shorter") >= 8 * F.col("n")) | (4 * F.col("longer") <= longest)
     kept = dealt.where(F.col("common") | (F.col("shared") & ~F.col("two") & F.coalesce(near, F.lit(False))))
     dealt = scratch.write(kept.select("token", "node", "n", "pos").distinct(), "postings")
+    return read, rows, lows, order, dealt
+
+
+def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node) of every row of (doc_id, text); rows of equal sets share a `node`."""
+    o, spark = options, prepare(docs.sparkSession)
+    docs = string_columns(docs, "doc_id", "text")
+    scratch = Scratch(spark)
+    read, rows, lows, order, dealt = _posted(docs, o, scratch)
     labels = spark.createDataFrame([], "node long, label long") if dealt.isEmpty() else _link(docs, dealt, lows, order, o, scratch)
     # Sets are named first and rows after: a set that very many rows share is one row until the last join.
     named = lows.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
@@ -313,6 +322,44 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) ->
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node")
 
 
+def jaccard_links(docs: DataFrame, options: JoinOptions = JoinOptions()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of every row, and (a, b), a < b, of every two different sets that are alike enough.
+
+    Rows of equal sets share a `node` and are links of one another (those without shingles of none); no other link is left out.
+    """
+    o, spark = options, prepare(docs.sparkSession)
+    docs = string_columns(docs, "doc_id", "text")
+    scratch = Scratch(spark)
+    read, rows, lows, order, dealt = _posted(docs, o, scratch)
+    links = spark.createDataFrame([], "a long, b long")
+    if not dealt.isEmpty():
+        lows, sets = _sets(docs, dealt, lows, order, scratch)
+        # The members of a shingle meet in cells of two blocks of bounded size, so that no shingle is the work of one task.
+        blocks = dealt.groupBy("token").agg(F.ceil(F.count("*") / o.members_per_block).alias("k")).where("k > 1")
+        now = dealt.join(blocks, "token", "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long")))
+        own, every = F.pmod(F.xxhash64("node"), F.col("k")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+        left = now.select("token", own.alias("i"), every.alias("j"), F.col("node").alias("centre"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
+        right = now.select("token", every.alias("i"), own.alias("j"), "node", "n", "pos")
+        pairs = left.join(right, ["token", "i", "j"]).where("centre < node").where(_may_link("n", "pos", "n1", "p1")).select("centre", "node").distinct()
+        pairs = scratch.write(pairs, "pairs")
+        if not pairs.isEmpty():
+            likely = scratch.write(_may_overlap(pairs, sets, o), "likely")
+            links = scratch.write(_verify(likely, lows, sets, o, scratch), "links")
+    scratch.clear(read, links)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "node"), links
+
+
+def link_counts(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
+    """(doc_id, n_shingles, n_links) of every row of (doc_id, text): with how many other rows it is alike enough."""
+    members, links = jaccard_links(docs, options)
+    sizes = members.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("k"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(sizes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("others"))
+    counts = sizes.join(near, "node", "left").select("node", (F.col("k") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    found = members.join(counts, "node", "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0).cast("long")).alias("n_links"))
+
+
 def keep_one(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     """`docs`, all columns, with one row of each component: that of its smallest doc_id.
 
@@ -350,8 +397,8 @@ def _with_node(names: list[str]):
     return read
 
 
-def _link(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, o: JoinOptions, scratch: Scratch) -> DataFrame:
-    """Labels (node, label) of the components of all links between nodes that share a posting."""
+def _sets(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """`lows` and whole sets of the nodes that have a posting."""
     nodes = postings.select("node").distinct()
     lows = scratch.write(lows.join(nodes, "node"), "lows")
     position = F.pmod(F.col("low"), F.lit(ID_BITS)) + 1  # bits of a bucket stand for values from 1
@@ -360,8 +407,12 @@ def _link(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, o: JoinO
     for r in buckets:
         got = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little").astype(bool)
         bits[np.flatnonzero(got) + (r.k - 1) * 32768] = True
-    sets = scratch.write(_whole_sets(docs, order, bits), "whole")
+    return lows, scratch.write(_whole_sets(docs, order, bits), "whole")
 
+
+def _link(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, o: JoinOptions, scratch: Scratch) -> DataFrame:
+    """Labels (node, label) of the components of all links between nodes that share a posting."""
+    lows, sets = _sets(docs, postings, lows, order, scratch)
     edges, tested, labels = None, None, None
     for step in range(o.rounds + 1):
         now = postings if labels is None else postings.join(labels, "node", "left")

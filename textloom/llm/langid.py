@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, prepare, string_columns
 
-MAX_LANGUAGES = 64
+WORD = 64  # languages in one word of a slot
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ class FitOptions:
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    slots: np.ndarray  # one word of language bits each
+    slots: np.ndarray  # by word: one word of bits each, for as many words as the languages need
     false_share: np.ndarray  # by language
     sizes: tuple[int, ...]
     hashes: int
@@ -97,10 +97,10 @@ def fit_languages(docs: DataFrame, options: FitOptions = FitOptions()) -> Langua
     """Learn from (doc_id, text, lang); the caller gives only rows that may be learnt from."""
     o, spark = options, prepare(docs.sparkSession)
     rows = string_columns(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text != ''")
-    counted = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counted = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     names = sorted(counted)
     if not names:
-        return LanguageModel((), np.zeros(1, np.uint64), np.zeros(0), o.sizes, o.hashes, 0)
+        return LanguageModel((), np.zeros((1, 1), np.uint64), np.zeros(0), o.sizes, o.hashes, 0)
     # The sample is the first ids by hash; a threshold on the hash thins a common language out before its ids are ordered.
     least = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, 1.5 * o.docs_per_language / counted[n] + 1e-4))]), F.col("lang"))
     ids = rows.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isin(names))
@@ -129,11 +129,11 @@ def fit_languages(docs: DataFrame, options: FitOptions = FitOptions()) -> Langua
     found = best.select("gram", "k").toPandas()  # bounded by grams_per_language for each language
     per_language = found["k"].value_counts()
     size = 1 << max(10, int(np.ceil(np.log2(max(1, per_language.max() if len(found) else 1) * o.slots_per_gram))))
-    slots = np.zeros(size, np.uint64)
-    grams, bits = found["gram"].to_numpy(np.int64).view(np.uint64), np.uint64(1) << found["k"].to_numpy(np.uint64)
+    slots = np.zeros((-(-len(names) // WORD), size), np.uint64)
+    grams, k = found["gram"].to_numpy(np.int64).view(np.uint64), found["k"].to_numpy(np.int64)
     for at in _slots(grams, size, o.hashes):
-        np.bitwise_or.at(slots, at.astype(np.int64), bits)
-    fill = np.array([((slots >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(names))])
+        np.bitwise_or.at(slots, (k // WORD, at.astype(np.int64)), np.uint64(1) << (k % WORD).astype(np.uint64))
+    fill = np.array([((slots[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean() for k in range(len(names))])
     usual = max(range(len(names)), key=lambda k: totals.get(names[k], 0))
     narrow = np.uint8 if len(names) <= 8 else np.uint64
     return LanguageModel(tuple(names), slots.astype(narrow), fill**o.hashes, o.sizes, o.hashes, usual)
@@ -145,13 +145,12 @@ def predict_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[s
     has_letters = np.add.reduceat(codes != 32, starts[:-1]) > 0 if n else np.zeros(0, bool)
     hits, total = np.zeros((len(languages), n)), np.zeros(n)
     for grams, owner in _grams(codes, starts, model.sizes):
-        masks = None
-        for at in _slots(grams, len(model.slots), model.hashes):
-            found = model.slots[at.astype(np.int64)]
-            masks = found if masks is None else masks & found
         total += np.bincount(owner, minlength=n)
-        for k in range(len(languages)):
-            hits[k] += np.bincount(owner, (masks >> masks.dtype.type(k)) & masks.dtype.type(1), minlength=n)
+        places = [at.astype(np.int64) for at in _slots(grams, model.slots.shape[1], model.hashes)]
+        for word, row in enumerate(model.slots):
+            masks = np.bitwise_and.reduce([row[at] for at in places])
+            for k in range(word * WORD, min(len(languages), (word + 1) * WORD)):
+                hits[k] += np.bincount(owner, (masks >> masks.dtype.type(k % WORD)) & masks.dtype.type(1), minlength=n)
     share = np.zeros((len(languages), n))
     for k, f in enumerate(model.false_share):
         share[k] = np.clip((hits[k] - total * f) / np.maximum(1, total) / max(1e-9, 1 - f), 0, 1)

@@ -1,6 +1,7 @@
 import hashlib
 import html
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -64,6 +65,61 @@ def test_single_pages(page, want):
     assert html_extract.main_text(page, frozenset()) == want
 
 
+def _neutral(i, variant):
+    """A page whose names say nothing: a bar, a box and a foot that its host repeats, around text of its own."""
+    bar = "".join(f"<li{' class=x1' if i % 7 == k else ''}>place{variant}{k}</li>" for k in range(7))
+    own = [f"p{i}w{k} " * 12 for k in range(3)]
+    body = f"<div class='q'><ul>{bar}</ul></div><div class='r'><div><h2>Summary</h2><p>{own[0]}</p><div>see box{variant} too</div><p>{own[1]}</p></div></div><p>{own[2]}</p><div><div>all rights of house{variant}</div></div>"
+    return f"<html><body>{body}</body></html>", "\n".join(["Summary", *(o.strip() for o in own)])
+
+
+def test_counts_alone_find_the_article_where_names_say_nothing(spark):
+    made = {i: _neutral(i, i % 2) for i in range(120)}
+    rows = [(i, f"http://n{i % 2}.example/{i}", page, None, None, None) for i, (page, _) in made.items()]
+    frame = spark.createDataFrame(rows + rows[:3], PAGES)
+    for hints in (True, False):
+        out = html_extract.extract_main_text(frame, html_extract.TemplateOptions(hints=hints)).collect()
+        assert len(out) == 123 and all(r.text == made[r.page_id][1] for r in out)
+        assert all(r.template_chars > 40 and r.hint_chars == 0 for r in out)
+
+
+def test_templates_of_a_table_by_brute_force(spark, sf_dir):
+    pages = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/pages.parquet")
+    options = html_extract.TemplateOptions(least_pages=2)
+    signs = defaultdict(set)
+    cut = {p.page_id: (p.url.split("/")[2], html_extract.parsed(p.html, options)) for p in pages.collect()}
+    for host, p in cut.values():
+        for h in p.hashes:
+            signs[host, h].add(p.sign)
+    want = {}
+    for i, (host, p) in cut.items():
+        want[i] = html_extract.kept_text(p, {h for h in p.hashes if len(signs[host, h]) >= 2})
+    got = {r.page_id: (r.text, r.template_chars, r.hint_chars) for r in html_extract.extract_main_text(pages, options).collect()}
+    assert got == want and any(t for _, t, _ in got.values())
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class='page has-sidebar'><article>text</article><div class='sidebar'>s</div></div>", "text"),
+        ("<form><div id=content><p>the whole page stands in a form</p></div></form>", "the whole page stands in a form"),
+        ("<article>main story</article><div class='related'><article>card</article></div>", "main story"),
+        ("<article class='post'>story<article class='comment'>reply</article></article>", "story"),
+        ("<aside><article>no</article></aside><div><p>yes</p></div>", "yes"),
+        ("<table><tr><td>a<tr><td>b</table>", "a\nb"),
+    ],
+)
+def test_names_are_hints(page, want):
+    assert html_extract.main_text(page, frozenset()) == want
+
+
+def test_parsing_is_linear_in_depth_and_articles():
+    for page in ("<div>" * 40_000 + "deep", "<article>x</article>" * 40_000, "<p><div><b><i>x" * 20_000):
+        began = time.process_time()
+        html_extract.main_text(page, frozenset())
+        assert time.process_time() - began < 10
+
+
 def test_no_pages(spark):
     assert html_extract.extract_main_text(spark.createDataFrame([], PAGES)).collect() == []
 

@@ -1,12 +1,14 @@
 """Main text of web pages (site template removal).
 
-Every page is parsed into elements; each element's subtree is hashed (tag, class, id and text). Spark counts, for each host, the
-distinct pages that hold a hash. Subtrees that recur across many pages of a host are deleted, as are elements whose tag, role,
-class or id says that they are not the article (menus, footers, forms, adverts, comments and the like). What is left of the
-article is returned block by block.
+Every page is parsed once. Each block element of its body, menus and footers included, has its subtree hashed (tag, class, id and
+text), and Spark counts on how many distinct pages of a host each hash stands. Subtrees that recur are the site's template and are
+deleted. Names are the weaker hint: what a host's pages are too few to show is deleted where the element's tag, role, class or id
+says that it is a menu, a footer, a form, an advert, a comment and the like, or where it stands outside the page's article. What
+is left is returned block by block, with the numbers of characters that either way has deleted.
 
-A page's copies count once for its host, and prose inside an `article` or `main` element is never taken for a template: only
-containers that hold a small share of it can be. So a passage that many articles share stays in each of them.
+A page's copies count once for its host. Inside an `article` or `main` element only containers that hold a small part of it are
+taken for a template, so a passage that many articles share stays in each of them. A hash recurs at `least_pages` pages, on a host
+of any size. Names never delete what holds the article, nor (but for those that HTML itself sets aside) most of a page.
 
 Defined cases: null or empty html gives an empty text; a null url counts as the empty host; a page cut off anywhere is read as
 far as it goes (an unfinished tag or comment at its end is dropped); repeated rows give a row each; an empty table gives no
@@ -17,22 +19,25 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, string_columns
+from .common import Scratch, prepare, string_columns
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z""",
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^"'>]++)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z""",
     re.S,
 )
 _MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
+_BREAK = "\x1e"  # between blocks; in a text it is white space, so none is lost
 
 # Element names by their part in HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,10 +47,8 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
-_DROPPED = frozenset(
-    "head script style noscript template iframe textarea title nav footer aside form button select datalist menu dialog svg math "
-    "canvas object embed applet audio video map xmp noembed noframes search input".split()
-)
+_UNSEEN = frozenset("head script style noscript template iframe textarea title select datalist svg math canvas object embed applet audio video map xmp noembed noframes button input".split())
+_ASIDE = frozenset("nav footer aside menu dialog search".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code em font i kbd mark nobr s small span strike strong sub sup tt u".split())
 # Words of class and id names, and roles, that mark what is not the article.
 _OTHER_WORDS = frozenset(
@@ -56,69 +59,110 @@ _OTHER_WORDS = frozenset(
 )
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _CLOSES_LIKE = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
-_CONTAINERS = frozenset("div section ul ol dl details table figure header address".split())
+_CONTAINERS = frozenset("div section ul ol dl details table figure header address aside nav footer form menu".split())
+_KEPT_LEAVES = frozenset("h1 h2 h3 h4 h5 h6 td th caption tr dt dd".split())  # too small to tell anything by themselves
+_CROSSED = frozenset("table tr tbody thead tfoot article main body html div".split())  # an end tag that closes over a cell
+_CELL = frozenset({"td", "th", "table"})
+_NO_P = frozenset({"button", "td", "th", "object"})
+_OWN_TEXT = frozenset("option optgroup legend caption summary figcaption".split())
 
 
 @dataclass(frozen=True)
 class TemplateOptions:
-    least_pages: int = 5
-    least_share: float = 0.1  # of the host's distinct pages
-    most_of_article: float = 0.3  # a larger part of a page's prose is never a template
+    least_pages: int = 5  # distinct pages of the host
+    most_of_article: float = 0.3  # a larger part of an article is never a template
+    most_of_page: float = 0.5  # nor is a larger part of a page without an article
+    hints: bool = True  # whether names delete what the counts do not
 
 
 class _Node:
-    __slots__ = ("tag", "start", "end", "hash", "dropped", "parts", "chars", "root")
-
-    def __init__(self, tag: str, start: int, dropped: bool, root: bool):
-        self.tag, self.start, self.end, self.hash = tag, start, -1, 0
-        self.dropped, self.root, self.parts, self.chars = dropped, root, [tag], 0
-
-
-def _is_other(tag: str, marks: dict[str, str], inside: bool) -> bool:
-    if tag in _DROPPED or (tag == "header" and not inside):
-        return True
-    if "hidden" in marks or marks.get("aria-hidden", "") == "true" or re.search(r"display\s*:\s*none", marks.get("style", "")):
-        return True
-    if tag in ("html", "body", "main"):
-        return False
-    if marks.get("role", "") in _OTHER_ROLES:
-        return True
-    return any(w in _OTHER_WORDS for name in ("class", "id") if name in marks for w in _WORD.findall(marks[name]))
-
-
-def parse(page: str) -> tuple[list[str | None], list[_Node]]:
-    """Text runs of a page in order, None where a block begins or ends, and its closed elements with their runs."""
-    items: list[str | None] = []
+    __slots__ = ("tag", "start", "end", "hash", "kind", "parts", "chars", "root", "in_root", "in_aside", "in_other", "unseen")
+
+    def __init__(self, tag: str, start: int, parent: _Node | None):
+        self.tag, self.start, self.end, self.hash, self.parts, self.chars = tag, start, start, 0, [tag], 0
+        self.kind = 0  # 1: its names say that it is not the article; 2: its tag does
+        self.root = False
+        self.in_root = bool(parent and (parent.in_root or parent.root))
+        self.in_aside = bool(parent and (parent.in_aside or parent.kind == 2))
+        self.in_other = bool(parent and (parent.in_other or parent.kind == 1))
+        self.unseen = bool(parent and parent.unseen)
+
+
+def _mark(node: _Node, marks: dict[str, str]) -> None:
+    """Note what an element's tag and attributes say of it."""
+    tag = node.tag
+    hidden = tag not in ("html", "body") and ("hidden" in marks or marks.get("aria-hidden", "") == "true" or re.search(r"display\s*:\s*none", marks.get("style", "")))
+    node.unseen = node.unseen or tag in _UNSEEN or bool(hidden)
+    if tag in _ASIDE:
+        node.kind = 2
+    elif tag not in ("html", "body", "main"):
+        other = any(w in _OTHER_WORDS for name in ("class", "id") if name in marks for w in _WORD.findall(marks[name]))
+        node.kind = int(other or tag == "form" or (tag == "header" and not node.in_root) or marks.get("role", "") in _OTHER_ROLES)
+    node.root = (tag in ("article", "main") or marks.get("role") == "main" or marks.get("itemprop") == "articlebody") and not node.unseen and not node.in_aside and node.kind < 2
+    node.parts += [marks.get("class", ""), marks.get("id", "")]
+
+
+class _Open:
+    """The open elements, with the places of each tag, so that the nearest one is found without a walk."""
+
+    def __init__(self):
+        self.nodes: list[_Node] = [_Node("", 0, None)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: _Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in _BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> _Node:
+        node = self.nodes.pop()
+        self.places[node.tag].pop()
+        if node.tag in _BLOCK:
+            self.blocks.pop()
+        return node
+
+    def last(self, tags) -> int:
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def within(self, tags, limit: int) -> int:
+        """The outermost open element of these tags above a place of the stack; 0 if there is none."""
+        found = [at[i] for t in tags if (at := self.places.get(t)) and (i := bisect_right(at, limit)) < len(at)]
+        return min(found, default=0)
+
+
+def parse(page: str) -> tuple[list[str], list[_Node]]:
+    """Visible text of a page in order, with breaks where a block begins or ends, and its closed elements with their runs."""
+    items: list[str] = []
     nodes: list[_Node] = []
-    stack: list[_Node] = [_Node("", 0, False, False)]
+    stack = _Open()
 
     def text(raw: str) -> None:
-        if raw:
-            said = entities.unescape(raw) if "&" in raw else raw
+        top = stack.nodes[-1]
+        if raw and not top.unseen:
+            said = (entities.unescape(raw) if "&" in raw else raw).replace(_BREAK, " ")
             items.append(said)
             words = " ".join(said.split())
-            stack[-1].parts.append(words)
-            stack[-1].chars += len(words)
+            top.parts.append(words)
+            top.chars += len(words)
 
     def close(depth: int) -> None:
-        while len(stack) > depth:
+        while len(stack.nodes) > depth:
             node = stack.pop()
             node.end = len(items)
+            above = stack.nodes[-1]
             if node.tag in _BLOCK:
-                items.append(None)
-            node.hash = xxhash.xxh3_64_intdigest("\x00".join(node.parts)) - (1 << 63)
-            stack[-1].parts.append(f"{node.hash}")
-            stack[-1].chars += node.chars
+                items.append(_BREAK)
+            if not node.unseen:
+                if node.tag in _BLOCK or node.kind or node.root:
+                    node.hash = xxhash.xxh3_64_intdigest("\x00".join(node.parts).encode("utf-8", "replace")) - (1 << 63)
+                    above.parts.append(f"{node.hash}")
+                    nodes.append(node)
+                else:
+                    above.parts += node.parts
+                above.chars += node.chars
             node.parts = None
-            nodes.append(node)
-
-    def depth_of(names, limits) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                return i
-            if stack[i].tag in limits:
-                return 0
-        return 0
 
     at, size = 0, len(page)
     while at < size:
@@ -133,144 +177,177 @@ def parse(page: str) -> tuple[list[str | None], list[_Node]]:
             continue
         tag, ending = name.lower(), found[1] or found[4]
         if ending:
+            i = stack.last((tag,))
             if tag == "br":
                 text(" ")
-            elif tag == "p" and not depth_of({"p"}, {"button", "td", "th"}):
-                items.append(None)
-            elif i := depth_of({tag}, _BLOCK if tag in _INLINE else {"td", "th", "table"} - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "article", "main", "body", "html", "div") else ()):
+            elif i and tag in _INLINE:
+                i = i if not stack.blocks or i > stack.blocks[-1] else 0
+            elif i and tag not in _CROSSED:
+                i = i if i > stack.last(_NO_P if tag == "p" else _CELL - {tag}) else 0
+            if tag == "p" and not i:
+                items.append(_BREAK)
+            elif tag != "br" and i:
                 close(i)
             continue
         if tag in _BLOCK:
-            if tag not in ("option", "optgroup", "legend", "caption", "summary", "figcaption") and (i := depth_of({"p"}, {"button", "td", "th", "object"})):
+            if tag not in _OWN_TEXT and (i := stack.last(("p",))) > stack.last(_NO_P):
                 close(i)
-            if tag in _CLOSES_LIKE and (i := depth_of(*_CLOSES_LIKE[tag])):
-                while (j := depth_of(*_CLOSES_LIKE[tag])) and j < i:
-                    i = j
+            if tag in _CLOSES_LIKE and (i := stack.within(_CLOSES_LIKE[tag][0], stack.last(_CLOSES_LIKE[tag][1]))):
                 close(i)
-            items.append(None)
+            items.append(_BREAK)
         if tag in _VOID:
-            if tag in ("br", "wbr"):
-                text(" " if tag == "br" else "")
+            if tag == "br":
+                text(" ")
             continue
         rest = found[3] if found[2] else found[6]
         marks = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in _MARKS.finditer(rest)} if "=" in rest or "hidden" in rest else {}
-        inside = any(n.root for n in stack)
-        node = _Node(tag, len(items), _is_other(tag, marks, inside), tag in ("article", "main") or marks.get("role") == "main" or marks.get("itemprop") == "articlebody")
-        node.parts += [marks.get("class", ""), marks.get("id", "")]
-        stack.append(node)
+        node = _Node(tag, len(items), stack.nodes[-1])
+        _mark(node, marks)
+        stack.push(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            close(len(stack) - 1)
+            close(len(stack.nodes) - 1)
             at = end.end() if end else size
         elif rest.endswith("/") and tag in ("svg", "math", "path"):
-            close(len(stack) - 1)
+            close(len(stack.nodes) - 1)
     close(1)
     return items, nodes
 
 
-def _roots(nodes: list[_Node], size: int) -> list[tuple[int, int]]:
-    """Runs that hold the page's articles: the outermost article elements, else main, else the whole page."""
-    dropped = [(n.start, n.end) for n in nodes if n.dropped]
-    usable = [n for n in nodes if n.root and n.chars and not n.dropped and not any(a <= n.start and n.end <= b for a, b in dropped)]
-    for kind in ({"article"}, None):
-        found = sorted((n.start, n.end) for n in usable if kind is None or n.tag in kind)
-        outer: list[tuple[int, int]] = []
-        for a, b in found:
-            if not outer or a >= outer[-1][1]:
-                outer.append((a, b))
-        if outer:
-            return outer
-    return [(0, size)]
-
-
-def _removable(nodes: list[_Node], roots: list[tuple[int, int]], size: int, o: TemplateOptions) -> list[_Node]:
-    """Elements that a recurring hash may delete."""
-    whole = roots == [(0, size)] and not any(n.root for n in nodes)
-    prose = max(1, sum(n.chars for n in nodes if n.tag == "p"))
-    out = []
-    for n in nodes:
-        if n.dropped or n.root or not n.chars or n.tag in ("html", "body"):
-            continue
-        if (whole or n.tag in _CONTAINERS) and n.chars <= o.most_of_article * prose and any(a <= n.start and n.end <= b for a, b in roots):
+def _outermost(nodes: list[_Node]) -> list[_Node]:
+    out: list[_Node] = []
+    for n in sorted(nodes, key=lambda n: (n.start, -n.end)):
+        if not out or n.start >= out[-1].end:
             out.append(n)
     return out
 
 
-def main_text(page: str | None, templates: frozenset[int] | set[int], options: TemplateOptions = TemplateOptions()) -> str:
-    if not page:
-        return ""
-    items, nodes = parse(page)
-    roots = _roots(nodes, len(items))
-    gone = bytearray(len(items))
-    for n in nodes:
-        if n.dropped:
-            gone[n.start : n.end] = b"\1" * (n.end - n.start)
-    if templates:
-        for n in _removable(nodes, roots, len(items), options):
-            if n.hash in templates:
-                gone[n.start : n.end] = b"\1" * (n.end - n.start)
-    blocks: list[str] = []
-    run: list[str] = []
-
-    def flush() -> None:
-        if run and (said := " ".join("".join(run).split())):
-            blocks.append(said)
-        run.clear()
-
-    for a, b in roots:
-        flush()
-        for i in range(a, b):
-            if items[i] is None:
-                flush()
-            elif not gone[i]:
-                run.append(items[i])
-    flush()
-    return "\n".join(blocks)
-
-
-def _candidates(page: str | None, options: TemplateOptions) -> tuple[int, list[int]]:
-    """A hash of the page's prose, by which its copies count once, and the hashes that might be templates."""
-    items, nodes = parse(page or "")
-    roots = _roots(nodes, len(items))
-    prose = "\n".join(x for n in nodes if n.tag == "p" and not n.dropped for x in items[n.start : n.end] if x)
-    sign = xxhash.xxh3_64_intdigest(prose or page or "") - (1 << 63)
-    return sign, sorted({n.hash for n in _removable(nodes, roots, len(items), options)})
+def _roots(nodes: list[_Node]) -> list[_Node]:
+    """The elements that hold the page's articles: the outermost article elements, else main; none where nothing is marked."""
+    usable = [n for n in nodes if n.root and n.chars]
+    plain = [n for n in usable if not n.kind and not n.in_other]
+    for choice in ([n for n in plain if n.tag == "article"], plain, [n for n in usable if n.tag == "article"], usable):
+        if choice:
+            return _outermost(choice)
+    return []
+
+
+def _holds(node: _Node, roots: list[_Node], starts: list[int]) -> bool:
+    i = bisect_left(starts, node.start)
+    return i < len(roots) and roots[i].end <= node.end
+
+
+def _covered(ranges: list[tuple[int, int]], size: int) -> list[int]:
+    """How many of the ranges each place lies in."""
+    steps = [0] * (size + 1)
+    for a, b in ranges:
+        steps[a] += 1
+        steps[b] -= 1
+    return list(accumulate(steps))
 
 
-def site_templates(pages: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
-    """(host, templates): the subtree hashes that recur across many distinct pages of a host.
+@dataclass
+class Parsed:
+    """A page cut where an element begins or ends that may be deleted."""
 
-    A host's list is bounded: each hash stands on `least_share` of its pages at least.
-    """
+    segments: list[str]
+    hinted: list[bool]  # by segment: names, or its place outside the article, say that it goes
+    hashes: list[int]  # of elements that are deleted where they recur
+    starts: list[int]  # their first segments
+    ends: list[int]
+    sign: int  # equal for copies of a page
+
+
+def parsed(page: str | None, options: TemplateOptions = TemplateOptions()) -> Parsed:
     o = options
+    items, nodes = parse(page or "")
+    size = len(items)
+    roots = _roots(nodes)
+    inside = _covered([(n.start, n.end) for n in roots], size)
+    whole = sum(n.chars for n in roots) or sum(len(" ".join(x.split())) for x in items)
+    most = (o.most_of_article if roots else o.most_of_page) * whole
+    root_starts = [n.start for n in roots]
+    removable, others = [], []
+    for n in nodes:
+        if not n.chars or _holds(n, roots, root_starts):
+            continue
+        here = n.start < size and inside[n.start] > 0
+        if n.kind == 2 or (n.kind == 1 and (roots or n.chars <= most)):
+            others.append((n.start, n.end))
+        if n.tag in ("html", "body") or n.tag not in _BLOCK:
+            continue
+        if roots and not here or n.chars <= most and (n.tag in _CONTAINERS if here else n.tag not in _KEPT_LEAVES):
+            removable.append(n)
+    hint = _covered(others, size)
+    cuts = sorted({0, size, *(x for n in removable for x in (n.start, n.end)), *(x for r in others for x in r), *(x for n in roots for x in (n.start, n.end))})
+    at = {x: k for k, x in enumerate(cuts)}
+    segments = ["".join(items[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    hinted = [hint[a] > 0 or (bool(roots) and not inside[a]) for a in cuts[:-1]]
+    prose = [items[i] for i in range(size) if inside[i]] if roots else [x for n in nodes if n.tag == "p" and not hint[min(n.start, size)] for x in items[n.start : n.end]]
+    sign = xxhash.xxh3_64_intdigest((" ".join("".join(prose).split()) or page or "").encode("utf-8", "replace")) - (1 << 63)
+    return Parsed(segments, hinted, [n.hash for n in removable], [at[n.start] for n in removable], [at[n.end] for n in removable], sign)
+
+
+def kept_text(page: Parsed, templates: frozenset[int] | set[int], hints: bool = True) -> tuple[str, int, int]:
+    """What stays of a page, and how many visible characters its templates and (beyond them) the hints delete."""
+    ranges = [(a, b) for h, a, b in zip(page.hashes, page.starts, page.ends, strict=True) if h in templates] if templates else []
+    gone = _covered(ranges, len(page.segments))
+    kept, by_template, by_hint = [], 0, 0
+    for k, said in enumerate(page.segments):
+        if not gone[k] and not (hints and page.hinted[k]):
+            kept.append(said)
+            continue
+        size = len(" ".join(said.split()))
+        by_template, by_hint = (by_template + size, by_hint) if gone[k] else (by_template, by_hint + size)
+        kept.append(_BREAK)
+    blocks = (" ".join(b.split()) for b in "".join(kept).split(_BREAK))
+    return "\n".join(b for b in blocks if b), by_template, by_hint
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def main_text(page: str | None, templates: frozenset[int] | set[int], options: TemplateOptions = TemplateOptions()) -> str:
+    return kept_text(parsed(page, options), templates, options.hints)[0]
+
+
+_PARSED = "page_id long, url string, host string, sign long, segments array<string>, hinted array<boolean>, hashes array<long>, starts array<int>, ends array<int>"
+_SALTS = 16  # parts of a template that very many pages hold, where it is joined with them
+
+
+def _parse_rows(rows: DataFrame, o: TemplateOptions) -> DataFrame:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_candidates(x, o) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.int64()), pa.array([h for _, h in found], pa.list_(pa.int64()))], names=["host", "sign", "hashes"])
+            found = [parsed(x, o) for x in batch.column(3).to_pylist()]
+            lists = [("sign", pa.int64()), ("segments", pa.list_(pa.string())), ("hinted", pa.list_(pa.bool_())), ("hashes", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([getattr(p, name) for p in found], kind) for name, kind in lists)], names=["page_id", "url", "host", *(name for name, _ in lists)])
 
-    seen = pages.select("host", "html").mapInArrow(hashes, "host string, sign long, hashes array<long>")
-    seen = materialize(seen.groupBy("host", "sign").agg(F.min("hashes").alias("hashes")), "subtrees")
-    totals = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = seen.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= o.least_pages)
-    recurring = counts.join(totals, "host").where(F.col("n") >= o.least_share * F.col("pages"))
-    return materialize(recurring.groupBy("host").agg(F.array_sort(F.collect_list("hash")).alias("templates")), "templates")
+    return rows.select("page_id", "url", "host", "html").mapInArrow(read, _PARSED)
+
+
+def recurring_subtrees(pages: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
+    """(host, hash) of the subtrees that stand on many distinct pages of a host, from parsed pages (host, sign, hashes)."""
+    seen = pages.select("host", "sign", F.explode("hashes").alias("hash")).distinct()
+    return seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= options.least_pages).select("host", "hash")
 
 
 def extract_main_text(pages: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of (page_id, url, html)."""
-    o = options
-    prepare(pages.sparkSession)
+    """(page_id, url, text, n_chars, template_chars, hint_chars) of every row of (page_id, url, html)."""
+    o, scratch = options, Scratch(prepare(pages.sparkSession))
     rows = string_columns(pages, "page_id", "url", "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = rows.withColumn("host", host)
-    templates = site_templates(rows, o)
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cut = scratch.write(_parse_rows(rows.withColumn("host", host), o).withColumn("row", F.monotonically_increasing_id()), "pages")
+    templates = scratch.write(recurring_subtrees(cut, o), "templates")
+    # A page finds its templates by its own hashes, so that no host's list is ever gathered. Both joins are left to Catalyst: a
+    # small side is broadcast; else the rows are dealt by (host, hash, salt) and by page.
+    mine = cut.select("row", "host", F.explode(F.array_distinct("hashes")).alias("hash")).withColumn("salt", F.pmod("row", F.lit(_SALTS)))
+    spread = templates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    hits = scratch.write(mine.join(spread, ["host", "hash", "salt"]).groupBy("row").agg(F.collect_set("hash").alias("found")), "hits")
+    scratch.clear(cut, hits)
+    joined = cut.join(hits, "row", "left").select("page_id", "url", "segments", "hinted", "hashes", "starts", "ends", "found")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, set(known or ()), o) for page, known in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            made = [kept_text(Parsed(*row[:5], 0), set(row[5] or ()), o.hints) for row in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            texts = [t for t, _, _ in made]
+            numbers = [[len(t) for t in texts], [m[1] for m in made], [m[2] for m in made]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), *(pa.array(n, pa.int64()) for n in numbers)], names=["page_id", "url", "text", "n_chars", "template_chars", "hint_chars"])
 
-    # The templates are a written table of known size: Catalyst broadcasts it where it is small, else AQE splits a large host.
-    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "templates")
-    return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(keep, "page_id long, url string, text string, n_chars long, template_chars long, hint_chars long")

@@ -77,8 +77,8 @@ def test_counts_alone_find_the_article_where_names_say_nothing(spark):
     made = {i: _neutral(i, i % 2) for i in range(120)}
     rows = [(i, f"http://n{i % 2}.example/{i}", page, None, None, None) for i, (page, _) in made.items()]
     frame = spark.createDataFrame(rows + rows[:3], PAGES)
-    for hints in (True, False):
-        out = html_extract.extract_main_text(frame, html_extract.TemplateOptions(hints=hints)).collect()
+    for hints, at_once in ((True, 1000), (False, 1000), (False, 3)):  # in the last case templates are joined, not sent
+        out = html_extract.extract_main_text(frame, html_extract.TemplateOptions(hints=hints, templates_at_once=at_once)).collect()
         assert len(out) == 123 and all(r.text == made[r.page_id][1] for r in out)
         assert all(r.template_chars > 40 and r.hint_chars == 0 for r in out)
 

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -72,6 +73,7 @@ class TemplateOptions:
     least_pages: int = 5  # distinct pages of the host
     most_of_article: float = 0.3  # a larger part of an article is never a template
     most_of_page: float = 0.5  # nor is a larger part of a page without an article
+    templates_at_once: int = 4_000_000  # sent to the tasks, 32 MB; more are joined
     hints: bool = True  # whether names delete what the counts do not
 
 
@@ -248,7 +250,7 @@ def _covered(ranges: list[tuple[int, int]], size: int) -> list[int]:
 
 @dataclass
 class Parsed:
-    """A page cut where an element begins or ends that may be deleted."""
+    """A page cut where an element begins or ends that may be deleted; `hashes` may be keys of any kind."""
 
     segments: list[str]
     hinted: list[bool]  # by segment: names, or its place outside the article, say that it goes
@@ -308,24 +310,44 @@ def main_text(page: str | None, templates: frozenset[int] | set[int], options: T
     return kept_text(parsed(page, options), templates, options.hints)[0]
 
 
-_PARSED = "page_id long, url string, host string, sign long, segments array<string>, hinted array<boolean>, hashes array<long>, starts array<int>, ends array<int>"
-_SALTS = 16  # parts of a template that very many pages hold, where it is joined with them
+_PARSED = "page_id long, url string, sign long, segments array<string>, hinted array<boolean>, keys array<long>, starts array<int>, ends array<int>"
+_LISTS = (("segments", pa.list_(pa.string())), ("hinted", pa.list_(pa.bool_())), ("keys", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())))
+
+
+def _key(host: str, subtree: int) -> int:
+    """A subtree's hash within its host."""
+    return xxhash.xxh3_64_intdigest(f"{subtree} {host}") - (1 << 63)
 
 
-def _parse_rows(rows: DataFrame, o: TemplateOptions) -> DataFrame:
+def parse_pages(rows: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
+    """Parsed pages of (page_id, url, host, html); each key stands for a subtree of a host."""
+    o = options
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [parsed(x, o) for x in batch.column(3).to_pylist()]
-            lists = [("sign", pa.int64()), ("segments", pa.list_(pa.string())), ("hinted", pa.list_(pa.bool_())), ("hashes", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([getattr(p, name) for p in found], kind) for name, kind in lists)], names=["page_id", "url", "host", *(name for name, _ in lists)])
+            keys = [[_key(host, h) for h in p.hashes] for host, p in zip(batch.column(2).to_pylist(), found, strict=True)]
+            columns = ([p.segments for p in found], [p.hinted for p in found], keys, [p.starts for p in found], [p.ends for p in found])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([p.sign for p in found], pa.int64()), *(pa.array(c, kind) for c, (_, kind) in zip(columns, _LISTS, strict=True))], names=["page_id", "url", "sign", *(name for name, _ in _LISTS)])
 
     return rows.select("page_id", "url", "host", "html").mapInArrow(read, _PARSED)
 
 
-def recurring_subtrees(pages: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
-    """(host, hash) of the subtrees that stand on many distinct pages of a host, from parsed pages (host, sign, hashes)."""
-    seen = pages.select("host", "sign", F.explode("hashes").alias("hash")).distinct()
-    return seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= options.least_pages).select("host", "hash")
+def recurring_subtrees(cut: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
+    """(key) of the subtrees that stand on many distinct pages of their host, from parsed pages (sign, keys)."""
+    seen = cut.select("sign", F.explode("keys").alias("key")).distinct()
+    return seen.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= options.least_pages).select("key")
+
+
+_SALTS = 16  # parts of a template that very many pages hold, where it is joined with them
+
+
+def _with_found(cut: DataFrame, templates: DataFrame, scratch: Scratch) -> DataFrame:
+    """`cut` with `found`, the keys that are templates, by joins alone: no host's list is gathered, no table sent to all tasks."""
+    mine = cut.select("row", F.explode(F.array_distinct("keys")).alias("key")).withColumn("salt", F.pmod("row", F.lit(_SALTS)))
+    spread = templates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    hits = mine.join(spread, ["key", "salt"]).groupBy("row").agg(F.collect_set("key").alias("found"))
+    return cut.join(scratch.write(hits, "hits"), "row", "left")
 
 
 def extract_main_text(pages: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
@@ -333,21 +355,28 @@ def extract_main_text(pages: DataFrame, options: TemplateOptions = TemplateOptio
     o, scratch = options, Scratch(prepare(pages.sparkSession))
     rows = string_columns(pages, "page_id", "url", "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    cut = scratch.write(_parse_rows(rows.withColumn("host", host), o).withColumn("row", F.monotonically_increasing_id()), "pages")
+    cut = scratch.write(parse_pages(rows.withColumn("host", host), o).withColumn("row", F.monotonically_increasing_id()), "pages")
     templates = scratch.write(recurring_subtrees(cut, o), "templates")
-    # A page finds its templates by its own hashes, so that no host's list is ever gathered. Both joins are left to Catalyst: a
-    # small side is broadcast; else the rows are dealt by (host, hash, salt) and by page.
-    mine = cut.select("row", "host", F.explode(F.array_distinct("hashes")).alias("hash")).withColumn("salt", F.pmod("row", F.lit(_SALTS)))
-    spread = templates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
-    hits = scratch.write(mine.join(spread, ["host", "hash", "salt"]).groupBy("row").agg(F.collect_set("hash").alias("found")), "hits")
-    scratch.clear(cut, hits)
-    joined = cut.join(hits, "row", "left").select("page_id", "url", "segments", "hinted", "hashes", "starts", "ends", "found")
+    # Eight bytes stand for a template. As many as one array may hold go to the tasks; beyond that, pages and templates are joined.
+    if templates.count() <= o.templates_at_once:
+        known = np.sort(templates.toPandas()["key"].to_numpy(np.int64))
+        joined = cut.withColumn("found", F.lit(None).cast("array<long>"))
+    else:
+        known = np.zeros(0, np.int64)
+        joined = _with_found(cut, templates, scratch)
+    shared = cut.sparkSession.sparkContext.broadcast(known)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [kept_text(Parsed(*row[:5], 0), set(row[5] or ()), o.hints) for row in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            made = []
+            for *row, found in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                keys = np.array(row[2], np.int64)
+                at = np.minimum(np.searchsorted(shared.value, keys), max(0, len(shared.value) - 1))
+                recurring = set(keys[shared.value[at] == keys].tolist()) if len(shared.value) else set(found or ())
+                made.append(kept_text(Parsed(*row, 0), recurring, o.hints))
             texts = [t for t, _, _ in made]
             numbers = [[len(t) for t in texts], [m[1] for m in made], [m[2] for m in made]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), *(pa.array(n, pa.int64()) for n in numbers)], names=["page_id", "url", "text", "n_chars", "template_chars", "hint_chars"])
 
+    joined = joined.select("page_id", "url", "segments", "hinted", "keys", "starts", "ends", "found")
     return joined.mapInArrow(keep, "page_id long, url string, text string, n_chars long, template_chars long, hint_chars long")

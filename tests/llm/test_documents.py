@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.llm import common, decontaminate, langid, packing, pii_bootstrap, quality_zdict, queries, token_scan, trie_join, va_topk
+from textloom.llm import common, decontaminate, langid, packing, pii_bootstrap, prefix_tree, quality_zdict, queries, token_scan, trie_join, va_topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -142,15 +142,58 @@ def test_ngram_join_on_near_copies_and_edges(spark):
     assert trie_join.jaccard_components(_docs(spark, [])).collect() == []
 
 
-def test_probe_tree_by_brute_force():
+def _pool(rng, k=40):
+    """Sets of shingle hashes: near copies of a few, at growing distance, and some of one shingle."""
+    sets = []
+    for _ in range(int(rng.integers(1, 10))):
+        base = np.unique(rng.integers(1, 2**63, int(rng.integers(1, 60)), dtype=np.uint64))
+        for _ in range(int(rng.integers(1, 8))):
+            own = base.copy()
+            for at in rng.integers(0, len(own), int(rng.integers(0, len(own) // 4 + 2))):
+                own[at] = rng.integers(1, 2**40)
+            sets.append(np.unique(own[: max(1, len(own) - int(rng.integers(0, 3)))]))
+    return list({s.tobytes(): s for s in sets}.values())
+
+
+def test_prefix_trees_by_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(30):
-        pool = rng.integers(0, 2**63, 80, dtype=np.uint64)
-        draw = lambda: pool[np.sort(rng.choice(80, rng.integers(1, 80), replace=False))]
-        centre, members = draw(), [draw() for _ in range(20)]
-        members += [np.delete(centre, 0)] if len(centre) > 1 else []
-        want = [i for i, m in enumerate(members) if 100 * len(np.intersect1d(centre, m)) >= 80 * len(np.union1d(centre, m))]
-        assert sorted(trie_join.probe_tree(centre, members, step=8)) == want
+        sets = _pool(rng)
+        weights = rng.integers(1, 5, len(sets)).tolist()
+        alike = [[i != j and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+        want = [sum(w for w, x in zip(weights, row, strict=True) if x) for row in alike]
+        half = len(sets) // 2
+        for limits in (prefix_tree.Limits(), prefix_tree.Limits(5, 100)):
+            whole = prefix_tree.Sets(sets, weights)
+            forest = prefix_tree.join_sets(whole, None, limits)
+            assert whole.links.tolist() == want and all(alike[a][b] for a, b in forest)
+            parts = components_of(len(sets), forest)
+            assert all(parts[i] == parts[j] for i, row in enumerate(alike) for j, x in enumerate(row) if x)
+            if half:
+                left, right = prefix_tree.Sets(sets[:half], weights[:half]), prefix_tree.Sets(sets[half:], weights[half:])
+                crossing = prefix_tree.join_sets(left, right, limits)
+                assert all(alike[a][b] for a, b in crossing)
+                prefix_tree.join_sets(left, None, limits)
+                prefix_tree.join_sets(right, None, limits)
+                assert [*left.links, *right.links] == want
+
+
+def components_of(n, edges):
+    label = list(range(n))
+    for a, b in edges:
+        old, new = label[b], label[a]
+        label = [new if x == old else x for x in label]
+    return label
+
+
+def test_near_copies_share_paths_of_a_tree():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(1, 2**63, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 200, 4)), rng.integers(1, 2**63, 4, dtype=np.uint64)])) for _ in range(200)]
+    tree = prefix_tree._Tree(sets, sets, True)
+    assert tree.forks[1:].mean() > 20
+    wide = prefix_tree.Sets(sets, [1] * 200)
+    assert len(prefix_tree.join_sets(wide)) == 199 and wide.links.tolist() == [199] * 200
 
 
 def test_keep_one(spark):

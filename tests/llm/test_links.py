@@ -31,14 +31,23 @@ def test_every_link_between_different_texts_is_given(spark, sf_dir):
         sets = [_set(t) for _, t in rows]
         want = Counter((rows[i][0], len(s), sum(_alike(s, x) for j, x in enumerate(sets) if i != j)) for i, s in enumerate(sets))
         docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", trie_join.F.lit("clash"))
-        for options in (trie_join.JoinOptions(), trie_join.JoinOptions(members_per_block=7)):
-            assert Counter(map(tuple, trie_join.link_counts(docs, options).collect())) == want
-        members, links = trie_join.jaccard_links(docs)
-        different = set(sets) - {frozenset()}
-        assert links.count() == links.distinct().count() == sum(_alike(x, y) for x in different for y in different if x != y) // 2
-        assert members.count() == len(rows)
+        small = trie_join.JoinOptions(least_common=2, sample=2, members_per_block=7, sets_per_block=9, shingles_per_tree=500, broadcast_pairs=3, limits=trie_join.Limits(5, 300))
+        for options in (trie_join.JoinOptions(), small):
+            found = trie_join.jaccard_components(docs, options).select("doc_id", "n_shingles", "n_links")
+            assert Counter(map(tuple, found.collect())) == want
 
 
 def test_no_documents_have_no_links(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert trie_join.link_counts(none).collect() == [] and trie_join.jaccard_links(none)[1].collect() == []
+    assert trie_join.jaccard_components(none).collect() == []
+
+
+def test_shingle_that_each_task_sees_once_is_counted_as_common(spark):
+    shared = "these five words are everywhere"
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(30)) + " " + shared) for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(64, "doc_id")
+    read = trie_join._sets_and_common(docs, trie_join.JoinOptions(sample=1)).cache()
+    order = trie_join._order(read, trie_join.JoinOptions(sample=1))
+    words, first, _, _ = trie_join.word_hashes(*trie_join.text_bytes(trie_join.pa.array([shared])))
+    assert order.is_common(next(trie_join.row_shingles(words, first))).all() and len(order.hashes) == 1
+    read.unpersist()

@@ -46,7 +46,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return trie_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +125,9 @@ WITH RECURSIVE words AS (
   SELECT DISTINCT a AS start, a AS node FROM links
   UNION
   SELECT r.start, l.b FROM reach r JOIN links l ON l.a = r.node
-), least AS (SELECT start, min(node) AS c FROM reach GROUP BY start)
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(c, doc_id), doc_id) AS component_id FROM sets LEFT JOIN least ON start = doc_id
+), least AS (SELECT start, min(node) AS c FROM reach GROUP BY start), degree AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(c, doc_id), doc_id) AS component_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links
+FROM sets LEFT JOIN least ON start = doc_id LEFT JOIN degree ON a = doc_id
 """
 
 _OP8_SQL = r"""

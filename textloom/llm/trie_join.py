@@ -1,21 +1,23 @@
 """N-gram Jaccard self-join (prefix-tree join).
 
 A document's set is its distinct five-word shingles. Documents with equal sets are one node. All shingles have one global order,
-rare before common. Two sets of similarity 0.8 or more share a shingle among their rarest fifth plus one, so nodes that share
-such a shingle, and whose lengths and positions allow the similarity, are candidates.
+rare before common. Two sets of similarity 0.8 or more share a shingle among their rarest fifth plus one, so the nodes of a
+shingle's posting list, where lengths and positions allow the similarity, are candidates of one another. A sketch of 256 bins
+bounds the overlap of two sets from above before whole sets are moved.
 
-Candidates are verified by prefix trees: the candidates of a centre are stored as sequences in the global order, common
-shingles first, so that near copies share paths; the centre is counted along the tree once for each shared path, and a subtree
-is left as soon as the shingles that remain cannot reach the overlap that is needed.
+Candidates are gathered into groups without a list of all pairs: each shingle's members are first held against one centre; the
+shingles whose members are then still in different groups are split into cells of two blocks of bounded size, in bands of
+length, and a cell gives no more than the pairs that join its groups. A group holds every link of its members.
 
-Components need no more than one link between two parts. So a group that shares a shingle is first held against centres of its
-own (a few rounds, by different hashes), and only members that are still in different components are then paired. No link
-between different components is missed: the last round pairs all of them, and the filters above lose no pair. `jaccard_links`
-takes all candidates instead and gives every link, `link_counts` the number of links of each document.
+The whole sets of the groups are then dealt to prefix trees: small groups many to a tree, large ones in cells of two blocks.
+Each tree is walked once with all its probes (`prefix_tree`): what a probe has in common with a path is counted once for all
+sets below it, and a subtree is left when too little can follow. This finds every link, adds it to the number of links of both
+sides, and gives the pairs that make up the components. Copies of a text are never expanded.
 
 Defined cases: null, empty or blank texts have no shingles, link with nothing and are components of their own; with fewer than
-five words the whole sequence is the one shingle; repeated rows and equal texts share a component; a row with a null doc_id
-takes part, its component is named by the smallest doc_id that is not null (null if there is none); extra columns are ignored.
+five words the whole sequence is the one shingle; repeated rows and equal texts share a component and are links of one another;
+a row with a null doc_id takes part, its component is named by the smallest doc_id that is not null (null if there is none);
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,24 +35,22 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, materialize, prepare, row_shingles, string_columns, text_bytes, word_hashes
 from .components import connected_components
+from .prefix_tree import Limits, Sets, join_sets
 
 NO_ID = -(1 << 63)
-ID_BITS = 1 << 20
 
 
 @dataclass(frozen=True)
 class JoinOptions:
     common_shingles: int = 1 << 18  # how many of the commonest are put last in the order; the rest go by hash
     least_common: int = 4
-    rounds: int = 2
-    members_per_tree: int = 256
-    members_per_block: int = 1000  # of one shingle, where all pairs are asked for
+    sample: int = 256  # one set in so many reports all its shingles, so that one spread thinly over the tasks is counted too
+    members_per_block: int = 512  # of one shingle and band of length, where a cell compares two blocks
+    sets_per_block: int = 1024  # of one group of candidates, where a tree compares two blocks
+    shingles_per_tree: int = 1 << 20  # of small groups that share a tree, or of a block
     broadcast_pairs: int = 200_000  # five numbers each, some 10 MB
-
-
-def needed_overlap(a: int, b: int) -> int:
-    """Least intersection with 100 * intersection >= 80 * union."""
-    return -(-4 * (a + b) // 9)
+    filter_bits: int = 1 << 27  # at most; marks the documents whose sets are wanted, before the exact join
+    limits: Limits = Limits()
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -62,42 +62,69 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
     yield from zip(batch.column(0).to_pylist(), row_shingles(words, first), strict=True)
 
 
-def _sets_and_common(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, node, times): one for each document (times 0), and shingles that recur within a task (n -1)."""
+BINS = 256
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of 256 bins, 255 at most: the smaller counts bound the overlap of two sets."""
+    return np.minimum(np.bincount((shingles & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _may_reach(least: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the smaller bins of two sketches (last axis) allow the overlap that two sets of these sizes together need.
+
+    A full bin says nothing: 255 may be any number, so a pair where both have one stays.
+    """
+    return (9 * least.sum(axis=-1, dtype=np.int64) >= 4 * sizes) | (least == 255).any(axis=-1)
+
+
+_READ = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("times", pa.int64()), ("sketch", pa.binary())])
+
+
+def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _sets_and_common(docs: DataFrame, o: JoinOptions) -> DataFrame:
+    """Rows (doc_id, n, node, times, sketch): one for each document (times 0; the sketch where its task first sees the set), and
+    shingles as node: those that recur within a task (n -1) and all of a sample of the sets (n -2), with their times."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
+        sampled: list[np.ndarray] = []
         size = 0
 
         def counted() -> list[tuple]:
-            values, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-            again = times > 1
-            return [(None, -1, h, t) for h, t in zip(values[again].view(np.int64).tolist(), times[again].tolist(), strict=True)]
-
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n", "node", "times"])
+            out = []
+            for kind, sets, least in ((-1, held, 2), (-2, sampled, 1)):
+                values, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
+                again = times >= least
+                out += [(None, kind, h, t, None) for h, t in zip(values[again].view(np.int64).tolist(), times[again].tolist(), strict=True)]
+            return out
 
         for batch in batches:
             rows = []
             for doc, shingles in _rows(batch):
                 node = _node(shingles)
-                rows.append((doc, len(shingles), node, 0))
-                if node not in seen and len(shingles):
+                fresh = node not in seen and len(shingles) > 0
+                rows.append((doc, len(shingles), node, 0, sketch(shingles) if fresh else None))
+                if fresh:
                     seen.add(node)
                     held.append(shingles)
                     size += len(shingles)
+                    if node % o.sample == 0:
+                        sampled.append(shingles)
             if size > 1_000_000:
                 rows += counted()
-                held, size = [], 0
+                held, sampled, size = [], [], 0
                 seen.clear()
             if rows:
-                yield packed(rows)
+                yield _packed(rows, _READ)
         if rest := counted():
-            yield packed(rest)
+            yield _packed(rest, _READ)
 
-    return docs.mapInArrow(read, "doc_id long, n long, node long, times long")
+    return docs.mapInArrow(read, "doc_id long, n long, node long, times long, sketch binary")
 
 
 class _Order:
@@ -149,141 +176,183 @@ def _postings(docs: DataFrame, order) -> DataFrame:
     return docs.mapInArrow(read, "token long, node long, n int, pos int, common boolean")
 
 
-BINS = 256
-
-
-def sketch(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each of 256 bins, 255 at most: the smaller counts bound the overlap of two sets."""
-    return np.minimum(np.bincount((shingles & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
-
-
-def _may_overlap(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
-    """The pairs (centre, node) whose bins allow the overlap that they need; a few hundred bytes stand for each set.
-
-    A full bin says nothing: 255 may be any number, so a pair where both have one stays.
-    """
-    bins = sets.select("node", "n", "sketch")
-    mine = bins.select(F.col("node").alias("centre"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
+def _may_overlap(pairs: DataFrame, sketches: DataFrame, o: JoinOptions) -> DataFrame:
+    """The pairs (centre, node) whose sketches allow the overlap that they need; a few hundred bytes stand for each set."""
+    mine = sketches.select(F.col("node").alias("centre"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     first = mine.join(F.broadcast(pairs) if pairs.count() <= o.broadcast_pairs else pairs, "centre")
-    both = first.join(bins, "node").select("centre", "node", "n1", "n", "s1", "sketch")
+    both = first.join(sketches, "node").select("centre", "node", "n1", "n", "s1", "sketch")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            if not n:
-                continue
-            a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), np.uint8).reshape(n, BINS) for i in (4, 5))
-            least = np.minimum(a, b)
-            sizes = np.array(batch.column(2)).astype(np.int64) + np.array(batch.column(3))
-            keep = (9 * least.sum(axis=1, dtype=np.int64) >= 4 * sizes) | (least == 255).any(axis=1)
-            yield batch.select(["centre", "node"]).filter(pa.array(keep))
+            if n:
+                a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), np.uint8).reshape(n, BINS) for i in (4, 5))
+                keep = _may_reach(np.minimum(a, b), np.array(batch.column(2)).astype(np.int64) + np.array(batch.column(3)))
+                yield batch.select(["centre", "node"]).filter(pa.array(keep))
 
     return both.mapInArrow(bound, "centre long, node long").distinct()
 
 
-def _whole_sets(docs: DataFrame, order, bits: np.ndarray) -> DataFrame:
-    """(node, doc_id, n, sketch, tokens): sets, common shingles first, of documents whose id is marked in `bits`."""
-    marked = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.array(batch.column(0).fill_null(NO_ID))
-            batch = batch.filter(pa.array(marked.value[ids % ID_BITS]))
-            rows = []
-            for doc, shingles in _rows(batch):
-                if len(shingles):
-                    rows.append((_node(shingles), NO_ID if doc is None else doc, len(shingles), sketch(shingles), order.value.arrange(shingles)[::-1].tobytes()))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "doc_id", "n", "sketch", "tokens"])
+def _may_link(n1, p1, n2, p2) -> F.Column:
+    """Whether two sets that share a shingle at these places of the order, and none before, can be alike enough."""
+    reach = 9 * (1 + F.least(n1 - p1 - 1, n2 - p2 - 1)) >= 4 * (n1 + n2)
+    return reach & (10 * F.least(n1, n2) >= 8 * F.greatest(n1, n2))
+
+
+def _stars(dealt: DataFrame, sketches: DataFrame, o: JoinOptions, scratch: Scratch) -> DataFrame:
+    """Likely pairs (a, b) of each shingle's centre with its members: the one with the fewest rarer shingles is the centre, as it
+    is the nearest to what its copies share."""
+    me, choice = F.struct("node", "n", "pos"), F.struct("pos", F.xxhash64("node"))
+    centres = dealt.groupBy("token").agg(F.min_by(me, choice).alias("c"))
+    pairs = dealt.join(centres, "token").where(F.col("node") != F.col("c.node")).where(_may_link(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
+    pairs = scratch.write(pairs.select(F.least("c.node", "node").alias("centre"), F.greatest("c.node", "node").alias("node")).distinct(), "pairs")
+    likely = scratch.write(_may_overlap(pairs, sketches, o), "likely")
+    return likely.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+
+
+BAND = float(np.log(1.26))  # sets of similarity 0.8 differ in length by a factor of 1.25 at most: by one band
+
+
+def _cells(dealt: DataFrame, labels: DataFrame, sketches: DataFrame, o: JoinOptions, scratch: Scratch) -> DataFrame:
+    """Likely pairs (a, b) that join the groups (node, label) which have a shingle in common."""
+    now = dealt.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
+    divided = now.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
+    now = now.join(divided, "token").withColumn("band", F.floor(F.log("n") / BAND).cast("int"))
+    now = scratch.write(now, "divided")
+    blocks = now.groupBy("token", "band").agg(F.ceil(F.count("*") / o.members_per_block).alias("k"))
+    above = blocks.select("token", (F.col("band") - 1).alias("band"), F.col("k").alias("up"))
+    below = blocks.select("token", (F.col("band") + 1).alias("band"), F.col("k").alias("down"))
+    sizes = blocks.join(above, ["token", "band"], "left").join(below, ["token", "band"], "left")
+    own = F.pmod(F.xxhash64("node"), F.col("k"))
+    # A member meets its own block, the later and earlier blocks of its band, and all blocks of the bands beside it.
+    every = lambda k: F.when(k > 0, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array().cast("array<long>"))
+    cell = lambda band, next_, i, j, side: F.struct(band.alias("band"), F.lit(next_).alias("next"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    band, none = F.col("band"), F.lit(0).cast("long")
+    places = F.concat(
+        F.transform(F.filter(every(F.col("k")), lambda j: j >= own), lambda j: cell(band, 0, own, j, 0)),
+        F.transform(F.filter(every(F.col("k")), lambda i: i < own), lambda i: cell(band, 0, i, own, 1)),
+        F.transform(every(F.coalesce("up", none)), lambda j: cell(band, 1, own, j, 0)),
+        F.transform(every(F.coalesce("down", none)), lambda i: cell(band - 1, 1, i, own, 1)),
+    )
+    spread = now.join(sizes, ["token", "band"]).select("token", "node", "n", "pos", "part", F.explode(places).alias("c")).select("token", "c.*", "node", "n", "pos", "part")
+    # Cells of one group alone have nothing to join; most are such once the stars have been seen.
+    key = ["token", "band", "next", "i", "j"]
+    live = spread.groupBy(*key).agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select(*key)
+    rows = spread.withColumnRenamed("band", "cell_band").join(live.withColumnRenamed("band", "cell_band"), ["token", "cell_band", "next", "i", "j"])
+    key[1] = "cell_band"
+    rows = rows.join(sketches.select("node", "sketch"), "node").select(*key, "side", "node", "n", "pos", "part", "sketch")
+    rows = rows.repartition(*key).sortWithinPartitions(*key)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[int, int]] = []
+        for cell_key, group in groupby(_stream(batches), key=lambda r: r[:5]):
+            group = list(group)
+            side, node, n, pos, part = (np.array([r[k] for r in group], np.int64) for k in range(5, 10))
+            bins = np.frombuffer(b"".join(r[10] for r in group), np.uint8).reshape(len(group), BINS)
+            left = np.flatnonzero(side == 0)
+            right = left if cell_key[2] == 0 and cell_key[3] == cell_key[4] else np.flatnonzero(side == 1)
+            label = part.copy()
+            for x in left.tolist():
+                ys = right[label[right] != label[x]]
+                low, high = np.minimum(n[ys], n[x]), np.maximum(n[ys], n[x])
+                ys = ys[(9 * (1 + np.minimum(n[x] - pos[x] - 1, n[ys] - pos[ys] - 1)) >= 4 * (n[x] + n[ys])) & (10 * low >= 8 * high)]
+                if len(ys):
+                    ys = ys[_may_reach(np.minimum(bins[ys], bins[x]), n[ys] + n[x])]
+                    labels, first = np.unique(label[ys], return_index=True)
+                    made += [(int(node[x]), int(node[ys[k]])) for k in first]
+                    label[np.isin(label, labels)] = label[x]
+            if len(made) > 10_000:
+                yield _packed(made, _EDGE)
+                made = []
+        if made:
+            yield _packed(made, _EDGE)
 
-    return docs.mapInArrow(read, "node long, doc_id long, n int, sketch binary, tokens binary")
+    return rows.mapInArrow(compare, "a long, b long")
 
 
-def probe_tree(centre: np.ndarray, members: list[np.ndarray], step: int = 64) -> list[int]:
-    """Numbers of the members whose overlap with the centre suffices.
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    The members, sorted as sequences, are a prefix tree: what a sequence shares with the one before it is the path from the
-    root to their fork. The overlap along that path is known and is not counted again; a path that was left because too little
-    remained is left by every sequence below it whose own length allows no more.
-    """
-    within = np.sort(centre)
-    by = sorted(range(len(members)), key=lambda i: members[i].astype(">u8").tobytes())
-    found: list[int] = []
-    path, upto = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # a sequence and the overlap of its first 0, 1, ... tokens
-    for i in by:
-        own = members[i]
-        need = needed_overlap(len(centre), len(own))
-        shared = min(len(path), len(own), len(upto) - 1)
-        differ = np.flatnonzero(path[:shared] != own[:shared])
-        fork = int(differ[0]) if len(differ) else shared
-        counts = [upto[: fork + 1]]
-        at, overlap = fork, int(upto[fork])
-        while at < len(own) and overlap + len(own) - at >= need:
-            part = own[at : at + step]
-            spots = np.minimum(np.searchsorted(within, part), len(within) - 1)
-            counts.append(overlap + np.cumsum(within[spots] == part))
-            overlap, at = int(counts[-1][-1]), at + len(part)
-        path, upto = own, np.concatenate(counts)
-        if at == len(own) and overlap >= need:
-            found.append(i)
-    return found
-
-
-def _verify(pairs: DataFrame, lows: DataFrame, sets: DataFrame, o: JoinOptions, scratch: Scratch) -> DataFrame:
-    """The pairs (centre, node) that are links, as edges (a, b)."""
-    sizes = pairs.groupBy("centre").agg(F.count("*").alias("k"))
-    sizes = sizes.withColumn("trees", F.ceil(F.col("k") / o.members_per_tree).cast("int"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("trees").cast("long")).cast("int")
-    members = pairs.join(sizes, "centre").select("centre", chunk.alias("chunk"), "node", F.lit(1).alias("side"))
-    centres = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("chunk"), F.col("centre").alias("node"), F.lit(0).alias("side"))
-    wanted = scratch.write(members.unionByName(centres).join(lows, "node"), "wanted")
-    # Pairs are few next to sets: where their number is small enough, they go to the sets rather than the sets to them.
-    near = F.broadcast(wanted) if wanted.count() <= o.broadcast_pairs else wanted
-    rows = sets.select("node", F.col("doc_id").alias("low"), "tokens").join(near, ["node", "low"]).select("centre", "chunk", "side", "node", "tokens")
-    rows = rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "side", "node")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stream() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-        made: list[tuple[int, int]] = []
-        for (centre, _), group in groupby(stream(), key=lambda r: r[:2]):
-            own, nodes, members = None, [], []
-            for _, _, side, node, tokens in group:
-                if side == 0:
-                    own = np.frombuffer(tokens, np.uint64)
-                elif not nodes or nodes[-1] != node:
-                    nodes.append(node)
-                    members.append(np.frombuffer(tokens, np.uint64))
-            if own is not None:
-                made += [(centre, nodes[i]) for i in probe_tree(own, members)]
-            if len(made) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made, strict=True)], names=["a", "b"])
-                made = []
-        if made:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made, strict=True)], names=["a", "b"])
-
-    return rows.mapInArrow(probe, "a long, b long")
 
+def _whole_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(node, low, shingles): sets of the documents whose id is marked in `bits`."""
+    marked = docs.sparkSession.sparkContext.broadcast(bits)
 
-def _may_link(n1: str, p1: str, n2: str, p2: str) -> str:
-    """Whether two sets that share a shingle at these places of the order, and none before, can be alike enough."""
-    return f"9 * (1 + least({n1} - {p1} - 1, {n2} - {p2} - 1)) >= 4 * ({n1} + {n2}) AND 10 * least({n1}, {n2}) >= 8 * greatest({n1}, {n2})"
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.array(batch.column(0).fill_null(NO_ID))
+            at = ids % (8 * len(marked.value))
+            batch = batch.filter(pa.array((marked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+            rows = [(_node(s), NO_ID if doc is None else doc, s.tobytes()) for doc, s in _rows(batch) if len(s)]
+            if rows:
+                yield _packed(rows, pa.schema([("node", pa.int64()), ("low", pa.int64()), ("shingles", pa.binary())]))
+
+    return docs.mapInArrow(read, "node long, low long, shingles binary")
+
+
+def _marked(lows: DataFrame, o: JoinOptions) -> np.ndarray:
+    """A bounded filter of the ids `low`, eight to a byte: 16 bits for each id, as far as `filter_bits` allows."""
+    size = min(o.filter_bits, max(1 << 16, 1 << (16 * lows.count()).bit_length()))
+    place = F.pmod(F.col("low"), F.lit(size)) + 1  # bits of a bucket stand for values from 1
+    buckets = lows.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in buckets.collect():  # `filter_bits` in all
+        bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits
+
+
+_FOUND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+
+
+def _trees(docs: DataFrame, groups: DataFrame, o: JoinOptions, scratch: Scratch) -> DataFrame:
+    """From groups (node, label, low, n, copies): (node, links, null) sums to add up, and (node, null, other) links that join components."""
+    sizes = groups.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("sets") / o.sets_per_block), F.ceil(F.col("shingles") / o.shingles_per_tree))
+    sizes = scratch.write(sizes.withColumn("k", blocks), "sizes")
+    small = sizes.where("k = 1").agg(F.coalesce(F.sum("shingles"), F.lit(0)).alias("s")).collect()[0].s
+    trees = 1 + small // o.shingles_per_tree
+    own = F.pmod(F.xxhash64("node"), F.col("k"))
+    later = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: j >= own), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    earlier = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: i < own), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(1).alias("side")))
+    named = groups.join(sizes.select("label", "k"), "label").withColumn("place", F.explode(F.concat(later, earlier)))
+    tree = F.when(F.col("k") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(trees)))
+    wanted = scratch.write(named.select("node", "low", "copies", (F.col("k") > 1).alias("large"), tree.alias("tree"), "place.*"), "wanted")
+    # Places are few next to sets: where their number is small enough, they go to the sets rather than the sets to them.
+    near = F.broadcast(wanted) if wanted.count() <= o.broadcast_pairs else wanted
+    key = ["large", "tree", "i", "j"]
+    rows = _whole_sets(docs, _marked(groups.select("low").distinct(), o)).join(near, ["node", "low"]).select(*key, "side", "node", "copies", "shingles")
+    # Neighbours in the order of nodes are copies of one row: all but one are left out.
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "side", "node")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, group in groupby(_stream(batches), key=lambda r: r[:4]):
+            nodes: list[list[int]] = [[], []]
+            copies: list[list[int]] = [[], []]
+            sets: list[list[np.ndarray]] = [[], []]
+            for *_, side, node, count, shingles in group:
+                if not nodes[side] or nodes[side][-1] != node:
+                    nodes[side].append(node)
+                    copies[side].append(count)
+                    sets[side].append(np.frombuffer(shingles, np.uint64))
+            sides = [Sets(s, c) for s, c in zip(sets, copies, strict=True)]
+            # The small groups of a tree, and a block with itself, are joined within; two blocks of a large group with each other.
+            within = cell[2] == cell[3]
+            forest = join_sets(sides[0], None if within else sides[1], o.limits)
+            names = nodes[0] + nodes[1]
+            rows = [(v, k, None) for v, k in zip(names, np.concatenate([s.links for s in sides]).tolist(), strict=True) if k]
+            rows += [(names[a], None, names[b]) for a, b in forest]
+            if rows:
+                yield _packed(rows, _FOUND)
 
+    return rows.mapInArrow(walk, "node long, links long, other long")
 
-def _posted(docs: DataFrame, o: JoinOptions, scratch: Scratch) -> tuple:
-    """The written rows of all documents, these rows (doc_id, n, node), (node, low) of sets, the order, the postings that matter."""
-    spark = docs.sparkSession
-    read = scratch.write(_sets_and_common(docs), "sets")
-    rows = read.where("times = 0").select("doc_id", "n", "node")
-    common = read.where("times > 0").groupBy("node").agg(F.sum("times").alias("t")).where(F.col("t") >= o.least_common)
-    top = common.orderBy(F.desc("t"), "node").limit(o.common_shingles).select("node", "t").toPandas()  # bounded
-    top = top.sort_values(["t", "node"])
-    order = spark.sparkContext.broadcast(_Order(top["node"].to_numpy(np.int64).view(np.uint64)))
-    lows = rows.where("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("low"))
 
+def _postings_that_matter(docs: DataFrame, order) -> DataFrame:
+    """(token, node, n, pos) of shingles that two sets have among their rarest and that their lengths allow to be alike."""
     # Postings are dealt by shingle once, in order of length. Those are dropped that cannot be half of a candidate pair: shingles
     # of one set only, members whose neighbours in length are too short and too long, and pairs that fail the exact bound.
     # A common shingle may belong to a large part of all sets: it is shared for certain, stays, and is spread by salt.
@@ -301,63 +370,57 @@ def _posted(docs: DataFrame, o: JoinOptions, scratch: Scratch) -> tuple:
     longest = 5 * F.col("n") - 9 * F.col("pos")  # four times the longest partner
     near = (10 * F.col("shorter") >= 8 * F.col("n")) | (4 * F.col("longer") <= longest)
     kept = dealt.where(F.col("common") | (F.col("shared") & ~F.col("two") & F.coalesce(near, F.lit(False))))
-    dealt = scratch.write(kept.select("token", "node", "n", "pos").distinct(), "postings")
-    return read, rows, lows, order, dealt
+    return kept.select("token", "node", "n", "pos").distinct()
 
 
-def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of every row of (doc_id, text); rows of equal sets share a `node`."""
-    o, spark = options, prepare(docs.sparkSession)
-    docs = string_columns(docs, "doc_id", "text")
-    scratch = Scratch(spark)
-    read, rows, lows, order, dealt = _posted(docs, o, scratch)
-    labels = spark.createDataFrame([], "node long, label long") if dealt.isEmpty() else _link(docs, dealt, lows, order, o, scratch)
-    # Sets are named first and rows after: a set that very many rows share is one row until the last join.
-    named = lows.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min(F.nullif("low", F.lit(NO_ID))).alias("component_id"))
-    named = scratch.write(named.join(least, "label").select("node", "component_id"), "named")
-    scratch.clear(read, named)
-    found = rows.join(named, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node")
+def _order(read: DataFrame, o: JoinOptions) -> _Order:
+    """The commonest shingles by the larger of what tasks have counted and what the sample says."""
+    counts = read.where("times > 0").groupBy("node").agg(F.coalesce(F.sum(F.when(F.col("n") == -1, F.col("times"))), F.lit(0)).alias("t"), F.coalesce(F.sum(F.when(F.col("n") == -2, F.col("times"))), F.lit(0)).alias("s"))
+    common = counts.where((F.col("t") >= o.least_common) | (F.col("s") >= o.least_common))
+    common = common.select("node", F.greatest(F.col("t"), F.when(F.col("s") >= o.least_common, F.col("s") * o.sample).otherwise(0)).alias("t"))
+    top = common.orderBy(F.desc("t"), "node").limit(o.common_shingles).toPandas()  # bounded
+    return _Order(top.sort_values(["t", "node"])["node"].to_numpy(np.int64).view(np.uint64))
 
 
-def jaccard_links(docs: DataFrame, options: JoinOptions = JoinOptions()) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of every row, and (a, b), a < b, of every two different sets that are alike enough.
+def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, node) of every row of (doc_id, text).
 
-    Rows of equal sets share a `node` and are links of one another (those without shingles of none); no other link is left out.
+    n_links: with how many other rows it is alike enough. Rows of equal sets share a `node`.
     """
     o, spark = options, prepare(docs.sparkSession)
     docs = string_columns(docs, "doc_id", "text")
     scratch = Scratch(spark)
-    read, rows, lows, order, dealt = _posted(docs, o, scratch)
-    links = spark.createDataFrame([], "a long, b long")
+    read = scratch.write(_sets_and_common(docs, o), "sets")
+    rows = read.where("times = 0").select("doc_id", "n", "node")
+    order = spark.sparkContext.broadcast(_order(read, o))
+    dealt = scratch.write(_postings_that_matter(docs, order), "postings")
+    lows = rows.where("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("low"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    lows = scratch.write(lows, "lows")
+    found, labels = None, None
     if not dealt.isEmpty():
-        lows, sets = _sets(docs, dealt, lows, order, scratch)
-        # The members of a shingle meet in cells of two blocks of bounded size, so that no shingle is the work of one task.
-        blocks = dealt.groupBy("token").agg(F.ceil(F.count("*") / o.members_per_block).alias("k")).where("k > 1")
-        now = dealt.join(blocks, "token", "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long")))
-        own, every = F.pmod(F.xxhash64("node"), F.col("k")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-        left = now.select("token", own.alias("i"), every.alias("j"), F.col("node").alias("centre"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-        right = now.select("token", every.alias("i"), own.alias("j"), "node", "n", "pos")
-        pairs = left.join(right, ["token", "i", "j"]).where("centre < node").where(_may_link("n", "pos", "n1", "p1")).select("centre", "node").distinct()
-        pairs = scratch.write(pairs, "pairs")
-        if not pairs.isEmpty():
-            likely = scratch.write(_may_overlap(pairs, sets, o), "likely")
-            links = scratch.write(_verify(likely, lows, sets, o, scratch), "links")
-    scratch.clear(read, links)
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "node"), links
-
-
-def link_counts(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """(doc_id, n_shingles, n_links) of every row of (doc_id, text): with how many other rows it is alike enough."""
-    members, links = jaccard_links(docs, options)
-    sizes = members.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("k"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(sizes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("others"))
-    counts = sizes.join(near, "node", "left").select("node", (F.col("k") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    found = members.join(counts, "node", "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0).cast("long")).alias("n_links"))
+        members = dealt.select("node").distinct()
+        sketches = read.where("sketch IS NOT NULL").select("node", "n", "sketch").join(members, "node").groupBy("node", "n").agg(F.first("sketch").alias("sketch"))
+        sketches = scratch.write(sketches, "sketches")
+        pairs = _stars(dealt, sketches, o, scratch)
+        groups = connected_components(pairs, scratch)
+        more = scratch.write(_cells(dealt, groups, sketches, o, scratch), "cells")
+        if not more.isEmpty():
+            groups = connected_components(pairs.unionByName(more), scratch)
+        groups = scratch.write(groups.join(lows, "node"), "groups")
+        found = scratch.write(_trees(docs, groups, o, scratch), "found")
+        labels = connected_components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
+    # Sets are named first and rows after: a set that very many rows share is one row until the last join.
+    named = lows.withColumns({"label": F.col("node"), "others": F.lit(0).cast("long")})
+    if found is not None:
+        links = found.where("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("others"))
+        named = lows.join(labels, "node", "left").join(links, "node", "left").withColumns({"label": F.coalesce("label", "node"), "others": F.coalesce("others", F.lit(0))})
+    least = named.groupBy("label").agg(F.min(F.nullif("low", F.lit(NO_ID))).alias("component_id"))
+    named = named.join(least, "label").select("node", "component_id", (F.col("copies") - 1 + F.col("others")).alias("n_links"))
+    named = scratch.write(named, "named")
+    scratch.clear(read, named)
+    whole = rows.join(named, "node", "left")
+    has = F.col("n") > 0
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(has, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(has, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"), "node")
 
 
 def keep_one(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
@@ -395,53 +458,3 @@ def _with_node(names: list[str]):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=[*names, "_node", "_size"])
 
     return read
-
-
-def _sets(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """`lows` and whole sets of the nodes that have a posting."""
-    nodes = postings.select("node").distinct()
-    lows = scratch.write(lows.join(nodes, "node"), "lows")
-    position = F.pmod(F.col("low"), F.lit(ID_BITS)) + 1  # bits of a bucket stand for values from 1
-    buckets = lows.groupBy(F.bitmap_bucket_number(position).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits")).collect()  # ID_BITS bits in all
-    bits = np.zeros(ID_BITS, bool)
-    for r in buckets:
-        got = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little").astype(bool)
-        bits[np.flatnonzero(got) + (r.k - 1) * 32768] = True
-    return lows, scratch.write(_whole_sets(docs, order, bits), "whole")
-
-
-def _link(docs: DataFrame, postings: DataFrame, lows: DataFrame, order, o: JoinOptions, scratch: Scratch) -> DataFrame:
-    """Labels (node, label) of the components of all links between nodes that share a posting."""
-    lows, sets = _sets(docs, postings, lows, order, scratch)
-    edges, tested, labels = None, None, None
-    for step in range(o.rounds + 1):
-        now = postings if labels is None else postings.join(labels, "node", "left")
-        now = now.withColumn("part", F.coalesce("label", "node") if labels is not None else F.col("node"))
-        me = F.struct("node", "n", "pos", "part")
-        # First centre of a group: the member with the fewest rarer shingles, which is the nearest to what its copies share.
-        # Then 4, 16, ... centres by chance.
-        choice = F.struct("pos", F.xxhash64("node")) if step == 0 else F.struct(F.xxhash64("node", F.pmod("token", F.lit(4**step)), F.lit(step)))
-        groups = now.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min_by(me, choice).alias("c")).where("x <> y")
-        if step < o.rounds:
-            pairs = now.join(groups, "token").where("part <> c.part").where(_may_link("n", "pos", "c.n", "c.pos")).select(F.col("c.node").alias("centre"), "node")
-        else:
-            left = now.join(groups.select("token"), "token").select("token", F.col("node").alias("centre"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("part").alias("part1"))
-            right = now.join(groups.select("token"), "token")
-            pairs = left.join(right, "token").where("part1 < part").where(_may_link("n", "pos", "n1", "p1")).select("centre", "node")
-        pairs = pairs.distinct()
-        if tested is not None:
-            known = tested.select("centre", "node").unionByName(tested.select(F.col("node").alias("centre"), F.col("centre").alias("node")))
-            pairs = pairs.join(known, ["centre", "node"], "left_anti")
-        pairs = scratch.write(pairs, "pairs")
-        if pairs.isEmpty():
-            if step == o.rounds:
-                break
-            continue
-        likely = scratch.write(_may_overlap(pairs, sets, o), "likely")
-        found = scratch.write(_verify(likely, lows, sets, o, scratch), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if found.isEmpty():
-            continue
-        edges = found if edges is None else edges.unionByName(found)
-        labels = connected_components(edges, scratch)
-    return labels if labels is not None else scratch.spark.createDataFrame([], "node long, label long")

@@ -3,10 +3,15 @@
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; these are the seeds. The words around each seed, and
 around each string that is only shaped like such data, are lexical patterns. Spark builds the graph of patterns and instances
 over the whole corpus and scores it in rounds: a pattern is as good as the instances that it is seen with, an instance that is
-no seed as good as its patterns together. What a high-confidence pattern finds supports further patterns in the next round, as
-seeds do. Strings in the context of a high-confidence pattern are then reported as well.
+no seed as good as its high-confidence patterns together. What such a pattern finds supports further patterns in the next round,
+as seeds do; what no such pattern finds supports none, so that doubtful instances never add up. Strings in the context of a
+high-confidence pattern are then reported as well. Confidence is a lower bound, so that a pattern that a seed and another string
+take in turn, as chance has it, is never good.
 
-Base spans always stay. Spans are in code points, end exclusive.
+Patterns are words near a span in three forms: the word before it, that with the word after it, and the two words before it. Case,
+digits and marks around a word do not matter.
+
+Base spans always stay. Spans are in code points, end exclusive. A context reaches 100 characters to the left and 50 to the right.
 
 Defined cases: null and empty texts hold nothing; repeated rows are reported once each and count as one instance in the graph;
 an empty table gives no rows; without seeds no pattern is learnt; extra columns are kept by `mask` and ignored by `find_spans`.
@@ -14,7 +19,9 @@ an empty table gives no rows; without seeds no pattern is learnt; extra columns
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +38,9 @@ KINDS = ("email", "ip", "card", "phone")
 class BootstrapOptions:
     rounds: int = 3
     least_seeds: int = 3  # distinct seeds, or instances that a good pattern of the round before finds, that a pattern must be seen with
-    confidence: float = 0.75
+    confidence: float = 0.54  # of the share of a pattern's instances that are seeds or believed: the lower bound of its interval
+    confidence_of_one_word: float = 0.8  # a single word before a span says little
+    deviations: float = 1.64  # that the interval is wide on either side
     patterns_per_block: int = 100_000  # so many are sent to the tasks at once, in as many passes as there are blocks
 
 
@@ -43,9 +52,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # Shapes that may be such data where the context says so.
-_AT = re.compile(r" ?(?:\(at\)|\[at\]|@) ?", re.I)
+_AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}|@) ?| at (?=[\w-]{1,63} dot )", re.I)
+_SPELT_DOT = re.compile(" dot ", re.I)
 _BEFORE_AT = re.compile(r"[\w.+-]{1,64}\Z")
-_AFTER_AT = re.compile(r"[\w-]{1,63}(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?)[\w-]{1,63}){0,8}", re.I)
+_AFTER_AT = re.compile(r"[\w-]{1,63}(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| ?\{dot\} ?| dot )[\w-]{1,63}){0,8}", re.I)
 _SHAPES = {
     "ip": re.compile(r"(?<![\w.:])(?:[0-9]{1,3}(?:(?:\[\.\]|[.:_-])[0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4})(?![\w:])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){11,18}(?![0-9])"),
@@ -83,42 +93,71 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return {"email": emails, "ip": ips, "card": cards, "phone": phones}
 
 
-def _overlaps(span: tuple[int, int], taken: list[tuple[int, int]]) -> bool:
-    return any(a < span[1] and span[0] < b for a, b in taken)
+class _Taken:
+    """Spans that do not overlap, kept in order, so that a clash is found by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):  # base spans of two kinds may overlap: they count as one
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def clashes(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
 
 
 def shaped_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
-    """Strings that are shaped like personal data and are no base span."""
-    taken = sorted(s for spans in base.values() for s in spans)
+    """Strings that are shaped like personal data and overlap no base span."""
     out = []
-    if "@" in text or "(" in text or "[" in text:
+    if "@" in text or "(" in text or "[" in text or "{" in text or _SPELT_DOT.search(text):
+        upto = 0
         for m in _AT.finditer(text):
             left, right = _BEFORE_AT.search(text[max(0, m.start() - 64) : m.start()]), _AFTER_AT.match(text, m.end())
-            if left and right:
-                out.append(("email", m.start() - (left.end() - left.start()), right.end()))
+            if left and right and m.start() - (left.end() - left.start()) >= upto:
+                upto = right.end()
+                out.append(("email", m.start() - (left.end() - left.start()), upto))
     if _DIGIT.search(text):
         for kind, shape in _SHAPES.items():
             for m in shape.finditer(text):
                 if kind != "phone" or 7 <= len(_digits(m[0])) <= 15:
                     out.append((kind, *m.span()))
-    return [x for x in out if not _overlaps(x[1:], taken)] if taken else out
+    taken = _Taken([s for spans in base.values() for s in spans])
+    return [x for x in out if not taken.clashes(*x[1:])]
+
+
+_EDGE_MARKS = re.compile(r"^\W+|\W+$")
+_NUMBER = re.compile("[0-9]+")
+
+
+def _plain(word: str) -> str:
+    """A word of a context, without case, digits and the marks around it; marks alone stay."""
+    return _NUMBER.sub("0", _EDGE_MARKS.sub("", word) or word)
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a span: the two words before it, and the word before with the word after."""
-    before = text[max(0, start - 100) : start].lower().split()[-2:]
+    """Lexical patterns of a span: the word before it, that with the word after, and the two words before it."""
+    before = [_plain(w) for w in text[max(0, start - 100) : start].lower().split()[-2:]]
     after = text[end : end + 50].lower().split()[:1]
-    plain = [re.sub(r"[0-9]+", "0", w)[:40] for w in before]
-    if not plain or not any(c.isalpha() for w in plain for c in w):
+    if not before or not any(c.isalpha() for w in before for c in w):
         return []
-    found = [f"{plain[-1]} _ {re.sub('[0-9]+', '0', after[0])[:40] if after else ''}"]
-    if len(plain) == 2:
-        found.append(f"{plain[0]} {plain[1]} _")
+    found = [f"{before[-1]} _ {_plain(after[0]) if after else ''}", f"{before[-1]}{ONE_WORD}"]
+    if len(before) == 2:
+        found.append(f"{before[0]} {before[1]} _")
     return found
 
 
+ONE_WORD = " _ *"
+
+
 def _instance(text: str) -> str:
-    return "".join(c for c in text.lower() if c.isalnum())[:64]
+    """The letters and digits of a string; a digest of them where they are many."""
+    plain = "".join(c for c in text.lower() if c.isalnum())
+    return plain if len(plain) <= 64 else hashlib.sha256(plain.encode("utf-8", "replace")).hexdigest()
 
 
 def context_graph(docs: DataFrame) -> DataFrame:
@@ -141,27 +180,36 @@ def context_graph(docs: DataFrame) -> DataFrame:
     return materialize(edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), (~F.min("seed")).alias("shaped")), "graph")
 
 
+def _least_share(hits: F.Column, n: F.Column, z: float) -> F.Column:
+    """Lower bound of the score interval of a share: few instances prove little, and those of chance contexts nothing."""
+    p, zz = hits / n, z * z
+    return (p + zz / (2 * n) - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + zz / (4 * n * n))) / (1 + zz / n)
+
+
 def score_patterns(edges: DataFrame, options: BootstrapOptions = BootstrapOptions()) -> DataFrame:
-    """(kind, pattern, seeds, shaped, confidence) after the last round; seeds: with instances that a good pattern has found."""
+    """(kind, pattern, seeds, shaped, confidence, good) after the last round; seeds: with instances that a good pattern has found."""
     o = options
     instances = edges.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("s"), F.max("seed").alias("believed"))
     patterns = None
+    good = F.col("confidence") >= F.when(F.endswith("pattern", F.lit(ONE_WORD)), o.confidence_of_one_word).otherwise(o.confidence)
     for step in range(o.rounds):
         near = edges.join(instances, ["kind", "instance"])
-        patterns = near.groupBy("kind", "pattern").agg(F.count_if("believed").alias("seeds"), F.max("shaped").alias("shaped"), (F.sum("s") / (F.count("*") + 0.5)).alias("confidence"))
-        patterns = materialize(patterns.withColumn("confidence", F.when(F.col("seeds") >= o.least_seeds, F.col("confidence")).otherwise(0.0)), "patterns")
+        patterns = near.groupBy("kind", "pattern").agg(F.count_if("believed").alias("seeds"), F.max("shaped").alias("shaped"), F.sum("s").alias("s"), F.count("*").alias("n"))
+        score = F.when(F.col("seeds") >= o.least_seeds, _least_share(F.col("s"), F.col("n"), o.deviations)).otherwise(0.0)
+        patterns = materialize(patterns.select("kind", "pattern", "seeds", "shaped", score.alias("confidence")).withColumn("good", good), "patterns")
         if step + 1 < o.rounds:
-            # Noisy or: an instance that is no seed is believed as far as any of its patterns is.
-            told = edges.join(patterns.where("confidence > 0").select("kind", "pattern", "confidence"), ["kind", "pattern"], "left")
-            best = F.coalesce(F.max("confidence"), F.lit(0.0))
-            doubt = F.exp(F.sum(F.log(1 - F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))
-            instances = materialize(told.groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("s"), (F.max("seed") | (best >= o.confidence)).alias("believed")), "instances")
+            # Noisy or: an instance that is no seed is believed as far as its good patterns are, together.
+            told = edges.join(patterns.where("good").select("kind", "pattern", "confidence"), ["kind", "pattern"], "left").groupBy("kind", "instance")
+            against = F.exp(F.sum(F.log(1 - F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))
+            told = told.agg(F.max("seed").alias("seed"), F.count("confidence").alias("k"), against.alias("against"))
+            instances = told.select("kind", "instance", F.when(F.col("seed"), 1.0).when(F.col("k") > 0, 1 - F.col("against")).otherwise(0.0).alias("s"), (F.col("seed") | (F.col("k") > 0)).alias("believed"))
+            instances = materialize(instances, "instances")
     return patterns
 
 
 def learn_patterns(docs: DataFrame, options: BootstrapOptions = BootstrapOptions()) -> DataFrame:
     """(kind, pattern) of all high-confidence patterns that stand around a string that is no base span."""
-    return score_patterns(context_graph(docs), options).where((F.col("confidence") >= options.confidence) & F.col("shaped")).select("kind", "pattern")
+    return score_patterns(context_graph(docs), options).where("good AND shaped").select("kind", "pattern")
 
 
 def _pattern_blocks(patterns: DataFrame, o: BootstrapOptions) -> Iterator[dict[str, frozenset[str]]]:
@@ -206,15 +254,14 @@ def _believed(text: str, shaped: list[tuple[str, int, int]], patterns: dict[str,
 def all_spans(text: str, patterns: dict[str, frozenset[str]], known: list[int] | None = None) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
     """Base spans, and all spans by kind and start with those that a pattern finds or that are known (by number) already."""
     base = base_spans(text)
-    taken = [s for spans in base.values() for s in spans]
     added: list[tuple[str, int, int]] = []
     if known or any(patterns.values()):
         shaped = shaped_spans(text, base)
-        for i in sorted({*(known or ()), *_believed(text, shaped, patterns)}):
-            kind, a, b = shaped[i]
-            if not _overlaps((a, b), taken):
-                added.append((kind, a, b))
-                taken.append((a, b))
+        found = [shaped[i] for i in sorted({*(known or ()), *_believed(text, shaped, patterns)})]
+        # Shapes of two kinds may overlap: the first kind in the order of KINDS has the place, within a kind none overlap.
+        for kind in KINDS:
+            taken = _Taken([(a, b) for _, a, b in added])
+            added += [(k, a, b) for k, a, b in found if k == kind and not taken.clashes(a, b)]
     whole = [(k, a, b) for k in KINDS for a, b in sorted([*base[k], *((a, b) for kind, a, b in added if kind == k)])]
     return base, whole
 

@@ -46,8 +46,8 @@ class JoinOptions:
     least_common: int = 4
     sample: int = 256  # one set in so many reports all its shingles, so that one spread thinly over the tasks is counted too
     members_per_block: int = 512  # of one shingle and band of length, where a cell compares two blocks
-    sets_per_block: int = 1024  # of one group of candidates, where a tree compares two blocks
-    shingles_per_tree: int = 1 << 20  # of small groups that share a tree, or of a block
+    sets_per_block: int = 512  # of one group of candidates, where a tree compares two blocks
+    shingles_per_tree: int = 1 << 18  # of small groups that share a tree, or of a block
     broadcast_pairs: int = 200_000  # five numbers each, some 10 MB
     filter_bits: int = 1 << 27  # at most; marks the documents whose sets are wanted, before the exact join
     limits: Limits = Limits()

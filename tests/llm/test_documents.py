@@ -286,6 +286,86 @@ def test_texts_that_end_within_an_item_are_found():
             assert decontaminate.search(pa.array([" ".join(words[left : n - cut + left])]), items, decontaminate.LeakOptions())
 
 
+def _best_run(item, words):
+    """The most similar run of words, over all runs."""
+    want, best = Counter(tuple(item[k : k + 5]) for k in range(len(item) - 4)), (0.0, 0, 0)
+    for i in range(len(words) - 4):
+        run = Counter()
+        for j in range(i, len(words) - 4):
+            run[tuple(words[j : j + 5])] += 1
+            alike = sum((run & want).values()) / sum((run | want).values())
+            if alike > best[0] + 1e-12:
+                best = (alike, i, j + 5 - i)
+    return best
+
+
+def _edited(rng, words, edits):
+    """A copy with so many words changed, inserted or taken out, now and then at an end, or cut at an end."""
+    copy = list(words)
+    for _ in range(edits):
+        at = rng.choice([0, len(copy) - 1, rng.randrange(len(copy))])
+        what = rng.randrange(4)
+        if what == 0:
+            copy[at] = f"x{rng.randrange(10**9)}"
+        elif what == 1:
+            copy.insert(at, f"x{rng.randrange(10**9)}")
+        elif what == 2 and len(copy) > 1:
+            del copy[at]
+        elif len(copy) > 6:
+            copy = copy[1:] if rng.random() < 0.5 else copy[:-1]
+    return copy
+
+
+def test_best_run_by_brute_force():
+    rng = random.Random(21)
+    number = lambda words: np.array([zlib.crc32(w.encode()) + 1 for w in words], np.uint64)
+    for trial in range(150):
+        pool = [f"w{k}" for k in range(4 if trial % 3 == 0 else 1000)]  # few words: shingles recur, in the item and around it
+        item = [rng.choice(pool) for _ in range(rng.randint(5, 30))]
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 8))] + _edited(rng, item, rng.randint(0, 2)) + [rng.choice(pool) for _ in range(rng.randint(0, 8))]
+        alike, start, size = _best_run(item, words)
+        got = decontaminate.best_run(number(item), number(words), 0.8)
+        assert (got is None and alike < 0.8 - 1e-9) or (got[0] == pytest.approx(alike) and got[1:] == (start, size))
+
+
+def test_all_similar_copies_of_items_of_any_length_are_found():
+    rng, o, seen = random.Random(22), decontaminate.LeakOptions(), 0
+    for n in [*range(1, 60), 64, 77, 90, 110, 140, 190, 193, 200, 250, 330, 400] * 4:
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        copy = _edited(rng, words, rng.randint(0, 1 + n // 40)) if n >= 5 else words
+        around = [f"a{rng.randrange(10**9)}" for _ in range(12)] if n >= 5 else []
+        items = decontaminate.prepare_items([(1, " ".join(words)), (2, "another item of some words that stands nowhere")], o)
+        hits = decontaminate.search(pa.array(["x", " ".join(around + copy + around[::-1])]), items, o)
+        alike = 1.0 if n < 5 else 0.0
+        if n >= 5:
+            a, b = (Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4)) for x in (words, copy))
+            alike = sum((a & b).values()) / sum((a | b).values())
+        if alike >= 0.8:
+            seen += 1
+            assert [(h[0], h[1]) for h in hits] == [(1, 0)] and hits[0][4] >= alike - 1e-9, (n, alike)
+    assert seen > 150
+
+
+def test_items_shorter_than_a_shingle_are_whole_texts():
+    o = decontaminate.LeakOptions()
+    items = decontaminate.prepare_items([(1, "Yes"), (2, "no way"), (3, "YES")], o)
+    hits = decontaminate.search(pa.array(["yes", "oh yes", None, "No  way", "way no", "no way then it goes on and on"]), items, o)
+    assert sorted((h[0], h[1]) for h in hits) == [(0, 0), (0, 2), (3, 1)]
+
+
+def test_index_gives_all_fingerprints_within_the_radius():
+    rng = np.random.default_rng(9)
+    prints = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    prints[250:] = prints[:250]  # equal ones
+    found = prints[rng.integers(0, 500, 300)].copy()
+    for i in range(300):
+        for bit in rng.choice(64, int(rng.integers(0, 6)), replace=False):
+            found[i] ^= np.uint64(1 << int(bit))
+    index = decontaminate._Index([(int(p), k, 0) for k, p in enumerate(prints)], 3)
+    got = {(a, b) for spots, own, _ in index.near(found, step=7) for a, b in zip(spots.tolist(), own.tolist(), strict=True)}
+    assert got == {(i, j) for i in range(300) for j in range(500) if int(found[i] ^ prints[j]).bit_count() <= 3}
+
+
 def test_simhash_windows_and_hamming_blocks():
     words = np.random.default_rng(2).integers(0, 2**63, 300, dtype=np.uint64)
     prints = decontaminate._Fingerprints(words)

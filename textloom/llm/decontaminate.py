@@ -1,16 +1,20 @@
 """Benchmark decontamination (SimHash of item-sized windows, multi-index Hamming blocks, exact verification).
 
-An item of n words is given the window size of its class: the largest of 1, 2, 3, 4, 6, 8, 12, 16, 24, ... not above n - 4. The
-SimHashes of its first, middle and last window of that size are its fingerprints; as an item may differ in several places, its
-ends among them, and still be similar enough, it also has as many separate smaller windows as leave one of them untouched. In
-each document the SimHash of every window of every size in use is formed; it is cut into radius + 1 blocks, so that any two fingerprints within the radius agree on one block
-at least, and the tables of block values miss none of them. A window within the radius gives a place where the item may stand;
-there the weighted Jaccard similarity of the five-word shingles (weight: how often each occurs) is taken exactly.
+An item of n words is given the window size of its class: the largest of 1, 2, 3, 4, 6, 8, 12, 16, 24, ... 192 not above n, and
+the largest not above n - 4 at its start, middle and end. As an item may differ in several places, its ends among them, and
+still be similar enough, it also has as many separate smaller windows as leave one of them untouched; an item of more than 192
+words has several windows of that size. The SimHash of every window of every size in use is formed in each document and cut into
+radius + 1 blocks: any two fingerprints within the radius agree on one block at least. A table for each block leads from a value
+to the fingerprints that have it, so that none within the radius is missed and no other table entry is looked at.
+
+A window within the radius says where the item may stand. Among the runs of words there, the one that is most similar is found:
+the weighted Jaccard similarity of the five-word shingles (weight: how often each occurs) is taken exactly for every run.
 
 Items come to the tasks in blocks of bounded size, one pass over the documents for each block; a benchmark of any size works.
 
-Defined cases: null and empty texts hold nothing; items of fewer than `least_words` words, null or empty ones take no part; an
-item that stands in a text several times is reported once, at its best place; items with equal texts are each reported; a
+Defined cases: null and empty texts hold nothing; null or empty items take no part; an item of fewer than five words has its
+whole sequence as its one shingle, as a document has, and is found where it is a document's whole text; an item that stands in a
+text several times is reported once, at its best place (the first of equal ones); items with equal texts are each reported; a
 repeated document row is reported once for each row; extra columns are kept by `remove_contaminated` and ignored by
 `find_contamination`.
 """
@@ -34,9 +38,8 @@ SHINGLE = 5
 class LeakOptions:
     similarity: float = 0.8
     radius: int = 3
-    least_words: int = 8
-    items_per_block: int = 1000
-    bytes_per_block: int = 4_000_000
+    items_per_block: int = 20_000
+    bytes_per_block: int = 8_000_000
 
 
 def window_sizes(limit: int) -> list[int]:
@@ -78,8 +81,12 @@ def item_windows(n: int) -> list[tuple[int, int]]:
     window that is no longer whole lacks four shingles at least, none of them those of another window, if `margin` words lie
     before the first and behind the last and two between any: so the two outer ones cost 4 each, all others 7.2.
     """
-    size = window_sizes(max(1, n - SHINGLE + 1))[-1]
-    found = {(size, 0), (size, (n - size) // 2), (size, n - size)}
+    whole = window_sizes(n)[-1]
+    found = {(whole, 0), (whole, n - whole)}
+    if n < 2 * SHINGLE - 1:  # four shingles at most: only an exact copy is similar enough
+        return sorted(found)
+    size = window_sizes(n - SHINGLE + 1)[-1]
+    found |= {(size, 0), (size, (n - size) // 2), (size, n - size)}
     m = max(1, n - SHINGLE + 1)
     parts = 1 if m < 20 else 2 if m < 40 else 3 + (m - 40) // 36
     margin = min(3, m // 5)
@@ -89,83 +96,142 @@ def item_windows(n: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _blocks(prints: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    edges = np.linspace(0, 64, radius + 2).astype(int)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield ((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
+
+
+class _Index:
+    """Fingerprints of one window size: for each Hamming block a table from value to the fingerprints that have it."""
+
+    def __init__(self, rows: list[tuple[int, int, int]], radius: int):
+        self.prints = np.array([p for p, _, _ in rows], np.uint64)
+        self.numbers = np.array([n for _, n, _ in rows])  # of the items
+        self.places = np.array([a for _, _, a in rows])  # in the items
+        self.radius = radius
+        self.tables = []
+        for values in _blocks(self.prints, radius):
+            order = np.argsort(values, kind="stable")
+            known, first = np.unique(values[order], return_index=True)
+            occurs = np.zeros(1 << -(-64 // (radius + 1)), bool)
+            occurs[known] = True
+            self.tables.append((occurs, known, np.append(first, len(order)), order))
+
+    def near(self, found: np.ndarray, step: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(number in `found`, fingerprint, distance) of all pairs within the radius; a pair may be met once for each block."""
+        for values, (occurs, known, first, order) in zip(_blocks(found, self.radius), self.tables, strict=True):
+            hit = np.flatnonzero(occurs[values])
+            for k in range(0, len(hit), step):
+                part = hit[k : k + step]
+                row = np.searchsorted(known, values[part])
+                counts = first[row + 1] - first[row]
+                ends = np.cumsum(counts)
+                at = np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(first[row], counts)
+                spot, own = np.repeat(part, counts), order[at]
+                distance = np.bitwise_count(found[spot] ^ self.prints[own])
+                close = distance <= self.radius
+                yield spot[close], own[close], distance[close]
+
+
 @dataclass
 class _Items:
     """A bounded block of items, ready to search with."""
 
     ids: list[int]
     words: list[np.ndarray]
-    classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # size -> fingerprints, item number, place in the item
-    tables: dict[int, list[np.ndarray]]  # size -> for each Hamming block, which values occur
-
-
-def _blocks(prints: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    edges = np.linspace(0, 64, radius + 2).astype(int)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield ((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
+    classes: dict[int, _Index]  # by window size
+    short: dict[int, list[int]]  # items of fewer than five words by the hash of their sequence
 
 
 def prepare_items(rows: list[tuple[int, str]], o: LeakOptions) -> _Items:
     words, first, _, _ = word_hashes(*text_bytes(pa.array([t for _, t in rows], pa.string())))
-    kept = [(i, words[a:b]) for (i, _), a, b in zip(rows, first[:-1], first[1:], strict=True) if b - a >= max(1, o.least_words)]
+    kept = [(i, words[a:b]) for (i, _), a, b in zip(rows, first[:-1], first[1:], strict=True) if b > a]
     classes: dict[int, list] = {}
+    short: dict[int, list[int]] = {}
     for number, (_, w) in enumerate(kept):
+        if len(w) < SHINGLE:
+            short.setdefault(int(window_hashes(w, len(w))[0]), []).append(number)
+            continue
         prints = _Fingerprints(w)
         for size, place in item_windows(len(w)):
             classes.setdefault(size, []).append((prints.of(size)[place], number, place))
-    packed = {s: (np.array([x[0] for x in v], np.uint64), np.array([x[1] for x in v]), np.array([x[2] for x in v])) for s, v in classes.items()}
-    tables: dict[int, list[np.ndarray]] = {}
-    width = -(-64 // (o.radius + 1))
-    for s, (prints, _, _) in packed.items():
-        tables[s] = []
-        for values in _blocks(prints, o.radius):
-            table = np.zeros(1 << width, bool)
-            table[values] = True
-            tables[s].append(table)
-    return _Items([i for i, _ in kept], [w for _, w in kept], packed, tables)
-
-
-def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Sum of the smaller over sum of the larger counts of the shingles of two runs of words."""
-    x, m = np.unique(window_hashes(a, min(SHINGLE, len(a))), return_counts=True)
-    y, n = np.unique(window_hashes(b, min(SHINGLE, len(b))), return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = int(np.minimum(m[i], n[j]).sum())
-    return both / max(1, int(m.sum()) + int(n.sum()) - both)
+    return _Items([i for i, _ in kept], [w for _, w in kept], {s: _Index(v, o.radius) for s, v in sorted(classes.items())}, short)
+
+
+def best_run(item: np.ndarray, words: np.ndarray, least: float) -> tuple[float, int, int] | None:
+    """(similarity, first word, number of words) of the run of `words` that is most similar to the item, if it reaches `least`.
+
+    Of equal ones the first, then the shortest. A best run begins and ends with a shingle of the item.
+    """
+    mine, own = np.unique(window_hashes(item, SHINGLE), return_counts=True)
+    there = window_hashes(words, SHINGLE)
+    m = int(own.sum())
+    spot = np.minimum(np.searchsorted(mine, there), len(mine) - 1)
+    matched = mine[spot] == there
+    at = np.flatnonzero(matched)
+    kind = spot[at]
+    if np.minimum(np.bincount(kind, minlength=len(mine)), own).sum() < least * m:
+        return None
+    # How often a run from a start has met each shingle so far: its occurrences up to there, less those before the start.
+    order = np.argsort(kind, kind="stable")
+    times = np.empty(len(at), np.int64)
+    sizes = np.bincount(kind, minlength=len(mine))
+    times[order] = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    before = np.zeros(len(mine), np.int64)
+    best: tuple[float, int, int] | None = None
+    for k, start in enumerate(at.tolist()):
+        if len(at) - k < least * m:
+            break  # too few are left for any later start
+        both = np.cumsum(times[k:] - before[kind[k:]] <= own[kind[k:]])
+        alike = both / (m + at[k:] - start + 1 - both)
+        end = int(alike.argmax())
+        if alike[end] >= least and (best is None or alike[end] > best[0]):
+            best = float(alike[end]), start, int(at[k + end]) - start + SHINGLE
+        before[kind[k]] += 1
+    return best
 
 
 def search(column: pa.Array, items: _Items, o: LeakOptions) -> list[tuple[int, int, int, int, float, int]]:
     """(row, item number, first word, words, similarity, Hamming distance) of the best place of each item in each row."""
     words, first, _, _ = word_hashes(*text_bytes(column))
     best: dict[tuple[int, int], tuple] = {}
+    if items.short:
+        for row in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < SHINGLE)).tolist():
+            own = words[first[row] : first[row + 1]]
+            for number in items.short.get(int(window_hashes(own, len(own))[0]), ()):
+                if len(items.words[number]) == len(own):
+                    best[row, number] = (0, len(own), 1.0, 0)
     span = 1 << 14  # words at a time; windows that reach beyond are seen with the next span
     reach = max(items.classes, default=1) - 1
-    for at in range(0, len(words), span):
+    seen: set[tuple[int, int]] = set()
+    for at in range(0, len(words) if items.classes else 0, span):
         prints_of = _Fingerprints(words[at : at + span + reach])
-        for size, (prints, numbers, places) in sorted(items.classes.items()):
-            found = prints_of.of(size)[:span]
-            near = np.zeros(len(found), bool)
-            for values, table in zip(_blocks(found, o.radius), items.tables[size], strict=True):
-                near |= table[values]
-            starts = np.flatnonzero(near)
-            for k in range(0, len(starts), 4096):
-                part = starts[k : k + 4096]
-                distance = np.bitwise_count(found[part][:, None] ^ prints[None, :])
-                for i, j in zip(*np.nonzero(distance <= o.radius), strict=True):
-                    _verify(words, first, at + int(part[i]), size, items, int(numbers[j]), int(places[j]), int(distance[i, j]), o, best)
+        for size, index in items.classes.items():
+            for spots, own, distances in index.near(prints_of.of(size)[:span]):
+                starts = at + spots
+                rows = np.searchsorted(first, starts, "right") - 1
+                inside = starts + size <= first[rows + 1]  # else the window runs into the next row
+                for start, row, j, distance in zip(starts[inside].tolist(), rows[inside].tolist(), own[inside].tolist(), distances[inside].tolist(), strict=True):
+                    number = int(index.numbers[j])
+                    _verify(words, int(first[row]), int(first[row + 1]), row, start - int(index.places[j]), number, items, distance, o, best, seen)
     return [(row, number, *rest) for (row, number), rest in best.items()]
 
 
-def _verify(words, first, start, size, items, number, place, distance, o, best) -> None:
-    row = int(np.searchsorted(first, start, "right")) - 1
-    low, high = int(first[row]), int(first[row + 1])
-    if start + size > high:
-        return  # the window runs into the next row
+def _verify(words, low, high, row, begin, number, items, distance, o, best, seen) -> None:
+    """Look for the item where it would begin at this word, as far around as a similar run may reach."""
+    if (begin, number) in seen:
+        return
+    seen.add((begin, number))
     item = items.words[number]
-    a, b = max(low, start - place), min(high, start - place + len(item))
-    alike = weighted_similarity(item, words[a:b])
-    if alike >= o.similarity and ((row, number) not in best or (-alike, a - low) < (-best[row, number][2], best[row, number][0])):
-        best[row, number] = (a - low, b - a, alike, distance)
+    slack = len(item) // 4 + SHINGLE
+    a, b = max(low, begin - slack), min(high, begin + len(item) + slack)
+    found = best_run(item, words[a:b], o.similarity)
+    if found:
+        alike, start, size = found
+        start += a - low
+        if (row, number) not in best or (-alike, start) < (-best[row, number][2], best[row, number][0]):
+            best[row, number] = (start, size, alike, distance)
 
 
 def _item_blocks(benchmark: DataFrame, o: LeakOptions) -> Iterator[list[tuple[int, str]]]:

@@ -457,7 +457,7 @@ def test_topk_edges(spark):
     rows = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(300)]  # many ties
     rows += [(i, [1.0, 1.0, 1.0, 1.0]) for i in range(400, 520)] + [(400, [1.0] * 4), (901, None), (902, []), (903, [1.0, None, 1.0, 1.0]), (904, [float("nan")] * 4), (1000, [float("inf")] * 4), (1100, [1.0, 2.0]), (None, [9.0] * 4)]
     data = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"v": F.lit(1), "score": F.lit("x"), "rank": F.lit(0)})
-    small = va_topk.TopkOptions(queries_per_block=3, vectors_at_once=20, cells=4)
+    small = va_topk.TopkOptions(queries_per_block=3, vectors_per_block=20, cells=4)
     for options in (va_topk.TopkOptions(), small):
         got = {tuple(r) for r in va_topk.exact_topk(data, F.col("vec_id") % 100 == 0, options).collect()}
         assert got == _brute_topk(rows)

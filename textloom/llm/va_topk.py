@@ -1,12 +1,12 @@
 """Exact top-k inner products (vector-approximation file).
 
 Vectors are scaled to integers. Equal vectors are stored once with the smallest ids that can be asked for. Each component is
-quantised to a cell of one byte; the cells are the approximation file. A scan of the cells gives, for a query, a lower and an
-upper bound of every score. Vectors whose upper bound is below the kth best lower bound are out. The exact vectors of the rest
-are read in the order of their bounds: first as many as are asked for, which sets the kth exact score; then only those whose
-bound still reaches it, after which the result is certain.
-
-Queries come in blocks of bounded size, one scan of the cells for each block.
+quantised to a cell of one byte; the cells, packed into blocks, are the approximation file. Queries are a table of blocks as
+well, and each block of cells meets each block of queries in one row: the scan gives a lower and an upper bound of every score,
+and passes on only the pairs that the best lower bounds of their block do not rule out. The kth best lower bound of a query over
+all blocks rules out more. The exact vectors of the rest are then read in the order of their upper bounds, a few at first and
+four times as many in each round; the kth best score so far falls into place, and a query is done as soon as no bound that is
+left reaches it.
 
 Defined cases: vectors that are null, empty, hold null or non-finite components, or have another dimension than most (the
 smaller one at a tie) take no part; a null id takes no part; repeated rows (equal id and vector) count once; each
@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, string_columns
+from .common import Scratch, prepare, string_columns
 
 
 @dataclass(frozen=True)
 class TopkOptions:
     k: int = 10
     scale: int = 1024
-    queries_per_block: int = 1024
-    vectors_at_once: int = 2048
+    queries_per_block: int = 512
+    vectors_per_block: int = 2048
     cells: int = 256
 
 
@@ -44,116 +44,142 @@ def integer_vectors(rows: DataFrame, scale: int) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0].d if sizes else 0)).distinct()
 
 
-def approximation_file(vectors: DataFrame, o: TopkOptions) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """(v, ids, vkey) of each distinct vector, (vkey, cells), and the cells' lowest values and widths by dimension.
+def distinct_vectors(vectors: DataFrame, o: TopkOptions) -> DataFrame:
+    """(v, ids, vkey) of each distinct vector; `ids` are its k + 1 smallest ids.
 
-    `ids` are the k + 1 smallest ids of the vector: more can never be in a result, as one at most is the query's own.
+    More can never be in a result, as one at most is the query's own.
     """
     few = vectors.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= o.k + 1)
-    distinct = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    distinct = materialize(distinct.withColumn("vkey", F.xxhash64("v")), "vectors")
+    return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("vkey", F.xxhash64("v"))
+
+
+def cell_grid(distinct: DataFrame, o: TopkOptions) -> np.ndarray:
+    """The cells' lowest values and widths, by dimension."""
     spread = distinct.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("d").toPandas()
     low, high = spread["low"].to_numpy(float), spread["high"].to_numpy(float)
-    width = np.maximum(1.0, np.ceil((high - low + 1) / o.cells))
+    return np.stack([low, np.maximum(1.0, np.ceil((high - low + 1) / o.cells))])
+
+
+def approximation_file(distinct: DataFrame, grid: np.ndarray, o: TopkOptions) -> DataFrame:
+    """(keys, cells): blocks of packed keys and cells, `vectors_per_block` at most in each."""
+    low, width = grid
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        cells: list[np.ndarray] = []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(keys).tobytes()], pa.binary()), pa.array([np.concatenate(cells).tobytes()], pa.binary())], names=["keys", "cells"])
+
         for batch in batches:
+            if not batch.num_rows:
+                continue
             v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            cells = ((v - low) // width).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in cells], pa.binary())], names=["vkey", "cells"])
-
-    cells = materialize(distinct.select("vkey", "v").mapInArrow(quantise, "vkey long, cells binary"), "cells")
-    return distinct, cells, np.stack([low, width])
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, bytes]]:
-    """Keys and joined cells of so many rows at a time."""
-    keys: list[np.ndarray] = []
-    cells: list[bytes] = []
-    for batch in batches:
-        keys.append(np.array(batch.column(0)))
-        cells += [x.as_py() for x in batch.column(1)]
-        if len(cells) >= rows:
-            yield np.concatenate(keys), b"".join(cells)
-            keys, cells = [], []
-    if cells:
-        yield np.concatenate(keys), b"".join(cells)
-
-
-def _scan(cells: DataFrame, queries: list[tuple[int, list[float]]], grid: np.ndarray, o: TopkOptions) -> DataFrame:
-    """(qkey, vkey, low, high): bounds of the vectors that a scan of the cells cannot rule out within its batch."""
-    q = np.array([v for _, v in queries], float)
-    names = np.array([k for k, _ in queries], np.int64)
-    shared = cells.sparkSession.sparkContext.broadcast((names, np.maximum(q, 0), np.minimum(q, 0), grid))
+            if held and held + batch.num_rows > o.vectors_per_block:
+                yield packed()
+                keys, cells, held = [], [], 0
+            keys.append(np.array(batch.column(0)))
+            cells.append(((v - low) // width).astype(np.uint8))
+            held += batch.num_rows
+        if held:
+            yield packed()
+
+    return distinct.select("vkey", "v").mapInArrow(quantise, "keys binary, cells binary")
+
+
+def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
+    """(block, names, vectors): the queries (qkey, q), dealt by hash into so many blocks and packed."""
+
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names = np.concatenate([np.array(c) for c in table.column("qkey").chunks])
+        flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("q").chunks])
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "names": pa.array([names.tobytes()], pa.binary()), "vectors": pa.array([flat.tobytes()], pa.binary())})
+
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("qkey", F.lit("block")), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(pack, "block long, names binary, vectors binary")
+
+
+def _scan(cells: DataFrame, asked: DataFrame, blocks: int, grid: np.ndarray, o: TopkOptions) -> DataFrame:
+    """(qkey, vkey, low, high): bounds of the vectors that the best bounds of their own block cannot rule out."""
     k = o.k + 1
+    base, width = grid
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    met = cells.withColumn("block", every).join(asked, "block").select("keys", "cells", "names", "vectors")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, up, down, (base, width) = shared.value
-        best = np.full((len(names), k), -np.inf)  # the best lower bounds that this task has seen
-        for vkeys, raw in _gathered(batches, o.vectors_at_once):
-            least = base + np.frombuffer(raw, np.uint8).reshape(len(vkeys), -1) * width
-            most = least + width - 1  # vectors are whole numbers
-            low, high = up @ least.T + down @ most.T, up @ most.T + down @ least.T
-            both = np.concatenate([best, low], axis=1)
-            best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-            i, j = np.nonzero(high >= best.min(axis=1)[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(vkeys[j]), pa.array(low[i, j].astype(np.int64)), pa.array(high[i, j].astype(np.int64))], names=["qkey", "vkey", "low", "high"])
+        for batch in batches:
+            for keys, raw, names, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                vkeys, qkeys = np.frombuffer(keys, np.int64), np.frombuffer(names, np.int64)
+                q = np.frombuffer(vectors, float).reshape(len(qkeys), -1)
+                least = base + np.frombuffer(raw, np.uint8).reshape(len(vkeys), -1) * width
+                most = least + width - 1  # vectors are whole numbers
+                up, down = np.maximum(q, 0), np.minimum(q, 0)
+                low, high = up @ least.T + down @ most.T, up @ most.T + down @ least.T
+                bar = np.partition(low, len(vkeys) - k, axis=1)[:, -k] if len(vkeys) > k else np.full(len(qkeys), -np.inf)
+                i, j = np.nonzero(high >= bar[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(qkeys[i]), pa.array(vkeys[j]), pa.array(low[i, j].astype(np.int64)), pa.array(high[i, j].astype(np.int64))], names=["qkey", "vkey", "low", "high"])
 
-    return cells.mapInArrow(bound, "qkey long, vkey long, low long, high long")
+    return met.mapInArrow(bound, "qkey long, vkey long, low long, high long")
 
 
 def _exact(pairs: DataFrame, distinct: DataFrame, queries: DataFrame) -> DataFrame:
     """Read the exact vectors of (qkey, vkey) and form the scores."""
     score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x).cast("long")
-    return pairs.join(distinct.select("vkey", "v"), "vkey").join(queries, "qkey").select("qkey", "vkey", "high", score.alias("score"))
+    return pairs.join(distinct.select("vkey", "v"), "vkey").join(queries, "qkey").select("qkey", "vkey", score.alias("score"))
+
+
+def _certain(near: DataFrame, distinct: DataFrame, queries: DataFrame, o: TopkOptions, scratch: Scratch) -> DataFrame:
+    """(qkey, vkey, score) of each query's best, from bounds (qkey, vkey, high, place), read in the order of their places."""
+    k, upto, read = o.k + 1, o.k + 1, None
+    left = near
+    while True:
+        part = scratch.write(_exact(left.where(F.col("place") <= upto), distinct, queries), "scores")
+        read = part if read is None else read.unionByName(part)
+        best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vkey")
+        read = scratch.write(read.select("qkey", "vkey", "score").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"), "best")
+        kth = read.groupBy("qkey").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
+        # A bound that equals the kth score may still hide a vector of that score with smaller ids.
+        left = left.where(F.col("place") > upto).join(kth, "qkey").where("kth IS NULL OR high >= kth").drop("kth")
+        left = scratch.write(left, "left")
+        if left.isEmpty():
+            return read
+        upto *= 4
 
 
 def exact_topk(rows: DataFrame, is_query, options: TopkOptions = TopkOptions()) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with `is_query`, its k best of all other rows of (vec_id, embedding)."""
     o, spark = options, prepare(rows.sparkSession)
-    vectors = materialize(integer_vectors(rows, o.scale), "integers")
+    scratch = Scratch(spark)
+    vectors = scratch.write(integer_vectors(rows, o.scale), "integers")
     schema = "query_id long, rank int, vec_id long, score long"
-    if vectors.isEmpty():
-        return spark.createDataFrame([], schema)
-    distinct, cells, grid = approximation_file(vectors, o)
-    asked = vectors.where(is_query).join(distinct.select("v", F.col("vkey").alias("qkey")), "v").select("vec_id", "qkey")
-    asked = materialize(asked.withColumnRenamed("vec_id", "query_id"), "asked")
+    distinct = scratch.write(distinct_vectors(vectors, o), "vectors")
+    asked = vectors.where(is_query).join(distinct.select("v", F.col("vkey").alias("qkey")), "v").select(F.col("vec_id").alias("query_id"), "qkey")
+    asked = scratch.write(asked, "asked")
     queries = distinct.join(asked.select(F.col("qkey").alias("vkey")).distinct(), "vkey").select(F.col("vkey").alias("qkey"), F.col("v").alias("q"))
-    queries = materialize(queries, "queries")
-    k = o.k + 1
-    near = None
-    block: list[tuple[int, list[float]]] = []
-
-    def scanned(block: list) -> DataFrame:
-        return _scan(cells, block, grid, o)
-
-    for r in queries.toLocalIterator():
-        block.append((r.qkey, r.q))
-        if len(block) == o.queries_per_block:
-            near = scanned(block) if near is None else near.unionByName(scanned(block))
-            block = []
-    if block:
-        near = scanned(block) if near is None else near.unionByName(scanned(block))
-    if near is None:
+    queries = scratch.write(queries, "queries")
+    blocks = -(-queries.count() // o.queries_per_block)
+    if not blocks:
+        scratch.clear()
         return spark.createDataFrame([], schema)
-    # Bounds of all batches together: the kth best lower bound of a query rules out what lies below it.
+    grid = cell_grid(distinct, o)
+    cells = scratch.write(approximation_file(distinct, grid, o), "cells")
+    near = scratch.write(_scan(cells, scratch.write(query_blocks(queries, blocks), "blocks"), blocks, grid, o), "near")
+    # Bounds of all blocks together: the kth best lower bound of a query rules out what lies below it.
+    k = o.k + 1
     by_low = Window.partitionBy("qkey").orderBy(F.desc("low"), "vkey")
-    near = materialize(near, "near")
     bar = near.select("qkey", "low", "vkey").withColumn("r", F.row_number().over(by_low)).where(F.col("r") <= k)
     bar = bar.groupBy("qkey").agg(F.when(F.count("*") == k, F.min("low")).alias("bar"))
-    near = near.join(bar, "qkey").where("bar IS NULL OR high >= bar")
     by_high = Window.partitionBy("qkey").orderBy(F.desc("high"), "vkey")
-    near = materialize(near.withColumn("place", F.row_number().over(by_high)).select("qkey", "vkey", "high", "place"), "bounded")
-    # Read in the order of bounds: k vectors first; the rest only where their bound reaches the kth score found.
-    first = materialize(_exact(near.where(F.col("place") <= k), distinct, queries), "first")
-    kth = first.groupBy("qkey").agg(F.min("score").alias("kth"))
-    rest = near.where(F.col("place") > k).join(kth, "qkey").where("high >= kth").select("qkey", "vkey", "high")
-    scores = first.unionByName(_exact(rest, distinct, queries))
+    near = near.join(bar, "qkey").where("bar IS NULL OR high >= bar").withColumn("place", F.row_number().over(by_high))
+    near = scratch.write(near.select("qkey", "vkey", "high", "place"), "bounded")
+    scores = _certain(near, distinct, queries, o, scratch)
     # A vector's ids follow at its score; k + 1 of them hold the k that remain without the query's own.
     ids = scores.join(distinct.select("vkey", "ids"), "vkey").select("qkey", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
     ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
     lists = ids.groupBy("qkey").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
+    lists = scratch.write(lists, "lists")
+    scratch.clear(asked, lists)
     found = asked.join(lists, "qkey").select("query_id", F.slice(F.filter("best", lambda x: x.vec_id != F.col("query_id")), 1, o.k).alias("best"))
     return found.select("query_id", F.posexplode("best").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
-

@@ -56,12 +56,15 @@ def _ends_clean(line: Column) -> Column:
 
 def break_ratios(text: Column) -> Column:
     """Where the breaks stand, as parts of the length without tags."""
-    plain = strip_tags(text)
-    pieces = F.split(plain, "\n")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<double>").alias("found"))
-    walk = lambda acc, p: F.struct((acc.at + F.length(p) + 1).alias("at"), F.array_append(acc.found, (acc.at + F.length(p)) / F.length(plain)).alias("found"))
-    found = F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), start, walk, lambda acc: acc.found)
-    return F.when(F.length(plain) == 0, F.array().cast("array<double>")).otherwise(found)
+
+    def ratios(x: Column) -> Column:
+        pieces = F.split(x.plain, "\n")
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<double>").alias("found"))
+        walk = lambda acc, p: F.struct((acc.at + F.length(p) + 1).alias("at"), F.array_append(acc.found, (acc.at + F.length(p)) / x.size).alias("found"))
+        found = let(pieces, lambda ps: F.aggregate(F.slice(ps, 1, F.greatest(F.size(ps) - 1, F.lit(0))), start, walk, lambda acc: acc.found))
+        return F.when(x.size == 0, F.array().cast("array<double>")).otherwise(found)
+
+    return let(let(strip_tags(text), lambda plain: F.struct(plain.alias("plain"), F.length(plain).alias("size"))), ratios)
 
 
 def _count(over: Column, condition) -> Column:
@@ -103,7 +106,8 @@ def _diagnosis(x: Column) -> Column:
         return (i > 0) & ~before.clean_end & (line.bad_start | ((before.words >= 6) & (line.words <= 3)))
 
     n_short = F.when(many, _count(t, short)).otherwise(0)
-    n_uneven = F.when(many & (no > 0), _count(t, lambda line: (line.chars / mean < 0.35) | (line.chars / mean > 2.2))).otherwise(0)
+    uneven = let(mean, lambda m: _count(t, lambda line: (line.chars / m < 0.35) | (line.chars / m > 2.2)))
+    n_uneven = F.when(many & (no > 0), uneven).otherwise(0)
     n_broken = F.when(many, _count(t, broken)).otherwise(0)
     apart = F.zip_with(x.ro, x.rt, lambda a, b: F.abs(a - b))
     n_drift = F.when((no > 1) & (nt == no) & (F.size(x.ro) == F.size(x.rt)), _count(apart, lambda d: d > 0.18)).otherwise(0)
@@ -125,7 +129,7 @@ def _targets(lens: Column, length: Column) -> Column:
     return F.aggregate(F.slice(lens, 1, F.greatest(F.size(lens) - 1, F.lit(0))), start, step, lambda acc: acc.spots)
 
 
-def _blanks(pieces: Column) -> Column:
+def _blanks(joined: Column, pieces: Column) -> Column:
     """Each blank between words: where it stands and how good a break there would be; none before a word that may not start."""
     facts = F.transform(
         pieces,
@@ -140,23 +144,24 @@ def _blanks(pieces: Column) -> Column:
     )
 
     def found(words: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,score:int>>").alias("c"))
-
-        def step(acc: Column, w: Column) -> Column:
-            return F.struct((acc.at + w.n + 1).alias("at"), F.array_append(acc.c, F.struct((acc.at + w.n).alias("at"), w.before.alias("score"))).alias("c"))
-
-        ends = F.aggregate(words, start, step, lambda acc: acc.c)
         last = F.size(words) - 1
 
-        def scored(c: Column, i: Column) -> Column:
+        def scored(at: Column, i: Column) -> Column:
             after = F.get(words, i + 1)
-            return F.struct(c.at.alias("at"), (c.score + 1 + F.coalesce(after.after, F.lit(0))).alias("score"), ((i == last) | F.coalesce(after.bad, F.lit(True))).alias("bad"))
+            score = F.get(words, i).before + 1 + F.coalesce(after.after, F.lit(0))
+            return F.struct(at.alias("at"), score.alias("score"), ((i == last) | F.coalesce(after.bad, F.lit(True))).alias("bad"))
 
-        return let(ends, lambda e: F.transform(e, scored))
+        return F.transform(_ends(joined), scored)
 
     return let(facts, found)
 
 
+def _ends(joined: Column) -> Column:
+    """Where each piece between blanks ends, the last one with the text; one pass over the characters."""
+    blanks = F.transform(F.split(joined, ""), lambda c, i: F.when(c == " ", i))
+    return F.array_append(F.array_compact(blanks), F.length(joined))
+
+
 def propose(original: Column, translation: Column) -> Column:
     """The translation split where the original's breaks would fall, at the best blank near each; unchanged if there is none."""
     given = F.struct(F.transform(lines_of(original), _chars).alias("lens"), one_line(translation).alias("joined"), translation.alias("translation"))
@@ -164,16 +169,22 @@ def propose(original: Column, translation: Column) -> Column:
     def split(x: Column) -> Column:
         length = F.length(x.joined)
         reach = F.greatest(F.lit(20), F.round(length * 0.25).cast("int"))
-        parts = F.struct(F.split(x.joined, " ").alias("pieces"), _blanks(F.split(x.joined, " ")).alias("blanks"), _targets(x.lens, length).alias("targets"), length.alias("length"), reach.alias("reach"))
+        parts = F.struct(F.split(x.joined, " ").alias("pieces"), _blanks(x.joined, F.split(x.joined, " ")).alias("blanks"), _targets(x.lens, length).alias("targets"), length.alias("length"), reach.alias("reach"))
 
         def chosen(y: Column) -> Column:
             good = F.filter(y.blanks, lambda c: ~c.bad & (c.at >= 1) & (c.at < y.length - 1))
 
             def pick(acc: Column, target: Column) -> Column:
-                near = F.filter(good, lambda c: ~F.array_contains(acc, c.at) & (F.abs(c.at - target) <= y.reach))
+                near = F.filter(good, lambda c: F.abs(c.at - target) <= y.reach)
                 costs = F.transform(near, lambda c: F.struct((F.abs(c.at - target) - 4 * c.score).alias("cost"), c.at.alias("at")))
-                best = F.array_min(costs)
-                return F.when(best.isNotNull(), F.array_append(acc, best.at)).otherwise(acc)
+
+                def free(found: Column) -> Column:
+                    # Only where the best blank is taken already are all of them held against those taken.
+                    best = F.array_min(found)
+                    other = F.array_min(F.filter(found, lambda c: ~F.array_contains(acc, c.at)))
+                    return F.when(F.array_contains(acc, best.at), other).otherwise(best)
+
+                return let(let(costs, free), lambda best: F.when(best.isNotNull(), F.array_append(acc, best.at)).otherwise(acc))
 
             picked = F.aggregate(y.targets, F.array().cast("array<int>"), pick)
             glue = lambda p: F.zip_with(y.pieces, y.blanks, lambda w, c: F.concat(w, F.when(c.at >= y.length, "").when(F.array_contains(p, c.at), "\n").otherwise(" ")))

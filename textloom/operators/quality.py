@@ -65,7 +65,8 @@ def scan_line_split(entries: DataFrame, compat: bool = True) -> DataFrame:
     out, and those below 45 are high. With `compat=False` an entry is an issue from 25 on, and high from 50 on.
     """
     o, t = F.col("original"), F.col("translation")
-    rows = entries.where(~is_blank(t)).withColumn("_d", linesplit.diagnose(o, t)).withColumn("_p", linesplit.propose(o, t))
+    # A generated row: the conditions below then read the values instead of working them out again.
+    rows = entries.where(~is_blank(t)).select("*", F.inline(F.array(F.struct(linesplit.diagnose(o, t).alias("_d"), linesplit.propose(o, t).alias("_p")))))
     score = F.col("_d.score")
     rows = rows.where(score < 75 if compat else score >= linesplit.SHOWN).where((F.col("_p") != "") & (F.col("_p") != t))
     severity = F.when(score < 45 if compat else score >= linesplit.SHOWN_WITHOUT_PROPOSAL, "high").otherwise("medium")

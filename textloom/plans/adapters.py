@@ -110,10 +110,9 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents with tags, and copies of them that lose, gain or break something, by the document's number."""
+    """Whole documents with tags, and copies of them that lose, gain or break something, by the document's number."""
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND length(text) > 0")
-    line = F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" "))
-    original = F.concat(F.lit("[XENO:wait a=b ]"), line, F.lit("[System:Color name=x ]"), F.when(F.col("doc_id") % 2 == 0, F.lit("\nmore words here")).otherwise(""), F.lit("[/System:Color]"))
+    original = F.concat(F.lit("[XENO:wait a=b ]"), "text", F.lit("[System:Color name=x ]"), F.when(F.col("doc_id") % 2 == 0, F.lit("\nmore words here")).otherwise(""), F.lit("[/System:Color]"))
     k = F.col("doc_id") % 5
     translation = (
         F.when(k == 0, original)

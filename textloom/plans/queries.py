@@ -416,7 +416,7 @@ def package_paths(spark, sf_dir):
 
 _PAIRS = """pairs AS (SELECT doc_id, original, CASE doc_id % 5 WHEN 0 THEN original WHEN 1 THEN replace(original, '[XENO:wait a=b ]', '') WHEN 2 THEN original || '[ML:icon ]'
     WHEN 3 THEN replace(original, '[/System:Color]', '[/System:Other]') ELSE replace(original, chr(10), ' ') END AS translation FROM (
-  SELECT doc_id, '[XENO:wait a=b ]' || replace(substr(text, 1, 60), chr(10), ' ') || '[System:Color name=x ]' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'more words here' ELSE '' END || '[/System:Color]' AS original
+  SELECT doc_id, '[XENO:wait a=b ]' || text || '[System:Color name=x ]' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'more words here' ELSE '' END || '[/System:Color]' AS original
   FROM documents WHERE length(text) > 0))"""
 
 
@@ -427,13 +427,20 @@ def symbol_scan(spark, sf_dir):
     return quality.scan_symbols(A.text_pairs(spark, sf_dir)).select("path", "kind", "severity")
 
 
-@query(f"""WITH {_PAIRS} SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN replace(translation, '[ML:icon ]', '') WHEN doc_id % 5 = 0 THEN original END AS restored FROM pairs WHERE doc_id % 5 IN (0, 2)""")
+@query(r"""SELECT doc_id, md5(regexp_replace(text || CASE WHEN doc_id % 2 = 0 THEN 'more words here' ELSE '' END, '[ \t\r\n]+', '', 'g')) AS words,
+  1 AS waits, 1 AS opened, 1 AS closed, 0 AS others FROM documents WHERE length(text) > 0""")
 def restored_tags(spark, sf_dir):
-    rows = A.text_pairs(spark, sf_dir).where("seg_no % 5 IN (0, 2)")
-    return rows.select(F.col("seg_no").cast("long").alias("doc_id"), markup.restore(F.col("original"), F.col("translation")).alias("restored"))
+    """All copies with the original's tags again, each as often, and their words (laid out anew where breaks were lost)."""
+    restored = A.text_pairs(spark, sf_dir).select(F.col("seg_no").cast("long").alias("doc_id"), markup.restore(F.col("original"), F.col("translation")).alias("t"))
+    tags = {"waits": "[XENO:wait a=b ]", "opened": "[System:Color name=x ]", "closed": "[/System:Color]"}
+    found = restored.withColumn("n", F.size(F.regexp_extract_all("t", F.lit(markup.ANY_TAG), 0)))
+    counts = [markup.count_of(F.col("t"), F.lit(tag)).alias(name) for name, tag in tags.items()]
+    others = (F.col("n") - sum((markup.count_of(F.col("t"), F.lit(tag)) for tag in tags.values()), F.lit(0))).alias("others")
+    plain = F.regexp_replace(F.regexp_replace("t", markup.ANY_TAG, ""), r"[ \t\r\n]+", "")
+    return found.select("doc_id", F.md5(plain).alias("words"), *counts, others)
 
 
-@query(f"""WITH {_PAIRS} SELECT count(*) AS scanned, CAST(count_if(doc_id % 5 IN (1, 2, 3) OR (doc_id % 5 = 4 AND doc_id % 2 = 0)) AS BIGINT) AS flagged FROM pairs""")
+@query(f"""WITH {_PAIRS} SELECT count(*) AS scanned, CAST(count_if(doc_id % 5 IN (1, 2, 3) OR (doc_id % 5 = 4 AND contains(original, chr(10)))) AS BIGINT) AS flagged FROM pairs""")
 def symbol_scan_totals(spark, sf_dir):
     entries = A.text_pairs(spark, sf_dir)
     return quality.scan_totals(entries, quality.scan_symbols(entries))

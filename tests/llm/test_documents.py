@@ -99,6 +99,35 @@ def test_token_scan_edges(spark, monkeypatch):
     assert got == [(0, 0, 0, 2, True), (0, 1, 3, 0, True), (0, 2, 4, 3, False), (1, 0, 0, 0, True), (1, 1, 1, 0, True), (1, 2, 2, 1, False)]
 
 
+def test_token_files_on_disk(spark, tmp_path):
+    rng, want = np.random.default_rng(5), Counter()
+    for width, kind in ((2, "<u2"), (4, "<u4")):
+        folder = tmp_path / f"w{width}"
+        folder.mkdir()
+        for k in range(4):
+            lengths = rng.integers(0, 40, int(rng.integers(0, 30))).tolist()
+            ids = np.concatenate([np.zeros(0, int), *(np.append(rng.integers(0, 49407, n), 49407) for n in lengths)])
+            ids = np.append(ids, [5] * k)  # ids after the last separator: an unfinished document
+            ids.astype(kind).tofile(folder / f"part{k}.bin")
+            want += Counter((width, n, True) for n in lengths) + Counter([(width, k, False)] if k else [])
+    got = Counter()
+    for width in (2, 4):
+        files = token_scan.read_token_files(spark, str(tmp_path / f"w{width}"), width, block_ids=11)
+        got += Counter((width, r.n_tokens, r.ended) for r in token_scan.scan_separators(files, 49407, width).collect())
+    assert got == want
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "x.bin").write_bytes(b"123")
+    with pytest.raises(Exception, match="no whole number of ids"):
+        token_scan.read_token_files(spark, str(tmp_path / "odd")).collect()
+
+
+def test_ids_that_two_bytes_cannot_hold_are_an_error():
+    assert token_scan._narrow(np.array([1, 65535], "<u4").tobytes(), 2) == np.array([1, 65535], "<u2").tobytes()
+    with pytest.raises(ValueError, match="does not fit"):
+        token_scan._narrow(np.array([65536], "<u4").tobytes(), 2)
+    assert token_scan._narrow(np.array([65536], "<u4").tobytes(), 4) == np.array([65536], "<u4").tobytes()
+
+
 def _brute_components(texts):
     sets = {}
     for i, t in texts.items():
@@ -392,6 +421,43 @@ def test_quality_on_held_out_labels(spark):
     assert len(got) == 1000 and np.mean([a == b for a, b in held]) > 0.93
 
 
+def test_quality_scores_by_plain_compression(spark):
+    import zstandard
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality_zdict.fit_quality(docs, spark.read.parquet(f"{sf}/labels.parquet").where(queries.id_fold(3) != 1))
+    assert model.good and model.bad and model.slope > 0
+
+    def size(data, words):
+        plain = lambda: zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(words), write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(plain().compress(data[i : i + model.piece_bytes])) for i in range(0, len(data), model.piece_bytes))
+
+    for r in quality_zdict.score_quality(docs, model).collect():
+        data = (r.text or "").encode()
+        good, bad = size(data, model.good), size(data, model.bad)
+        x = (bad - good) / (bad + good) if data else 0.0
+        assert r.quality_score == pytest.approx(1 / (1 + np.exp(-(model.slope * x + model.shift))), abs=1e-9)
+
+
+def test_logistic_curve_is_where_its_gradient_is_none():
+    rng = np.random.default_rng(7)
+    x = rng.normal(0.02, 0.05, 400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(40 * x - 0.5)))).astype(float)
+    slope, shift = quality_zdict._logistic(x, y)
+    p = 1 / (1 + np.exp(-(slope * x + shift)))
+    assert abs((p - y).sum()) < 0.05 and abs(((p - y) * (x - x.mean()) / x.std()).sum()) < 0.05 and 20 < slope < 60
+
+
+def test_rows_without_an_id_are_held_out(spark, tmp_path):
+    rows = [(None, "no id at all here", "en"), (5, "some words that stand here", "en"), (6, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (queries.op3_quality, queries.op7_language_id):
+        got = {r.doc_id: r.held_out for r in query(spark, str(tmp_path)).collect()}
+        assert got[None] is True and None not in got.values()
+
+
 def test_quality_edges(spark):
     docs = _docs(spark, EDGES)
     none = quality_zdict.fit_quality(docs, spark.createDataFrame([], "doc_id long, quality int"))
@@ -414,6 +480,43 @@ def test_language_on_held_out_documents(spark):
     assert len(got) == len(langs) and np.mean(held) > 0.98
 
 
+def _plain_grams(text, sizes):
+    """Counts of the n-grams of letters, a blank at their ends at most."""
+    plain = " " + " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()) + " "
+    return Counter(plain[i : i + n] for n in sizes for i in range(len(plain) - n + 1) if " " not in plain[i + 1 : i + n - 1]) if plain.strip() else Counter()
+
+
+def test_languages_by_plain_sets_of_ngrams(spark):
+    sf, o = "/root/testdata/sf0.01", langid.FitOptions()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    learn = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None and r.text]
+    counts, chars = defaultdict(Counter), Counter()
+    for r in learn:
+        counts[r.lang] += _plain_grams(r.text, o.sizes)
+        chars[r.lang] += len(r.text)
+    share = {x: {g: n / chars[x] for g, n in c.items() if n >= o.least_count} for x, c in counts.items()}
+    most = Counter()
+    for own in share.values():
+        for g, v in own.items():
+            most[g] = max(most[g], v)
+    known = {x: {g for g, v in own.items() if v >= o.least_share * most[g]} for x, own in share.items()}
+    assert all(len(k) <= o.grams_per_language for k in known.values())
+    got = {r.doc_id: r for r in queries.op7_language_id(spark, sf).collect()}
+    same = near = seen = 0
+    for r in rows:
+        grams = _plain_grams(r.text, o.sizes)
+        total = sum(grams.values())
+        if not total:
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        shares = {x: sum(n for g, n in grams.items() if g in k) / total for x, k in known.items()}
+        best = max(sorted(shares), key=shares.get)
+        seen += 1
+        same += got[r.doc_id].lang_pred == best
+        near += abs(got[r.doc_id].score - shares[best] / max(1e-12, sum(shares.values()))) < 0.02
+    assert seen > 900 and same >= 0.995 * seen and near >= 0.98 * seen
+
+
 def test_language_edges(spark):
     rows = [(i, "the cat sat on the mat and the dog ran", "en") for i in range(5)] + [(9 + i, "der hund und die katze sind nicht hier", "de") for i in range(5)] + [(30, "x", None)]
     model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

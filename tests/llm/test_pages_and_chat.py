@@ -4,6 +4,7 @@ import re
 import time
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,17 @@ def test_windows_keep_system_repeat_history_and_mask_it(spark):
     assert chat_windows.read_back(chat_windows.format_windows(data.limit(0))).collect() == []
 
 
+def test_chat_equals_its_sql_with_nulls(spark, tmp_path):
+    rows = [(1, None, "user", "a"), (1, 0, "assistant", "b"), (1, None, None, None), (1, 2, "assistant", None), (2, 3, "system", "s"), (2, None, "assistant", "x" * 50), (3, 1, None, "&lt;| & <|")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op8_chat"])
+    names = [c[0] for c in want.description]
+    got = queries.op8_chat(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_chat_plan_runs_no_python(spark, sf_dir):
     plan = queries.op8_chat(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -5,6 +5,7 @@ import time
 from collections import defaultdict
 
 from textloom.llm import pii_bootstrap
+from textloom.llm.common import Scratch
 from textloom.llm.pii_bootstrap import KINDS
 
 
@@ -112,7 +113,7 @@ def test_added_spans_by_brute_force(spark):
     o = pii_bootstrap.BootstrapOptions()
     patterns = _brute_patterns(texts, o)
     rows = _rows(spark, [*enumerate(texts), (-1, None), (-2, "")])
-    assert {tuple(r) for r in pii_bootstrap.learn_patterns(rows, o).collect()} == patterns
+    assert {tuple(r) for r in pii_bootstrap.learn_patterns(rows, Scratch(spark), o).collect()} == patterns
     by_kind = {k: frozenset(p for kind, p in patterns if kind == k) for k in KINDS}
     got = {r.doc_id: r.spans for r in pii_bootstrap.find_spans(rows).collect()}
     assert all(got[i] == pii_bootstrap._joined(pii_bootstrap.all_spans(t, by_kind)[1]) for i, t in enumerate(texts)) and got[-1] == got[-2] == ""

@@ -39,6 +39,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession).write(df, name)
 
 
+_WRITTEN: set[str] = set()  # scratch tables of this process that are not deleted yet
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.discard(path)
+
+
 class Scratch:
     """Written tables of one call of an operator. `clear` deletes those that its result does not read."""
 
@@ -48,6 +57,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{checkpoint_dir(self.spark)}/textloom/{name}-{uuid.uuid4().hex}"
+        _WRITTEN.add(path)
         df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(table)] = (table, path)
@@ -55,14 +65,24 @@ class Scratch:
 
     def clear(self, *keep: DataFrame) -> None:
         kept = {id(df) for df in keep}
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for key, (_, path) in list(self.paths.items()):
             if key not in kept:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
+                _delete(self.spark, path)
                 del self.paths[key]
 
 
+def stored(make, name: str) -> DataFrame:
+    """Write what `make()` returns and delete every scratch table that making it has left: those that its plan still read."""
+    before = set(_WRITTEN)
+    made = make()
+    scratch = Scratch(made.sparkSession)
+    table = scratch.write(made, name)
+    (own,) = (path for _, path in scratch.paths.values())
+    for path in _WRITTEN - before - {own}:
+        _delete(made.sparkSession, path)
+    return table
+
+
 def string_columns(table: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns never clash with an operator's own."""
     return table.select(*[F.col(f"`{n}`") for n in names])

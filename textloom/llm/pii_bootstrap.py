@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize, prepare, string_columns
+from .common import Scratch, prepare, string_columns
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -160,7 +160,7 @@ def _instance(text: str) -> str:
     return plain if len(plain) <= 64 else hashlib.sha256(plain.encode("utf-8", "replace")).hexdigest()
 
 
-def context_graph(docs: DataFrame) -> DataFrame:
+def context_graph(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (kind, pattern, instance, seed, shaped), each once, over all texts; shaped: seen as no base span."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def context_graph(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "pattern", "instance", "seed"])
 
     edges = docs.select("text").mapInArrow(read, "kind string, pattern string, instance string, seed boolean")
-    return materialize(edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), (~F.min("seed")).alias("shaped")), "graph")
+    return scratch.write(edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), (~F.min("seed")).alias("shaped")), "graph")
 
 
 def _least_share(hits: F.Column, n: F.Column, z: float) -> F.Column:
@@ -186,7 +186,7 @@ def _least_share(hits: F.Column, n: F.Column, z: float) -> F.Column:
     return (p + zz / (2 * n) - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + zz / (4 * n * n))) / (1 + zz / n)
 
 
-def score_patterns(edges: DataFrame, options: BootstrapOptions = BootstrapOptions()) -> DataFrame:
+def score_patterns(edges: DataFrame, scratch: Scratch, options: BootstrapOptions = BootstrapOptions()) -> DataFrame:
     """(kind, pattern, seeds, shaped, confidence, good) after the last round; seeds: with instances that a good pattern has found."""
     o = options
     instances = edges.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("s"), F.max("seed").alias("believed"))
@@ -196,20 +196,20 @@ def score_patterns(edges: DataFrame, options: BootstrapOptions = BootstrapOption
         near = edges.join(instances, ["kind", "instance"])
         patterns = near.groupBy("kind", "pattern").agg(F.count_if("believed").alias("seeds"), F.max("shaped").alias("shaped"), F.sum("s").alias("s"), F.count("*").alias("n"))
         score = F.when(F.col("seeds") >= o.least_seeds, _least_share(F.col("s"), F.col("n"), o.deviations)).otherwise(0.0)
-        patterns = materialize(patterns.select("kind", "pattern", "seeds", "shaped", score.alias("confidence")).withColumn("good", good), "patterns")
+        patterns = scratch.write(patterns.select("kind", "pattern", "seeds", "shaped", score.alias("confidence")).withColumn("good", good), "patterns")
         if step + 1 < o.rounds:
             # Noisy or: an instance that is no seed is believed as far as its good patterns are, together.
             told = edges.join(patterns.where("good").select("kind", "pattern", "confidence"), ["kind", "pattern"], "left").groupBy("kind", "instance")
             against = F.exp(F.sum(F.log(1 - F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))
             told = told.agg(F.max("seed").alias("seed"), F.count("confidence").alias("k"), against.alias("against"))
             instances = told.select("kind", "instance", F.when(F.col("seed"), 1.0).when(F.col("k") > 0, 1 - F.col("against")).otherwise(0.0).alias("s"), (F.col("seed") | (F.col("k") > 0)).alias("believed"))
-            instances = materialize(instances, "instances")
+            instances = scratch.write(instances, "instances")
     return patterns
 
 
-def learn_patterns(docs: DataFrame, options: BootstrapOptions = BootstrapOptions()) -> DataFrame:
+def learn_patterns(docs: DataFrame, scratch: Scratch, options: BootstrapOptions = BootstrapOptions()) -> DataFrame:
     """(kind, pattern) of all high-confidence patterns that stand around a string that is no base span."""
-    return score_patterns(context_graph(docs), options).where("good AND shaped").select("kind", "pattern")
+    return score_patterns(context_graph(docs, scratch), scratch, options).where("good AND shaped").select("kind", "pattern")
 
 
 def _pattern_blocks(patterns: DataFrame, o: BootstrapOptions) -> Iterator[dict[str, frozenset[str]]]:
@@ -226,7 +226,8 @@ def _pattern_blocks(patterns: DataFrame, o: BootstrapOptions) -> Iterator[dict[s
 def _with_last_block(rows: DataFrame, at: int, o: BootstrapOptions) -> tuple[DataFrame, dict[str, frozenset[str]]]:
     """`rows` with a last column, the numbers of the shaped spans that all blocks of patterns but one find; and that one."""
     spark = rows.sparkSession
-    blocks = _pattern_blocks(learn_patterns(rows.select(F.col(f"`{rows.columns[at]}`").alias("text")), o), o)
+    learning = Scratch(spark)
+    blocks = _pattern_blocks(learn_patterns(rows.select(F.col(f"`{rows.columns[at]}`").alias("text")), learning, o), o)
     last = next(blocks)
     rows = rows.withColumn("_" + "".join(rows.columns), F.lit(None).cast("array<int>"))  # a name that no column has
     before = None
@@ -244,6 +245,7 @@ def _with_last_block(rows: DataFrame, at: int, o: BootstrapOptions) -> tuple[Dat
         if before is not None:
             before.clear()
         last, before = block, scratch
+    learning.clear()
     return rows, last
 
 

@@ -1,11 +1,15 @@
 """Token counts of flat, unindexed token files (separator scan).
 
-A flat file is a run of 16-bit ids cut into blocks of a fixed number of ids, wherever documents end. The scan looks at each
-block alone, in one vectorised comparison, and notes where the end-of-document id stands; a two-level prefix sum over the
-blocks' small summaries then stitches the documents that cross blocks.
+A flat file is a run of ids of a fixed width (two bytes or four, little-endian) without any index, read in blocks of a fixed
+number of ids, wherever documents end. The scan looks at each block alone, in one vectorised comparison, and notes where the
+end-of-document id stands; a two-level prefix sum over the blocks' small summaries then stitches the documents that cross blocks.
+
+`read_token_files` reads such files from a folder (up to 2 GB each, as Spark reads a binary file whole; blocks leave the task one
+by one). `write_token_files` makes them from documents, as a table of blocks, so that any file system that Spark writes to holds them.
 
 Defined cases: an empty document has 0 tokens; ids after the last separator are a last document with `ended` false; an empty
-block or file gives no rows; a null text counts as empty; repeated rows count once each.
+block or file gives no rows; bytes at the end of a file that make no whole id are an error, as is an id that the width cannot
+hold; a null text counts as empty; repeated rows count once each.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare, string_columns
@@ -24,7 +28,39 @@ BLOCK_IDS = 1 << 16
 CHUNK_BLOCKS = 1024
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
+def _ids(width: int) -> str:
+    return {2: "<u2", 4: "<u4"}[width]
+
+
+def _narrow(ids: bytes, width: int) -> bytes:
+    """Ids of four bytes in the file's width."""
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) >= 1 << 16:
+        raise ValueError(f"token id {int(wide.max())} does not fit two bytes; write with width=4")
+    return wide.astype("<u2").tobytes()
+
+
+def read_token_files(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """(file_id, block_no, data, path) of the flat files that a path names; `file_id` is a hash of the file's own path."""
+    prepare(spark)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = width * block_ids
+        for batch in batches:
+            for file_id, name, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+                data = content.as_buffer() or b""
+                if len(data) % width:
+                    raise ValueError(f"{name} holds {len(data)} bytes: no whole number of ids")
+                for at in range(0, len(data), size):
+                    yield pa.RecordBatch.from_arrays([pa.array([file_id.as_py()], pa.int64()), pa.array([at // size], pa.int64()), pa.array([bytes(data[at : at + size])], pa.binary()), pa.array([name.as_py()], pa.string())], names=["file_id", "block_no", "data", "path"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file_id"), "path", "content")
+    return files.mapInArrow(cut, "file_id long, block_no long, data binary, path string")
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS, width: int = 2) -> DataFrame:
     """Tokenize into one flat file for each partition: (file_id, block_no, data, doc_ids).
 
     `doc_ids` names the documents that end in the block; it serves to check results and no scan reads it.
@@ -36,11 +72,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: i
         from pyspark import TaskContext
 
         part, words = TaskContext.get().partitionId(), encoder(tokenizer, literal=True)
-        size, number, held, names, end = 2 * block_ids, 0, bytearray(), [], np.array([end_id], "<u2").tobytes()
+        size, number, held, names, end = width * block_ids, 0, bytearray(), [], _narrow(np.array([end_id], "<u4").tobytes(), width)
         ends: list[int] = []  # bytes of `held` up to each document's end
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held += np.frombuffer(words.encode(text.as_py()), "<u4").astype("<u2").tobytes() + end
+                held += _narrow(words.encode(text.as_py()), width) + end
                 names.append(doc)
                 ends.append(len(held))
             rows = []
@@ -57,7 +93,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: i
     return materialize(string_columns(docs, "doc_id", "text").mapInArrow(write, "file_id long, block_no long, data binary, doc_ids array<long>"), "tokens")
 
 
-def scan_separators(files: DataFrame, end_id: int) -> DataFrame:
+def scan_separators(files: DataFrame, end_id: int, width: int = 2) -> DataFrame:
     """One row for each document of flat files (file_id, block_no, data): file_id, doc_no, start, n_tokens, ended."""
     prepare(files.sparkSession)
 
@@ -66,7 +102,7 @@ def scan_separators(files: DataFrame, end_id: int) -> DataFrame:
             files_, numbers, data = (batch.column(i) for i in range(3))
             sizes, ends = [], []
             for block in data:
-                ids = np.frombuffer(block.as_buffer() or b"", "<u2")
+                ids = np.frombuffer(block.as_buffer() or b"", _ids(width))
                 sizes.append(len(ids))
                 ends.append(np.flatnonzero(ids == end_id))
             yield pa.RecordBatch.from_arrays([files_, numbers, pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["file_id", "block_no", "n", "ends"])

@@ -1,7 +1,14 @@
 """Corpus pipeline: quality, near-copies, benchmark leaks, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-`docs`. `run` writes each stage's result and reads it again, so that a lost executor never repeats more than a stage.
+`docs`. `run` writes each stage's result and reads it again, so that a lost executor never repeats more than a stage, and deletes
+what the stage has written on its way.
+
+Defined cases: a null or empty text has the quality score of the curve at 0 and stays or goes by that; texts without words are
+near copies of nothing and all stay, as does one of each group of equal or similar texts (the smallest doc_id; where ids are
+null or repeated, one of the rows that have the text); benchmark items that are null or empty remove nothing; personal data is
+replaced in place and n_chars follows the text; every row that is left is packed, an empty text as its closing id alone. Empty
+tables, extra columns with any names and rows without labels are allowed; columns that are not text pass through.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, packing, pii_bootstrap, quality_zdict, trie_join
-from textloom.llm.common import materialize, prepare
+from textloom.llm.common import prepare, stored
 from textloom.llm.queries import id_fold, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -63,5 +70,5 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0])
+        docs = stored(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name.split()[0])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import smart_chunks
 from textloom.operators import rebuild
 from textloom.operators.translate import TransformOptions, chunk_counts, mark, render_prompt, translate_by_column, translate_one, translate_segments
-from textloom.plans.jobs import translate_files, translate_type
+from textloom.plans.jobs import job_rows, translate_files, translate_type
 from textloom.sources import detect, packages, text_formats, trees
 
 
@@ -171,8 +171,12 @@ def test_json(spark):
     assert sorted(_texts(trees.json_all_segments(_files(spark, '{"id": "x", "b": ["7"]}')))) == ["7", "x"]
     assert trees.json_depths(_files(spark, '{"a": [1, {"b": {}}]}')).first().depth == 3
     with pytest.raises(Exception, match="no valid json"):
-        trees.json_segments(_files(spark, "{")).collect()
-    assert trees.json_segments(_files(spark, "{"), strict=False).collect() == []
+        trees.json_segments(_files(spark, "{"), strict=True).collect()
+    broken = trees.json_segments(_files(spark, "{", '{"a": "x"}', "")).orderBy("file_id").collect()
+    assert [r.kind for r in broken] == ["error", "leaf", "error"] and broken[0].text.startswith("no valid json") and not broken[0].translatable
+    null = spark.createDataFrame([(1, None), (2, '{"a": 1}'), (3, "[" * 5000 + "]" * 5000)], "file_id long, content string")
+    assert [r.kind for r in trees.yaml_segments(null).where("file_id = 1").collect()] in ([], ["error"])
+    assert {r.file_id: r.depth for r in trees.json_depths(null).collect()}[2] == 1
 
 
 def test_tsv(spark):
@@ -206,9 +210,9 @@ def _book():
     made = io.BytesIO()
     with zipfile.ZipFile(made, "w") as z:
         z.writestr("mimetype", "application/epub+zip")
-        z.writestr("META-INF/container.xml", '<rootfile full-path="OEBPS/content.opf"/>')
+        z.writestr("META-INF/container.xml", '<c:container xmlns:c="urn:c"><c:rootfile media-type="x" full-path="OEBPS/content.opf"/></c:container>')
         items = '<item id="b" href="../b.xhtml" media-type="application/xhtml+xml"/><item id="a" href="t/a.xhtml" media-type="application/xhtml+xml"/><item id="c" href="c.css" media-type="text/css"/>'
-        z.writestr("OEBPS/content.opf", items + '<itemref idref="a"/><itemref idref="b"/><itemref idref="gone"/>')
+        z.writestr("OEBPS/content.opf", f'<package xmlns="urn:p">{items}<itemref idref="a"/><itemref idref="b"/><itemref idref="gone"/></package>')
         z.writestr("OEBPS/t/a.xhtml", "<p>One <b>two</b></p>")
         z.writestr("b.xhtml", "<p>Three</p><pre>no</pre>")
         z.writestr("OEBPS/c.css", "p{}")
@@ -254,6 +258,21 @@ def test_readers(spark, tmp_path):
     assert {bytes(r.content) for r in detect.read_binary_files(spark, str(tmp_path / "in")).collect()} == {b"x\ny", b"z"}
 
 
+def test_broken_files_fail_alone(spark):
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("mimetype", "application/epub+zip")
+    rows = [(1, bytearray(_book())), (2, bytearray(b"no zip")), (3, None), (4, bytearray(made.getvalue()))]
+    files = spark.createDataFrame(rows, "file_id long, content binary")
+    for kind, good in (("epub", {1}), ("docx", set())):
+        out = {r.file_id: r for r in job_rows(translate_type(files, kind)).collect()}
+        assert {i for i, r in out.items() if r.status == "completed"} == good and all(r.error for i, r in out.items() if i not in good)
+    text = spark.createDataFrame([(1, '{"a": "b"}'), (2, "{"), (3, None)], "file_id long, content string")
+    for kind in ("json", "json_game", "yaml"):
+        out = {r.file_id: r for r in translate_type(text, kind).collect()}
+        assert "[T]b" in out[1].output and out[1].error is None and (out[2].output, out[2].total_chunks) == ("", 0) and out[2].error
+
+
 def test_router(spark):
     rows = [(1, "a.txt", "one\ntwo"), (2, "b.md", "x\n\ny"), (3, "c.json", '{"a": "b"}'), (4, "d.csv", "a,1"), (5, "e.yaml", "k: v"), (6, "f.html", "<p>t</p>"), (7, "g.txt", "")]
     out = {r.file_id: r for r in translate_files(spark.createDataFrame(rows, "file_id long, file_name string, content string")).collect()}

@@ -173,6 +173,18 @@ def progress_series(finished: DataFrame) -> DataFrame:
     return rows.withColumn("progress", F.col("processed") / total * 100)
 
 
+def never_falling(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """`rows` with `shown`: the highest value of the key so far."""
+    return rows.withColumn("shown", F.max(value).over(Window.partitionBy(key).orderBy(*order)))
+
+
+def merged_settings(stored: Column, defaults: dict[str, str]) -> Column:
+    """Settings as a map: the stored JSON object's values over the defaults; unknown names and invalid JSON change nothing."""
+    read = F.from_json(stored, "map<string,string>")
+    value = lambda name, usual: F.coalesce(F.try_element_at(read, F.lit(name)), F.lit(usual))
+    return F.create_map(*[x for name, usual in defaults.items() for x in (F.lit(name), value(name, usual))])
+
+
 def newest_within(lines: DataFrame, budget: int) -> DataFrame:
     """The newest lines (log, line_no, line) of each log that fit a budget of bytes; it stops at the first that does not."""
     by = Window.partitionBy("log").orderBy(F.desc("line_no"))

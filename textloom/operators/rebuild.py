@@ -110,6 +110,14 @@ def _replaced(tree: object, path: str, by_path: dict[str, str], keep_empty: bool
     return tree
 
 
+def _dumped(tree: object, kind: str) -> str:
+    if kind == "yaml":
+        import yaml
+
+        return yaml.safe_dump(tree, allow_unicode=True, sort_keys=False, width=float("inf"))
+    return json.dumps(tree, indent=2, ensure_ascii=False)
+
+
 def _write_trees(files: DataFrame, segments: DataFrame, kind: str, root: str, keep_empty: bool) -> DataFrame:
     both = files.select("file_id", "content").join(replacements(segments), "file_id", "left")
     counts = _kept(both)
@@ -118,13 +126,10 @@ def _write_trees(files: DataFrame, segments: DataFrame, kind: str, root: str, ke
         for batch in batches:
             out = []
             for content, by_path in zip(batch["content"], batch["by_path"], strict=True):
-                tree = _replaced(load(content, kind), root, dict(by_path or {}), keep_empty)
-                if kind == "yaml":
-                    import yaml
-
-                    out.append(yaml.safe_dump(tree, allow_unicode=True, sort_keys=False, width=float("inf")))
-                else:
-                    out.append(json.dumps(tree, indent=2, ensure_ascii=False))
+                try:
+                    out.append(_dumped(_replaced(load(content or "", kind), root, dict(by_path or {}), keep_empty), kind))
+                except Exception:  # a file that does not parse or is nested too deep: its error row says so
+                    out.append(None)
             yield batch[["file_id", *counts]].assign(output=out)
 
     return both.mapInPandas(write, ", ".join(["file_id long", "output string", *(f"{c} long" for c in counts)]))
@@ -168,6 +173,9 @@ def write_epub(files: DataFrame, segments: DataFrame) -> DataFrame:
             for content, chapters in zip(batch["content"], batch["chapters"], strict=True):
                 nodes = {c["path"]: c["nodes"] for c in (chapters if chapters is not None else [])}
                 made = io.BytesIO()
+                if content is None or not zipfile.is_zipfile(io.BytesIO(content)):
+                    out.append(None)
+                    continue
                 with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as new:
                     infos = [i for i in old.infolist() if not i.is_dir()]
                     for info in sorted(infos, key=lambda i: i.filename != "mimetype"):
@@ -217,7 +225,9 @@ def stored_name(key: Column) -> Column:
 
 
 def valid_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether a text is one JSON value and nothing more; the parser by itself passes over what follows a value."""
+    member = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}")))
+    return F.try_parse_json(text).isNotNull() & member.isNotNull() & F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
 
 
 def game_warnings(text: Column) -> Column:

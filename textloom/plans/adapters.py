@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +114,76 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select(F.col("conv_id").alias("file_id"), F.lit("talk.json").alias("file_name"), content.alias("content"))
 
 
+def customer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation as a JSON list of labels and segments."""
+    per = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))).alias("t"))
+    items = F.transform("t", lambda x: F.struct(x.c_name.alias("label"), x.c_mktsegment.alias("segment")))
+    return per.select(F.col("c_nationkey").cast("long").alias("file_id"), F.lit("c.json").alias("file_name"), F.to_json(F.struct(items.alias("items"))).alias("content"))
+
+
+def yaml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation as block YAML with a quoted string, numbers, a list and a text of two lines."""
+    per = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))).alias("t"))
+    item = F.transform("t", lambda x: F.concat(F.lit("  - number: "), x.c_custkey.cast("string"), F.lit("\n    name: "), x.c_name, F.lit("\n    notes:\n      - in "), x.c_mktsegment, F.lit("\n      - |\n        two\n        lines\n      - 7\n")))
+    content = F.concat(F.lit("# made from rows\ntitle: 'customers: all'\ncustomers:\n"), F.array_join(item, ""))
+    return per.select(F.col("c_nationkey").cast("long").alias("file_id"), F.lit("c.yaml").alias("file_name"), content.alias("content"))
+
+
+def game_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as game JSON: a tag before each text, and numbers."""
+    rows = table(spark, sf_dir, "conversations")
+    item = F.struct(F.col("turn").cast("string").alias("number"), F.concat(F.lit("[XENO:wait ]"), "text").alias("text"))
+    per = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("m")))).alias("t"))
+    return per.select(F.col("conv_id").alias("file_id"), F.lit("talk.json").alias("file_name"), F.to_json(F.struct(F.transform("t", lambda x: x.m).alias("messages"))).alias("content"))
+
+
+def _zipped(rows: DataFrame, entries) -> DataFrame:
+    """(file_id, file_name, content): a package for each conversation; `entries` gives its names and texts from turns."""
+    per = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+
+    def pack(batches):
+        for batch in batches:
+            made = []
+            for turns in batch["t"]:
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    for name, data in entries(turns):
+                        z.writestr(name, data)
+                made.append(held.getvalue())
+            yield pd.DataFrame({"file_id": batch["conv_id"], "content": made})
+
+    return per.mapInPandas(pack, "file_id long, content binary").withColumn("file_name", F.lit("package"))
+
+
+def epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as e-books: a chapter for each turn, a style sheet, and a page that is in no reading order."""
+
+    def entries(turns):
+        names = [f"ch{t['turn']}.xhtml" for t in turns]
+        items = "".join(f'<item media-type="application/xhtml+xml" href="{n}" id="i{k}"/>' for k, n in enumerate(names))
+        spine = "".join(f'<itemref idref="i{k}"/>' for k in range(len(names)))
+        yield "mimetype", "application/epub+zip"
+        yield "META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile media-type="application/oebps-package+xml" full-path="OEBPS/content.opf"/></rootfiles></container>'
+        yield "OEBPS/content.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><manifest>{items}<item id="css" href="style.css" media-type="text/css"/></manifest><spine>{spine}<itemref idref="lost"/></spine></package>'
+        yield "OEBPS/style.css", "p { margin: 0 }"
+        yield "OEBPS/note.xhtml", "<html><body><p>not read</p></body></html>"
+        for name, t in zip(names, turns, strict=True):
+            yield f"OEBPS/{name}", f"<html><head></head><body><h1>{t['role']}</h1><p>{html.escape(t['text'], quote=False)}</p></body></html>"
+
+    return _zipped(table(spark, sf_dir, "conversations"), entries)
+
+
+def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as word-processor documents: a paragraph for each turn, its line breaks as breaks."""
+
+    def entries(turns):
+        runs = lambda text: "<w:br/>".join(f'<w:t xml:space="preserve">{html.escape(line, quote=False)}</w:t>' for line in text.split("\n"))
+        body = "".join(f"<w:p><w:r>{runs(t['text'])}</w:r></w:p>" for t in turns)
+        yield "word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'
+
+    return _zipped(table(spark, sf_dir, "conversations"), entries)
+
+
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents with tags, and copies of them that lose, gain or break something, by the document's number."""
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND length(text) > 0")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators import rebuild
 from ..operators.translate import translate_by_column
+from ..schema import ERROR
 from ..sources import EXTRACTORS, with_types
 
 TEXT_TYPES = ("txt", "srt", "vtt", "md", "html", "csv", "json", "json_game", "yaml")
 PACKAGE_TYPES = ("epub", "docx")
+MAY_FAIL = ("json", "json_game", "yaml", *PACKAGE_TYPES)  # formats with files that cannot be read
 _TREE_WRITERS = {"json": rebuild.write_json, "json_game": rebuild.write_game_json, "yaml": rebuild.write_yaml}
 _WRITERS = {"txt": rebuild.write_txt, "srt": rebuild.write_srt, "vtt": rebuild.write_vtt, "md": rebuild.write_md, "html": rebuild.write_html, "csv": rebuild.write_csv, "docx": rebuild.write_txt}
 
@@ -20,11 +22,14 @@ Transform = Callable[[DataFrame], DataFrame]
 
 
 def translate_type(files: DataFrame, kind: str, transform: Transform = translate_by_column) -> DataFrame:
-    """(file_id, type, output, total_chunks, processed_chunks, failed_chunks) of files of one type.
+    """(file_id, type, output, total_chunks, processed_chunks, failed_chunks, error) of files of one type.
 
-    A file without any chunk is rebuilt as it is where its format allows that, and has zero counts.
+    A file without any chunk is rebuilt as it is where its format allows that, and has zero counts. A file that cannot be read
+    has an error, and an empty output; it stops no other.
     """
-    translated = transform(EXTRACTORS[kind](files))
+    segments = EXTRACTORS[kind](files)
+    errors = segments.where(F.col("kind") == ERROR).select("file_id", F.col("text").alias("error"))
+    translated = transform(segments.where(F.col("kind") != ERROR))
     if kind in _TREE_WRITERS:
         outputs = _TREE_WRITERS[kind](files, translated)
     elif kind == "epub":
@@ -34,7 +39,8 @@ def translate_type(files: DataFrame, kind: str, transform: Transform = translate
     # The counts come with the outputs: segments are transformed once, which matters where the transform is an external call.
     rows = files.select("file_id").join(outputs, "file_id", "left").fillna(0, ["total_chunks", "failed_chunks"])
     processed = (F.col("total_chunks") - F.col("failed_chunks")).alias("processed_chunks")
-    return rows.select("file_id", F.lit(kind).alias("type"), F.coalesce("output", F.lit("")).alias("output"), "total_chunks", processed, "failed_chunks")
+    rows = rows.join(errors, "file_id", "left") if kind in MAY_FAIL else rows.withColumn("error", F.lit(None).cast("string"))
+    return rows.select("file_id", F.lit(kind).alias("type"), F.coalesce("output", F.lit("")).alias("output"), "total_chunks", processed, "failed_chunks", "error")
 
 
 def translate_files(files: DataFrame, transform: Transform = translate_by_column, types: tuple[str, ...] = TEXT_TYPES, staging: str | None = None) -> DataFrame:
@@ -54,5 +60,7 @@ def translate_files(files: DataFrame, transform: Transform = translate_by_column
 
 
 def job_rows(results: DataFrame) -> DataFrame:
-    """Results as job rows: status, progress and counts. `processed_chunks` leaves failed ones out, `progress` does not."""
-    return results.select("file_id", "type", F.lit("completed").alias("status"), F.lit(100.0).alias("progress"), "total_chunks", "processed_chunks", "failed_chunks")
+    """Results as job rows: status, progress, counts and error. `processed_chunks` leaves failed ones out, `progress` does not."""
+    failed = F.col("error").isNotNull()
+    status, progress = F.when(failed, "failed").otherwise("completed"), F.when(failed, 0.0).otherwise(100.0)
+    return results.select("file_id", "type", status.alias("status"), progress.alias("progress"), "total_chunks", "processed_chunks", "failed_chunks", "error")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ..jsstr import word_count
 from ..operators import metadata, quality, rebuild
 from ..operators.translate import chunk_counts, glossary_lines, translate_by_column
 from ..schema import LANGUAGES
+from ..session import shared_folder
 from ..sources import detect, text_formats, trees
 from ..streaming.progress import progress_by_window
 from . import adapters as A
@@ -37,10 +39,11 @@ def query(sql: str | None = None):
 
 # --- sources -----------------------------------------------------------------------------------------------------------
 
-_PARAGRAPHS = r"""paragraphs AS (
-  SELECT file_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS seg_no FROM (
-    SELECT doc_id AS file_id, list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)),
-      lambda x: length(regexp_replace(x, '\s', '', 'g')) > 0) AS p FROM documents WHERE NOT regexp_matches(text, '\n\n')))"""
+_FILLED = r"lambda x: length(regexp_replace(x, '\s', '', 'g')) > 0"
+_PARAGRAPHS = rf"""unix AS (SELECT doc_id AS file_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+blocks AS (SELECT file_id, t, list_filter(regexp_split_to_array(t, '\n\n+'), {_FILLED}) AS b FROM unix),
+parts AS (SELECT file_id, CASE WHEN len(b) <= 1 AND contains(t, chr(10)) THEN list_filter(string_split(t, chr(10)), {_FILLED}) ELSE b END AS p FROM blocks),
+paragraphs AS (SELECT file_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS seg_no FROM parts)"""
 
 
 @query(f"WITH {_PARAGRAPHS} SELECT file_id, CAST(seg_no AS INTEGER) AS seg_no, md5(text) AS digest FROM paragraphs")
@@ -69,13 +72,15 @@ def translate_rebuild_txt(spark, sf_dir):
 
 @query()
 def translate_files_by_type(spark, sf_dir):
-    """The whole router: text, subtitles, Markdown, pages and JSON in one job."""
+    """The whole router: text, subtitles, Markdown, pages and JSON in one job, staged by type so that each is read once."""
     parts = [A.document_files(spark, sf_dir), A.page_files(spark, sf_dir)]
     parts += [f(spark, sf_dir).select("file_id", "file_name", "content") for f in (A.srt_files, A.vtt_files, A.md_files, A.json_files)]
     files = parts[0]
     for number, part in enumerate(parts[1:], 1):
         files = files.unionByName(part.withColumn("file_id", F.col("file_id") + F.lit(number * 10**10)))
-    return jobs.job_rows(jobs.translate_files(files, types=("txt", "srt", "vtt", "md", "html", "json")))
+    staging = f"{shared_folder(spark)}/typed-{uuid.uuid4().hex}"
+    out = jobs.translate_files(files, types=("txt", "srt", "vtt", "md", "html", "json"), staging=staging)
+    return out.select("file_id", "type", F.md5("output").alias("digest"), "total_chunks", "processed_chunks", "failed_chunks")
 
 
 @query(f"""WITH {_PARAGRAPHS}, d AS (SELECT doc_id, lang FROM documents)
@@ -151,12 +156,6 @@ def md_round_trip(spark, sf_dir):
     return rebuild.write_md(segments.withColumn("translated", F.col("text"))).select("file_id", F.md5("output").alias("digest"))
 
 
-@query()
-def html_text_nodes(spark, sf_dir):
-    rows = trees.html_segments(A.page_files(spark, sf_dir))
-    return rows.where("translatable").select("file_id", "seg_no", "text")
-
-
 @query("SELECT page_id AS file_id, md5(html) AS digest FROM pages")
 def html_round_trip(spark, sf_dir):
     segments = trees.html_segments(A.page_files(spark, sf_dir)).withColumn("translated", F.col("text"))
@@ -212,23 +211,21 @@ def json_rebuild(spark, sf_dir):
     return per.select("file_id", "n", F.md5(F.array_join(F.transform("x", lambda y: y.t), "\n")).alias("texts"), "ids_kept")
 
 
-@query("SELECT event_id AS file_id, CAST(1 AS INTEGER) AS depth FROM events")
+@query("SELECT event_id AS file_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE -1 END AS depth FROM events")
 def json_depth(spark, sf_dir):
-    events = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), F.col("props").alias("content"))
-    return trees.json_depths(events)
+    k = F.col("event_id") % 4
+    content = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit('{"a": [], "b": ['), "props", F.lit("]}"))).when(k == 2, "7").otherwise(F.concat("props", F.lit(",")))
+    depths = trees.json_depths(A.table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), content.alias("content")))
+    return depths.fillna(-1, ["depth"])
 
 
-@query("""SELECT event_id AS file_id, 'root' AS title FROM events WHERE false""")
+@query("""SELECT event_id AS file_id, 'root.say[1]' AS path, 'no ' || json_extract_string(props, '$.k') AS text FROM events""")
 def json_numbers_are_no_text(spark, sf_dir):
-    """Numeric leaves are never emitted: the properties of events hold none but numbers."""
-    events = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), F.col("props").alias("content"))
-    return trees.json_segments(events).select("file_id", F.col("path").alias("title"))
-
-
-@query()
-def yaml_leaves(spark, sf_dir):
-    files = A.json_files(spark, sf_dir).select("file_id", "content")  # JSON is YAML as well
-    return trees.yaml_segments(files).select("file_id", "seg_no", "path", "text")
+    """Numbers, digits alone, blank strings and technical keys are never emitted."""
+    number = F.get_json_object("props", "$.k")
+    content = F.concat(F.lit('{"k": '), number, F.lit(', "id": "x", "say": ["'), number, F.lit('", "no '), number, F.lit('", " ", null, true]}'))
+    events = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), content.alias("content"))
+    return trees.json_segments(events).select("file_id", "path", "text")
 
 
 @query(f"""WITH {_LEAVES} SELECT file_id, md5('path' || chr(9) || 'source_text' || chr(10) || 'root.title' || chr(9) || 'talk' || chr(10) ||
@@ -339,13 +336,13 @@ def job_progress(spark, sf_dir):
   SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/yaml' WHEN 2 THEN 'application/octet-stream' ELSE 'text/plain' END AS media,
     page_id % 4 <> 2 AS known, length(html) * (page_id % 5) * 4000 AS size, 'a.b_' || 'ar' || (['.html', '.yml', '.exe', '.TXT'])[1 + page_id % 4] AS name,
     CASE WHEN length(html) * (page_id % 5) * 4000 < 1024 THEN length(html) * (page_id % 5) * 4000 || ' B'
-      WHEN length(html) * (page_id % 5) * 4000 < 1048576 THEN 'KB' ELSE 'MB' END AS size_text FROM pages)""")
+      WHEN length(html) * (page_id % 5) * 4000 < 1048576 THEN printf('%.1f KB', floor(length(html) * (page_id % 5) * 40000 / 1024.0 + 0.5) / 10)
+      ELSE printf('%.2f MB', floor(length(html) * (page_id % 5) * 400000 / 1048576.0 + 0.5) / 100) END AS size_text FROM pages)""")
 def upload_admission(spark, sf_dir):
     endings = F.array(*[F.lit(x) for x in (".html", ".yml", ".exe", ".TXT")])
     rows = A.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("a.b"), F.get(endings, (F.col("page_id") % 4).cast("int"))).alias("file_name"), (F.length("html") * (F.col("page_id") % 5) * 4000).alias("size"))
-    unit = F.regexp_replace(format_file_size(F.col("size")), r"^[0-9.]+ (KB|MB)$", "$1")
     checked = metadata.admitted(rows)
-    return checked.select("page_id", metadata.media_type(F.col("file_name")).alias("media"), unit.alias("size_text"), output_name(F.col("file_name"), F.lit("ar")).alias("name"), "reason")
+    return checked.select("page_id", metadata.media_type(F.col("file_name")).alias("media"), format_file_size(F.col("size")).alias("size_text"), output_name(F.col("file_name"), F.lit("ar")).alias("name"), "reason")
 
 
 @query(f"""WITH {A.TRANSLATIONS} SELECT id, CASE WHEN id % 10 = 1 THEN 'completed' ELSE status END AS status FROM translations WHERE id % 10 <> 3""")
@@ -464,3 +461,6 @@ def line_split_scan(spark, sf_dir):
 @query()
 def line_split_issues(spark, sf_dir):
     return quality.scan_line_split(A.text_pairs(spark, sf_dir), compat=False).select("path", "kind", "severity", "suggestion")
+
+
+from . import format_queries, function_queries  # noqa: E402, F401  (they register their queries here)

@@ -24,6 +24,9 @@ FILES = _table(file_id=T.LongType(), file_name=_S, content=_S)
 PACKAGES = _table(file_id=T.LongType(), file_name=_S, content=T.BinaryType())
 SEGMENTS = _table(file_id=T.LongType(), seg_no=_I, kind=_S, path=_S, text=_S, translatable=T.BooleanType(), attrs=T.MapType(_S, _S))
 
+#: Kind of the one segment of a file that cannot be read; its text says why.
+ERROR = "error"
+
 # Job states, in order of life.
 STATUSES = ("pending", "processing", "completed", "failed", "paused")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +18,21 @@ def session(name: str = "textloom", **settings: str) -> SparkSession:
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_LOCAL: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder for tables of one job: below the one that `spark.checkpoint.dir` names, which all executors share.
+
+    Where none is named, local mode has one of its own; a cluster must name one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named}/textloom"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="textloom-"))
+    return _LOCAL[0]

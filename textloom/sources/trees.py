@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import markup
 from ..functions.text import JAPANESE
 from ..jsstr import WHITE, WHITE_CLASS, trim
+from ..schema import ERROR
 
 # Keys whose values are technical, compared in lower case.
 TECHNICAL_KEYS = frozenset(
@@ -33,7 +34,7 @@ MAX_DEPTH = 10
 # Elements whose text is not translated.
 SKIPPED_ELEMENTS = frozenset("script style noscript code pre kbd samp var".split())
 
-_LEAF = "file_id long, seg_no int, path string, text string, depth int"
+_LEAF = "file_id long, seg_no int, path string, text string, depth int, error boolean"
 
 
 def entries(tree: dict) -> list[tuple[str, object]]:
@@ -42,19 +43,20 @@ def entries(tree: dict) -> list[tuple[str, object]]:
     return [(k, tree[k]) for k in (*sorted(index, key=int), *(k for k in tree if k not in set(index)))] if index else list(tree.items())
 
 
-def leaves(tree: object, path: str, excluded: frozenset[str], limit: int | None, depth: int = 0) -> Iterator[tuple[str, str, int]]:
-    """Paths, values and depths of the strings of a tree, in order."""
-    if limit is not None and depth > limit:
-        return
-    if isinstance(tree, str):
-        yield path, tree, depth
-    elif isinstance(tree, list):
-        for i, item in enumerate(tree):
-            yield from leaves(item, f"{path}[{i}]", excluded, limit, depth + 1)
-    elif isinstance(tree, dict):
-        for key, item in entries({str(k): v for k, v in tree.items()}):
-            if key.lower() not in excluded:
-                yield from leaves(item, f"{path}.{key}" if path else key, excluded, limit, depth + 1)
+def leaves(tree: object, path: str, excluded: frozenset[str], limit: int | None) -> Iterator[tuple[str, str, int]]:
+    """Paths, values and depths of the strings of a tree, in order; a stack stands for the depth, so that any depth is read."""
+    todo: list[tuple[object, str, int]] = [(tree, path, 0)]
+    while todo:
+        here, at, depth = todo.pop()
+        if limit is not None and depth > limit:
+            continue
+        if isinstance(here, str):
+            yield at, here, depth
+        elif isinstance(here, list):
+            todo += [(item, f"{at}[{i}]", depth + 1) for i, item in reversed(list(enumerate(here)))]
+        elif isinstance(here, dict):
+            known = entries({str(k): v for k, v in here.items()})
+            todo += [(item, f"{at}.{key}" if at else key, depth + 1) for key, item in reversed(known) if key.lower() not in excluded]
 
 
 def load(text: str, kind: str) -> object:
@@ -65,8 +67,12 @@ def load(text: str, kind: str) -> object:
     return json.loads(text)
 
 
-def tree_leaves(files: DataFrame, kind: str, root: str, excluded: frozenset[str], limit: int | None, strict: bool = True) -> DataFrame:
-    """(file_id, seg_no, path, text, depth) of all strings; a file that does not parse fails, or is empty if not `strict`."""
+def tree_leaves(files: DataFrame, kind: str, root: str, excluded: frozenset[str], limit: int | None, strict: bool = False) -> DataFrame:
+    """(file_id, seg_no, path, text, depth, error) of all strings.
+
+    A file that does not parse (null, empty, broken or nested too deep for the parser) gives one row, whose text says why and
+    whose error is true; with `strict` the job fails.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -77,58 +83,68 @@ def tree_leaves(files: DataFrame, kind: str, root: str, excluded: frozenset[str]
                 except Exception as error:
                     if strict:
                         raise ValueError(f"file {file_id} is no valid {kind}: {error}") from error
+                    out.append((file_id, 0, None, f"no valid {kind}: {error}", 0, True))
                     continue
-                out += [(file_id, i, *leaf) for i, leaf in enumerate(leaves(tree, root, excluded, limit))]
-            yield pd.DataFrame(out, columns=["file_id", "seg_no", "path", "text", "depth"])
+                out += [(file_id, i, *leaf, False) for i, leaf in enumerate(leaves(tree, root, excluded, limit))]
+            yield pd.DataFrame(out, columns=["file_id", "seg_no", "path", "text", "depth", "error"])
 
     return files.select("file_id", "content").mapInPandas(read, _LEAF)
 
 
 def _as_segments(rows: DataFrame, attrs=None) -> DataFrame:
     empty = F.expr("cast(map() as map<string,string>)")
-    return rows.select("file_id", "seg_no", F.lit("leaf").alias("kind"), "path", "text", F.lit(True).alias("translatable"), (empty if attrs is None else attrs).alias("attrs"))
+    kind = F.when(F.col("error"), ERROR).otherwise("leaf")
+    return rows.select("file_id", "seg_no", kind.alias("kind"), "path", "text", (~F.col("error")).alias("translatable"), (empty if attrs is None else attrs).alias("attrs"))
 
 
-def json_segments(files: DataFrame, exclude: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
+def json_segments(files: DataFrame, exclude: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
     """Strings that are not blank and not digits alone, without technical keys, to a depth of 10."""
     rows = tree_leaves(files, "json", "root", TECHNICAL_KEYS | frozenset(exclude), MAX_DEPTH, strict)
-    return _as_segments(rows.where(trim(F.col("text")) != "").where(~F.col("text").rlike(r"\A[0-9]+\z")))
+    return _as_segments(rows.where(F.col("error") | ((trim(F.col("text")) != "") & ~F.col("text").rlike(r"\A[0-9]+\z"))))
 
 
-def json_all_segments(files: DataFrame, strict: bool = True) -> DataFrame:
+def json_all_segments(files: DataFrame, strict: bool = False) -> DataFrame:
     """All strings that are not blank, whatever their key; paths start at the top-level key."""
-    return _as_segments(tree_leaves(files, "json", "", frozenset(), None, strict).where(trim(F.col("text")) != ""))
+    return _as_segments(tree_leaves(files, "json", "", frozenset(), None, strict).where(F.col("error") | (trim(F.col("text")) != "")))
 
 
 def json_depths(files: DataFrame) -> DataFrame:
-    """(file_id, depth): how deep the containers of each file are nested."""
-
-    def depth(tree: object) -> int:
-        items = tree.values() if isinstance(tree, dict) else tree if isinstance(tree, list) else ()
-        below = [depth(x) + 1 for x in items]
-        return max(below, default=0)
+    """(file_id, depth): how deep the containers of each file are nested; null where it does not parse."""
+
+    def depth(content: str | None) -> int | None:
+        try:
+            todo, deepest = [(json.loads(content or ""), 0)], 0
+        except (ValueError, RecursionError):
+            return None
+        while todo:
+            here, at = todo.pop()
+            deepest = max(deepest, at)
+            items = here.values() if isinstance(here, dict) else here if isinstance(here, list) else ()
+            todo += [(x, at + 1) for x in items]
+        return deepest
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"file_id": batch["file_id"], "depth": [depth(json.loads(c)) for c in batch["content"]]})
+            yield pd.DataFrame({"file_id": batch["file_id"], "depth": pd.array([depth(c) for c in batch["content"]], dtype="Int32")})
 
     return files.select("file_id", "content").mapInPandas(read, "file_id long, depth int")
 
 
-def game_json_segments(files: DataFrame, exclude: tuple[str, ...] = (), exclude_japanese: bool = True, strict: bool = True) -> DataFrame:
+def game_json_segments(files: DataFrame, exclude: tuple[str, ...] = (), exclude_japanese: bool = True, strict: bool = False) -> DataFrame:
     """Game texts: `text` is clean; the original with its tags is in `attrs`."""
     rows = tree_leaves(files, "json", "root", GAME_KEYS | frozenset(exclude), MAX_DEPTH, strict)
-    rows = rows.where(trim(F.col("text")) != "").where(~F.col("text").rlike(rf"\A[0-9{WHITE_CLASS}\[\]]*\z"))
+    wanted = (trim(F.col("text")) != "") & ~F.col("text").rlike(rf"\A[0-9{WHITE_CLASS}\[\]]*\z")
     if exclude_japanese:
-        rows = rows.where(~F.col("text").rlike(JAPANESE))
-    rows = rows.withColumn("original", F.col("text")).withColumn("text", markup.clean_text(F.col("text"))).where("text <> ''")
+        wanted = wanted & ~F.col("text").rlike(JAPANESE)
+    rows = rows.where(F.col("error") | wanted).withColumn("original", F.col("text"))
+    rows = rows.withColumn("text", F.when(F.col("error"), F.col("text")).otherwise(markup.clean_text(F.col("text")))).where("text <> ''")
     tags = F.size(markup.tag_texts(F.col("original")))
     return _as_segments(rows, F.create_map(F.lit("original"), F.col("original"), F.lit("tags"), tags.cast("string")))
 
 
-def yaml_segments(files: DataFrame, strict: bool = True) -> DataFrame:
+def yaml_segments(files: DataFrame, strict: bool = False) -> DataFrame:
     """All strings that are not blank; keys are not excluded and depth has no limit."""
-    return _as_segments(tree_leaves(files, "yaml", "", frozenset(), None, strict).where(trim(F.col("text")) != ""))
+    return _as_segments(tree_leaves(files, "yaml", "", frozenset(), None, strict).where(F.col("error") | (trim(F.col("text")) != "")))
 
 
 _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)[^>]*>|<!--[\s\S]*?-->")

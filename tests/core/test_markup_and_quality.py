@@ -63,96 +63,59 @@ def test_balanced_lines(spark):
         assert r.got == _plain_balanced(r.t, r.n)
 
 
-NO_TEXT = re.compile(linesplit.NO_TEXT)
-END = re.compile(linesplit.SENTENCE_END)
-
-
-def _strip(s):
-    return NO_TEXT.sub("", s)
-
-
-def _lines(s):
-    return [x for x in re.split(r"\r?\n", s) if x.strip()]
-
-
-def _bad_start(s):
-    parts = s.split()
-    return bool(parts) and re.sub(linesplit.OPENING_MARKS, "", parts[0]) in linesplit.NO_START
-
-
-def _plain_score(o, t):
-    """The rules, restated from their description."""
-    ol, tl = _lines(o), _lines(t)
-    words, chars = (lambda s: len(_strip(s).split())), (lambda s: len(_strip(s).strip()))
-    total, causes = 0, []
-
-    def add(n, cause):
-        nonlocal total
-        if n:
-            total += n
-            causes.append(cause)
-
-    if len(ol) > 1 and len(tl) != len(ol):
-        add(min(50, 22 + 14 * abs(len(tl) - len(ol))), linesplit.CAUSES[0])
-    if len(tl) > 1:
-        short = sum(1 for i, x in enumerate(tl) if (0 < words(x) <= 2 and (words(ol[i]) if i < len(ol) else 0) >= 4) or (words(x) == 1 and len(tl) > 2))
-        add(min(30, 14 * short), linesplit.CAUSES[1])
-        if ol:
-            mean = sum(map(chars, ol)) / len(ol) or 1
-            add(min(25, 10 * sum(1 for x in tl if not 0.35 <= chars(x) / mean <= 2.2)), linesplit.CAUSES[2])
-        broken = 0
-        for a, b in zip(tl, tl[1:], strict=False):
-            clean = bool(END.search(_strip(a.strip()).strip()[-1:]))
-            broken += not clean and (_bad_start(b) or (words(a) >= 6 and words(b) <= 3))
-        add(min(35, 18 * broken), linesplit.CAUSES[3])
-    if len(ol) > 1 and len(tl) == len(ol):
-        ratios = lambda s: [i / len(_strip(s)) for i, c in enumerate(_strip(s)) if c == "\n"]
-        a, b = ratios(o), ratios(t)
-        if len(a) == len(b):
-            add(min(20, 10 * sum(abs(x - y) > 0.18 for x, y in zip(a, b, strict=True))), linesplit.CAUSES[4])
-    return min(100, total), causes
-
-
-def _plain_proposal(o, t):
-    if not t.strip():
-        return t
-    ol = _lines(o)
-    joined = re.sub(r"\s{2,}", " ", re.sub(r"\s*\n+\s*", " ", t)).strip()
-    if len(ol) <= 1:
-        return joined
-    found = []
-    for i in range(1, len(joined) - 1):
-        if joined[i] == " " and not _bad_start(joined[i + 1 :]):
-            before, after = joined[:i].split(" ")[-1], joined[i + 1 :].split(" ")[0]
-            score = 1 + 10 * bool(END.search(joined[i - 1])) + 3 * (joined[i - 1] in "؛;") + 2 * (joined[i + 1] in '«"(') + 2 * (len(before) >= 4) + (len(after) >= 4)
-            found.append((i, score))
-    lens = [len(_strip(x).strip()) for x in ol]
-    total, at, picked = sum(lens) or 1, 0, []
-    for n in lens[:-1]:
-        at += n
-        target = int(at / total * len(joined) + 0.5)
-        near = [(abs(i - target) - 4 * s, i) for i, s in found if i not in picked and abs(i - target) <= max(20, int(len(joined) * 0.25 + 0.5))]
-        if near:
-            picked.append(min(near)[1])
-    if not picked:
-        return t
-    return "".join("\n" if i in picked else c for i, c in enumerate(joined)).strip()
-
-
-def test_line_split_rules(spark):
+MISMATCH, SHORT, UNEVEN, BROKEN, DRIFT = linesplit.CAUSES
+
+
+@pytest.mark.parametrize(
+    ("original", "translation", "score", "causes"),
+    [
+        ("one two three\nfour five six", "one two three\nfour five six", 0, []),
+        ("one\ntwo", "one two", 36, [MISMATCH]),  # 22 + 14
+        ("one\ntwo\nthree", "one two three", 50, [MISMATCH]),  # 22 + 2 * 14
+        ("one\ntwo\nthree\nfour", "one two three four", 50, [MISMATCH]),  # 50 at most
+        ("one two three four\nfive six seven eight", "a b\nfive six seven eight nine", 34, [SHORT, UNEVEN, DRIFT]),  # 14 + 10 + 10
+        ("one two three\nfour five six", "واحد اثنان ثلاثة\nفي البيت هنا", 18, [BROKEN]),
+        ("one two three\nfour five six", "واحد اثنان ثلاثة.\nفي البيت هنا", 0, []),  # after the end of a sentence
+        ("[XENO:wait a=b ]one two\nthree four", "one two\nthree four[/System:Color]", 0, []),  # tags count as nothing
+        ("one line", "one line", 0, []),
+        ("a\nb", "", 50, [MISMATCH]),  # 22 + 2 * 14
+    ],
+)
+def test_scores_by_hand(spark, original, translation, score, causes):
+    found = _one(spark, linesplit.diagnose(F.lit(original), F.lit(translation)))
+    assert (found.score, found.causes) == (score, causes)
+
+
+@pytest.mark.parametrize(
+    ("original", "translation", "proposed"),
+    [
+        ("aaaa bbbb\ncccc dddd", "one two three four", "one two three\nfour"),  # costs 2, -6 and -12
+        ("aaaa aaaa\nbbbb bbbb", "yes. one two three four five", "yes.\none two three four five"),  # the end of a sentence
+        ("aaaa\nbbbb", "كلمة في بيت", "كلمة في\nبيت"),  # no line starts with this word
+        ("one line", "two\n lines", "two lines"),
+        ("a\nb", "oneword", "oneword"),
+        ("a\nb", " ", " "),
+    ],
+)
+def test_proposals_by_hand(spark, original, translation, proposed):
+    assert _one(spark, linesplit.propose(F.lit(original), F.lit(translation))) == proposed
+
+
+def test_properties_of_proposals(spark):
     rng = random.Random(7)
-    pool = ["و", "في", "كلمة", "word", "longerword", "x", "end.", "«quote", "نعم؟", "[XENO:wait a=b ]", "(p", "semi;", "هذا", "مرحبا"]
+    pool = ["و", "في", "كلمة", "word", "longerword", "x", "end.", "«quote", "نعم؟", "(p", "semi;", "هذا", "مرحبا"]
 
-    def line():
-        return " ".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))
+    def text_of(lines):
+        return "\n".join(" ".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(lines))
 
-    rows = [("\n".join(line() for _ in range(rng.randint(1, 4))), "\n".join(line() for _ in range(rng.randint(1, 4)))) for _ in range(300)]
-    rows += [("a", ""), ("", "a\nb"), ("a\nb", "  "), ("a b\n\nc d", "x\r\ny")]
+    rows = [(text_of(rng.randint(1, 4)), text_of(rng.randint(1, 4))) for _ in range(300)]
     data = spark.createDataFrame(rows, "o string, t string")
-    got = data.select("o", "t", linesplit.diagnose(F.col("o"), F.col("t")).alias("d"), linesplit.propose(F.col("o"), F.col("t")).alias("p")).collect()
-    for r in got:
-        assert (r.d.score, r.d.causes) == _plain_score(r.o, r.t), (r.o, r.t)
-        assert r.p == _plain_proposal(r.o, r.t), (r.o, r.t)
+    for r in data.select("o", "t", linesplit.diagnose(F.col("o"), F.col("t")).alias("d"), linesplit.propose(F.col("o"), F.col("t")).alias("p")).collect():
+        assert r.p.split() == r.t.split() and 0 <= r.d.score <= 100
+        if r.p != r.t:
+            lines = r.p.split("\n")
+            assert len(lines) <= max(1, len(r.o.split("\n")))
+            assert not any(line.split()[0].lstrip("«»\"'(") in linesplit.NO_START for line in lines[1:])
 
 
 def _game(spark, *texts):

@@ -185,11 +185,20 @@ def merged_settings(stored: Column, defaults: dict[str, str]) -> Column:
     return F.create_map(*[x for name, usual in defaults.items() for x in (F.lit(name), value(name, usual))])
 
 
-def newest_within(lines: DataFrame, budget: int) -> DataFrame:
-    """The newest lines (log, line_no, line) of each log that fit a budget of bytes; it stops at the first that does not."""
-    by = Window.partitionBy("log").orderBy(F.desc("line_no"))
-    upto = F.sum(F.octet_length("line") + 1).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("upto", upto).where(F.col("upto") <= budget).drop("upto")
+def newest_within(lines: DataFrame, budget: int, chunk: int = 4096) -> DataFrame:
+    """The newest lines (log, line_no, line) of each log that fit a budget of bytes; it stops at the first that does not.
+
+    Sums of chunks of lines come first: only the chunks that the budget reaches are gone through line by line, so that a long
+    log is never one task's work.
+    """
+    size = F.octet_length("line") + 1
+    parts = lines.withColumn("part", F.floor(F.col("line_no") / chunk))
+    newer = Window.partitionBy("log").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("log", "part").agg(F.sum(size).alias("s")).withColumn("newer", F.coalesce(F.sum("s").over(newer), F.lit(0)))
+    reached = parts.join(sums.where(F.col("newer") < budget).select("log", "part", "newer"), ["log", "part"])
+    within = Window.partitionBy("log", "part").orderBy(F.desc("line_no"))
+    upto = F.col("newer") + F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return reached.withColumn("upto", upto).where(F.col("upto") <= budget).select(*lines.columns)
 
 
 def keep_last(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:

@@ -285,7 +285,8 @@ def parsed(page: str | None, options: TemplateOptions = TemplateOptions()) -> Pa
     at = {x: k for k, x in enumerate(cuts)}
     segments = ["".join(items[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
     hinted = [hint[a] > 0 or (bool(roots) and not inside[a]) for a in cuts[:-1]]
-    prose = [items[i] for i in range(size) if inside[i]] if roots else [x for n in nodes if n.tag == "p" and not hint[min(n.start, size)] for x in items[n.start : n.end]]
+    told = inside if roots else _covered([(n.start, n.end) for n in nodes if n.tag == "p"], size)
+    prose = [items[i] for i in range(size) if told[i] and (roots or not hint[i])]
     sign = xxhash.xxh3_64_intdigest((" ".join("".join(prose).split()) or page or "").encode("utf-8", "replace")) - (1 << 63)
     return Parsed(segments, hinted, [n.hash for n in removable], [at[n.start] for n in removable], [at[n.end] for n in removable], sign)
 

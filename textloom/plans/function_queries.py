@@ -40,9 +40,6 @@ def compacted_texts(spark, sf_dir):
     return docs.select("doc_id", text.compact_text(F.col("text")).alias("short"), text.clip(F.col("text")).alias("logged"))
 
 
-_SCRIPTS = "('plain', 'mit عربي', '日本語 と', 'Ελληνικά')"
-
-
 @query(f"""SELECT doc_id, regexp_matches(t, '[؀-ۿ]') AS arabic, regexp_matches(t, '[぀-ゟ゠-ヿ一-鿿]') AS japanese
 FROM (SELECT doc_id, coalesce(text, '') || ' ' || (['plain', 'mit عربي', '日本語 と', 'Ελληνικά'])[1 + doc_id % 4] AS t FROM documents)""")
 def scripts_of_texts(spark, sf_dir):

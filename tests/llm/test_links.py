@@ -31,7 +31,7 @@ def test_every_link_between_different_texts_is_given(spark, sf_dir):
         sets = [_set(t) for _, t in rows]
         want = Counter((rows[i][0], len(s), sum(_alike(s, x) for j, x in enumerate(sets) if i != j)) for i, s in enumerate(sets))
         docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", trie_join.F.lit("clash"))
-        small = trie_join.JoinOptions(least_common=2, sample=2, members_per_block=7, sets_per_block=9, shingles_per_tree=500, broadcast_pairs=3, limits=trie_join.Limits(5, 300))
+        small = trie_join.JoinOptions(least_common=2, sample=2, members_per_block=7, sets_per_block=9, shingles_per_block=700, shingles_per_tree=500, broadcast_pairs=3, limits=trie_join.Limits(5, 300))
         for options in (trie_join.JoinOptions(), small):
             found = trie_join.jaccard_components(docs, options).select("doc_id", "n_shingles", "n_links")
             assert Counter(map(tuple, found.collect())) == want

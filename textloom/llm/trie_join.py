@@ -46,8 +46,9 @@ class JoinOptions:
     least_common: int = 4
     sample: int = 256  # one set in so many reports all its shingles, so that one spread thinly over the tasks is counted too
     members_per_block: int = 512  # of one shingle and band of length, where a cell compares two blocks
-    sets_per_block: int = 512  # of one group of candidates, where a tree compares two blocks
-    shingles_per_tree: int = 1 << 18  # of small groups that share a tree, or of a block
+    shingles_per_tree: int = 1 << 18  # of small groups that share a tree
+    sets_per_block: int = 4096  # of one large group, where trees compare two blocks: as many times as blocks a set is moved
+    shingles_per_block: int = 1 << 21  # 16 MB
     broadcast_pairs: int = 200_000  # five numbers each, some 10 MB
     filter_bits: int = 1 << 27  # at most; marks the documents whose sets are wanted, before the exact join
     limits: Limits = Limits()
@@ -311,7 +312,7 @@ _FOUND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.in
 def _trees(docs: DataFrame, groups: DataFrame, o: JoinOptions, scratch: Scratch) -> DataFrame:
     """From groups (node, label, low, n, copies): (node, links, null) sums to add up, and (node, null, other) links that join components."""
     sizes = groups.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("sets") / o.sets_per_block), F.ceil(F.col("shingles") / o.shingles_per_tree))
+    blocks = F.greatest(F.ceil(F.col("sets") / o.sets_per_block), F.ceil(F.col("shingles") / o.shingles_per_block))
     sizes = scratch.write(sizes.withColumn("k", blocks), "sizes")
     small = sizes.where("k = 1").agg(F.coalesce(F.sum("shingles"), F.lit(0)).alias("s")).collect()[0].s
     trees = 1 + small // o.shingles_per_tree

@@ -153,6 +153,58 @@ def extracted_tags(spark, sf_dir):
     return rows.select("doc_id", F.col("position").cast("int").alias("position"), "type", "name", pairs.alias("attributes"))
 
 
+# Pairs of an original and a translation, with the score, causes and proposal that the rules give by hand.
+_SPLITS = (
+    ("one two three\nfour five six", "one two three\nfour five six", 0, "", "one two three\nfour five six"),
+    ("one\ntwo", "one two", 36, "line-count-mismatch", "one\ntwo"),
+    ("one two three\nfour five six", "واحد اثنان ثلاثة\nفي البيت هنا", 18, "broken-phrase", "واحد اثنان\nثلاثة في البيت هنا"),
+    ("aaaa bbbb\ncccc dddd", "one two three four", 36, "line-count-mismatch", "one two three\nfour"),
+    ("one line", "two\n lines", 0, "", "two lines"),
+    ("one two three four\nfive six seven eight", "a b\nfive six seven eight nine", 34, "very-short-line,very-unbalanced,drift-from-original-positions", "a b five six seven\neight nine"),
+)
+_SPLIT_VALUES = ", ".join(f"({k}, {score}, '{causes}', '{proposed}')" for k, (_, _, score, causes, proposed) in enumerate(_SPLITS))
+
+
+def _split_pairs(spark, sf_dir):
+    pairs = F.array(*[F.struct(F.lit(o).alias("original"), F.lit(t).alias("translation")) for o, t, *_ in _SPLITS])
+    return A.table(spark, sf_dir, "customer").select("c_custkey", F.get(pairs, (F.col("c_custkey") % len(_SPLITS)).cast("int")).alias("p")).select("c_custkey", "p.*")
+
+
+@query(f"SELECT c_custkey, score, causes, proposed FROM customer JOIN (VALUES {_SPLIT_VALUES}) v(k, score, causes, proposed) ON c_custkey % {len(_SPLITS)} = k")
+def split_scores(spark, sf_dir):
+    rows = _split_pairs(spark, sf_dir).withColumn("d", linesplit.diagnose(F.col("original"), F.col("translation")))
+    return rows.select("c_custkey", "d.score", F.array_join("d.causes", ",").alias("causes"), linesplit.propose(F.col("original"), F.col("translation")).alias("proposed"))
+
+
+@query(f"""SELECT 'f' || c_custkey % 10 || ':' || c_custkey AS key, score, proposed, 'easy' AS difficulty
+FROM customer JOIN (VALUES {_SPLIT_VALUES}) v(k, score, causes, proposed) ON c_custkey % {len(_SPLITS)} = k WHERE score >= 25""")
+def split_files(spark, sf_dir):
+    """Badly split entries of files, joined with their translations by file and index."""
+    rows = _split_pairs(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), (F.col("c_custkey") % 10).cast("string")))
+    entries = rows.select("file", F.col("c_custkey").alias("index"), F.lit(None).cast("string").alias("label"), "original")
+    said = rows.select("file", F.col("c_custkey").alias("index"), F.col("translation").alias("text"))
+    return quality.scan_line_split_files(entries, said).select("key", "diagnosis.score", "proposed", "difficulty")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'aa' || chr(10) || 'bb cc dd' WHEN 1 THEN 'aa bb cc dd' WHEN 2 THEN 'aa' || chr(10) || 'bb' || chr(10) || 'cc' || chr(10) || 'dd' ELSE '' END AS laid FROM customer""")
+def balanced_texts(spark, sf_dir):
+    k = F.col("c_custkey") % 4
+    said = F.when(k == 3, " \n ").otherwise("aa  bb\ncc\\ndd")
+    lines = F.when(k == 0, 2).when(k == 1, 1).otherwise(5)
+    return A.table(spark, sf_dir, "customer").select("c_custkey", text.balanced_lines(said, lines).alias("laid"))
+
+
+@query("""SELECT c_custkey AS seg_no, unnest(CASE c_custkey % 3 WHEN 0 THEN ['missing-tags'] WHEN 1 THEN ['line-split', 'line-breaks'] ELSE [] END) AS kind FROM customer""")
+def reviewed(spark, sf_dir):
+    """All scans that need no reviewer, over entries of any length."""
+    k = F.col("c_custkey") % 3
+    original = F.when(k == 0, "[XENO:wait ]one").when(k == 1, "one two three\nfour five six").otherwise("one")
+    said = F.when(k == 0, "eins").when(k == 1, "eins zwei drei vier").otherwise("eins")
+    path = F.concat(F.lit("root."), F.col("c_custkey").cast("string")).alias("path")
+    entries = A.table(spark, sf_dir, "customer").select(F.lit(0).cast("long").alias("file_id"), F.col("c_custkey").alias("seg_no"), path, F.lit("text").alias("key"), original.alias("original"), said.alias("translation"))
+    return quality.review(entries, compat=False).select(F.expr("cast(substr(path, 6) as bigint)").alias("seg_no"), "kind")
+
+
 @query("""WITH t AS (SELECT doc_id % 10 AS file_id, text, doc_id % 3 = 0 AS tagged, length(text) + CASE WHEN doc_id % 3 = 0 THEN 12 ELSE 0 END AS size FROM documents WHERE length(text) > 0)
 SELECT file_id, count(*) AS total, CAST(count_if(tagged) AS BIGINT) AS with_tags, CAST(floor(avg(size) + 0.5) AS BIGINT) AS average_length, CAST(count_if(tagged) AS BIGINT) AS xeno FROM t GROUP BY file_id""")
 def tag_reports(spark, sf_dir):

@@ -47,11 +47,13 @@ def _issue(entries: DataFrame, kind: Column, suggestion: Column, severity: Colum
 
 def scan_symbols(entries: DataFrame) -> DataFrame:
     """At most one issue for each entry: missing tags, else other tags, else line breaks."""
-    rows = entries.where(~is_blank(F.col("translation")))
     o, t = F.col("original"), F.col("translation")
-    rows = rows.withColumns({"_o": F.size(markup.tag_texts(o)), "_t": F.size(markup.tag_texts(t)), "_restored": markup.restore(o, t)})
-    breaks = (F.col("_restored") != normalize_breaks(t)) & (count_lines(o) != count_lines(t))
-    kind = F.when(F.col("_o") > F.col("_t"), "missing-tags").when((F.col("_t") > F.col("_o")) | ~markup.same_tags(o, t), "extra-tags").when(breaks, "line-breaks")
+    restored = markup.restore(o, t)
+    facts = F.struct(F.size(markup.tag_texts(o)).alias("_o"), F.size(markup.tag_texts(t)).alias("_t"), markup.same_tags(o, t).alias("_same"), (count_lines(o) != count_lines(t)).alias("_uneven"), normalize_breaks(t).alias("_plain"), restored.alias("_restored"))
+    # A generated row: the conditions below then read the values instead of working them out again.
+    rows = entries.where(~is_blank(t)).select("*", F.inline(F.array(facts)))
+    breaks = (F.col("_restored") != F.col("_plain")) & F.col("_uneven")
+    kind = F.when(F.col("_o") > F.col("_t"), "missing-tags").when((F.col("_t") > F.col("_o")) | ~F.col("_same"), "extra-tags").when(breaks, "line-breaks")
     rows = rows.withColumn("_kind", kind).where("_kind IS NOT NULL")
     severity = F.when(F.col("_kind") == "missing-tags", "high").otherwise("medium")
     reason = F.when(F.col("_kind") == "line-breaks", "lines-missing").otherwise(F.concat(F.lit("tags "), "_o", F.lit(" to "), "_t"))

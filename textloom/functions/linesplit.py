@@ -162,6 +162,15 @@ def _ends(joined: Column) -> Column:
     return F.array_append(F.array_compact(blanks), F.length(joined))
 
 
+FAR, MOST_SCORE = 512, 19
+
+
+def _blanks_before(text: Column, end: Column) -> Column:
+    """How many blanks stand among the first characters."""
+    head = F.substring(text, F.lit(1), F.greatest(end, F.lit(0)))
+    return F.length(head) - F.length(F.replace(head, F.lit(" "), F.lit("")))
+
+
 def propose(original: Column, translation: Column) -> Column:
     """The translation split where the original's breaks would fall, at the best blank near each; unchanged if there is none."""
     given = F.struct(F.transform(lines_of(original), _chars).alias("lens"), one_line(translation).alias("joined"), translation.alias("translation"))
@@ -172,19 +181,26 @@ def propose(original: Column, translation: Column) -> Column:
         parts = F.struct(F.split(x.joined, " ").alias("pieces"), _blanks(x.joined, F.split(x.joined, " ")).alias("blanks"), _targets(x.lens, length).alias("targets"), length.alias("length"), reach.alias("reach"))
 
         def chosen(y: Column) -> Column:
-            good = F.filter(y.blanks, lambda c: ~c.bad & (c.at >= 1) & (c.at < y.length - 1))
-
             def pick(acc: Column, target: Column) -> Column:
-                near = F.filter(good, lambda c: F.abs(c.at - target) <= y.reach)
-                costs = F.transform(near, lambda c: F.struct((F.abs(c.at - target) - 4 * c.score).alias("cost"), c.at.alias("at")))
+                may = lambda c: ~c.bad & (c.at >= 1) & (c.at < y.length - 1) & (F.abs(c.at - target) <= y.reach)
+
+                def best(blanks: Column) -> Column:
+                    costs = F.transform(F.filter(blanks, may), lambda c: F.struct((F.abs(c.at - target) - 4 * c.score).alias("cost"), c.at.alias("at")))
+
+                    def free(found: Column) -> Column:
+                        # Only where the best blank is taken already are all of them held against those taken.
+                        first = F.array_min(found)
+                        other = F.array_min(F.filter(found, lambda c: ~F.array_contains(acc, c.at)))
+                        return F.when(F.array_contains(acc, first.at), other).otherwise(first)
 
-                def free(found: Column) -> Column:
-                    # Only where the best blank is taken already are all of them held against those taken.
-                    best = F.array_min(found)
-                    other = F.array_min(F.filter(found, lambda c: ~F.array_contains(acc, c.at)))
-                    return F.when(F.array_contains(acc, best.at), other).otherwise(best)
+                    return let(costs, free)
 
-                return let(let(costs, free), lambda best: F.when(best.isNotNull(), F.array_append(acc, best.at)).otherwise(acc))
+                # A free blank beside the target beats all that are farther by more than the scores differ: the rest is then not looked at.
+                low, high = _blanks_before(x.joined, target - FAR), _blanks_before(x.joined, target + FAR + 1)
+                local = F.slice(y.blanks, low + 1, high - low)
+                sure = lambda near: F.exists(near, lambda c: may(c) & ~F.array_contains(acc, c.at) & (F.abs(c.at - target) <= FAR - 4 * MOST_SCORE))
+                chosen_one = let(local, lambda near: F.when(sure(near), best(near)).otherwise(best(y.blanks)))
+                return let(chosen_one, lambda c: F.when(c.isNotNull(), F.array_append(acc, c.at)).otherwise(acc))
 
             picked = F.aggregate(y.targets, F.array().cast("array<int>"), pick)
             glue = lambda p: F.zip_with(y.pieces, y.blanks, lambda w, c: F.concat(w, F.when(c.at >= y.length, "").when(F.array_contains(p, c.at), "\n").otherwise(" ")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontaminate, html_extract, langid, packing, pii_bootstrap, quality_zdict, token_scan, trie_join, va_topk
+from . import chat_windows, decontaminate, html_extract, langid, merkle, packing, pii_bootstrap, quality_zdict, token_scan, trie_join, va_topk
 from .common import prepare
 
 
@@ -87,6 +87,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.name_documents(token_scan.scan_separators(files, END_OF_DOCUMENT), files)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    without_breaks = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    rows = merkle.build_manifest(_table(spark, sf_dir, "documents"), without_breaks)
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_decontaminate": op2_decontaminate,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle": op11_merkle,
 }
 
 _OP4_SQL = """
@@ -167,4 +174,59 @@ WITH raw AS (
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM said JOIN totals USING (conv_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_topk": _OP4_SQL, "op5_ngram_join": _OP5_SQL, "op8_chat": _OP8_SQL}
+# DuckDB has no crc32: every digit and eight shifts by the polynomial, as one fold.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"""
+
+
+def _field(name: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({name} AS VARCHAR))) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+_OP11_SQL = rf"""
+WITH RECURSIVE given AS (
+  SELECT doc_id, source, lang, n_chars, text, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other
+  FROM (SELECT *, {_CRC32} AS crc FROM documents)
+), digests AS (
+  SELECT doc_id, source, sha256(head || {_field('text')}) AS leaf, sha256(head || {_field('other')}) AS shown
+  FROM (SELECT *, {' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} AS head FROM given)
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM digests
+), up AS (
+  SELECT source, 0 AS lev, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT source, lev + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY source, lev, n, pos // 3
+), subroots AS (
+  SELECT source, h, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS lev, pos, n, h FROM subroots
+  UNION ALL
+  SELECT lev + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lev, n, pos // 3
+), sides AS (
+  SELECT *, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM up WHERE n > 1 WINDOW w AS (PARTITION BY source, lev, pos // 3 ORDER BY pos)
+), top_sides AS (
+  SELECT *, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM top WHERE n > 1 WINDOW w AS (PARTITION BY lev, pos // 3 ORDER BY pos)
+), inner_fold AS (
+  SELECT doc_id, source, pos AS leaf_pos, 0 AS lev, pos, shown AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.source, f.leaf_pos, f.lev + 1, f.pos // 3, sha256(s.l || f.h || s.r), f.proof || s.l || s.r
+  FROM inner_fold f JOIN sides s ON s.source IS NOT DISTINCT FROM f.source AND s.lev = f.lev AND s.pos = f.pos
+), at_subroot AS (
+  SELECT f.*, s.pos AS top_pos, s.h AS subroot FROM subroots s
+  JOIN (SELECT * FROM inner_fold QUALIFY row_number() OVER (PARTITION BY source, leaf_pos ORDER BY lev DESC) = 1) f ON f.source IS NOT DISTINCT FROM s.source
+), outer_fold AS (
+  SELECT source, leaf_pos, 0 AS lev, top_pos AS pos, h, proof FROM at_subroot
+  UNION ALL
+  SELECT f.source, f.leaf_pos, f.lev + 1, f.pos // 3, sha256(s.l || f.h || s.r), f.proof || s.l || s.r
+  FROM outer_fold f JOIN top_sides s ON s.lev = f.lev AND s.pos = f.pos
+), folded AS (SELECT * FROM outer_fold QUALIFY row_number() OVER (PARTITION BY source, leaf_pos ORDER BY lev DESC) = 1)
+SELECT a.doc_id, l.leaf, a.subroot, t.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM at_subroot a JOIN folded f ON f.source IS NOT DISTINCT FROM a.source AND f.leaf_pos = a.leaf_pos
+JOIN leaves l ON l.source IS NOT DISTINCT FROM a.source AND l.pos = a.leaf_pos JOIN (SELECT h FROM top WHERE n = 1) t ON true
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_topk": _OP4_SQL, "op5_ngram_join": _OP5_SQL, "op8_chat": _OP8_SQL, "op11_merkle": _OP11_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontaminate, html_extract, langid, merkle, packing, pii_bootstrap, quality_zdict, token_scan, trie_join, va_topk
+from . import chat_windows, decontaminate, html_extract, langid, merkle, packing, pii_bootstrap, quality_zdict, token_align, token_scan, toxicity, trie_join, va_topk
 from .common import prepare
 
 
@@ -93,6 +93,20 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    sides = token_align.AlignOptions(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    found, _ = token_align.align_tokens(_table(spark, sf_dir, "documents"), sides)
+    return found.drop("groups")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels.where(id_fold(3) != 1)))
+    return scored.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_decontaminate": op2_decontaminate,
@@ -105,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
     "op11_merkle": op11_merkle,
+    "op12_align": op12_align,
+    "op13_toxicity": op13_toxicity,
 }
 
 _OP4_SQL = """

@@ -5,14 +5,19 @@ Column expressions; positions are code points.
 
 from __future__ import annotations
 
+import math
+import re
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..jsstr import WHITE_CLASS, is_blank, let, ltrim, trim, word_count
+from ..jsstr import WHITE, WHITE_CLASS, is_blank, let, ltrim, trim, word_count
 from .text import one_line
 
 # Marks and tags that count as no text, words that no line may start with, marks that end a sentence.
-NO_TEXT = r"[￹-￼-]|\[(?:XENO|System|ML):[^\]]+\]|\[/[A-Za-z_:]+\]"
+NO_TEXT = r"[\x{FFF9}-\x{FFFC}\x{E000}-\x{E0FF}]|\[(?:XENO|System|ML):[^\]]+\]|\[/[A-Za-z_:]+\]"
 NO_START = (
     "و", "ف", "ل", "ب", "ك",
     "في", "من", "إلى", "الى", "على", "عن", "مع", "حتى", "لكن", "لكنّ", "أو", "أم",
@@ -22,6 +27,8 @@ NO_START = (
 )
 SENTENCE_END = "[.!?؟…]"
 OPENING_MARKS = "^[«»\"'(]+"
+_OPENING, _QUOTES, _PAUSES = "«»\"'(", ("«", '"', "("), ("؛", ";")
+_END, _FORBIDDEN = re.compile(SENTENCE_END), frozenset(NO_START)
 CAUSES = ("line-count-mismatch", "very-short-line", "very-unbalanced", "broken-phrase", "drift-from-original-positions")
 
 #: Where the score of badness is high enough to be shown, and where a line counts as easy to mend.
@@ -55,16 +62,9 @@ def _ends_clean(line: Column) -> Column:
 
 
 def break_ratios(text: Column) -> Column:
-    """Where the breaks stand, as parts of the length without tags."""
-
-    def ratios(x: Column) -> Column:
-        pieces = F.split(x.plain, "\n")
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<double>").alias("found"))
-        walk = lambda acc, p: F.struct((acc.at + F.length(p) + 1).alias("at"), F.array_append(acc.found, (acc.at + F.length(p)) / x.size).alias("found"))
-        found = let(pieces, lambda ps: F.aggregate(F.slice(ps, 1, F.greatest(F.size(ps) - 1, F.lit(0))), start, walk, lambda acc: acc.found))
-        return F.when(x.size == 0, F.array().cast("array<double>")).otherwise(found)
-
-    return let(let(strip_tags(text), lambda plain: F.struct(plain.alias("plain"), F.length(plain).alias("size"))), ratios)
+    """Where the breaks stand, as parts of the length without tags; one pass over the characters."""
+    breaks = lambda plain: F.array_compact(F.transform(F.split(plain, ""), lambda c, i: F.when(c == "\n", i)))
+    return let(strip_tags(text), lambda plain: F.transform(breaks(plain), lambda at: at / F.length(plain)))
 
 
 def _count(over: Column, condition) -> Column:
@@ -121,91 +121,91 @@ def _diagnosis(x: Column) -> Column:
     return let(parts, verdict)
 
 
-def _targets(lens: Column, length: Column) -> Column:
-    """Where the original's breaks would fall in a text of this length."""
-    total = F.greatest(F.aggregate(lens, F.lit(0), lambda acc, x: acc + x), F.lit(1))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("spots"))
-    step = lambda acc, x: F.struct((acc.at + x).alias("at"), F.array_append(acc.spots, F.round((acc.at + x) / total * length).cast("int")).alias("spots"))
-    return F.aggregate(F.slice(lens, 1, F.greatest(F.size(lens) - 1, F.lit(0))), start, step, lambda acc: acc.spots)
-
-
-def _blanks(joined: Column, pieces: Column) -> Column:
-    """Each blank between words: where it stands and how good a break there would be; none before a word that may not start."""
-    facts = F.transform(
-        pieces,
-        lambda w: F.struct(
-            F.length(w).alias("n"),
-            (
-                F.when(F.right(w, F.lit(1)).rlike(SENTENCE_END), 10).otherwise(0) + F.when(F.right(w, F.lit(1)).isin("؛", ";"), 3).otherwise(0) + F.when(F.length(w) >= 4, 2).otherwise(0)
-            ).alias("before"),
-            (F.when(F.left(w, F.lit(1)).isin("«", '"', "("), 2).otherwise(0) + F.when(F.length(w) >= 4, 1).otherwise(0)).alias("after"),
-            _may_not_start(w).alias("bad"),
-        ),
-    )
-
-    def found(words: Column) -> Column:
-        last = F.size(words) - 1
-
-        def scored(at: Column, i: Column) -> Column:
-            after = F.get(words, i + 1)
-            score = F.get(words, i).before + 1 + F.coalesce(after.after, F.lit(0))
-            return F.struct(at.alias("at"), score.alias("score"), ((i == last) | F.coalesce(after.bad, F.lit(True))).alias("bad"))
-
-        return F.transform(_ends(joined), scored)
-
-    return let(facts, found)
-
-
-def _ends(joined: Column) -> Column:
-    """Where each piece between blanks ends, the last one with the text; one pass over the characters."""
-    blanks = F.transform(F.split(joined, ""), lambda c, i: F.when(c == " ", i))
-    return F.array_append(F.array_compact(blanks), F.length(joined))
-
-
-FAR, MOST_SCORE = 512, 19
-
-
-def _blanks_before(text: Column, end: Column) -> Column:
-    """How many blanks stand among the first characters."""
-    head = F.substring(text, F.lit(1), F.greatest(end, F.lit(0)))
-    return F.length(head) - F.length(F.replace(head, F.lit(" "), F.lit("")))
+# --- a better split ------------------------------------------------------------------------------------------------------
+
+
+class _Free:
+    """Ordered places of equal worth; finds the nearest one that is not taken. Taken places are skipped by links that grow short."""
+
+    def __init__(self) -> None:
+        self.at: list[int] = []
+        self._after: list[int] = [0]
+        self._before: list[int] = [0]
+
+    def add(self, at: int) -> None:
+        self.at.append(at)
+        self._after.append(len(self.at))
+        self._before.append(len(self.at))
+
+    @staticmethod
+    def _end(links: list[int], i: int) -> int:
+        while links[i] != i:
+            links[i] = links[links[i]]
+            i = links[i]
+        return i
+
+    def nearest(self, spot: int) -> tuple[int, int] | None:
+        """(distance, number) of the nearest free place, the left one of two."""
+        i = bisect_left(self.at, spot)
+        right, left = self._end(self._after, i), self._end(self._before, i) - 1
+        found = [(abs(self.at[k] - spot), k) for k in (left, right) if 0 <= k < len(self.at)]
+        return min(found) if found else None
+
+    def take(self, k: int) -> None:
+        self._after[k], self._before[k + 1] = k + 1, k
+
+
+def _break_worth(word: str, after: str) -> int:
+    """How good a break between two words is."""
+    worth = 1 + 2 * (len(word) >= 4) + (len(after) >= 4) + 2 * (after[:1] in _QUOTES)
+    return worth + (10 if _END.match(word[-1:]) else 3 * (word[-1:] in _PAUSES))
+
+
+def _break_places(lens: list[int], joined: str) -> list[int]:
+    """For each break of the original, in order, the free blank of the least cost near where it would fall.
+
+    Blanks of equal worth differ in cost by their distance alone, so only the nearest free one of each worth is looked at: a few
+    of them for each break, whatever the text's length.
+    """
+    length, words = len(joined), joined.split(" ")
+    by_worth: dict[int, _Free] = {}
+    at = -1
+    for word, after in zip(words, words[1:], strict=False):
+        at += 1 + len(word)
+        first = after.strip(WHITE)
+        first = re.split(f"[{WHITE}]", first, maxsplit=1)[0].lstrip(_OPENING) if first else ""
+        if first not in _FORBIDDEN and 1 <= at < length - 1:
+            by_worth.setdefault(_break_worth(word, after), _Free()).add(at)
+    reach, total = max(20, math.floor(length * 0.25 + 0.5)), max(sum(lens), 1)
+    taken, upto = [], 0
+    for size in lens[:-1]:
+        upto += size
+        spot = math.floor(upto / total * length + 0.5)
+        near = [(found[0] - 4 * worth, free.at[found[1]], worth, found[1]) for worth, free in by_worth.items() if (found := free.nearest(spot)) and found[0] <= reach]
+        if near:
+            _, place, worth, k = min(near)
+            by_worth[worth].take(k)
+            taken.append(place)
+    return sorted(taken)
+
+
+@F.pandas_udf("string")
+def _broken_lines(lens: pd.Series, joined: pd.Series, translation: pd.Series) -> pd.Series:
+    made = []
+    for sizes, text, given in zip(lens, joined, translation, strict=True):
+        places = _break_places([int(n) for n in sizes], text) if text is not None else []
+        cuts = [0, *(p + 1 for p in places)]
+        made.append("\n".join(text[a:b] for a, b in zip(cuts, [*places, None], strict=True)).strip(WHITE) if places else given)
+    return pd.Series(made, dtype=object)
 
 
 def propose(original: Column, translation: Column) -> Column:
-    """The translation split where the original's breaks would fall, at the best blank near each; unchanged if there is none."""
-    given = F.struct(F.transform(lines_of(original), _chars).alias("lens"), one_line(translation).alias("joined"), translation.alias("translation"))
-
-    def split(x: Column) -> Column:
-        length = F.length(x.joined)
-        reach = F.greatest(F.lit(20), F.round(length * 0.25).cast("int"))
-        parts = F.struct(F.split(x.joined, " ").alias("pieces"), _blanks(x.joined, F.split(x.joined, " ")).alias("blanks"), _targets(x.lens, length).alias("targets"), length.alias("length"), reach.alias("reach"))
-
-        def chosen(y: Column) -> Column:
-            def pick(acc: Column, target: Column) -> Column:
-                may = lambda c: ~c.bad & (c.at >= 1) & (c.at < y.length - 1) & (F.abs(c.at - target) <= y.reach)
-
-                def best(blanks: Column) -> Column:
-                    costs = F.transform(F.filter(blanks, may), lambda c: F.struct((F.abs(c.at - target) - 4 * c.score).alias("cost"), c.at.alias("at")))
-
-                    def free(found: Column) -> Column:
-                        # Only where the best blank is taken already are all of them held against those taken.
-                        first = F.array_min(found)
-                        other = F.array_min(F.filter(found, lambda c: ~F.array_contains(acc, c.at)))
-                        return F.when(F.array_contains(acc, first.at), other).otherwise(first)
-
-                    return let(costs, free)
-
-                # A free blank beside the target beats all that are farther by more than the scores differ: the rest is then not looked at.
-                low, high = _blanks_before(x.joined, target - FAR), _blanks_before(x.joined, target + FAR + 1)
-                local = F.slice(y.blanks, low + 1, high - low)
-                sure = lambda near: F.exists(near, lambda c: may(c) & ~F.array_contains(acc, c.at) & (F.abs(c.at - target) <= FAR - 4 * MOST_SCORE))
-                chosen_one = let(local, lambda near: F.when(sure(near), best(near)).otherwise(best(y.blanks)))
-                return let(chosen_one, lambda c: F.when(c.isNotNull(), F.array_append(acc, c.at)).otherwise(acc))
-
-            picked = F.aggregate(y.targets, F.array().cast("array<int>"), pick)
-            glue = lambda p: F.zip_with(y.pieces, y.blanks, lambda w, c: F.concat(w, F.when(c.at >= y.length, "").when(F.array_contains(p, c.at), "\n").otherwise(" ")))
-            return let(picked, lambda p: F.when(F.size(p) == 0, x.translation).otherwise(trim(F.array_join(glue(p), ""))))
-
-        return F.when(is_blank(x.translation), x.translation).when(F.size(x.lens) <= 1, x.joined).otherwise(let(parts, chosen))
-
-    return let(given, split)
+    """The translation split where the original's breaks would fall, at the best blank near each; unchanged if there is none.
+
+    Breaks take blanks one after another and none twice, which no built-in expression says in less than the square of the lines;
+    a text's breaks are placed in an Arrow batch, everything else stays in the JVM.
+    """
+    lens, joined = F.transform(lines_of(original), _chars), one_line(translation)
+    plain = is_blank(translation) | (F.size(lens) <= 1)
+    broken = _broken_lines(lens, F.when(~plain, joined), translation)
+    return F.when(is_blank(translation), translation).when(F.size(lens) <= 1, joined).otherwise(broken)

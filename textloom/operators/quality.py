@@ -60,20 +60,26 @@ def scan_symbols(entries: DataFrame) -> DataFrame:
     return _issue(rows, F.col("_kind"), F.col("_restored"), severity, reason)
 
 
-def scan_line_split(entries: DataFrame, compat: bool = True) -> DataFrame:
-    """Entries for which a better split is proposed.
+def badly_split(entries: DataFrame, compat: bool = True) -> DataFrame:
+    """Entries for which a better split is proposed, with `proposed`, `severity` and `reason`.
 
     The default keeps the usual thresholds, which read the score of badness as one of goodness: entries at 75 or more are left
     out, and those below 45 are high. With `compat=False` an entry is an issue from 25 on, and high from 50 on.
     """
     o, t = F.col("original"), F.col("translation")
     # A generated row: the conditions below then read the values instead of working them out again.
-    rows = entries.where(~is_blank(t)).select("*", F.inline(F.array(F.struct(linesplit.diagnose(o, t).alias("_d"), linesplit.propose(o, t).alias("_p")))))
+    rows = entries.where(~is_blank(t)).select("*", F.inline(F.array(F.struct(linesplit.diagnose(o, t).alias("_d")))))
     score = F.col("_d.score")
-    rows = rows.where(score < 75 if compat else score >= linesplit.SHOWN).where((F.col("_p") != "") & (F.col("_p") != t))
+    rows = rows.where(score < 75 if compat else score >= linesplit.SHOWN).withColumn("proposed", linesplit.propose(o, t))
     severity = F.when(score < 45 if compat else score >= linesplit.SHOWN_WITHOUT_PROPOSAL, "high").otherwise("medium")
     reason = F.when(F.size("_d.causes") > 0, F.array_join("_d.causes", "; ")).otherwise(F.concat(F.lit("score "), score.cast("string")))
-    return _issue(rows, F.lit("line-split"), markup.restore(o, F.col("_p")), severity, reason)
+    return rows.where((F.col("proposed") != "") & (F.col("proposed") != t)).withColumns({"severity": severity, "reason": reason}).drop("_d")
+
+
+def scan_line_split(entries: DataFrame, compat: bool = True) -> DataFrame:
+    """Issues of badly split entries; the suggestion has the original's tags again."""
+    rows = badly_split(entries, compat)
+    return _issue(rows, F.lit("line-split"), markup.restore(F.col("original"), F.col("proposed")), F.col("severity"), F.col("reason"))
 
 
 def scan_line_split_files(entries: DataFrame, translations: DataFrame) -> DataFrame:

@@ -411,13 +411,13 @@ def package_paths(spark, sf_dir):
 
 # --- quality -----------------------------------------------------------------------------------------------------------
 
-_PAIRS = """pairs AS (SELECT doc_id, original, CASE doc_id % 5 WHEN 0 THEN original WHEN 1 THEN replace(original, '[XENO:wait a=b ]', '') WHEN 2 THEN original || '[ML:icon ]'
+PAIRS = """pairs AS (SELECT doc_id, original, CASE doc_id % 5 WHEN 0 THEN original WHEN 1 THEN replace(original, '[XENO:wait a=b ]', '') WHEN 2 THEN original || '[ML:icon ]'
     WHEN 3 THEN replace(original, '[/System:Color]', '[/System:Other]') ELSE replace(original, chr(10), ' ') END AS translation FROM (
   SELECT doc_id, '[XENO:wait a=b ]' || text || '[System:Color name=x ]' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'more words here' ELSE '' END || '[/System:Color]' AS original
   FROM documents WHERE length(text) > 0))"""
 
 
-@query(f"""WITH {_PAIRS}, lines AS (SELECT *, len(string_split(original, chr(10))) AS o, len(string_split(translation, chr(10))) AS t FROM pairs)
+@query(f"""WITH {PAIRS}, lines AS (SELECT *, len(string_split(original, chr(10))) AS o, len(string_split(translation, chr(10))) AS t FROM pairs)
 SELECT 'root.l' || doc_id AS path, kind, CASE kind WHEN 'missing-tags' THEN 'high' ELSE 'medium' END AS severity FROM (
   SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'missing-tags' WHEN doc_id % 5 IN (2, 3) THEN 'extra-tags' WHEN o > 1 AND o <> t THEN 'line-breaks' END AS kind FROM lines) WHERE kind IS NOT NULL""")
 def symbol_scan(spark, sf_dir):
@@ -437,30 +437,22 @@ def restored_tags(spark, sf_dir):
     return found.select("doc_id", F.md5(plain).alias("words"), *counts, others)
 
 
-@query(f"""WITH {_PAIRS} SELECT count(*) AS scanned, CAST(count_if(doc_id % 5 IN (1, 2, 3) OR (doc_id % 5 = 4 AND contains(original, chr(10)))) AS BIGINT) AS flagged FROM pairs""")
+@query(f"""WITH {PAIRS} SELECT count(*) AS scanned, CAST(count_if(doc_id % 5 IN (1, 2, 3) OR (doc_id % 5 = 4 AND contains(original, chr(10)))) AS BIGINT) AS flagged FROM pairs""")
 def symbol_scan_totals(spark, sf_dir):
     entries = A.text_pairs(spark, sf_dir)
     return quality.scan_totals(entries, quality.scan_symbols(entries))
 
 
-@query(f"""WITH {_PAIRS}, tags AS (SELECT len(regexp_extract_all(translation, '\\[XENO:')) AS x, len(regexp_extract_all(translation, '\\[/?System:')) AS s, len(regexp_extract_all(translation, '\\[ML:')) AS m FROM pairs)
+@query(f"""WITH {PAIRS}, tags AS (SELECT len(regexp_extract_all(translation, '\\[XENO:')) AS x, len(regexp_extract_all(translation, '\\[/?System:')) AS s, len(regexp_extract_all(translation, '\\[ML:')) AS m FROM pairs)
 SELECT count(*) AS total, CAST(sum(x) AS BIGINT) AS xeno, CAST(sum(s) AS BIGINT) AS system, CAST(sum(m) AS BIGINT) AS ml FROM tags""")
 def tag_totals(spark, sf_dir):
     rows = A.text_pairs(spark, sf_dir).withColumn("attrs", F.create_map(F.lit("original"), F.col("translation")))
     return quality.tag_report(rows).select("total", "xeno", "system", "ml")
 
 
-@query()
-def line_split_scan(spark, sf_dir):
-    """Scores and proposals of all pairs of an original and its changed copy."""
-    rows = A.text_pairs(spark, sf_dir)
-    scored = rows.select("path", linesplit.diagnose(F.col("original"), F.col("translation")).alias("d"), linesplit.propose(F.col("original"), F.col("translation")).alias("proposed"))
-    return scored.select("path", "d.score", "d.orig_line_count", "d.tr_line_count", F.array_join("d.causes", ",").alias("causes"), "proposed")
-
-
 @query()
 def line_split_issues(spark, sf_dir):
     return quality.scan_line_split(A.text_pairs(spark, sf_dir), compat=False).select("path", "kind", "severity", "suggestion")
 
 
-from . import format_queries, function_queries  # noqa: E402, F401  (they register their queries here)
+from . import format_queries, function_queries, linesplit_queries  # noqa: E402, F401  (they register their queries here)

@@ -51,3 +51,26 @@ def test_shingle_that_each_task_sees_once_is_counted_as_common(spark):
     words, first, _, _ = trie_join.word_hashes(*trie_join.text_bytes(trie_join.pa.array([shared])))
     assert order.is_common(next(trie_join.row_shingles(words, first))).all() and len(order.hashes) == 1
     read.unpersist()
+
+
+def _thue_morse(n, first):
+    return "".join("ab"[(bin(i).count("1") + first) % 2] for i in range(n))
+
+
+def test_words_keep_their_identity(spark):
+    """Words whose sums of powers are equal, swapped halves of long words, and random long words."""
+    rng = random.Random(4)
+    half = ["".join(rng.choice("xyz") for _ in range(1 << 16)) for _ in range(2)]
+    long = ["".join(rng.choice("ab") for _ in range(rng.choice([63, 64, 65, 66, 128, 1000]))) for _ in range(300)]
+    texts = [_thue_morse(1024, 0), _thue_morse(1024, 1), _thue_morse(64, 0), _thue_morse(64, 1), half[0] + half[1], half[1] + half[0], *long]
+    texts += [t.upper() for t in texts[:6]] + [t[:-1] + "\x00" for t in texts[:4]] + [t + "\x00" for t in texts[:4]]
+    words, first, _, _ = trie_join.word_hashes(*trie_join.text_bytes(trie_join.pa.array(texts)))
+    assert len(words) == len(texts) and first.tolist() == list(range(len(texts) + 1))
+    names = {}
+    for text, word in zip(texts, words.tolist(), strict=True):
+        assert names.setdefault(text.lower(), word) == word
+    assert len(set(names.values())) == len(names)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [_set(t) for t in texts]
+    want = {i: sum(_alike(s, x) for j, x in enumerate(sets) if i != j) for i, s in enumerate(sets)}
+    assert {r.doc_id: r.n_links for r in trie_join.jaccard_components(docs).collect()} == want

@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,11 +96,8 @@ _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS = np.empty(1 << 16, np.uint64)
-_POWERS[0] = 1
-_POWERS[1:] = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.multiply.accumulate(_POWERS)
+_TABLED = 64  # bytes of a word that have random numbers of their own, by place and value
+_NUMBERS = _RNG.integers(0, 2**64, _TABLED * 256, dtype=np.uint64)
 _SLOT = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -124,7 +122,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the ASCII-lower-cased words, first word number of each row (and the total), byte starts and ends."""
+    """Hashes of the ASCII-lower-cased words: sums of random numbers of each place and byte, for words beyond 64 bytes xxh3; first word number of each row (and the total), byte starts and ends."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -145,8 +143,11 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = np.zeros(len(starts), np.int64)
     np.cumsum(lens[:-1], out=at[1:])
     place = np.arange(int(lens.sum())) - np.repeat(at, lens)
-    values = _BYTE[_LOWER[data[solid]]] * _POWERS[place & 0xFFFF]
-    return mix(np.add.reduceat(values, at) + lens.astype(np.uint64)), first, starts, ends
+    values = _NUMBERS[(place & (_TABLED - 1)) << 8 | _LOWER[data[solid]]]
+    hashes = mix(np.add.reduceat(values, at) + lens.astype(np.uint64))
+    for i in np.flatnonzero(lens > _TABLED).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(_LOWER[data[starts[i] : ends[i]]].tobytes(), seed=_TABLED)
+    return hashes, first, starts, ends
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

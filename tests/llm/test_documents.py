@@ -87,38 +87,55 @@ def test_token_scan(spark, sf_dir):
     assert got == {i: len(encode(t)) for i, t in texts.items()}
 
 
-def test_token_scan_edges(spark, monkeypatch):
+def _flat(folder, name, ids, kind="<u2"):
+    folder.mkdir(exist_ok=True)
+    np.array(ids, kind).tofile(folder / name)
+
+
+def test_token_scan_edges(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(token_scan, "CHUNK_BLOCKS", 3)
     encode = _tokenizer(True)
-    files = token_scan.write_token_files(_clash(_docs(spark, EDGES)), queries.tokenizer_path(), 49407, block_ids=7)
-    got = Counter((r.doc_id, r.n_tokens) for r in token_scan.name_documents(token_scan.scan_separators(files, 49407), files).collect())
-    assert got == Counter((i, len(encode(t))) for i, t in EDGES)
-    raw = [(0, 0, [1, 2, 9]), (0, 1, []), (0, 2, [9, 3]), (0, 3, [4, 5]), (1, 0, [9, 9, 7]), (2, 0, [])]
-    files = spark.createDataFrame([(f, b, bytearray(np.array(x, "<u2").tobytes())) for f, b, x in raw], "file_id long, block_no long, data binary")
-    got = sorted(tuple(r) for r in token_scan.scan_separators(files, 9).collect())
-    assert got == [(0, 0, 0, 2, True), (0, 1, 3, 0, True), (0, 2, 4, 3, False), (1, 0, 0, 0, True), (1, 1, 1, 0, True), (1, 2, 2, 1, False)]
+    files, order = token_scan.write_token_files(_clash(_docs(spark, EDGES)), queries.tokenizer_path(), 49407)
+    for range_ids in (7, 1000):
+        got = Counter((r.doc_id, r.n_tokens) for r in token_scan.name_documents(token_scan.scan_separators(files, 49407, range_ids=range_ids), order).collect())
+        assert got == Counter((i, len(encode(t))) for i, t in EDGES)
+    files, order = token_scan.write_token_files(_docs(spark, EDGES).limit(0), queries.tokenizer_path(), 49407)
+    assert token_scan.name_documents(token_scan.scan_separators(files, 49407), order).collect() == []
+
+
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_one_file_cut_at_every_place(spark, monkeypatch, tmp_path, chunk):
+    monkeypatch.setattr(token_scan, "CHUNK_BLOCKS", chunk)
+    ids = [1, 2, 9, 9, 3, 4, 5, 6, 7, 8, 9, 1, 9, 2, 2]
+    _flat(tmp_path / "flat", "a.ids", ids)
+    _flat(tmp_path / "flat", "b.ids", [9])
+    _flat(tmp_path / "flat", "empty.ids", [])
+    listed = token_scan.list_token_files(spark, str(tmp_path / "flat"))
+    names = {r.file_id: r.path[-5] for r in listed.collect()}
+    want = sorted([("a", 0, 0, 2, True), ("a", 1, 3, 0, True), ("a", 2, 4, 6, True), ("a", 3, 11, 1, True), ("a", 4, 13, 2, False), ("b", 0, 0, 0, True)])
+    for range_ids in range(1, len(ids) + 2):
+        found = token_scan.scan_separators(listed, 9, range_ids=range_ids).collect()
+        assert sorted((names[r.file_id], *tuple(r)[1:]) for r in found) == want
 
 
 def test_token_files_on_disk(spark, tmp_path):
     rng, want = np.random.default_rng(5), Counter()
     for width, kind in ((2, "<u2"), (4, "<u4")):
-        folder = tmp_path / f"w{width}"
-        folder.mkdir()
         for k in range(4):
             lengths = rng.integers(0, 40, int(rng.integers(0, 30))).tolist()
             ids = np.concatenate([np.zeros(0, int), *(np.append(rng.integers(0, 49407, n), 49407) for n in lengths)])
-            ids = np.append(ids, [5] * k)  # ids after the last separator: an unfinished document
-            ids.astype(kind).tofile(folder / f"part{k}.bin")
+            # Ids after the last separator: an unfinished document.
+            _flat(tmp_path / f"w{width}", f"part{k}.bin", np.append(ids, [5] * k), kind)
             want += Counter((width, n, True) for n in lengths) + Counter([(width, k, False)] if k else [])
     got = Counter()
     for width in (2, 4):
-        files = token_scan.read_token_files(spark, str(tmp_path / f"w{width}"), width, block_ids=11)
-        got += Counter((width, r.n_tokens, r.ended) for r in token_scan.scan_separators(files, 49407, width).collect())
+        files = token_scan.list_token_files(spark, str(tmp_path / f"w{width}"))
+        got += Counter((width, r.n_tokens, r.ended) for r in token_scan.scan_separators(files, 49407, width, range_ids=11).collect())
     assert got == want
     (tmp_path / "odd").mkdir()
     (tmp_path / "odd" / "x.bin").write_bytes(b"123")
     with pytest.raises(Exception, match="no whole number of ids"):
-        token_scan.read_token_files(spark, str(tmp_path / "odd")).collect()
+        token_scan.scan_separators(token_scan.list_token_files(spark, str(tmp_path / "odd")), 9).collect()
 
 
 def test_ids_that_two_bytes_cannot_hold_are_an_error():
@@ -537,14 +554,14 @@ def test_bloom_slots_hold_every_inserted_gram(spark):
 
 
 def _brute_topk(rows, k=10):
-    sound = {(i, tuple(int(np.floor(1024 * float(x))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    """Every row is a candidate; of a query id with several rows, all pairs of its rows and the others count."""
+    sound = [(i, tuple(int(np.floor(1024 * float(x))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     size = Counter(len(v) for _, v in sound).most_common(1)[0][0]
     sound = [(i, v) for i, v in sound if len(v) == size]
     out = set()
-    for q, a in sound:
-        if q % 100 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in sound if i != q)[:k]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    for q in {i for i, _ in sound if i % 100 == 0}:
+        pairs = [(-sum(x * y for x, y in zip(a, b, strict=True)), i) for j, a in sound if j == q for i, b in sound if i != q]
+        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(pairs)[:k])}
     return out
 
 

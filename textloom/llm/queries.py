@@ -83,8 +83,8 @@ END_OF_DOCUMENT = 49407
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_scan.write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), END_OF_DOCUMENT)
-    return token_scan.name_documents(token_scan.scan_separators(files, END_OF_DOCUMENT), files)
+    files, order = token_scan.write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), END_OF_DOCUMENT)
+    return token_scan.name_documents(token_scan.scan_separators(files, END_OF_DOCUMENT), order)
 
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

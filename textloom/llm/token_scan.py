@@ -1,31 +1,36 @@
 """Token counts of flat, unindexed token files (separator scan).
 
-A flat file is a run of ids of a fixed width (two bytes or four, little-endian) without any index, read in blocks of a fixed
-number of ids, wherever documents end. The scan looks at each block alone, in one vectorised comparison, and notes where the
-end-of-document id stands; a two-level prefix sum over the blocks' small summaries then stitches the documents that cross blocks.
-
-`read_token_files` reads such files from a folder (up to 2 GB each, as Spark reads a binary file whole; blocks leave the task one
-by one). `write_token_files` makes them from documents, as a table of blocks, so that any file system that Spark writes to holds them.
-
-Defined cases: an empty document has 0 tokens; ids after the last separator are a last document with `ended` false; an empty
-block or file gives no rows; bytes at the end of a file that make no whole id are an error, as is an id that the width cannot
-hold; a null text counts as empty; repeated rows count once each.
+A flat file is a run of ids of a fixed width (two bytes or four, little-endian) without any index. A folder's files are listed
+with their sizes and cut into byte ranges of a fixed number of ids, wherever documents end; each range is a row, and the task that
+has it opens the file, reads that range alone and notes in one vectorised comparison where the end-of-document id stands. So a
+file may be of any size. A two-level prefix sum over the ranges' small summaries then stitches the documents that cross ranges.
+
+`write_token_files` makes such files from documents, one for each task: the bytes go to the file system itself, and the table that
+is returned says which file holds which document as its how-manieth. Only files that a finished task names are read, so what a
+lost or repeated task has left behind does no harm.
+
+Defined cases: an empty document has 0 tokens; ids after the last separator are a last document with `ended` false; an empty file
+gives no rows; bytes at the end of a file that make no whole id are an error, as is an id that the width cannot hold; a null text
+counts as empty; repeated rows count once each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, string_columns
+from .common import checkpoint_dir, materialize, prepare, string_columns
 from .tokens import encoder
 
-BLOCK_IDS = 1 << 16
+RANGE_IDS = 1 << 20
 CHUNK_BLOCKS = 1024
+FLUSH_BYTES = 1 << 22
 
 
 def _ids(width: int) -> str:
@@ -42,72 +47,89 @@ def _narrow(ids: bytes, width: int) -> bytes:
     return wide.astype("<u2").tobytes()
 
 
-def read_token_files(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(file_id, block_no, data, path) of the flat files that a path names; `file_id` is a hash of the file's own path."""
-    prepare(spark)
+def _file_system(path: str) -> tuple[pa_fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there."""
+    head, _, rest = path.partition(":/")
+    if not rest or "/" in head:
+        return pa_fs.LocalFileSystem(), path
+    return pa_fs.FileSystem.from_uri(path if rest.startswith("/") else f"{head}:///{rest}")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = width * block_ids
-        for batch in batches:
-            for file_id, name, content in zip(*(batch.column(i) for i in range(3)), strict=True):
-                data = content.as_buffer() or b""
-                if len(data) % width:
-                    raise ValueError(f"{name} holds {len(data)} bytes: no whole number of ids")
-                for at in range(0, len(data), size):
-                    yield pa.RecordBatch.from_arrays([pa.array([file_id.as_py()], pa.int64()), pa.array([at // size], pa.int64()), pa.array([bytes(data[at : at + size])], pa.binary()), pa.array([name.as_py()], pa.string())], names=["file_id", "block_no", "data", "path"])
 
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file_id"), "path", "content")
-    return files.mapInArrow(cut, "file_id long, block_no long, data binary, path string")
+def list_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, path, length) of the flat files that a path names; `file_id` is a hash of the file's own path. Nothing is read."""
+    return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file_id"), "path", "length")
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS, width: int = 2) -> DataFrame:
-    """Tokenize into one flat file for each partition: (file_id, block_no, data, doc_ids).
+def token_ranges(files: DataFrame, width: int = 2, range_ids: int = RANGE_IDS) -> DataFrame:
+    """(file_id, path, length, block_no): a row for each range of a listed file, dealt over the tasks."""
+    size = width * range_ids
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}")))
+    rows = files.where("length > 0").select("file_id", "path", "length", every.alias("block_no"))
+    return rows.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id", "block_no")
 
-    `doc_ids` names the documents that end in the block; it serves to check results and no scan reads it.
-    """
-    prepare(docs.sparkSession)
-    schema = pa.schema([("file_id", pa.int64()), ("block_no", pa.int64()), ("data", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
+
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tokenize into flat files, one for each task; the files (file_id, path, length) and their order of documents (file_id, doc_no, doc_id)."""
+    spark = prepare(docs.sparkSession)
+    folder = folder or f"{checkpoint_dir(spark)}/textloom/flat-{uuid.uuid4().hex}"
+    rows = string_columns(docs, "doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words = TaskContext.get().partitionId(), encoder(tokenizer, literal=True)
-        size, number, held, names, end = width * block_ids, 0, bytearray(), [], _narrow(np.array([end_id], "<u4").tobytes(), width)
-        ends: list[int] = []  # bytes of `held` up to each document's end
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held += _narrow(words.encode(text.as_py()), width) + end
-                names.append(doc)
-                ends.append(len(held))
-            rows = []
-            while len(held) >= size:
-                k = int(np.searchsorted(ends, size, "right"))
-                rows.append((part, number, bytes(held[:size]), names[:k]))
-                del held[:size], names[:k], ends[:k]
-                ends, number = [x - size for x in ends], number + 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, number, bytes(held), names), schema, strict=True)], schema=schema)
-
-    return materialize(string_columns(docs, "doc_id", "text").mapInArrow(write, "file_id long, block_no long, data binary, doc_ids array<long>"), "tokens")
-
-
-def scan_separators(files: DataFrame, end_id: int, width: int = 2) -> DataFrame:
-    """One row for each document of flat files (file_id, block_no, data): file_id, doc_no, start, n_tokens, ended."""
+        context, words = TaskContext.get(), encoder(tokenizer, literal=True)
+        end, number, out, held = _narrow(np.array([end_id], "<u4").tobytes(), width), 0, None, bytearray()
+        # An attempt has a file of its own: the rows of the attempt that counts name the file that counts.
+        name = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.ids"
+        fs, own = _file_system(name)
+        try:
+            for batch in batches:
+                for text in batch.column(1):
+                    held += _narrow(words.encode(text.as_py()), width) + end
+                if out is None and batch.num_rows:
+                    fs.create_dir(own.rpartition("/")[0], recursive=True)
+                    out = fs.open_output_stream(own)
+                if len(held) >= FLUSH_BYTES:
+                    out.write(bytes(held))
+                    held.clear()
+                numbers = pa.array(np.arange(number, number + batch.num_rows))
+                number += batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows, pa.string()), numbers, batch.column(0)], names=["name", "doc_no", "doc_id"])
+        finally:
+            if out is not None:
+                out.write(bytes(held))
+                out.close()
+
+    order = materialize(rows.mapInArrow(write, f"name string, doc_no long, doc_id {rows.schema['doc_id'].dataType.simpleString()}"), "order")
+    names = order.select("name").distinct()
+    if names.isEmpty():
+        return spark.createDataFrame([], "file_id long, path string, length long"), order.select(F.lit(0).cast("long").alias("file_id"), "doc_no", "doc_id")
+    last = F.element_at(F.split("path", "/"), -1)
+    listed = list_token_files(spark, folder).withColumn("last", last).join(names.select("name", F.element_at(F.split("name", "/"), -1).alias("last")), "last")
+    listed = materialize(listed.select("file_id", "path", "length", "name"), "files")
+    return listed.drop("name"), order.join(listed.select("name", "file_id"), "name").select("file_id", "doc_no", "doc_id")
+
+
+def scan_separators(files: DataFrame, end_id: int, width: int = 2, range_ids: int = RANGE_IDS) -> DataFrame:
+    """One row for each document of the listed flat files (file_id, path, length): file_id, doc_no, start, n_tokens, ended."""
     prepare(files.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files_, numbers, data = (batch.column(i) for i in range(3))
             sizes, ends = [], []
-            for block in data:
-                ids = np.frombuffer(block.as_buffer() or b"", _ids(width))
+            for path, length, number in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if length % width:
+                    raise ValueError(f"{path} holds {length} bytes: no whole number of ids")
+                fs, own = _file_system(path)
+                with fs.open_input_file(own) as data:
+                    data.seek(number * width * range_ids)
+                    ids = np.frombuffer(data.read(width * range_ids), _ids(width))
                 sizes.append(len(ids))
                 ends.append(np.flatnonzero(ids == end_id))
-            yield pa.RecordBatch.from_arrays([files_, numbers, pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["file_id", "block_no", "n", "ends"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["file_id", "block_no", "n", "ends"])
 
-    blocks = string_columns(files, "file_id", "block_no", "data").where("data IS NOT NULL").mapInArrow(scan, "file_id long, block_no long, n long, ends array<long>")
+    ranges = token_ranges(string_columns(files, "file_id", "path", "length"), width, range_ids)
+    blocks = ranges.mapInArrow(scan, "file_id long, block_no long, n long, ends array<long>")
     blocks = materialize(blocks.withColumn("chunk", F.expr(f"block_no div {CHUNK_BLOCKS}")), "separators")
     # First level: sums of chunks of blocks; second level: blocks within their chunk.
     sums = [F.sum("n").alias("n"), F.sum(F.size("ends")).alias("docs"), F.max(F.when(F.size("ends") > 0, F.col("block_no"))).alias("last_block")]
@@ -142,10 +164,6 @@ def scan_separators(files: DataFrame, end_id: int, width: int = 2) -> DataFrame:
     return ended.unionByName(tails)
 
 
-def name_documents(counts: DataFrame, files: DataFrame) -> DataFrame:
-    """Give the scanned documents the doc_id that their writer noted beside each block."""
-    noted = string_columns(files, "file_id", "block_no", "doc_ids").withColumn("k", F.size("doc_ids"))
-    before = Window.partitionBy("file_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    noted = noted.withColumn("docs", F.coalesce(F.sum("k").over(before), F.lit(0))).select("file_id", "docs", F.posexplode("doc_ids").alias("i", "doc_id"))
-    names = noted.select("file_id", (F.col("docs") + F.col("i")).alias("doc_no"), "doc_id")
-    return counts.where("ended").join(names, ["file_id", "doc_no"]).select("doc_id", "file_id", "doc_no", "start", "n_tokens")
+def name_documents(counts: DataFrame, order: DataFrame) -> DataFrame:
+    """Give the scanned documents their ids by their place alone: `order` has (file_id, doc_no, doc_id)."""
+    return counts.where("ended").join(order, ["file_id", "doc_no"]).select("doc_id", "file_id", "doc_no", "start", "n_tokens")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "textloom", **settings: str) -> SparkSession:
@@ -36,3 +37,29 @@ def shared_folder(spark: SparkSession) -> str:
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="textloom-"))
     return _LOCAL[0]
+
+
+class Tables:
+    """Tables that a job writes on its way into the shared folder, so that nothing is worked out twice and no lineage grows."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables; nothing may read them any more."""
+        for table in tables:
+            _, path = self._paths.pop(id(table))
+            delete_folder(self.spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -151,11 +151,15 @@ def csv_rows(content: Column) -> Column:
     return F.when(content == "", F.array().cast("array<array<string>>")).when(tail_is_empty, F.slice(cells, 1, F.size(cells) - 1)).otherwise(cells)
 
 
+def is_cell_text(text: Column) -> Column:
+    """Neither blank nor a number."""
+    return ~(is_blank(text) | trim(text).rlike(r"\A-?[0-9]+(\.[0-9]+)?\z"))
+
+
 def csv_segments(files: DataFrame) -> DataFrame:
     """One row for each cell; blank and numeric cells are not translated. The header is data."""
     grid = files.select("file_id", F.posexplode(csv_rows(F.col("content"))).alias("row_no", "cells"))
     cells = grid.select("file_id", "row_no", F.posexplode("cells").alias("col_no", "text"))
-    plain = is_blank(F.col("text")) | trim(F.col("text")).rlike(r"\A-?[0-9]+(\.[0-9]+)?\z")
     number = F.row_number().over(Window.partitionBy("file_id").orderBy("row_no", "col_no")) - 1
     attrs = F.create_map(F.lit("row"), F.col("row_no").cast("string"), F.lit("col"), F.col("col_no").cast("string"))
-    return _segments(cells.withColumn("seg_no", number), F.lit("cell"), F.col("text"), ~plain, attrs)
+    return _segments(cells.withColumn("seg_no", number), F.lit("cell"), F.col("text"), is_cell_text(F.col("text")), attrs)

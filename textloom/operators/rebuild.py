@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
-from ..sources.trees import entries, load
+from ..sources.trees import entries, load, most_nodes
 
 
 def _counts(segments: DataFrame) -> list[Column]:
@@ -97,17 +97,29 @@ def replacements(segments: DataFrame) -> DataFrame:
     return rows.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "t"))).alias("by_path"), *_added(rows))
 
 
-def _replaced(tree: object, path: str, by_path: dict[str, str], keep_empty: bool) -> object:
-    if isinstance(tree, str):
-        found = by_path.get(path)
-        return tree if found is None or (keep_empty and found == "") else found
-    if isinstance(tree, list):
-        return [_replaced(x, f"{path}[{i}]", by_path, keep_empty) for i, x in enumerate(tree)]
-    if isinstance(tree, dict):
-        return {k: _replaced(v, f"{path}.{k}" if path else k, by_path, keep_empty) for k, v in entries({str(k): v for k, v in tree.items()})}
-    if isinstance(tree, float) and tree.is_integer() and abs(tree) < 1e21:
-        return int(tree)
-    return tree
+def _replaced(tree: object, path: str, by_path: dict[str, str], keep_empty: bool, most: int) -> object:
+    """A copy of the tree with the strings at known paths replaced; a stack stands for the depth, and aliases may not make it endless."""
+    top: list[object] = [None]
+    todo: list[tuple[object, str, object, object]] = [(tree, path, top, 0)]
+    seen = 0
+    while todo:
+        here, at, holder, key = todo.pop()
+        seen += 1
+        if seen + len(todo) > most:
+            raise ValueError(f"aliases repeat more than {most} nodes")
+        if isinstance(here, str):
+            found = by_path.get(at)
+            holder[key] = here if found is None or (keep_empty and found == "") else found
+        elif isinstance(here, list):
+            holder[key] = made = [None] * len(here)
+            todo += [(x, f"{at}[{i}]", made, i) for i, x in enumerate(here)]
+        elif isinstance(here, dict):
+            known = entries({str(k): v for k, v in here.items()})
+            holder[key] = made = dict.fromkeys(k for k, _ in known)
+            todo += [(v, f"{at}.{k}" if at else k, made, k) for k, v in known]
+        else:
+            holder[key] = int(here) if isinstance(here, float) and here.is_integer() and abs(here) < 1e21 else here
+    return top[0]
 
 
 def _dumped(tree: object, kind: str) -> str:
@@ -127,16 +139,17 @@ def _write_trees(files: DataFrame, segments: DataFrame, kind: str, root: str, ke
             out = []
             for content, by_path in zip(batch["content"], batch["by_path"], strict=True):
                 try:
-                    out.append(_dumped(_replaced(load(content or "", kind), root, dict(by_path or {}), keep_empty), kind))
-                except Exception:  # a file that does not parse or is nested too deep: its error row says so
-                    out.append(None)
-            yield batch[["file_id", *counts]].assign(output=out)
+                    made = _replaced(load(content or "", kind), root, dict(by_path or {}), keep_empty, most_nodes(content or ""))
+                    out.append((_dumped(made, kind), None))
+                except Exception as error:  # a file that does not parse, or that is nested too deep for the writer
+                    out.append((None, f"{kind} cannot be written: {error}"))
+            yield batch[["file_id", *counts]].assign(output=[o for o, _ in out], write_error=[e for _, e in out])
 
-    return both.mapInPandas(write, ", ".join(["file_id long", "output string", *(f"{c} long" for c in counts)]))
+    return both.mapInPandas(write, ", ".join(["file_id long", "output string", *(f"{c} long" for c in counts), "write_error string"]))
 
 
 def write_json(files: DataFrame, segments: DataFrame) -> DataFrame:
-    """JSON with the strings at the segments' paths replaced; an empty translation keeps the source."""
+    """JSON with the strings at the segments' paths replaced; an empty translation keeps the source. `write_error` says why a file has no output."""
     return _write_trees(files, segments, "json", "root", keep_empty=True)
 
 
@@ -206,7 +219,7 @@ def from_tsv(tsv: DataFrame) -> DataFrame:
 
 
 def issue_report(issues: DataFrame, columns: list[str]) -> DataFrame:
-    """(line_no, line): a CSV report, the header bare and every cell quoted; for a file, write with `quoteAll`."""
+    """(part, line): a CSV report, the header (part 0) bare and every cell quoted; for a file, write with `quoteAll`."""
     quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns]
     rows = issues.select(F.concat_ws(",", *quoted).alias("line"))
     return rows.select(F.lit(1).alias("part"), "line").unionByName(rows.sparkSession.createDataFrame([(0, ",".join(columns))], "part int, line string"))

@@ -39,15 +39,27 @@ _LEAF = "file_id long, seg_no int, path string, text string, depth int, error bo
 
 def entries(tree: dict) -> list[tuple[str, object]]:
     """Keys in the order of the format's own objects: array indexes first, ascending, then by insertion."""
-    index = [k for k in tree if k.isdigit() and (k == "0" or k[0] != "0") and int(k) < 2**32 - 1]
-    return [(k, tree[k]) for k in (*sorted(index, key=int), *(k for k in tree if k not in set(index)))] if index else list(tree.items())
+    index = {k for k in tree if k.isdigit() and (k == "0" or k[0] != "0") and int(k) < 2**32 - 1}
+    return [(k, tree[k]) for k in (*sorted(index, key=int), *(k for k in tree if k not in index))] if index else list(tree.items())
 
 
-def leaves(tree: object, path: str, excluded: frozenset[str], limit: int | None) -> Iterator[tuple[str, str, int]]:
-    """Paths, values and depths of the strings of a tree, in order; a stack stands for the depth, so that any depth is read."""
+def most_nodes(content: str) -> int:
+    """How many nodes a file may have: a node needs a character, unless aliases repeat it."""
+    return 10 * len(content) + 10_000
+
+
+def leaves(tree: object, path: str, excluded: frozenset[str], limit: int | None, most: int | None = None) -> Iterator[tuple[str, str, int]]:
+    """Paths, values and depths of the strings of a tree, in order; a stack stands for the depth, so that any depth is read.
+
+    A tree of more than `most` nodes is an error: aliases of aliases make a small file endless.
+    """
     todo: list[tuple[object, str, int]] = [(tree, path, 0)]
+    seen = 0
     while todo:
         here, at, depth = todo.pop()
+        seen += 1
+        if most is not None and seen + len(todo) > most:
+            raise ValueError(f"aliases repeat more than {most} nodes")
         if limit is not None and depth > limit:
             continue
         if isinstance(here, str):
@@ -70,8 +82,8 @@ def load(text: str, kind: str) -> object:
 def tree_leaves(files: DataFrame, kind: str, root: str, excluded: frozenset[str], limit: int | None, strict: bool = False) -> DataFrame:
     """(file_id, seg_no, path, text, depth, error) of all strings.
 
-    A file that does not parse (null, empty, broken or nested too deep for the parser) gives one row, whose text says why and
-    whose error is true; with `strict` the job fails.
+    A file that does not parse (null, empty, broken, nested too deep for the parser, or endless by aliases) gives one row, whose
+    text says why and whose error is true; with `strict` the job fails.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,13 +91,13 @@ def tree_leaves(files: DataFrame, kind: str, root: str, excluded: frozenset[str]
             out = []
             for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
                 try:
-                    tree = load(content or "", kind)
+                    found = list(leaves(load(content or "", kind), root, excluded, limit, most_nodes(content or "")))
                 except Exception as error:
                     if strict:
                         raise ValueError(f"file {file_id} is no valid {kind}: {error}") from error
                     out.append((file_id, 0, None, f"no valid {kind}: {error}", 0, True))
                     continue
-                out += [(file_id, i, *leaf, False) for i, leaf in enumerate(leaves(tree, root, excluded, limit))]
+                out += [(file_id, i, *leaf, False) for i, leaf in enumerate(found)]
             yield pd.DataFrame(out, columns=["file_id", "seg_no", "path", "text", "depth", "error"])
 
     return files.select("file_id", "content").mapInPandas(read, _LEAF)
@@ -147,8 +159,23 @@ def yaml_segments(files: DataFrame, strict: bool = False) -> DataFrame:
     return _as_segments(tree_leaves(files, "yaml", "", frozenset(), None, strict).where(F.col("error") | (trim(F.col("text")) != "")))
 
 
-_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)[^>]*>|<!--[\s\S]*?-->")
-_DECLARATION = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)[^>]*>|<!--[\s\S]*?-->|<[!?][^>]*>")
+_TAG = r"</?([a-zA-Z][a-zA-Z0-9-]*)[^>]*>"
+_COMMENT, _DECLARATION = r"|<!--[\s\S]*?-->", r"|<[!?][^>]*>"
+
+
+def _tags(content: str, clean: bool) -> Iterator[re.Match]:
+    """Tags and comments in order, in linear time.
+
+    Behind the last end of a comment no comment can be closed, and behind the last `>` no tag: there none is looked for, so that
+    no open one is read to the end again and again.
+    """
+    comments, tags = content.rfind("-->") + 3, content.rfind(">") + 1
+    at = 0
+    for pattern, end in ((_TAG + _COMMENT, comments if comments > 2 else 0), (_TAG, tags)):
+        for m in re.compile(pattern + (_DECLARATION if clean else "")).finditer(content, at, max(at, end)):
+            yield m
+            at = m.end()
+        at = max(at, end)
 
 
 def html_tokens(content: str, clean: bool = False) -> Iterator[tuple[int, int, str, bool]]:
@@ -162,7 +189,7 @@ def html_tokens(content: str, clean: bool = False) -> Iterator[tuple[int, int, s
         if end > at:
             yield at, end, "text", not stack and content[at:end].strip(WHITE) != ""
 
-    for m in (_DECLARATION if clean else _TAG).finditer(content):
+    for m in _tags(content, clean):
         yield from text(m.start())
         yield m.start(), m.end(), "tag", False
         at, name = m.end(), (m[1] or "").lower()

@@ -28,8 +28,17 @@ def translate_type(files: DataFrame, kind: str, transform: Transform = translate
     has an error, and an empty output; it stops no other.
     """
     segments = EXTRACTORS[kind](files)
-    errors = segments.where(F.col("kind") == ERROR).select("file_id", F.col("text").alias("error"))
-    translated = transform(segments.where(F.col("kind") != ERROR))
+    errors = segments.where(F.col("kind") == ERROR)
+    return _written(files, transform(segments.where(F.col("kind") != ERROR)), errors, kind)
+
+
+def outputs_of_type(files: DataFrame, segments: DataFrame, kind: str) -> DataFrame:
+    """The same of segments that are translated already (`translated`, `ok`), rows of unreadable files among them."""
+    return _written(files, segments.where(F.col("kind") != ERROR), segments.where(F.col("kind") == ERROR), kind)
+
+
+def _written(files: DataFrame, translated: DataFrame, errors: DataFrame, kind: str) -> DataFrame:
+    errors = errors.select("file_id", F.col("text").alias("error"))
     if kind in _TREE_WRITERS:
         outputs = _TREE_WRITERS[kind](files, translated)
     elif kind == "epub":
@@ -40,6 +49,8 @@ def translate_type(files: DataFrame, kind: str, transform: Transform = translate
     rows = files.select("file_id").join(outputs, "file_id", "left").fillna(0, ["total_chunks", "failed_chunks"])
     processed = (F.col("total_chunks") - F.col("failed_chunks")).alias("processed_chunks")
     rows = rows.join(errors, "file_id", "left") if kind in MAY_FAIL else rows.withColumn("error", F.lit(None).cast("string"))
+    if "write_error" in rows.columns:
+        rows = rows.withColumn("error", F.coalesce("error", "write_error"))
     return rows.select("file_id", F.lit(kind).alias("type"), F.coalesce("output", F.lit("")).alias("output"), "total_chunks", processed, "failed_chunks", "error")
 
 

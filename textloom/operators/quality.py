@@ -5,7 +5,7 @@ Entries: file_id, path, key, original, translation. Issues: entries with id, sug
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +15,7 @@ from ..functions import linesplit, markup
 from ..functions.text import count_lines, has_arabic, normalize_breaks
 from ..jsstr import is_blank, utf16_length
 from ..sources.trees import GAME_KEYS, MAX_DEPTH, game_json_segments, tree_leaves
+from .translate import tried
 
 ISSUE = ("file_id", "path", "key", "original", "translation", "id", "suggestion", "kind", "severity", "reason")
 AI_LIMIT, AI_GLOSSARY_LIMIT = 80, 120
@@ -115,17 +116,29 @@ def reply_json(reply: Column) -> Column:
 REPLY = "struct<issues:array<struct<index:int,suggestion:string,reason:string,detail:string,severity:string>>>"
 
 
-def review_with(entries: DataFrame, reviewer: Reviewer, glossary: str = "") -> DataFrame:
-    """Issues that a reviewer proposes for the first 80 entries of each file: one call for each file."""
+def reviewer_replies(entries: DataFrame, reviewer: Reviewer, glossary: str = "", attempts: int = 3, first_wait_s: float = 0.25) -> DataFrame:
+    """(file_id, reply, error): what a reviewer says to the first 80 entries of each file, one call for each file.
+
+    A call that fails is repeated with growing waits, as the transform does; a file whose last call fails has an error and no reply,
+    and stops no other.
+    """
     by = Window.partitionBy("file_id").orderBy("seg_no")
     first = entries.withColumn("index", F.row_number().over(by) - 1).where(F.col("index") < AI_LIMIT)
     asked = first.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("index", "original", "translation"))).alias("batch"))
 
-    @F.pandas_udf("string")
-    def ask(batches: pd.Series) -> pd.Series:
-        return batches.map(lambda batch: reviewer([(e["index"], e["original"], e["translation"]) for e in batch], glossary))
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            said = [tried(lambda e=e: reviewer([(x["index"], x["original"], x["translation"]) for x in e], glossary), attempts, first_wait_s) for e in batch["batch"]]
+            yield pd.DataFrame({"file_id": batch["file_id"], "reply": [r for r, _ in said], "error": [e for _, e in said]})
+
+    return asked.mapInPandas(ask, "file_id long, reply string, error string")
 
-    replies = asked.select("file_id", F.from_json(reply_json(ask("batch")), REPLY).alias("r"))
+
+def review_with(entries: DataFrame, reviewer: Reviewer, glossary: str = "", attempts: int = 3, first_wait_s: float = 0.25) -> DataFrame:
+    """Issues that a reviewer proposes for the first 80 entries of each file; none where it fails (`reviewer_replies` says why)."""
+    by = Window.partitionBy("file_id").orderBy("seg_no")
+    first = entries.withColumn("index", F.row_number().over(by) - 1).where(F.col("index") < AI_LIMIT)
+    replies = reviewer_replies(entries, reviewer, glossary, attempts, first_wait_s).select("file_id", F.from_json(reply_json(F.col("reply")), REPLY).alias("r"))
     found = replies.select("file_id", F.inline("r.issues")).where(~is_blank(F.coalesce("suggestion", F.lit(""))))
     both = first.join(found.withColumnRenamed("severity", "_s").withColumnRenamed("reason", "_r"), ["file_id", "index"])
     both = both.withColumn("_fixed", markup.restore(F.col("original"), F.col("suggestion"))).where("_fixed <> translation")

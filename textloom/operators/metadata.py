@@ -77,10 +77,20 @@ def search_glossary(glossary: DataFrame, query: str) -> DataFrame:
     return glossary if not wanted else glossary.where(F.contains(F.lower(text), F.lit(wanted)))
 
 
+def pick_languages(asked: DataFrame, query: str) -> DataFrame:
+    """Rows of `asked`, each with the languages (code, english_name) whose code, own name or English name contains its query text.
+
+    Each row meets the 31 languages in place, without a join; a blank query picks all of them, a null one none.
+    """
+    known = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(e).alias("english_name"), F.lit(f"{c} {n} {e}".lower()).alias("_text")) for c, n, e, _ in LANGUAGES])
+    wanted = F.lower(trim(F.col(query)))
+    picked = F.filter(known, lambda x: F.contains(x["_text"], wanted))
+    return asked.select("*", F.explode(F.transform(picked, lambda x: F.struct(x["code"].alias("code"), x["english_name"].alias("english_name")))).alias("_l")).select(*asked.columns, "_l.code", "_l.english_name")
+
+
 def pick_language(spark, query: str) -> DataFrame:
-    """Languages whose code, own name or English name contains the query."""
-    text = F.lower(F.concat_ws(" ", "code", "name", "english_name"))
-    return languages(spark).where(F.contains(text, F.lit(query.strip().lower())))
+    """The languages that one query text picks."""
+    return pick_languages(spark.range(1).select(F.lit(query).alias("q")), "q").select("code", "english_name")
 
 
 def status_counts(translations: DataFrame, *by: str) -> DataFrame:
@@ -107,20 +117,63 @@ def media_type_of(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(table, kind), F.lit("application/octet-stream"))
 
 
-def checked_requests(requests: DataFrame) -> DataFrame:
-    """Translation requests with `errors`: what is wrong with each, empty if nothing is.
+def _length(name: str, least: int, most: int, optional: bool = False) -> Column:
+    """Too short or too long in UTF-16 units; what is not given is wrong unless it is optional."""
+    size = utf16_length(F.col(name))
+    return F.coalesce((size < least) | (size > most), F.lit(not optional))
 
-    Columns: file_name, source_language, target_language, chunk_size, temperature; the last two may be null.
-    """
+
+def _range(name: str, low: float, high: float) -> Column:
+    return F.coalesce((F.col(name) < low) | (F.col(name) > high), F.lit(False))
+
+
+def _among(name: str, *values: str) -> Column:
+    return ~F.coalesce(F.col(name).isin(*values), F.lit(False))
+
+
+_UNLIMITED = 2**31 - 1
+_TERM = {"term": (1, 255), "translation": (1, 500), "notes": (0, 1000), "source-language": (0, 50), "target-language": (0, 50)}
+
+
+def _rules(kind: str) -> dict[str, Column]:
+    """What makes a request of a kind wrong, by the name of the field."""
     codes = [code for code, *_ in LANGUAGES]
-    rules = {
-        "file-name": (utf16_length(F.coalesce("file_name", F.lit(""))) < 1) | (utf16_length(F.col("file_name")) > 255),
-        "source-language": ~F.coalesce(F.col("source_language").isin(*codes), F.lit(False)),
-        "target-language": ~F.coalesce(F.col("target_language").isin(*codes), F.lit(False)),
-        "chunk-size": (F.col("chunk_size") < 1) | (F.col("chunk_size") > 2000),
-        "temperature": (F.col("temperature") < 0) | (F.col("temperature") > 2),
-    }
-    return requests.withColumn("errors", F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])))
+    column = lambda name: name.replace("-", "_")
+    if kind == "translate":
+        return {
+            "file-name": _length("file_name", 1, 255),
+            "source-language": _among("source_language", *codes),
+            "target-language": _among("target_language", *codes),
+            "chunk-size": _range("chunk_size", 1, 2000),
+            "temperature": _range("temperature", 0, 2),
+        }
+    if kind == "review":
+        return {
+            "original": _length("original", 0, _UNLIMITED),
+            "translated": _length("translated", 0, _UNLIMITED),
+            "mode": _among("mode", "symbols", "line-split", "ai", "all"),
+            "temperature": _range("temperature", 0, 2),
+        }
+    if kind == "apply":
+        broken = F.exists("suggestions", lambda x: x.path.isNull() | x.suggestion.isNull())
+        return {"translated": _length("translated", 0, _UNLIMITED), "suggestions": F.coalesce(broken, F.lit(True))}
+    if kind == "upload":
+        return {column_name.replace("_", "-"): _length(column_name, 0, _UNLIMITED) for column_name in ("file_name", "file_type", "content")}
+    if kind == "new-term":
+        return {name: _length(column(name), *bounds, optional=bounds[0] == 0) for name, bounds in _TERM.items()}
+    if kind == "changed-term":
+        return {"id": F.col("id").isNull(), **{name: _length(column(name), *bounds, optional=True) for name, bounds in _TERM.items()}}
+    raise ValueError(f"no requests of kind {kind!r}")
+
+
+def checked_requests(requests: DataFrame, kind: str = "translate") -> DataFrame:
+    """Requests with `errors`: the fields that are wrong in each, empty if none is.
+
+    Kinds and columns: translate (file_name, source_language, target_language, chunk_size, temperature), review (original,
+    translated, mode, temperature), apply (translated, suggestions of path and suggestion), upload (file_name, file_type, content),
+    new-term (term, translation, notes, source_language, target_language), changed-term (the same and id; null: not changed).
+    """
+    return requests.withColumn("errors", F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in _rules(kind).items()])))
 
 
 def in_progress(translations: DataFrame, file_id: int) -> DataFrame:
@@ -185,6 +238,20 @@ def merged_settings(stored: Column, defaults: dict[str, str]) -> Column:
     return F.create_map(*[x for name, usual in defaults.items() for x in (F.lit(name), value(name, usual))])
 
 
+def read_settings(stored: Column, schema: str, defaults: dict[str, object]) -> Column:
+    """Settings as a struct of typed fields: what the stored JSON object gives in the right type, else the default.
+
+    Unknown names, values of another type, null and invalid JSON leave the default.
+    """
+    read = F.from_json(stored, schema, {"mode": "PERMISSIVE"})
+    return F.struct(*[F.coalesce(read[name], F.lit(usual) if not isinstance(usual, list) else F.array(*map(F.lit, usual))).alias(name) for name, usual in defaults.items()])
+
+
+def saved_settings(settings: Column, changes: Column, names: list[str]) -> Column:
+    """The JSON to store: all named fields, those that `changes` gives (not null) in place of the old ones."""
+    return F.to_json(F.struct(*[F.coalesce(changes[n], settings[n]).alias(n) for n in names]))
+
+
 def newest_within(lines: DataFrame, budget: int, chunk: int = 4096) -> DataFrame:
     """The newest lines (log, line_no, line) of each log that fit a budget of bytes; it stops at the first that does not.
 

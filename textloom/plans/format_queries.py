@@ -6,14 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.text import smart_chunks
 from ..operators import rebuild
 from ..operators.translate import TransformOptions, mark, translate_by_column, translate_segments
 from ..session import shared_folder
 from ..sources import detect, packages, text_formats, trees
 from . import adapters as A
 from . import jobs
-from .queries import _PARAGRAPHS, query
+from .queries import PARAGRAPHS, query
 
 _ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _CHAPTERS = f"""nodes AS (SELECT conv_id AS file_id, 'OEBPS/ch' || turn || '.xhtml' AS path, 2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS first, role, {_ESCAPED.format("text")} AS text FROM conversations),
@@ -120,22 +119,6 @@ def html_text_nodes(spark, sf_dir):
     return per.select("file_id", F.posexplode("n").alias("i", "x")).select("file_id", (F.col("i") + 1).cast("long").alias("no"), F.col("x.text").alias("text"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(text, '\s+', '', 'g')) AS digest FROM documents WHERE length(regexp_replace(text, '\s', '', 'g')) > 0""")
-def txt_chunks_lossless(spark, sf_dir):
-    """Sentence chunks of 50 words that keep every character but white space."""
-    docs = A.table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    joined = F.array_join(smart_chunks(F.col("text"), 50, lossless=True), "")
-    return docs.select("doc_id", F.regexp_replace(joined, r"[ \t\r\n]+", "").alias("t")).where("t <> ''").select("doc_id", F.md5("t").alias("digest"))
-
-
-@query(rf"""WITH {_PARAGRAPHS} SELECT file_id, md5(string_agg(regexp_replace(text, '\s+', '', 'g'), '' ORDER BY seg_no)) AS digest FROM paragraphs GROUP BY file_id""")
-def txt_word_budget(spark, sf_dir):
-    """Paragraphs, the long ones in chunks of 30 words; a file's chunks together are its text."""
-    rows = text_formats.txt_segments(A.document_files(spark, sf_dir), chunk_size=30, lossless=True)
-    per = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seg_no", "text"))).alias("s"))
-    return per.select("file_id", F.md5(F.regexp_replace(F.array_join(F.transform("s", lambda x: x.text), ""), r"[ \t\r\n]+", "")).alias("digest"))
-
-
 @query("SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN text ELSE '[T]' || text END AS translated, turn % 3 <> 1 AS ok, CASE WHEN turn % 3 = 1 THEN 'refused' END AS error FROM conversations")
 def python_translator(spark, sf_dir):
     """A translator that is a Python function, with retry; what fails keeps its text."""
@@ -160,7 +143,7 @@ def broken_files(spark, sf_dir):
     return rows.select(F.col("file_id").cast("int").alias("file_id"), "status", "progress", "total_chunks")
 
 
-@query(f"""WITH {_PARAGRAPHS}, counts AS (SELECT file_id, 'txt' AS type, count(*) AS n FROM paragraphs GROUP BY file_id
+@query(f"""WITH {PARAGRAPHS}, counts AS (SELECT file_id, 'txt' AS type, count(*) AS n FROM paragraphs GROUP BY file_id
   UNION ALL SELECT conv_id + 20000000000, 'srt', count(*) FROM conversations GROUP BY conv_id UNION ALL SELECT conv_id + 30000000000, 'vtt', count(*) FROM conversations GROUP BY conv_id
   UNION ALL SELECT conv_id + 50000000000, 'json', 1 + 2 * count(*) FROM conversations GROUP BY conv_id)
 SELECT file_id, type, n AS total_chunks, n AS processed_chunks, CAST(0 AS BIGINT) AS failed_chunks FROM counts""")

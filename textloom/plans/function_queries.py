@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import linesplit, markup, text
 from ..jsstr import is_blank, word_count
 from ..operators import metadata, quality, rebuild
-from ..operators.translate import glossary_lines
+from ..operators.translate import PROMPT, glossary_lines, job_prompts
 from ..schema import LANGUAGES, languages
 from ..session import shared_folder
 from . import adapters as A
@@ -153,58 +153,6 @@ def extracted_tags(spark, sf_dir):
     return rows.select("doc_id", F.col("position").cast("int").alias("position"), "type", "name", pairs.alias("attributes"))
 
 
-# Pairs of an original and a translation, with the score, causes and proposal that the rules give by hand.
-_SPLITS = (
-    ("one two three\nfour five six", "one two three\nfour five six", 0, "", "one two three\nfour five six"),
-    ("one\ntwo", "one two", 36, "line-count-mismatch", "one\ntwo"),
-    ("one two three\nfour five six", "واحد اثنان ثلاثة\nفي البيت هنا", 18, "broken-phrase", "واحد اثنان\nثلاثة في البيت هنا"),
-    ("aaaa bbbb\ncccc dddd", "one two three four", 36, "line-count-mismatch", "one two three\nfour"),
-    ("one line", "two\n lines", 0, "", "two lines"),
-    ("one two three four\nfive six seven eight", "a b\nfive six seven eight nine", 34, "very-short-line,very-unbalanced,drift-from-original-positions", "a b five six seven\neight nine"),
-)
-_SPLIT_VALUES = ", ".join(f"({k}, {score}, '{causes}', '{proposed}')" for k, (_, _, score, causes, proposed) in enumerate(_SPLITS))
-
-
-def _split_pairs(spark, sf_dir):
-    pairs = F.array(*[F.struct(F.lit(o).alias("original"), F.lit(t).alias("translation")) for o, t, *_ in _SPLITS])
-    return A.table(spark, sf_dir, "customer").select("c_custkey", F.get(pairs, (F.col("c_custkey") % len(_SPLITS)).cast("int")).alias("p")).select("c_custkey", "p.*")
-
-
-@query(f"SELECT c_custkey, score, causes, proposed FROM customer JOIN (VALUES {_SPLIT_VALUES}) v(k, score, causes, proposed) ON c_custkey % {len(_SPLITS)} = k")
-def split_scores(spark, sf_dir):
-    rows = _split_pairs(spark, sf_dir).withColumn("d", linesplit.diagnose(F.col("original"), F.col("translation")))
-    return rows.select("c_custkey", "d.score", F.array_join("d.causes", ",").alias("causes"), linesplit.propose(F.col("original"), F.col("translation")).alias("proposed"))
-
-
-@query(f"""SELECT 'f' || c_custkey % 10 || ':' || c_custkey AS key, score, proposed, 'easy' AS difficulty
-FROM customer JOIN (VALUES {_SPLIT_VALUES}) v(k, score, causes, proposed) ON c_custkey % {len(_SPLITS)} = k WHERE score >= 25""")
-def split_files(spark, sf_dir):
-    """Badly split entries of files, joined with their translations by file and index."""
-    rows = _split_pairs(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), (F.col("c_custkey") % 10).cast("string")))
-    entries = rows.select("file", F.col("c_custkey").alias("index"), F.lit(None).cast("string").alias("label"), "original")
-    said = rows.select("file", F.col("c_custkey").alias("index"), F.col("translation").alias("text"))
-    return quality.scan_line_split_files(entries, said).select("key", "diagnosis.score", "proposed", "difficulty")
-
-
-@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'aa' || chr(10) || 'bb cc dd' WHEN 1 THEN 'aa bb cc dd' WHEN 2 THEN 'aa' || chr(10) || 'bb' || chr(10) || 'cc' || chr(10) || 'dd' ELSE '' END AS laid FROM customer""")
-def balanced_texts(spark, sf_dir):
-    k = F.col("c_custkey") % 4
-    said = F.when(k == 3, " \n ").otherwise("aa  bb\ncc\\ndd")
-    lines = F.when(k == 0, 2).when(k == 1, 1).otherwise(5)
-    return A.table(spark, sf_dir, "customer").select("c_custkey", text.balanced_lines(said, lines).alias("laid"))
-
-
-@query("""SELECT c_custkey AS seg_no, unnest(CASE c_custkey % 3 WHEN 0 THEN ['missing-tags'] WHEN 1 THEN ['line-split', 'line-breaks'] ELSE [] END) AS kind FROM customer""")
-def reviewed(spark, sf_dir):
-    """All scans that need no reviewer, over entries of any length."""
-    k = F.col("c_custkey") % 3
-    original = F.when(k == 0, "[XENO:wait ]one").when(k == 1, "one two three\nfour five six").otherwise("one")
-    said = F.when(k == 0, "eins").when(k == 1, "eins zwei drei vier").otherwise("eins")
-    path = F.concat(F.lit("root."), F.col("c_custkey").cast("string")).alias("path")
-    entries = A.table(spark, sf_dir, "customer").select(F.lit(0).cast("long").alias("file_id"), F.col("c_custkey").alias("seg_no"), path, F.lit("text").alias("key"), original.alias("original"), said.alias("translation"))
-    return quality.review(entries, compat=False).select(F.expr("cast(substr(path, 6) as bigint)").alias("seg_no"), "kind")
-
-
 @query("""WITH t AS (SELECT doc_id % 10 AS file_id, text, doc_id % 3 = 0 AS tagged, length(text) + CASE WHEN doc_id % 3 = 0 THEN 12 ELSE 0 END AS size FROM documents WHERE length(text) > 0)
 SELECT file_id, count(*) AS total, CAST(count_if(tagged) AS BIGINT) AS with_tags, CAST(floor(avg(size) + 0.5) AS BIGINT) AS average_length, CAST(count_if(tagged) AS BIGINT) AS xeno FROM t GROUP BY file_id""")
 def tag_reports(spark, sf_dir):
@@ -272,14 +220,115 @@ def issue_report_lines(spark, sf_dir):
 # --- metadata ----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT code, english_name FROM (VALUES " + ", ".join(f"('{c}', '{n}', '{e}')" for c, n, e, _ in LANGUAGES) + ") t(code, name, english_name) WHERE contains(lower(code || ' ' || name || ' ' || english_name), 'an')")
+_LANGUAGE_ROWS = ", ".join(f"('{c}', '{n}', '{e}', {str(r).lower()})" for c, n, e, r in LANGUAGES)
+
+
+@query(f"""SELECT n_nationkey, code, english_name FROM nation JOIN (VALUES {_LANGUAGE_ROWS}) l(code, name, english_name, rtl)
+  ON contains(lower(code || ' ' || name || ' ' || english_name), lower(trim(substr(n_name, 1, 1 + n_nationkey % 3))))""")
 def picked_languages(spark, sf_dir):
-    return metadata.pick_language(spark, " AN ").select("code", "english_name")
+    """Languages that each nation's first letters pick."""
+    asked = A.table(spark, sf_dir, "nation").select("n_nationkey", F.expr("concat(' ', substr(n_name, 1, 1 + n_nationkey % 3), ' ')").alias("query"))
+    return metadata.pick_languages(asked, "query").select("n_nationkey", "code", "english_name")
 
 
-@query("SELECT code FROM (VALUES " + ", ".join(f"('{c}', {str(r).lower()})" for c, _, _, r in LANGUAGES) + ") t(code, rtl) WHERE rtl")
+@query(f"""WITH {A.TRANSLATIONS} SELECT code, count(*) AS jobs FROM translations JOIN (VALUES {_LANGUAGE_ROWS}) l(code, name, english_name, rtl) ON target_language = code WHERE rtl GROUP BY code""")
 def right_to_left_languages(spark, sf_dir):
-    return languages(spark).where("rtl").select("code")
+    """Languages written from right to left, with the jobs that translate into them."""
+    rtl = F.broadcast(languages(spark).where("rtl"))
+    return A.translations(spark, sf_dir).join(rtl, F.col("target_language") == F.col("code")).groupBy("code").agg(F.count("*").alias("jobs"))
+
+
+_TERM_ROWS = """SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10))[1] AS term, substr(text, 1, 100 + doc_id % 800) AS translation, CASE WHEN doc_id % 4 > 0 THEN text END AS notes, lang AS source_language,
+  CASE WHEN doc_id % 7 = 0 THEN repeat(source, 10) END AS target_language FROM documents"""
+
+
+def _term_rows(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS id", "split(coalesce(text, ''), '\n')[0] AS term", "substr(text, 1, cast(100 + doc_id % 800 AS int)) AS translation", "CASE WHEN doc_id % 4 > 0 THEN text END AS notes",
+        "lang AS source_language", "CASE WHEN doc_id % 7 = 0 THEN repeat(source, 10) END AS target_language",
+    )
+
+
+@query(f"""SELECT id, concat_ws(',', CASE WHEN coalesce(length(term), 0) NOT BETWEEN 1 AND 255 THEN 'term' END, CASE WHEN coalesce(length(translation), 0) NOT BETWEEN 1 AND 500 THEN 'translation' END,
+  CASE WHEN length(notes) > 1000 THEN 'notes' END, CASE WHEN length(source_language) > 50 THEN 'source-language' END, CASE WHEN length(target_language) > 50 THEN 'target-language' END) AS errors FROM ({_TERM_ROWS})""")
+def term_request_errors(spark, sf_dir):
+    """First lines and whole texts as terms to be added."""
+    return metadata.checked_requests(_term_rows(spark, sf_dir), "new-term").select("id", F.array_join("errors", ",").alias("errors"))
+
+
+@query(f"""SELECT id, concat_ws(',', CASE WHEN length(term) NOT BETWEEN 1 AND 255 THEN 'term' END, CASE WHEN length(translation) NOT BETWEEN 1 AND 500 THEN 'translation' END,
+  CASE WHEN length(notes) > 1000 THEN 'notes' END, CASE WHEN length(source_language) > 50 THEN 'source-language' END, CASE WHEN length(target_language) > 50 THEN 'target-language' END) AS errors
+  FROM (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN term END AS term, CASE WHEN id % 3 = 0 THEN translation END AS translation) FROM ({_TERM_ROWS}))""")
+def term_change_errors(spark, sf_dir):
+    """The same as changes, in which a field may be left out."""
+    rows = _term_rows(spark, sf_dir).withColumn("term", F.expr("CASE WHEN id % 2 = 0 THEN term END")).withColumn("translation", F.expr("CASE WHEN id % 3 = 0 THEN translation END"))
+    return metadata.checked_requests(rows, "changed-term").select("id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""SELECT conv_id, turn, concat_ws(',', CASE WHEN turn % 3 = 0 THEN 'translated' END, CASE WHEN role NOT IN ('symbols', 'all') AND turn % 2 = 1 THEN 'mode' END,
+  CASE WHEN length(text) / 100.0 > 2 THEN 'temperature' END) AS errors FROM conversations""")
+def review_request_errors(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id", "turn", "text AS original", "CASE WHEN turn % 3 > 0 THEN text END AS translated", "CASE WHEN turn % 2 = 1 THEN role ELSE 'line-split' END AS mode", "length(text) / 100.0D AS temperature"
+    )
+    return metadata.checked_requests(rows, "review").select("conv_id", "turn", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""SELECT conv_id, concat_ws(',', CASE WHEN count(*) % 3 = 0 THEN 'translated' END, CASE WHEN bool_or(turn % 5 = 4) THEN 'suggestions' END) AS errors FROM conversations GROUP BY conv_id""")
+def apply_request_errors(spark, sf_dir):
+    one = F.struct(F.concat(F.lit("root."), F.col("turn").cast("string")).alias("path"), F.when(F.col("turn") % 5 != 4, F.col("text")).alias("suggestion"))
+    rows = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.when(F.count("*") % 3 != 0, F.lit("{}")).alias("translated"), F.collect_list(one).alias("suggestions"))
+    return metadata.checked_requests(rows, "apply").select("conv_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""SELECT page_id, concat_ws(',', CASE WHEN page_id % 5 = 0 THEN 'file-type' END, CASE WHEN contains(html, '<form') THEN 'content' END) AS errors FROM pages""")
+def upload_request_errors(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "pages").selectExpr("page_id", "url AS file_name", "CASE WHEN page_id % 5 > 0 THEN 'html' END AS file_type", "CASE WHEN NOT contains(html, '<form') THEN html END AS content")
+    return metadata.checked_requests(rows, "upload").select("page_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 2 = 0 AS restore_tags, CASE WHEN o_orderkey % 3 = 0 THEN 30 ELSE CAST(o_orderkey % 100 AS INTEGER) END AS chunk_size, o_orderpriority AS theme,
+  '{"restore_tags":' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"chunk_size":500,"theme":"' || o_orderpriority || '"}' AS stored FROM orders""")
+def typed_settings(spark, sf_dir):
+    """Settings in their types: a stored value of another type leaves the default; then one field is changed and all are stored again."""
+    size = F.when(F.col("o_orderkey") % 3 == 0, F.lit('"many"')).otherwise((F.col("o_orderkey") % 100).cast("string"))
+    tags = F.when(F.col("o_orderkey") % 2 == 0, F.lit("true")).otherwise(F.lit("false"))
+    stored = F.concat(F.lit('{"restore_tags":'), tags, F.lit(',"chunk_size":'), size, F.lit(',"theme":"'), "o_orderpriority", F.lit('","other":1}'))
+    read = metadata.read_settings(stored, "restore_tags boolean, chunk_size int, theme string", {"restore_tags": True, "chunk_size": 30, "theme": "plain"})
+    changes = F.struct(F.lit(None).cast("boolean").alias("restore_tags"), F.lit(500).alias("chunk_size"), F.lit(None).cast("string").alias("theme"))
+    rows = A.table(spark, sf_dir, "orders").select("o_orderkey", read.alias("s"))
+    return rows.select("o_orderkey", "s.*", metadata.saved_settings(F.col("s"), changes, ["restore_tags", "chunk_size", "theme"]).alias("stored"))
+
+
+@query(f"""WITH {A.TRANSLATIONS}, {A.GLOSSARY}, terms AS (SELECT t.id AS job_id, g.* FROM translations t JOIN glossary g ON t.user_id = g.user_id
+  AND coalesce(g.source_language, '') IN ('', t.source_language) AND coalesce(g.target_language, '') IN ('', t.target_language) WHERE term <> '' AND translation <> ''),
+lines AS (SELECT job_id, string_agg('- "' || term || '" -> "' || translation || '"' || CASE WHEN coalesce(notes, '') <> '' THEN ' (' || notes || ')' ELSE '' END, chr(10) ORDER BY id) AS l FROM terms GROUP BY job_id)
+SELECT id AS job_id, replace(replace('{PROMPT.replace("'", "''")}', '{{source}}', source_language), '{{target}}', target_language) || coalesce(chr(10) || 'Terms with a fixed translation:' || chr(10) || l, '') AS prompt
+FROM translations LEFT JOIN lines ON job_id = id""")
+def prompts_of_jobs(spark, sf_dir):
+    """The prompt of each job with the terms of its user and languages."""
+    jobs = A.translations(spark, sf_dir)
+    return job_prompts(jobs, metadata.glossary_for_jobs(jobs, A.glossary(spark, sf_dir)))
+
+
+_BALANCED = r"""given AS (SELECT conv_id, turn, 1 + turn % 5 AS n, regexp_replace(regexp_replace(regexp_replace(text, '\s*\n\s*', ' ', 'g'), '\s{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM conversations),
+cut AS (SELECT *, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') AS w FROM given),
+shares AS (SELECT *, greatest(1, ceil(CAST(length(array_to_string(w, '')) AS DOUBLE) / n)) AS share FROM cut WHERE n > 1 AND len(w) > n),
+walk AS (
+  SELECT conv_id, turn, 1 AS i, 0 AS done, length(w[1]) AS line, w[1] AS laid FROM shares
+  UNION ALL
+  SELECT conv_id, turn, i + 1, done + CAST(full_ AS INTEGER), CASE WHEN full_ THEN size ELSE line + 1 + size END, laid || CASE WHEN full_ THEN chr(10) ELSE ' ' END || word FROM (
+    SELECT k.*, w[i + 1] AS word, length(w[i + 1]) AS size, done < n - 1 AND line + 1 + length(w[i + 1]) > share AS full_ FROM walk k JOIN shares s USING (conv_id, turn) WHERE i < len(w))
+)"""
+
+
+@query(rf"""WITH RECURSIVE {_BALANCED}
+SELECT conv_id, turn, CASE WHEN n <= 1 OR t = '' THEN t WHEN len(w) <= n THEN array_to_string(w, chr(10)) ELSE laid END AS laid
+FROM cut LEFT JOIN (SELECT conv_id, turn, laid FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY i DESC) = 1) l USING (conv_id, turn)""")
+def balanced_texts(spark, sf_dir):
+    """All turns laid out on one to five lines."""
+    rows = A.table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", text.balanced_lines(F.col("text"), (1 + F.col("turn") % 5).cast("int")).alias("laid"))
 
 
 @query(f"WITH {A.TRANSLATIONS} SELECT id, status FROM translations WHERE status IN ('processing', 'paused') AND uploaded_file_id = 21 ORDER BY created_at DESC, id DESC LIMIT 1")

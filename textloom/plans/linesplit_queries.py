@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import linesplit
 from ..operators import quality
 from . import adapters as A
-from .queries import PAIRS, query
+from .queries import PAIRS, SYMBOL_KINDS, query
 
 _TAGS = linesplit.NO_TEXT.replace("'", "''")
 _WORDS = ", ".join(f"'{w}'" for w in linesplit.NO_START)
@@ -102,3 +102,41 @@ FROM scored JOIN better USING (path) JOIN named USING (path) WHERE score >= 25 A
 def line_split_proposals(spark, sf_dir):
     """Entries that are badly split, how badly, why, and the better split before tags are restored."""
     return quality.badly_split(A.text_pairs(spark, sf_dir), compat=False).select("path", "severity", "reason", F.md5("proposed").alias("proposed"))
+
+
+_TURNS = """turns AS (SELECT a.conv_id || ':' || a.turn AS path, a.text AS original, b.text AS translation FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+
+
+def _turn_pairs(spark, sf_dir):
+    """Each turn with the next one as its translation: texts that have little to do with one another."""
+    rows = A.table(spark, sf_dir, "conversations")
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("translation"))
+    return rows.join(after, ["conv_id", "turn"]).select(F.col("conv_id").alias("file"), F.col("turn").alias("index"), F.col("text").alias("original"), "translation")
+
+
+@query(f"""WITH RECURSIVE {_TURNS}, {scores_sql('turns', 'scored')}, {proposals_sql('turns', 'better')}
+SELECT path, score, array_to_string(causes, ',') AS causes, proposed FROM scored JOIN better USING (path)""")
+def split_scores(spark, sf_dir):
+    rows = _turn_pairs(spark, sf_dir).withColumn("d", linesplit.diagnose(F.col("original"), F.col("translation")))
+    path = F.concat_ws(":", "file", "index").alias("path")
+    return rows.select(path, "d.score", F.array_join("d.causes", ",").alias("causes"), linesplit.propose(F.col("original"), F.col("translation")).alias("proposed"))
+
+
+@query(f"""WITH RECURSIVE {_NAMED}, {scores_sql('named', 'scored')}, {proposals_sql('named', 'better')},
+again AS (SELECT path, original, proposed AS translation FROM named JOIN better USING (path)), {scores_sql('again', 'after')}
+SELECT 'f' || (CAST(substr(path, 7) AS BIGINT) % 10) || ':' || substr(path, 7) AS key, s.score, md5(proposed) AS proposed, CASE WHEN proposed <> translation AND a.score <= 22 THEN 'easy' ELSE 'hard' END AS difficulty
+FROM scored s JOIN better USING (path) JOIN named USING (path) JOIN after a USING (path) WHERE s.score >= 25 AND (proposed <> translation OR s.score >= 50)""")
+def split_files(spark, sf_dir):
+    """Badly split entries of files, joined with their translations by file and index."""
+    rows = A.text_pairs(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), (F.col("seg_no") % 10).cast("string")))
+    entries = rows.select("file", F.col("seg_no").alias("index"), F.lit(None).cast("string").alias("label"), "original")
+    said = rows.select("file", F.col("seg_no").alias("index"), F.col("translation").alias("text"))
+    return quality.scan_line_split_files(entries, said).select("key", "diagnosis.score", F.md5("proposed").alias("proposed"), "difficulty")
+
+
+@query(f"""WITH RECURSIVE {_NAMED}, {SYMBOL_KINDS}, {scores_sql('named', 'scored')}, {proposals_sql('named', 'better')}
+SELECT path, kind FROM symbols UNION ALL
+SELECT path, 'line-split' FROM scored JOIN better USING (path) JOIN named USING (path) WHERE score >= 25 AND proposed <> '' AND proposed <> translation""")
+def reviewed(spark, sf_dir):
+    """All scans that need no reviewer, over entries of any length."""
+    return quality.review(A.text_pairs(spark, sf_dir), compat=False).select("path", "kind")

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import linesplit, markup
-from ..functions.text import format_file_size, join_path, output_name, parent_path, progress_percent, smart_chunks
+from ..functions.text import format_file_size, join_path, output_name, parent_path, progress_percent
 from ..jsstr import word_count
-from ..operators import metadata, quality, rebuild
+from ..operators import metadata, quality, rebuild, search_index
 from ..operators.translate import chunk_counts, glossary_lines, translate_by_column
 from ..schema import LANGUAGES
 from ..session import shared_folder
@@ -40,26 +40,19 @@ def query(sql: str | None = None):
 # --- sources -----------------------------------------------------------------------------------------------------------
 
 _FILLED = r"lambda x: length(regexp_replace(x, '\s', '', 'g')) > 0"
-_PARAGRAPHS = rf"""unix AS (SELECT doc_id AS file_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+PARAGRAPHS = rf"""unix AS (SELECT doc_id AS file_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
 blocks AS (SELECT file_id, t, list_filter(regexp_split_to_array(t, '\n\n+'), {_FILLED}) AS b FROM unix),
 parts AS (SELECT file_id, CASE WHEN len(b) <= 1 AND contains(t, chr(10)) THEN list_filter(string_split(t, chr(10)), {_FILLED}) ELSE b END AS p FROM blocks),
 paragraphs AS (SELECT file_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS seg_no FROM parts)"""
 
 
-@query(f"WITH {_PARAGRAPHS} SELECT file_id, CAST(seg_no AS INTEGER) AS seg_no, md5(text) AS digest FROM paragraphs")
+@query(f"WITH {PARAGRAPHS} SELECT file_id, CAST(seg_no AS INTEGER) AS seg_no, md5(text) AS digest FROM paragraphs")
 def txt_paragraphs(spark, sf_dir):
     rows = text_formats.txt_segments(A.document_files(spark, sf_dir), chunk_size=10**9)
     return rows.select("file_id", "seg_no", F.md5("text").alias("digest"))
 
 
-@query()
-def txt_smart_chunks(spark, sf_dir):
-    docs = A.table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    chunks = F.posexplode(smart_chunks(F.col("text"), 50))
-    return docs.select("doc_id", chunks.alias("chunk_no", "chunk"))
-
-
-@query(f"""WITH {_PARAGRAPHS}
+@query(f"""WITH {PARAGRAPHS}
 SELECT file_id, 'txt' AS type, md5(string_agg('[T]' || text, chr(10) || chr(10) ORDER BY seg_no)) AS digest, count(*) AS total_chunks,
   count(*) AS processed_chunks, CAST(0 AS BIGINT) AS failed_chunks FROM paragraphs GROUP BY file_id""")
 def translate_rebuild_txt(spark, sf_dir):
@@ -83,7 +76,7 @@ def translate_files_by_type(spark, sf_dir):
     return out.select("file_id", "type", F.md5("output").alias("digest"), "total_chunks", "processed_chunks", "failed_chunks")
 
 
-@query(f"""WITH {_PARAGRAPHS}, d AS (SELECT doc_id, lang FROM documents)
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, lang FROM documents)
 SELECT lang, count(DISTINCT file_id) AS files, count(*) AS segments,
   CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS words
 FROM paragraphs JOIN d ON file_id = doc_id GROUP BY lang""")
@@ -95,7 +88,7 @@ def segment_totals(spark, sf_dir):
     return per.join(docs, "file_id").groupBy("lang").agg(F.countDistinct("file_id").alias("files"), F.sum("segments").alias("segments"), F.sum("words").alias("words"))
 
 
-@query(f"""WITH {_PARAGRAPHS}, f AS (SELECT file_id, length(text) % 7 = 0 AS failed FROM paragraphs)
+@query(f"""WITH {PARAGRAPHS}, f AS (SELECT file_id, length(text) % 7 = 0 AS failed FROM paragraphs)
 SELECT file_id, count(*) AS total_chunks, CAST(count(*) - count_if(failed) AS BIGINT) AS processed_chunks, CAST(count_if(failed) AS BIGINT) AS failed_chunks FROM f GROUP BY file_id""")
 def failed_chunks(spark, sf_dir):
     segments = text_formats.txt_segments(A.document_files(spark, sf_dir), chunk_size=10**9)
@@ -135,7 +128,7 @@ def vtt_rebuild(spark, sf_dir):
     return out.select("file_id", F.md5("output").alias("digest"))
 
 
-_MD = """files AS (SELECT conv_id AS file_id, string_agg(CASE WHEN role = 'assistant' THEN '```' || chr(10) || text || chr(10) || chr(10) || 'end' || chr(10) || '```' ELSE text END,
+MD_RUNS = """files AS (SELECT conv_id AS file_id, string_agg(CASE WHEN role = 'assistant' THEN '```' || chr(10) || text || chr(10) || chr(10) || 'end' || chr(10) || '```' ELSE text END,
   chr(10) || chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id),
 lines AS (SELECT file_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS no FROM files),
 fenced AS (SELECT *, line LIKE '```%' AS fence, coalesce(sum(CAST(line LIKE '```%' AS INTEGER)) OVER (PARTITION BY file_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines),
@@ -144,7 +137,7 @@ starts AS (SELECT *, CASE WHEN kind <> 'text' OR lag(kind, 1, '') OVER (PARTITIO
 runs AS (SELECT *, sum(s) OVER (PARTITION BY file_id ORDER BY no) - 1 AS seg_no FROM starts)"""
 
 
-@query(f"""WITH {_MD} SELECT file_id, CAST(seg_no AS INTEGER) AS seg_no, min(kind) AS kind, md5(string_agg(line, chr(10) ORDER BY no)) AS digest FROM runs GROUP BY file_id, seg_no""")
+@query(f"""WITH {MD_RUNS} SELECT file_id, CAST(seg_no AS INTEGER) AS seg_no, min(kind) AS kind, md5(string_agg(line, chr(10) ORDER BY no)) AS digest FROM runs GROUP BY file_id, seg_no""")
 def md_blocks(spark, sf_dir):
     return text_formats.md_segments(A.md_files(spark, sf_dir)).select("file_id", "seg_no", "kind", F.md5("text").alias("digest"))
 
@@ -168,20 +161,20 @@ def html_tag_counts(spark, sf_dir):
     return rows.groupBy(F.lower(F.regexp_extract("text", "^</?([a-zA-Z][a-zA-Z0-9-]*)", 1)).alias("tag")).agg(F.count("*").alias("n"))
 
 
-_CELLS = """numbered AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer),
+CSV_CELLS = """numbered AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer),
 cells AS (SELECT CAST(c_nationkey AS BIGINT) AS file_id, CAST(r AS INTEGER) AS "row", 0 AS col, CAST(c_custkey AS VARCHAR) AS text, false AS translatable FROM numbered
   UNION ALL SELECT c_nationkey, r, 1, c_name || ', "x"' || chr(10) || c_mktsegment, true FROM numbered
   UNION ALL SELECT c_nationkey, r, 2, c_mktsegment, true FROM numbered
   UNION ALL SELECT DISTINCT c_nationkey, 0, unnest([0, 1, 2]), unnest(['key', 'name', 'segment']), true FROM customer)"""
 
 
-@query(f"""WITH {_CELLS} SELECT file_id, "row", col, text, translatable FROM cells""")
+@query(f"""WITH {CSV_CELLS} SELECT file_id, "row", col, text, translatable FROM cells""")
 def csv_cells(spark, sf_dir):
     rows = text_formats.csv_segments(A.csv_files(spark, sf_dir))
     return rows.select("file_id", F.col("attrs")["row"].cast("int").alias("row"), F.col("attrs")["col"].cast("int").alias("col"), "text", "translatable")
 
 
-@query(f"""WITH {_CELLS}, out AS (SELECT file_id, "row", col, CASE WHEN translatable THEN '[T]' || text ELSE text END AS t FROM cells),
+@query(f"""WITH {CSV_CELLS}, out AS (SELECT file_id, "row", col, CASE WHEN translatable THEN '[T]' || text ELSE text END AS t FROM cells),
 lines AS (SELECT file_id, "row", string_agg(CASE WHEN regexp_matches(t, '[",\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END, ',' ORDER BY col) AS line FROM out GROUP BY file_id, "row")
 SELECT file_id, md5(string_agg(line, chr(10) ORDER BY "row")) AS digest FROM lines GROUP BY file_id""")
 def csv_rebuild(spark, sf_dir):
@@ -311,6 +304,14 @@ def glossary_search(spark, sf_dir):
     return metadata.search_glossary(A.glossary(spark, sf_dir), " The ").select("id", "term")
 
 
+@query("""SELECT doc_id, length(text) AS n_chars FROM documents WHERE contains(lower(text), 'of the')""")
+def indexed_text_search(spark, sf_dir):
+    """Documents that hold a phrase, found through a posting table of trigrams."""
+    rows = A.table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text")
+    index = search_index.build_index(rows, "doc_id", "text", f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return search_index.indexed_search(rows, index, " Of The").select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
 @query(f"""WITH {A.GLOSSARY} SELECT string_agg('- "' || term || '" -> "' || translation || '"' || CASE WHEN coalesce(notes, '') <> '' THEN ' (' || notes || ')' ELSE '' END, chr(10) ORDER BY id) AS prompt_lines
   FROM (SELECT * FROM glossary WHERE term <> '' AND translation <> '' ORDER BY id LIMIT 200)""")
 def glossary_prompt(spark, sf_dir):
@@ -417,9 +418,12 @@ PAIRS = """pairs AS (SELECT doc_id, original, CASE doc_id % 5 WHEN 0 THEN origin
   FROM documents WHERE length(text) > 0))"""
 
 
-@query(f"""WITH {PAIRS}, lines AS (SELECT *, len(string_split(original, chr(10))) AS o, len(string_split(translation, chr(10))) AS t FROM pairs)
-SELECT 'root.l' || doc_id AS path, kind, CASE kind WHEN 'missing-tags' THEN 'high' ELSE 'medium' END AS severity FROM (
-  SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'missing-tags' WHEN doc_id % 5 IN (2, 3) THEN 'extra-tags' WHEN o > 1 AND o <> t THEN 'line-breaks' END AS kind FROM lines) WHERE kind IS NOT NULL""")
+SYMBOL_KINDS = """lines AS (SELECT *, len(string_split(original, chr(10))) AS o, len(string_split(translation, chr(10))) AS t FROM pairs),
+symbols AS (SELECT 'root.l' || doc_id AS path, kind FROM (
+  SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'missing-tags' WHEN doc_id % 5 IN (2, 3) THEN 'extra-tags' WHEN o > 1 AND o <> t THEN 'line-breaks' END AS kind FROM lines) WHERE kind IS NOT NULL)"""
+
+
+@query(f"WITH {PAIRS}, {SYMBOL_KINDS} SELECT path, kind, CASE kind WHEN 'missing-tags' THEN 'high' ELSE 'medium' END AS severity FROM symbols")
 def symbol_scan(spark, sf_dir):
     return quality.scan_symbols(A.text_pairs(spark, sf_dir)).select("path", "kind", "severity")
 
@@ -455,4 +459,4 @@ def line_split_issues(spark, sf_dir):
     return quality.scan_line_split(A.text_pairs(spark, sf_dir), compat=False).select("path", "kind", "severity", "suggestion")
 
 
-from . import format_queries, function_queries, linesplit_queries  # noqa: E402, F401  (they register their queries here)
+from . import chunk_queries, format_queries, function_queries, large_file_queries, linesplit_queries  # noqa: E402, F401  (they register their queries here)

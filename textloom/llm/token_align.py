@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,15 @@ class AlignOptions:
     keep_groups: bool = False  # give the groups themselves (`groups`) beside their digest
 
 
+# How the byte-level pre-tokenizer cuts a text, which no token crosses.
+_CUT_A = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters whose classes every Unicode version agrees on; a text of others is given to the tokenizer whole.
+_STEADY = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*+")
+#: A run of blanks with what follows; a piece of side B has blanks at its start only.
+_CUT_B = re.compile(r" +[^ ]*+")
+CACHE_PARTS, LONG_PART = 200_000, 64
+
+
 class _Sides:
     """Both tokenizers, and the bytes, lengths and printed forms of their ids."""
 
@@ -50,20 +61,71 @@ class _Sides:
 
         self.a = Tokenizer.from_file(o.byte_level)
         self.a.encode_special_tokens = True
+        self.model = self.a.model
         self.b = SentencePieceProcessor(model_file=o.pieces)
         letters = {letter: byte for byte, letter in _BYTE_LETTERS.items()}
         vocabulary = self.a.get_vocab()
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
-            self.bytes_a[i] = bytes(letters[x] for x in entry) if letters.keys() >= set(entry) else entry.encode()
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
+            bytes_a[i] = bytes(letters[x] for x in entry) if letters.keys() >= set(entry) else entry.encode()
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_a, self.bytes_b = bytes_a, [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        self.parted = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         ids = range(max(len(self.bytes_a), len(self.bytes_b)))
         self.printed = np.array([[f"{i}{mark}" for i in ids] for mark in ",|;"], object)
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
-        return [x.ids for x in a], self.b.encode(texts, num_threads=1)
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
+        self.unlike: set[str] = set()  # known parts whose tokens' bytes are not the part
+
+    def _joined(self, cut: list[list[str] | None], known: dict[str, bytes], learn) -> list[np.ndarray | None]:
+        """Ids of texts that are cut into parts; parts that are not known are learnt together, short ones are kept."""
+        new = list({p for parts in cut if parts for p in parts} - known.keys())
+        known.update(zip(new, learn(new), strict=True))
+        ids = [None if parts is None else np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4") for parts in cut]
+        for part in new:
+            if len(part) > LONG_PART:
+                del known[part]
+        return ids
+
+    def _learn_a(self, parts: list[str]) -> list[bytes]:
+        units = (p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in parts)
+        return [array("I", [t.id for t in self.model.tokenize(u)]).tobytes() for u in units]
+
+    def _learn_b(self, parts: list[str]) -> list[bytes]:
+        learnt = self.b.encode([p[1:] for p in parts], num_threads=1)
+        self.unlike.update(p for p, ids in zip(parts, learnt, strict=True) if not self._same(self.bytes_b, ids, p))
+        return [array("I", ids).tobytes() for ids in learnt]
+
+    @staticmethod
+    def _same(table: list[bytes], ids: list[int], text: str) -> bool:
+        return b"".join(map(table.__getitem__, ids)) == text.encode()
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int] | None]:
+        """Ids of both sides and the number of bytes; None where the tokens' bytes are not a blank and the text.
+
+        Side A's ids of its parts give the parts' bytes back by their making; those of side B are held against each part once.
+        """
+        spaced = [f" {t}" for t in texts]
+        for known in (self.known_a, self.known_b):
+            if len(known) > CACHE_PARTS:
+                known.clear()
+        self.unlike = {p for p in self.unlike if len(p) <= LONG_PART} if self.known_b else set()
+        cut_a = [_CUT_A.findall(t) if _STEADY.fullmatch(t) else None for t in spaced]
+        cut_b = [_CUT_B.findall(t) if self.parted else None for t in spaced]
+        out = []
+        for text, parts, a, b in zip(spaced, cut_b, self._joined(cut_a, self.known_a, self._learn_a), self._joined(cut_b, self.known_b, self._learn_b), strict=True):
+            same = True
+            if a is None:
+                ids = self.a.encode(text, add_special_tokens=False).ids
+                a, same = np.array(ids, np.uint32), self._same(self.bytes_a, ids, text)
+            if b is None:
+                ids = self.b.encode(text[1:])
+                b, same = np.array(ids, np.uint32), same and self._same(self.bytes_b, ids, text)
+            elif self.unlike:
+                same = same and self.unlike.isdisjoint(parts)
+            out.append((a, b, len(text.encode())) if same else None)
+        return out
 
 
 _SIDES: dict[tuple[str, str], _Sides] = {}
@@ -132,19 +194,21 @@ def _merge(queue: list[tuple[_Document, str]], o: AlignOptions) -> None:
     """Tokenize pieces and merge their ends; adds what is found to the pieces' documents."""
     sides = _sides(o)
     sound = []
-    for (doc, text), a, b in zip(queue, *sides.encode([text for _, text in queue]), strict=True):
-        whole = f" {text}".encode()
-        if b"".join([sides.bytes_a[i] for i in a]) == whole == b"".join([sides.bytes_b[i] for i in b]):
-            sound.append((doc, a, b, len(whole)))
-        else:
+    for (doc, _), found in zip(queue, sides.encode([text for _, text in queue]), strict=True):
+        if found is None:
             doc.sound = False
+        else:
+            sound.append((doc, *found))
     if not sound:
         return
-    a, b = (np.concatenate([np.array(x[k], np.int64) for x in sound]) for k in (1, 2))
+    a, b = (np.concatenate([x[k] for x in sound]).astype(np.int64) for k in (1, 2))
     ends_a, ends_b = np.cumsum(sides.size_a[a]), np.cumsum(sides.size_b[b])
     piece_ends = np.cumsum([x[3] for x in sound])
-    merged = np.union1d(ends_a, ends_b)
-    shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    # Two ordered runs: the sort merges them. Ends that stand twice are shared.
+    merged = np.concatenate([ends_a, ends_b])
+    merged.sort(kind="stable")
+    first = np.diff(merged, prepend=-1) != 0
+    merged, shared = merged[first], merged[~first]
     pairs = a[np.searchsorted(ends_a, merged)] << 32 | b[np.searchsorted(ends_b, merged)]
     per_piece = lambda ends: np.diff(np.searchsorted(ends, piece_ends, "right"), prepend=0)
     numbers = np.stack([per_piece(x) for x in (ends_a, ends_b, shared, merged)], axis=1)

@@ -225,22 +225,27 @@ def _cells(dealt: DataFrame, labels: DataFrame, sketches: DataFrame, o: JoinOpti
     below = blocks.select("token", (F.col("band") + 1).alias("band"), F.col("k").alias("down"))
     sizes = blocks.join(above, ["token", "band"], "left").join(below, ["token", "band"], "left")
     own = F.pmod(F.xxhash64("node"), F.col("k"))
-    # A member meets its own block, the later and earlier blocks of its band, and all blocks of the bands beside it.
+    # A block meets itself, the later and earlier blocks of its band, and all blocks of the bands beside it.
     every = lambda k: F.when(k > 0, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array().cast("array<long>"))
-    cell = lambda band, next_, i, j, side: F.struct(band.alias("band"), F.lit(next_).alias("next"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    cell = lambda band, next_, i, j: F.struct(band.alias("band"), F.lit(next_).alias("next"), i.alias("i"), j.alias("j"))
     band, none = F.col("band"), F.lit(0).cast("long")
-    places = F.concat(
-        F.transform(F.filter(every(F.col("k")), lambda j: j >= own), lambda j: cell(band, 0, own, j, 0)),
-        F.transform(F.filter(every(F.col("k")), lambda i: i < own), lambda i: cell(band, 0, i, own, 1)),
-        F.transform(every(F.coalesce("up", none)), lambda j: cell(band, 1, own, j, 0)),
-        F.transform(every(F.coalesce("down", none)), lambda i: cell(band - 1, 1, i, own, 1)),
+    places = lambda own: F.concat(
+        F.transform(every(F.col("k")), lambda j: cell(band, 0, F.least(own, j), F.greatest(own, j))),
+        F.transform(every(F.coalesce("up", none)), lambda j: cell(band, 1, own, j)),
+        F.transform(every(F.coalesce("down", none)), lambda i: cell(band - 1, 1, i, own)),
     )
-    spread = now.join(sizes, ["token", "band"]).select("token", "node", "n", "pos", "part", F.explode(places).alias("c")).select("token", "c.*", "node", "n", "pos", "part")
-    # Cells of one group alone have nothing to join; most are such once the stars have been seen.
-    key = ["token", "band", "next", "i", "j"]
-    live = spread.groupBy(*key).agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select(*key)
-    rows = spread.withColumnRenamed("band", "cell_band").join(live.withColumnRenamed("band", "cell_band"), ["token", "cell_band", "next", "i", "j"])
-    key[1] = "cell_band"
+    # Which cells join anything is told by the groups of their two blocks alone: a row for each block, not for each member, is dealt
+    # to the cells. Cells of one group have nothing to join; most are such once the stars have been seen.
+    now = now.join(sizes, ["token", "band"]).withColumn("own", own)
+    sides = now.groupBy("token", "band", "own", "k", "up", "down").agg(F.min("part").alias("x"), F.max("part").alias("y"))
+    places_of = sides.select("token", "x", "y", F.explode(places(F.col("own"))).alias("c")).select("token", "c.band", "c.next", "c.i", "c.j", "x", "y")
+    key = ["token", "cell_band", "next", "i", "j"]
+    live = places_of.withColumnRenamed("band", "cell_band").groupBy(*key).agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x <> y").select(*key)
+    # A cell's members are those of its first block and, where it is another, of its second.
+    first = F.struct(F.lit(0).alias("side"), F.col("cell_band").alias("band"), F.col("i").alias("own"))
+    second = F.struct(F.lit(1).alias("side"), (F.col("cell_band") + F.col("next")).alias("band"), F.col("j").alias("own"))
+    both = F.when((F.col("next") == 0) & (F.col("i") == F.col("j")), F.array(first)).otherwise(F.array(first, second))
+    rows = now.select("token", "band", "own", "node", "n", "pos", "part").join(live.select(*key, F.inline(both)), ["token", "band", "own"])
     rows = rows.join(sketches.select("node", "sketch"), "node").select(*key, "side", "node", "n", "pos", "part", "sketch")
     rows = rows.repartition(*key).sortWithinPartitions(*key)
 

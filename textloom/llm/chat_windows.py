@@ -28,6 +28,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 class ChatOptions:
     budget: int = 1024  # tokens of a window
     history: int = 128  # tokens of repeated turns at most
+    bound: bool = False  # count bytes, which no byte-level vocabulary exceeds, in place of words and marks
 
 
 def escape(text: Column) -> Column:
@@ -47,10 +48,15 @@ def unescape_role(role: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Words and single other marks: an upper-bound style count that needs no vocabulary."""
+    """Words and single other marks. It needs no vocabulary, and is less than what one makes of long words."""
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^ \t\n\x0B\f\r\p{L}\p{N}]"))
 
 
+def token_bound(text: Column) -> Column:
+    """UTF-8 bytes: no byte-level vocabulary makes more tokens of a text, so windows that are counted so keep any such budget."""
+    return F.octet_length(text)
+
+
 def format_windows(conversations: DataFrame, options: ChatOptions = ChatOptions()) -> DataFrame:
     """Rows (conv_id, window_no, formatted, n_tokens, n_repeated, loss_spans): one for each window.
 
@@ -60,12 +66,12 @@ def format_windows(conversations: DataFrame, options: ChatOptions = ChatOptions(
     o = options
     rows = string_columns(conversations, "conv_id", "turn", "role", "text")
     rows = rows.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
-    rows = rows.withColumn("tokens", token_count(F.col("text")) + 4)
+    rows = rows.withColumn("tokens", (token_bound if o.bound else token_count)(F.col("text")) + 4)
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("no", F.row_number().over(by)).withColumn("at", F.sum("tokens").over(so_far) - F.col("tokens"))
     rows = rows.withColumn("opens", (F.col("no") == 1) & (F.col("role") == "system"))
-    rows = rows.withColumn("opening", F.first(F.struct("opens", "role", "text", "tokens")).over(so_far))
+    rows = rows.withColumn("opening", F.first(F.struct("opens", "tokens")).over(so_far))
     # A span takes the turns that end in one half of the room left by the system turn and the history; with turns above half
     # the room set apart, its first turn cannot carry it beyond the whole room.
     room = F.lit(o.budget - o.history) - F.when(F.col("opening.opens"), F.col("opening.tokens")).otherwise(0)
@@ -73,20 +79,20 @@ def format_windows(conversations: DataFrame, options: ChatOptions = ChatOptions(
     rows = rows.withColumn("bucket", F.floor((F.col("at") + F.col("tokens") - 1) / F.col("half"))).withColumn("large", F.col("tokens") > F.col("half"))
     starts = (F.lag("bucket", 1, -1).over(by) != F.col("bucket")) | F.col("large") | F.lag("large", 1, False).over(by)
     starts = F.when(F.col("no") == 1, True).when(F.lag("opens", 1, False).over(by), False).otherwise(starts)
-    rows = rows.withColumn("window_no", F.sum(starts.cast("int")).over(so_far) - 1)
+    rows = rows.withColumn("starts", starts).withColumn("window_no", F.sum(F.col("starts").cast("int")).over(so_far) - 1)
+    # The system turn's text stands once in each later window, on its first row.
+    system = F.first(F.when(F.col("opens"), F.struct(F.lit(1).alias("no"), "role", "text", "tokens"))).over(so_far)
+    rows = rows.withColumn("system", F.when(F.col("starts") & (F.col("window_no") > 0), system))
     turn = F.struct("no", "role", "text", "tokens")
     reach = Window.partitionBy("conv_id").orderBy("at").rangeBetween(-o.history, -1)
     rows = rows.withColumn("before", F.collect_list(turn).over(reach))
     windows = rows.groupBy("conv_id", "window_no").agg(
         F.array_sort(F.collect_list(turn)).alias("fresh"),
         F.min_by("before", "no").alias("before"),
-        F.min_by("opening", "no").alias("opening"),
+        F.min_by("system", "no").alias("system"),
     )
-    opening = F.expr("named_struct('no', 1, 'role', opening.role, 'text', opening.text, 'tokens', opening.tokens)")
-    repeated = F.when(
-        F.col("opening.opens") & (F.col("window_no") > 0),
-        F.concat(F.array(opening), F.filter("before", lambda t: t.no > 1)),
-    ).otherwise(F.col("before"))
+    later = F.concat(F.array("system"), F.filter("before", lambda t: t.no > 1))
+    repeated = F.when(F.col("system").isNotNull(), later).otherwise(F.col("before"))
     windows = windows.withColumn("repeated", repeated).withColumn("turns", F.concat("repeated", "fresh"))
     windows = windows.withColumn("n_repeated", F.size("repeated"))
     head = lambda t: F.concat(F.lit(START), escape_role(t.role), F.lit("\n"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,7 +62,7 @@ DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7":
 
 NEAR = 8  # words
 LONG_WORD = 64
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 _STRETCHED = re.compile(r"(.)\1{2,}")
 _PART = re.compile(r"[^\W_]+")
 #: What is noted of a word: weight and hits in plain and in disguise, second person, letters, capitals, and so on.
@@ -79,16 +80,17 @@ class _Words:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.rows: list[tuple[float, ...]] = []
-        self.names: list[str] = []
+        self.rows = array("d")  # as many numbers for each word as there are facts
+        self.names: dict[int, str] = {}  # of words that hit
 
     def look_up(self, word: str) -> int:
         found = self.number.get(word)
         if found is None:
-            found = len(self.rows)
+            found = len(self.rows) // len(FACTS)
             facts, name = self._facts(word)
-            self.rows.append(facts)
-            self.names.append(name)
+            self.rows.extend(facts)
+            if name:
+                self.names[found] = name
             if len(word) <= LONG_WORD:
                 self.number[word] = found
         return found
@@ -126,11 +128,11 @@ class _Words:
         words = text.split()
         if not words:
             return [0.0] * len(FEATURES)
-        if len(self.rows) > CACHE_WORDS:
+        if len(self.rows) > CACHE_WORDS * len(FACTS):
             self.clear()
         rows = np.fromiter(map(self.look_up, words), np.int64, len(words))
         used, at = np.unique(rows, return_inverse=True)
-        table = np.array([self.rows[i] for i in used.tolist()])
+        table = np.frombuffer(self.rows).reshape(-1, len(FACTS))[used]
         times = np.bincount(at)
         total = dict(zip(FACTS, times @ table, strict=True))
         column = {name: table[:, i] for i, name in enumerate(FACTS)}
@@ -192,29 +194,36 @@ def with_features(docs: DataFrame, lexicons: dict[int, dict[str, float]]) -> Dat
     return docs.mapInArrow(measure, f"{schema}, x array<double>")
 
 
-def _lexicons(sample: DataFrame, o: ToxicityOptions) -> dict[int, dict[str, float]]:
-    """A lexicon learnt without each fold, and under -1 one learnt from all rows (doc_id, text, y, fold)."""
+def _lexicons(sample: DataFrame, o: ToxicityOptions, scratch: Scratch) -> dict[int, dict[str, float]]:
+    """A lexicon learnt without each fold, and under -1 one learnt from all rows (text, y, fold).
+
+    A document gives each of its words once, and words are summed up before they are shuffled. Words of clean documents count only
+    where toxic ones have them often enough.
+    """
+    lexicons = range(-1, o.folds)
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)
-    pairs = sample.select("doc_id", "y", "fold", words.alias("words")).select(
-        "doc_id", "y", "fold", F.explode(F.arrays_zip(F.col("words").alias("word"), F.concat(F.array(F.lit("")), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0)))).alias("before"))).alias("w")
-    )
-    pairs = pairs.select("doc_id", "y", "fold", "w.word", "w.before").where(F.length("word") >= 3)
-    # Each fold's rows count for all lexicons but its own.
-    out = F.filter(F.array(*[F.lit(k) for k in range(-1, o.folds)]), lambda k: k != F.col("fold"))
-    counts = pairs.withColumn("out", F.explode(out)).groupBy("out", "word").agg(
-        F.count_distinct(F.when(F.col("y") == 1, F.col("doc_id"))).alias("toxic"),
-        F.count_distinct(F.when(F.col("y") == 0, F.col("doc_id"))).alias("clean"),
-        F.count_distinct(F.when(F.col("y") == 1, F.col("before"))).alias("places"),
-    )
-    support = F.least("toxic", "places").cast("double")
-    n, z = support + F.col("clean"), 1.64
-    share = support / n
-    low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    rated = counts.where(support >= o.min_support).select("out", "word", low.alias("low")).where(F.col("low") >= o.min_share)
-    found: dict[int, dict[str, float]] = {k: {} for k in range(-1, o.folds)}
-    for k in found:
-        for r in rated.where(F.col("out") == k).orderBy(F.desc("low"), "word").limit(o.lexicon_words).collect():
-            found[k][r.word] = r.low
+    toxic = sample.where("y = 1").select("fold", words.alias("w"))
+    pairs = F.zip_with("w", F.concat(F.array(F.lit("")), "w"), lambda word, before: F.struct(word.alias("word"), before.alias("before")))
+    pairs = toxic.select("fold", F.inline(F.array_distinct(F.filter(pairs, lambda p: F.length(p.word) >= 3))))
+    # In which folds a word follows another, as bits.
+    places = pairs.groupBy("word", "before").agg(F.bit_or(F.expr("shiftleft(1, fold)")).alias("folds"))
+    others = lambda k: F.col("folds").bitwiseAND(F.lit(~(1 << k) if k >= 0 else -1)) != 0
+    places = places.groupBy("word").agg(*[F.count_if(others(k)).alias(f"places{k}") for k in lexicons])
+    counted = lambda rows, name: rows.groupBy("word").agg(*[F.count_if(F.col("fold") != k).alias(f"{name}{k}") for k in lexicons])
+    distinct = lambda rows: rows.select("fold", F.explode(F.array_distinct("w")).alias("word")).where(F.length("word") >= 3)
+    often = counted(distinct(toxic), "toxic").where(F.col("toxic-1") >= o.min_support).join(places.where(F.col("places-1") >= o.min_support), "word")
+    clean = distinct(sample.where("y = 0").select("fold", words.alias("w"))).join(often.select("word"), "word", "left_semi")
+    counts = scratch.write(often.join(counted(clean, "clean"), "word", "left").fillna(0), "words")
+
+    found: dict[int, dict[str, float]] = {}
+    z = 1.64
+    for k in lexicons:
+        support = F.least(f"toxic{k}", f"places{k}").cast("double")
+        n = support + F.col(f"clean{k}")
+        share = support / n
+        low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        rated = counts.where(support >= o.min_support).select("word", low.alias("low")).where(F.col("low") >= o.min_share)
+        found[k] = {r.word: r.low for r in rated.orderBy(F.desc("low"), "word").limit(o.lexicon_words).collect()}
     return found
 
 
@@ -236,7 +245,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, options: ToxicityOptions =
     if not all(total):
         scratch.clear()
         return ToxicityModel({}, None, None, share)
-    lexicons = _lexicons(sample, o)
+    lexicons = _lexicons(sample, o, scratch)
     rows = scratch.write(with_features(sample, lexicons), "features")
     rows = rows.select("doc_id", "fold", F.col("y").cast("double").alias("label"), array_to_vector("x").alias("features")).coalesce(1).sortWithinPartitions("doc_id")
     booster = GBTClassifier(maxIter=o.trees, maxDepth=o.depth, stepSize=0.3, minInstancesPerNode=3, seed=o.seed)

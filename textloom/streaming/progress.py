@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-#: The state store that keeps maps and times to live.
-STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def running_progress(events: DataFrame) -> DataFrame:
@@ -22,39 +15,12 @@ def running_progress(events: DataFrame) -> DataFrame:
     return done.withColumn("progress", F.when(F.col("total") == 0, 100.0).otherwise(F.col("processed") / F.col("total") * 100))
 
 
-class _Segments(StatefulProcessor):
-    """Counts the segments of a job, each once; what has not been heard of for the time to live is forgotten."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "segment long", "seen boolean", self.ttl_ms)
-        self.sums = handle.getValueState("sums", "processed long, total long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        processed, total = self.sums.get() if self.sums.exists() else (0, 0)
-        for batch in rows:
-            for segment, said in zip(batch["segment"].tolist(), batch["total"].tolist(), strict=True):
-                if not self.seen.containsKey((segment,)):
-                    self.seen.updateValue((segment,), (True,))
-                    processed += 1
-                total = max(total, said)
-        self.sums.update((processed, total))
-        yield pd.DataFrame({"job_id": [key[0]], "processed": [processed], "total": [total], "progress": [processed / total * 100 if total else 100.0]})
-
-    def close(self) -> None:
-        pass
-
-
-def progress_of_segments(events: DataFrame, ttl: int = 24 * 3600 * 1000) -> DataFrame:
-    """(job_id, processed, total, progress) after each micro-batch that brought events of a job; for an update sink.
+def progress_of_segments(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """The same with each segment of a job counted once: a retried task's second event is dropped.
 
-    A segment counts once, however often and however late its event comes; a job's state lives for `ttl` milliseconds after its
-    last event. The session's state store must keep maps (`STATE_STORE`).
+    Segments are kept in mind until the event time has passed their first event by `late`, so that their number is bounded.
     """
-    schema = "job_id long, processed long, total long, progress double"
-    return events.select("job_id", "segment", "total").groupBy("job_id").transformWithStateInPandas(_Segments(ttl), schema, "Update", "ProcessingTime")
+    return running_progress(events.withWatermark("at", late).dropDuplicatesWithinWatermark(["job_id", "segment"]))
 
 
 def progress_by_window(events: DataFrame, width: str = "10 minutes", late: str = "1 hour", slide: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +197,48 @@ def test_format_tags(spark):
 def test_pairs_have_every_kind(spark, sf_dir):
     kinds = {r.kind for r in quality.scan_symbols(adapters.text_pairs(spark, sf_dir)).collect()}
     assert kinds == {"missing-tags", "extra-tags", "line-breaks"}
+
+
+def _random_pairs(n, seed):
+    rng = random.Random(seed)
+    pool = ["و", "في", "كلمة", "word", "longerword", "x", "end.", "«quote", "نعم؟", "[XENO:wait a=b ]", "(p", "semi;", "هذا", "مرحبا", "«في", "[/System:Color]", "...", "؛"]
+
+    def text_of(lines):
+        return "\n".join(" ".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) for _ in range(lines))
+
+    pairs = [(text_of(rng.randint(1, 6)), text_of(rng.randint(1, 6))) for _ in range(n)]
+    # More breaks than blanks near them: many breaks want what others have taken.
+    pairs += [("\n".join(["ab"] * 40), " ".join(rng.choice(["yes.", "no", "maybe", "it"]) for _ in range(60))) for _ in range(5)]
+    return pairs + [("a", ""), ("", "a\nb"), ("a\nb", "  "), ("a b\n\nc d", "x\r\ny"), ("a\nb", "\n\n"), ("a\nb\nc", "x y"), ("", "")]
+
+
+def test_scores_and_proposals_as_in_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from textloom.plans.linesplit_queries import proposals_sql, scores_sql
+
+    rows = [(str(i), o, t) for i, (o, t) in enumerate(_random_pairs(300, 5))]
+    con = duckdb.connect()
+    given = pa.table({n: pa.array(c, pa.string()) for n, c in zip(("path", "original", "translation"), zip(*rows, strict=True), strict=True)})
+    con.register("given", given)
+    want = con.execute(f"WITH RECURSIVE {scores_sql('given', 'scored')}, {proposals_sql('given', 'better')} SELECT path, score, o, t, causes, proposed FROM scored JOIN better USING (path)").fetchall()
+    data = spark.createDataFrame(rows, "path string, original string, translation string")
+    found = data.withColumn("d", linesplit.diagnose(F.col("original"), F.col("translation"))).withColumn("p", linesplit.propose(F.col("original"), F.col("translation"))).collect()
+    assert len(want) == len(rows)
+    known = {p: rest for p, *rest in want}
+    for r in found:
+        assert [r.d.score, r.d.orig_line_count, r.d.tr_line_count, list(r.d.causes), r.p] == known[r.path], (r.original, r.translation)
+
+
+def test_twice_the_lines_take_twice_the_time():
+    def seconds(lines):
+        joined = " ".join(f"word{i % 97} and so. on" for i in range(lines))
+        began = time.perf_counter()
+        places = linesplit._break_places([10 + i % 7 for i in range(lines)], joined)
+        assert len(places) == len(set(places)) == lines - 1
+        return time.perf_counter() - began
+
+    seconds(500)
+    half, whole = (min(seconds(n) for _ in range(3)) for n in (4000, 8000))
+    assert whole <= 2.2 * half + 0.05

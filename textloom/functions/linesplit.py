@@ -45,10 +45,6 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\r?\n"), lambda x: ~is_blank(x))
 
 
-def _words(line: Column) -> Column:
-    return word_count(strip_tags(line))
-
-
 def _chars(line: Column) -> Column:
     return F.length(trim(strip_tags(line)))
 
@@ -58,10 +54,6 @@ def _may_not_start(text: Column) -> Column:
     return first.isin(*NO_START)
 
 
-def _ends_clean(line: Column) -> Column:
-    return F.coalesce(F.right(trim(strip_tags(line)), F.lit(1)).rlike(SENTENCE_END), F.lit(False))
-
-
 def break_ratios(text: Column) -> Column:
     """Where the breaks stand, as parts of the length without tags; one pass over the characters."""
     breaks = lambda plain: F.array_compact(F.transform(F.split(plain, ""), lambda c, i: F.when(c == "\n", i)))
@@ -73,9 +65,14 @@ def _count(over: Column, condition) -> Column:
 
 
 def _facts(line: Column) -> Column:
-    """What the rules look at in a line, taken once."""
+    """What the rules look at in a line, taken once; tags are stripped once."""
     whole = trim(line)
-    return F.struct(_words(whole).alias("words"), _chars(whole).alias("chars"), _may_not_start(whole).alias("bad_start"), _ends_clean(whole).alias("clean_end"))
+
+    def of(plain: Column) -> Column:
+        clean = F.coalesce(F.right(plain, F.lit(1)).rlike(SENTENCE_END), F.lit(False))
+        return F.struct(word_count(plain).alias("words"), F.length(plain).alias("chars"), _may_not_start(whole).alias("bad_start"), clean.alias("clean_end"))
+
+    return let(trim(strip_tags(whole)), of)
 
 
 def diagnose(original: Column, translation: Column) -> Column:

@@ -49,10 +49,12 @@ def _issue(entries: DataFrame, kind: Column, suggestion: Column, severity: Colum
 def scan_symbols(entries: DataFrame) -> DataFrame:
     """At most one issue for each entry: missing tags, else other tags, else line breaks."""
     o, t = F.col("original"), F.col("translation")
-    restored = markup.restore(o, t)
-    facts = F.struct(F.size(markup.tag_texts(o)).alias("_o"), F.size(markup.tag_texts(t)).alias("_t"), markup.same_tags(o, t).alias("_same"), (count_lines(o) != count_lines(t)).alias("_uneven"), normalize_breaks(t).alias("_plain"), restored.alias("_restored"))
-    # A generated row: the conditions below then read the values instead of working them out again.
+    facts = F.struct(F.size(markup.tag_texts(o)).alias("_o"), F.size(markup.tag_texts(t)).alias("_t"), markup.same_tags(o, t).alias("_same"), (count_lines(o) != count_lines(t)).alias("_uneven"))
+    # Generated rows: the conditions below then read the values instead of working them out again. Tags and lines decide first;
+    # only what they do not clear is restored.
     rows = entries.where(~is_blank(t)).select("*", F.inline(F.array(facts)))
+    rows = rows.where((F.col("_o") != F.col("_t")) | ~F.col("_same") | F.col("_uneven"))
+    rows = rows.select("*", F.inline(F.array(F.struct(markup.restore(o, t).alias("_restored"), normalize_breaks(t).alias("_plain")))))
     breaks = (F.col("_restored") != F.col("_plain")) & F.col("_uneven")
     kind = F.when(F.col("_o") > F.col("_t"), "missing-tags").when((F.col("_t") > F.col("_o")) | ~F.col("_same"), "extra-tags").when(breaks, "line-breaks")
     rows = rows.withColumn("_kind", kind).where("_kind IS NOT NULL")

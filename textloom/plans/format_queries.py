@@ -143,22 +143,6 @@ def broken_files(spark, sf_dir):
     return rows.select(F.col("file_id").cast("int").alias("file_id"), "status", "progress", "total_chunks")
 
 
-@query(f"""WITH {PARAGRAPHS}, counts AS (SELECT file_id, 'txt' AS type, count(*) AS n FROM paragraphs GROUP BY file_id
-  UNION ALL SELECT conv_id + 20000000000, 'srt', count(*) FROM conversations GROUP BY conv_id UNION ALL SELECT conv_id + 30000000000, 'vtt', count(*) FROM conversations GROUP BY conv_id
-  UNION ALL SELECT conv_id + 50000000000, 'json', 1 + 2 * count(*) FROM conversations GROUP BY conv_id)
-SELECT file_id, type, n AS total_chunks, n AS processed_chunks, CAST(0 AS BIGINT) AS failed_chunks FROM counts""")
-def routed_files(spark, sf_dir):
-    """Text, subtitles and JSON in one job, staged by type."""
-    parts = [A.document_files(spark, sf_dir)]
-    for number, f in ((2, A.srt_files), (3, A.vtt_files), (5, A.json_files)):
-        parts.append(f(spark, sf_dir).select((F.col("file_id") + F.lit(number * 10**10)).alias("file_id"), "file_name", "content"))
-    files = parts[0]
-    for part in parts[1:]:
-        files = files.unionByName(part)
-    out = jobs.translate_files(files.where("content IS NOT NULL"), types=("txt", "srt", "vtt", "json"), staging=f"{shared_folder(spark)}/typed-{uuid.uuid4().hex}")
-    return jobs.job_rows(out).where("total_chunks > 0").select("file_id", "type", "total_chunks", "processed_chunks", "failed_chunks")
-
-
 @query("SELECT n_name || '.json' AS file_name, '{\"nation\": \"' || n_name || '\"}' AS content FROM nation")
 def files_read_whole(spark, sf_dir):
     """Files written one by one, read whole as text and as bytes."""

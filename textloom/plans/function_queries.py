@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -311,6 +312,23 @@ def prompts_of_jobs(spark, sf_dir):
     return job_prompts(jobs, metadata.glossary_for_jobs(jobs, A.glossary(spark, sf_dir)))
 
 
+@query("""WITH entries AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id AS file_id, 'root.' || turn AS path, 'ai-enhance' AS kind, 'medium' AS severity, md5(text || '?') AS suggestion FROM entries WHERE i < 80 AND i % 2 = 0 AND least(n, 80) % 5 <> 3""")
+def ai_reviewed(spark, sf_dir):
+    """Issues of a reviewer that is a Python function: one call for each file, its replies joined by index; files whose calls fail have none."""
+    rows = A.table(spark, sf_dir, "conversations")
+    path = F.concat(F.lit("root."), F.col("turn").cast("string")).alias("path")
+    entries = rows.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seg_no"), path, F.lit("text").alias("key"), F.col("text").alias("original"), F.concat("text", F.lit("!")).alias("translation"))
+
+    def reviewer(batch, glossary: str) -> str:
+        if len(batch) % 5 == 3:
+            raise ValueError("refused")
+        return json.dumps({"issues": [{"index": i, "suggestion": f"{original}?"} for i, original, _ in batch if i % 2 == 0]})
+
+    found = quality.review_with(entries, reviewer, attempts=2, first_wait_s=0.0)
+    return found.select("file_id", "path", "kind", "severity", F.md5("suggestion").alias("suggestion"))
+
+
 _BALANCED = r"""given AS (SELECT conv_id, turn, 1 + turn % 5 AS n, regexp_replace(regexp_replace(regexp_replace(text, '\s*\n\s*', ' ', 'g'), '\s{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM conversations),
 cut AS (SELECT *, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') AS w FROM given),
 shares AS (SELECT *, greatest(1, ceil(CAST(length(array_to_string(w, '')) AS DOUBLE) / n)) AS share FROM cut WHERE n > 1 AND len(w) > n),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import linesplit
+from ..functions import linesplit, markup
 from ..operators import quality
+from ..session import spread
 from . import adapters as A
 from .queries import PAIRS, SYMBOL_KINDS, query
 
@@ -89,7 +90,7 @@ SELECT path, score, o AS orig_line_count, t AS tr_line_count, array_to_string(ca
 )
 def line_split_scan(spark, sf_dir):
     """Scores and proposals of all pairs of an original and its changed copy."""
-    rows = A.text_pairs(spark, sf_dir).select("path", "original", "translation")
+    rows = spread(A.text_pairs(spark, sf_dir).select("path", "original", "translation"))
     scored = rows.withColumn("d", linesplit.diagnose(F.col("original"), F.col("translation"))).withColumn("proposed", linesplit.propose(F.col("original"), F.col("translation")))
     return scored.select("path", "d.score", "d.orig_line_count", "d.tr_line_count", F.array_join("d.causes", ",").alias("causes"), "proposed")
 
@@ -101,7 +102,24 @@ FROM scored JOIN better USING (path) JOIN named USING (path) WHERE score >= 25 A
 )
 def line_split_proposals(spark, sf_dir):
     """Entries that are badly split, how badly, why, and the better split before tags are restored."""
-    return quality.badly_split(A.text_pairs(spark, sf_dir), compat=False).select("path", "severity", "reason", F.md5("proposed").alias("proposed"))
+    return quality.badly_split(spread(A.text_pairs(spark, sf_dir)), compat=False).select("path", "severity", "reason", F.md5("proposed").alias("proposed"))
+
+
+@query(
+    f"""WITH RECURSIVE {_NAMED}, {scores_sql('named', 'scored')}, {proposals_sql('named', 'better')}
+SELECT path, 'line-split' AS kind, CASE WHEN score >= 50 THEN 'high' ELSE 'medium' END AS severity,
+  md5(regexp_replace(replace(replace(replace(original, '[XENO:wait a=b ]', ''), '[System:Color name=x ]', ''), '[/System:Color]', ''), '\\s+', '', 'g')) AS words, 1 AS waits, 1 AS opened, 1 AS closed, 0 AS others
+FROM scored JOIN better USING (path) JOIN named USING (path) WHERE score >= 25 AND proposed <> '' AND proposed <> translation"""
+)
+def line_split_issues(spark, sf_dir):
+    """Issues of badly split entries; their suggestions have the original's tags, each as often, and the translation's words."""
+    rows = quality.scan_line_split(spread(A.text_pairs(spark, sf_dir)), compat=False)
+    tags = {"waits": "[XENO:wait a=b ]", "opened": "[System:Color name=x ]", "closed": "[/System:Color]"}
+    rows = rows.withColumn("n", F.size(F.regexp_extract_all("suggestion", F.lit(markup.ANY_TAG), 0)))
+    counts = {name: markup.count_of(F.col("suggestion"), F.lit(tag)) for name, tag in tags.items()}
+    others = (F.col("n") - sum(counts.values(), F.lit(0))).alias("others")
+    words = F.md5(F.regexp_replace(F.regexp_replace("suggestion", markup.ANY_TAG, ""), r"[ \t\r\n]+", "")).alias("words")
+    return rows.select("path", "kind", "severity", words, *[c.alias(n) for n, c in counts.items()], others)
 
 
 _TURNS = """turns AS (SELECT a.conv_id || ':' || a.turn AS path, a.text AS original, b.text AS translation FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
@@ -128,7 +146,7 @@ SELECT 'f' || (CAST(substr(path, 7) AS BIGINT) % 10) || ':' || substr(path, 7) A
 FROM scored s JOIN better USING (path) JOIN named USING (path) JOIN after a USING (path) WHERE s.score >= 25 AND (proposed <> translation OR s.score >= 50)""")
 def split_files(spark, sf_dir):
     """Badly split entries of files, joined with their translations by file and index."""
-    rows = A.text_pairs(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), (F.col("seg_no") % 10).cast("string")))
+    rows = spread(A.text_pairs(spark, sf_dir)).withColumn("file", F.concat(F.lit("f"), (F.col("seg_no") % 10).cast("string")))
     entries = rows.select("file", F.col("seg_no").alias("index"), F.lit(None).cast("string").alias("label"), "original")
     said = rows.select("file", F.col("seg_no").alias("index"), F.col("translation").alias("text"))
     return quality.scan_line_split_files(entries, said).select("key", "diagnosis.score", F.md5("proposed").alias("proposed"), "difficulty")
@@ -139,4 +157,4 @@ SELECT path, kind FROM symbols UNION ALL
 SELECT path, 'line-split' FROM scored JOIN better USING (path) JOIN named USING (path) WHERE score >= 25 AND proposed <> '' AND proposed <> translation""")
 def reviewed(spark, sf_dir):
     """All scans that need no reviewer, over entries of any length."""
-    return quality.review(A.text_pairs(spark, sf_dir), compat=False).select("path", "kind")
+    return quality.review(spread(A.text_pairs(spark, sf_dir)), compat=False).select("path", "kind")

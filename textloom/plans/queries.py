@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import linesplit, markup
+from ..functions import markup
 from ..functions.text import format_file_size, join_path, output_name, parent_path, progress_percent
 from ..jsstr import word_count
 from ..operators import metadata, quality, rebuild, search_index
@@ -18,7 +18,6 @@ from ..session import shared_folder
 from ..sources import detect, text_formats, trees
 from ..streaming.progress import progress_by_window
 from . import adapters as A
-from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,19 +62,6 @@ def translate_rebuild_txt(spark, sf_dir):
     return rebuild.write_txt(segments).select("file_id", F.lit("txt").alias("type"), F.md5("output").alias("digest"), "total_chunks", processed, "failed_chunks")
 
 
-@query()
-def translate_files_by_type(spark, sf_dir):
-    """The whole router: text, subtitles, Markdown, pages and JSON in one job, staged by type so that each is read once."""
-    parts = [A.document_files(spark, sf_dir), A.page_files(spark, sf_dir)]
-    parts += [f(spark, sf_dir).select("file_id", "file_name", "content") for f in (A.srt_files, A.vtt_files, A.md_files, A.json_files)]
-    files = parts[0]
-    for number, part in enumerate(parts[1:], 1):
-        files = files.unionByName(part.withColumn("file_id", F.col("file_id") + F.lit(number * 10**10)))
-    staging = f"{shared_folder(spark)}/typed-{uuid.uuid4().hex}"
-    out = jobs.translate_files(files, types=("txt", "srt", "vtt", "md", "html", "json"), staging=staging)
-    return out.select("file_id", "type", F.md5("output").alias("digest"), "total_chunks", "processed_chunks", "failed_chunks")
-
-
 @query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, lang FROM documents)
 SELECT lang, count(DISTINCT file_id) AS files, count(*) AS segments,
   CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS words
@@ -95,33 +81,33 @@ def failed_chunks(spark, sf_dir):
     return chunk_counts(translate_by_column(segments, fails=F.length("text") % 7 == 0))
 
 
-_CUES = """cues AS (SELECT conv_id AS file_id, turn, role, text,
+CUES = """cues AS (SELECT conv_id AS file_id, turn, role, text,
   printf('%02d:%02d:%02d,000', CAST(turn * 2 // 3600 AS INTEGER), CAST(turn * 2 // 60 % 60 AS INTEGER), CAST(turn * 2 % 60 AS INTEGER)) AS start,
   printf('%02d:%02d:%02d,000', CAST((turn * 2 + 1) // 3600 AS INTEGER), CAST((turn * 2 + 1) // 60 % 60 AS INTEGER), CAST((turn * 2 + 1) % 60 AS INTEGER)) AS "end"
   FROM conversations)"""
 
 
-@query(f"""WITH {_CUES} SELECT file_id, CAST(turn AS INTEGER) AS seg_no, start, "end", CAST(turn + 1 AS VARCHAR) AS "index", text FROM cues""")
+@query(f"""WITH {CUES} SELECT file_id, CAST(turn AS INTEGER) AS seg_no, start, "end", CAST(turn + 1 AS VARCHAR) AS "index", text FROM cues""")
 def srt_cues(spark, sf_dir):
     rows = text_formats.srt_segments(A.srt_files(spark, sf_dir))
     return rows.select("file_id", "seg_no", F.col("attrs")["start"].alias("start"), F.col("attrs")["end"].alias("end"), F.col("attrs")["index"].alias("index"), "text")
 
 
-@query(f"""WITH {_CUES} SELECT file_id, md5(string_agg(CAST(turn + 1 AS VARCHAR) || chr(10) || start || ' --> ' || "end" || chr(10) || '[T]' || text || chr(10), chr(10) ORDER BY turn)) AS digest
+@query(f"""WITH {CUES} SELECT file_id, md5(string_agg(CAST(turn + 1 AS VARCHAR) || chr(10) || start || ' --> ' || "end" || chr(10) || '[T]' || text || chr(10), chr(10) ORDER BY turn)) AS digest
 FROM cues GROUP BY file_id""")
 def srt_rebuild(spark, sf_dir):
     out = rebuild.write_srt(translate_by_column(text_formats.srt_segments(A.srt_files(spark, sf_dir))))
     return out.select("file_id", F.md5("output").alias("digest"))
 
 
-@query(f"""WITH {_CUES} SELECT file_id, CAST(turn + 1 AS INTEGER) AS seg_no, replace(start, ',', '.') AS start, replace("end", ',', '.') AS "end",
+@query(f"""WITH {CUES} SELECT file_id, CAST(turn + 1 AS INTEGER) AS seg_no, replace(start, ',', '.') AS start, replace("end", ',', '.') AS "end",
   CASE WHEN turn % 2 = 1 THEN 'align:start' END AS settings, role AS identifier, text FROM cues""")
 def vtt_cues(spark, sf_dir):
     rows = text_formats.vtt_segments(A.vtt_files(spark, sf_dir)).where("kind = 'cue'")
     return rows.select("file_id", "seg_no", *[F.col("attrs")[n].alias(n) for n in ("start", "end", "settings", "identifier")], "text")
 
 
-@query(f"""WITH {_CUES} SELECT file_id, md5('WEBVTT' || chr(10) || chr(10) || string_agg(role || chr(10) || replace(start, ',', '.') || ' --> ' || replace("end", ',', '.')
+@query(f"""WITH {CUES} SELECT file_id, md5('WEBVTT' || chr(10) || chr(10) || string_agg(role || chr(10) || replace(start, ',', '.') || ' --> ' || replace("end", ',', '.')
   || CASE WHEN turn % 2 = 1 THEN '  align:start' ELSE '' END || chr(10) || '[T]' || text || chr(10), chr(10) ORDER BY turn)) AS digest FROM cues GROUP BY file_id""")
 def vtt_rebuild(spark, sf_dir):
     out = rebuild.write_vtt(translate_by_column(text_formats.vtt_segments(A.vtt_files(spark, sf_dir))))
@@ -454,9 +440,4 @@ def tag_totals(spark, sf_dir):
     return quality.tag_report(rows).select("total", "xeno", "system", "ml")
 
 
-@query()
-def line_split_issues(spark, sf_dir):
-    return quality.scan_line_split(A.text_pairs(spark, sf_dir), compat=False).select("path", "kind", "severity", "suggestion")
-
-
-from . import chunk_queries, format_queries, function_queries, large_file_queries, linesplit_queries  # noqa: E402, F401  (they register their queries here)
+from . import chunk_queries, format_queries, function_queries, job_queries, large_file_queries, linesplit_queries  # noqa: E402, F401  (they register their queries here)

@@ -39,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, for work that costs more than moving them; a scan that has more stays."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 class Tables:
     """Tables that a job writes on its way into the shared folder, so that nothing is worked out twice and no lineage grows."""
 

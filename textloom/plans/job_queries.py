@@ -24,8 +24,8 @@ html AS (SELECT page_id AS file_id, 'html' AS type, md5(string_agg(CASE WHEN goo
 _SUBTITLES = """srt AS (SELECT file_id, 'srt' AS type, md5(string_agg(CAST(turn + 1 AS VARCHAR) || chr(10) || start || ' --> ' || "end" || chr(10) || '[T]' || text || chr(10), chr(10) ORDER BY turn)) AS digest, count(*) AS n FROM cues GROUP BY file_id),
 vtt AS (SELECT file_id, 'vtt' AS type, md5('WEBVTT' || chr(10) || chr(10) || string_agg(role || chr(10) || replace(start, ',', '.') || ' --> ' || replace("end", ',', '.')
   || CASE WHEN turn % 2 = 1 THEN '  align:start' ELSE '' END || chr(10) || '[T]' || text || chr(10), chr(10) ORDER BY turn)) AS digest, count(*) AS n FROM cues GROUP BY file_id)"""
-_MD = """blocks AS (SELECT file_id, seg_no, min(kind) AS kind, CASE min(kind) WHEN 'blank' THEN '' WHEN 'text' THEN '[T]' || string_agg(line, chr(10) ORDER BY no) ELSE string_agg(line, chr(10) ORDER BY no) END AS t FROM runs GROUP BY file_id, seg_no),
-md AS (SELECT file_id, 'md' AS type, md5(string_agg(t, chr(10) ORDER BY seg_no)) AS digest, CAST(count_if(kind = 'text') AS BIGINT) AS n FROM blocks GROUP BY file_id)"""
+_MD = """segments AS (SELECT file_id, seg_no, min(kind) AS kind, CASE min(kind) WHEN 'blank' THEN '' WHEN 'text' THEN '[T]' || string_agg(line, chr(10) ORDER BY no) ELSE string_agg(line, chr(10) ORDER BY no) END AS t FROM runs GROUP BY file_id, seg_no),
+md AS (SELECT file_id, 'md' AS type, md5(string_agg(t, chr(10) ORDER BY seg_no)) AS digest, CAST(count_if(kind = 'text') AS BIGINT) AS n FROM segments GROUP BY file_id)"""
 _JSON = r"""said AS (SELECT *, regexp_matches(text, '[^\s]') AND NOT regexp_matches(text, '^[0-9]+$') AS good FROM conversations),
 items AS (SELECT conv_id, turn, good, '    {' || chr(10) || '      "number": "' || turn || '",' || chr(10) || '      "id": ' || to_json(role) || ',' || chr(10)
   || '      "text": ' || to_json(CASE WHEN good THEN '[T]' || text ELSE text END) || ',' || chr(10) || '      "who": {' || chr(10) || '        "label": ' || to_json('[T]' || role) || chr(10) || '      }' || chr(10) || '    }' AS item FROM said),

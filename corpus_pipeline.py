@@ -63,7 +63,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: No stage before the last is expressible in SQL; tests hold each against a brute-force version.
+#: No stage before the last is expressible in SQL; tests hold each stage's operator against a brute-force version on small tables.
 ORACLE_SQL: str | None = None
 
 

@@ -103,9 +103,8 @@ def test_token_scan_edges(spark, monkeypatch, tmp_path):
     assert token_scan.name_documents(token_scan.scan_separators(files, 49407), order).collect() == []
 
 
-@pytest.mark.parametrize("chunk", [2, 1024])
-def test_one_file_cut_at_every_place(spark, monkeypatch, tmp_path, chunk):
-    monkeypatch.setattr(token_scan, "CHUNK_BLOCKS", chunk)
+def test_one_file_cut_at_every_place(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_scan, "CHUNK_BLOCKS", 2)
     ids = [1, 2, 9, 9, 3, 4, 5, 6, 7, 8, 9, 1, 9, 2, 2]
     _flat(tmp_path / "flat", "a.ids", ids)
     _flat(tmp_path / "flat", "b.ids", [9])

@@ -111,3 +111,11 @@ def test_pieces_have_the_ids_of_the_whole(plain):
             assert " ".join(pieces) == text
             assert sum((plain.b.encode(p) for p in pieces), []) == plain.b.encode(text)
             assert sum((plain.a.encode(" " + p, add_special_tokens=False).ids for p in pieces), []) == plain.a.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_a_blank_at_the_end_is_a_token(plain):
+    """One blank behind the last word was encoded by itself, which gives no id, and the text then had no tokens at all."""
+    for text in ("alpha ", "alpha  ", "alpha\n ", " ", "a b ", "straße 12345 "):
+        groups, _ = plain.walk(text)
+        a, b, n_bytes = token_align._Sides(token_align.AlignOptions(A, B)).encode([text])[0]
+        assert (a.tolist(), b.tolist(), n_bytes) == ([x for g in groups for x in g[0]], [x for g in groups for x in g[1]], len(text.encode()) + 1)

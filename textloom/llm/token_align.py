@@ -47,8 +47,9 @@ class AlignOptions:
 _CUT_A = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters whose classes every Unicode version agrees on; a text of others is given to the tokenizer whole.
 _STEADY = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*+")
-#: A run of blanks with what follows; a piece of side B has blanks at its start only.
-_CUT_B = re.compile(r" +[^ ]*+")
+#: A run of blanks with what follows; a piece of side B has blanks at its start only. One blank at the end stays with the word
+#: before it: alone it would be the blank that side B adds, and give no id.
+_CUT_B = re.compile(r" +[^ ]*+(?: \Z)?")
 CACHE_PARTS, LONG_PART = 200_000, 64
 
 

@@ -21,13 +21,13 @@ _WRITERS = {"txt": rebuild.write_txt, "srt": rebuild.write_srt, "vtt": rebuild.w
 Transform = Callable[[DataFrame], DataFrame]
 
 
-def translate_type(files: DataFrame, kind: str, transform: Transform = translate_by_column) -> DataFrame:
-    """(file_id, type, output, total_chunks, processed_chunks, failed_chunks, error) of files of one type.
+def translate_type(files: DataFrame, kind: str, transform: Transform = translate_by_column, settings: dict | None = None) -> DataFrame:
+    """(file_id, type, output, total_chunks, processed_chunks, failed_chunks, error) of files of one type; `settings` go to its reader.
 
     A file without any chunk is rebuilt as it is where its format allows that, and has zero counts. A file that cannot be read
     has an error, and an empty output; it stops no other.
     """
-    segments = EXTRACTORS[kind](files)
+    segments = EXTRACTORS[kind](files, **(settings or {}))
     errors = segments.where(F.col("kind") == ERROR)
     return _written(files, transform(segments.where(F.col("kind") != ERROR)), errors, kind)
 
@@ -54,8 +54,8 @@ def _written(files: DataFrame, translated: DataFrame, errors: DataFrame, kind: s
     return rows.select("file_id", F.lit(kind).alias("type"), F.coalesce("output", F.lit("")).alias("output"), "total_chunks", processed, "failed_chunks", "error")
 
 
-def translate_files(files: DataFrame, transform: Transform = translate_by_column, types: tuple[str, ...] = TEXT_TYPES, staging: str | None = None) -> DataFrame:
-    """All files (file_id, file_name, content), each by its type.
+def translate_files(files: DataFrame, transform: Transform = translate_by_column, types: tuple[str, ...] = TEXT_TYPES, staging: str | None = None, settings: dict[str, dict] | None = None) -> DataFrame:
+    """All files (file_id, file_name, content), each by its type; `settings` of a type go to its reader.
 
     With `staging`, the files are written there by type first, so that each format reads its own files only.
     """
@@ -63,7 +63,7 @@ def translate_files(files: DataFrame, transform: Transform = translate_by_column
     if staging is not None:
         typed.write.mode("overwrite").partitionBy("type").parquet(staging)
         typed = files.sparkSession.read.schema(typed.schema).parquet(staging)
-    parts = [translate_type(typed.where(F.col("type") == kind).select("file_id", "content"), kind, transform) for kind in types]
+    parts = [translate_type(typed.where(F.col("type") == kind).select("file_id", "content"), kind, transform, (settings or {}).get(kind)) for kind in types]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

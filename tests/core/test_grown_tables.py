@@ -31,6 +31,6 @@ def long_paragraphs(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["routed_files"])
+@pytest.mark.parametrize("name", ["routed_files", "translate_files_by_type"])
 def test_paragraphs_of_many_words_stay_whole(spark, long_paragraphs, name):
     _equals_sql(spark, name, long_paragraphs)

@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from textloom.operators.budget import budget_chunks
 from textloom.plans import queries
 
 from .test_entry import _rows
@@ -34,3 +35,14 @@ def long_paragraphs(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["routed_files", "translate_files_by_type"])
 def test_paragraphs_of_many_words_stay_whole(spark, long_paragraphs, name):
     _equals_sql(spark, name, long_paragraphs)
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_budget_broadcasts_no_table(spark):
+    rows = spark.range(500).selectExpr("id % 3 AS file_id", "id AS seg_no", "id % 7 AS words")
+    found = budget_chunks(rows, 10)
+    assert "SortMergeJoin" in _plan(found) and "Broadcast" not in _plan(found)
+    assert found.agg({"words": "sum"}).first()[0] == sum(i % 7 for i in range(500))

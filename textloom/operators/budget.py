@@ -19,13 +19,19 @@ from ..session import Tables
 ROWS_PER_BLOCK = 4096
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """A join that sorts both sides. These tables of numbers take so few bytes in files that they would be broadcast, many millions
+    of rows through the driver."""
+    return left.join(right.hint("merge"), on)
+
+
 def placed(rows: DataFrame) -> DataFrame:
     """(file_id, seg_no, at, upto): the words before each segment, and with it; sums of blocks first, then within them."""
     rows = rows.select("file_id", "seg_no", F.greatest(F.coalesce(F.col("words"), F.lit(0)), F.lit(0)).cast("long").alias("words"), F.expr(f"seg_no div {ROWS_PER_BLOCK}").alias("block"))
     before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("file_id", "block").agg(F.sum("words").alias("w")).select("file_id", "block", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file_id", "block").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0)
-    upto = rows.withColumn("upto", F.sum("words").over(inside)).join(base, ["file_id", "block"])
+    upto = _met(rows.withColumn("upto", F.sum("words").over(inside)), base, ["file_id", "block"])
     return upto.select("file_id", "seg_no", (F.col("base") + F.col("upto") - F.col("words")).alias("at"), (F.col("base") + F.col("upto")).alias("upto"))
 
 
@@ -54,20 +60,21 @@ def budget_chunks(rows: DataFrame, max_words: int = 500) -> DataFrame:
     after = Window.partitionBy("file_id", F.expr(f"seg_no div {ROWS_PER_BLOCK}")).orderBy("seg_no")
     firsts = sums.groupBy("file_id", F.expr(f"seg_no div {ROWS_PER_BLOCK}").alias("block")).agg(F.min("seg_no").alias("first"))
     across = firsts.withColumn("next_block", F.lead("first").over(Window.partitionBy("file_id").orderBy("block"))).select("file_id", "block", "next_block")
-    follows = sums.select("file_id", "seg_no", F.expr(f"seg_no div {ROWS_PER_BLOCK}").alias("block"), F.lead("seg_no").over(after).alias("inside")).join(across, ["file_id", "block"])
+    follows = _met(sums.select("file_id", "seg_no", F.expr(f"seg_no div {ROWS_PER_BLOCK}").alias("block"), F.lead("seg_no").over(after).alias("inside")), across, ["file_id", "block"])
     follows = follows.select("file_id", F.col("seg_no").alias("last"), F.coalesce("inside", "next_block").alias("to"))
-    jumps = tables.write(ends.join(follows, ["file_id", "last"]).select("file_id", F.col("seg_no").alias("from"), "to", "last"), "budget-jumps")
+    jumps = tables.write(_met(ends, follows, ["file_id", "last"]).select("file_id", F.col("seg_no").alias("from"), "to", "last"), "budget-jumps")
     reached = tables.write(sums.groupBy("file_id").agg(F.min("seg_no").alias("from")), "budget-starts")
     step = tables.write(jumps.where("to IS NOT NULL").select("file_id", "from", "to"), "budget-steps")
     while not step.isEmpty():
-        found = reached.join(step, ["file_id", "from"]).select("file_id", F.col("to").alias("from"))
-        further = step.select("file_id", "from", F.col("to").alias("via")).join(step.select("file_id", F.col("from").alias("via"), "to"), ["file_id", "via"])
+        found = _met(reached, step, ["file_id", "from"]).select("file_id", F.col("to").alias("from"))
+        further = _met(step.select("file_id", "from", F.col("to").alias("via")), step.select("file_id", F.col("from").alias("via"), "to"), ["file_id", "via"])
         old, reached = reached, tables.write(reached.unionByName(found), "budget-starts")
         used, step = step, tables.write(further.select("file_id", "from", "to"), "budget-steps")
         tables.drop(old, used)
     tables.drop(step)
-    starts = reached.join(jumps, ["file_id", "from"]).select("file_id", F.col("from").alias("first_seg"), F.col("last").alias("last_seg"))
-    words = starts.join(sums.select("file_id", F.col("seg_no").alias("first_seg"), "at"), ["file_id", "first_seg"]).join(sums.select("file_id", F.col("seg_no").alias("last_seg"), "upto"), ["file_id", "last_seg"])
+    starts = _met(reached, jumps, ["file_id", "from"]).select("file_id", F.col("from").alias("first_seg"), F.col("last").alias("last_seg"))
+    words = _met(starts, sums.select("file_id", F.col("seg_no").alias("first_seg"), "at"), ["file_id", "first_seg"])
+    words = _met(words, sums.select("file_id", F.col("seg_no").alias("last_seg"), "upto"), ["file_id", "last_seg"])
     return _numbered(words.select("file_id", "first_seg", "last_seg", (F.col("upto") - F.col("at")).alias("words"), F.expr(f"at div {max_words * ROWS_PER_BLOCK}").alias("block")))
 
 
@@ -76,5 +83,5 @@ def _numbered(chunks: DataFrame) -> DataFrame:
     before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = chunks.groupBy("file_id", "block").agg(F.count("*").alias("k")).select("file_id", "block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file_id", "block").orderBy("first_seg")
-    rows = chunks.withColumn("i", F.row_number().over(inside)).join(base, ["file_id", "block"])
+    rows = _met(chunks.withColumn("i", F.row_number().over(inside)), base, ["file_id", "block"])
     return rows.select("file_id", (F.col("base") + F.col("i") - 1).alias("chunk_no"), "first_seg", "last_seg", "words")

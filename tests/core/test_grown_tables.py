@@ -1,10 +1,14 @@
 """Queries against their SQL on rows that only larger tables hold."""
 
+import time
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from textloom.functions.text import one_line
+from textloom.jsstr import WHITE, WS, is_blank
+from textloom.operators import quality
 from textloom.operators.budget import budget_chunks
 from textloom.plans import queries
 
@@ -46,3 +50,28 @@ def test_word_budget_broadcasts_no_table(spark):
     found = budget_chunks(rows, 10)
     assert "SortMergeJoin" in _plan(found) and "Broadcast" not in _plan(found)
     assert found.agg({"words": "sum"}).first()[0] == sum(i % 7 for i in range(500))
+
+
+def test_split_files_are_diagnosed_before_they_are_ordered(spark):
+    """Breaks were placed twice in a row's plan, and the ordering went through all of it once more."""
+    text = "one two three four five six seven\n" * 6
+    entries = spark.createDataFrame([("f", i, None, text) for i in range(5)], "file string, index long, label string, original string")
+    said = spark.createDataFrame([("f", i, text.replace("\n", " ").strip() + "\nx") for i in range(5)], "file string, index long, text string")
+    found = quality.scan_line_split_files(entries, said)
+    assert "_broken_lines" not in _plan(found) and [r["index"] for r in found.collect()] == list(range(5))
+
+
+def test_white_space_is_told_in_linear_time(spark):
+    """A long run of blanks without a break was gone through once for each of its blanks."""
+    rows = spark.createDataFrame([("a" + " " * 300_000 + "b",), ("a \n b\tc\n\nd　 e ﻿",), ("\n",)], "t string")
+    begun = time.monotonic()
+    assert [r[0] for r in rows.select(one_line(rows["t"])).collect()] == ["a b", "a b\tc d e", ""]
+    assert time.monotonic() - begun < 20
+
+
+def test_white_space_classes(spark):
+    every = [chr(i) for i in (*range(0x20, 0xD800), *range(0xE000, 0x10000), *range(0x1F600, 0x1F640), *range(0x20))]
+    rows = spark.createDataFrame([(c,) for c in every], "c string")
+    blank = {r.c for r in rows.where(is_blank(rows["c"])).collect()}
+    spaces = {r.c for r in rows.where(rows["c"].rlike(WS)).collect()}
+    assert blank == spaces == set(WHITE)

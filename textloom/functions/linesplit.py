@@ -14,7 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..jsstr import WHITE, WHITE_CLASS, is_blank, let, ltrim, trim, word_count
+from ..jsstr import NOT_WS, WHITE, is_blank, let, ltrim, trim, word_count
+from ..session import small_batches
 from .text import one_line
 
 # Marks and tags that count as no text, words that no line may start with, marks that end a sentence.
@@ -50,7 +51,7 @@ def _chars(line: Column) -> Column:
 
 
 def _may_not_start(text: Column) -> Column:
-    first = F.regexp_replace(F.regexp_extract(ltrim(text), rf"^[^{WHITE_CLASS}]+", 0), OPENING_MARKS, "")
+    first = F.regexp_replace(F.regexp_extract(ltrim(text), rf"^{NOT_WS}++", 0), OPENING_MARKS, "")
     return first.isin(*NO_START)
 
 
@@ -203,6 +204,7 @@ def propose(original: Column, translation: Column) -> Column:
     Breaks take blanks one after another and none twice, which no built-in expression says in less than the square of the lines;
     a text's breaks are placed in an Arrow batch, everything else stays in the JVM.
     """
+    small_batches()
     lens, joined = F.transform(lines_of(original), _chars), one_line(translation)
     plain = is_blank(translation) | (F.size(lens) <= 1)
     broken = _broken_lines(lens, F.when(~plain, joined), translation)

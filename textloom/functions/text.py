@@ -22,9 +22,11 @@ def count_lines(text: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    """Breaks with the white space around them as one blank, longer runs of white space too."""
-    text = F.regexp_replace(text, rf"{WS}*\n{WS}*", " ")
-    return trim(F.regexp_replace(text, WS + "{2,}", " "))
+    """Breaks with the white space around them as one blank, longer runs of white space too.
+
+    Each run is taken whole and once; looked for as white space before a break, a long run without one would cost its square.
+    """
+    return trim(F.regexp_replace(text, rf"{WS}{{2,}}+|\n", " "))
 
 
 def balanced_lines(text: Column, lines: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import linesplit, markup
 from ..functions.text import count_lines, has_arabic, normalize_breaks
 from ..jsstr import is_blank, utf16_length
+from ..session import Tables, dealt
 from ..sources.trees import GAME_KEYS, MAX_DEPTH, game_json_segments, tree_leaves
 from .translate import tried
 
@@ -90,12 +91,18 @@ def scan_line_split_files(entries: DataFrame, translations: DataFrame) -> DataFr
 
     Shown from a badness of 25 on; without a proposal of its own only from 50. Easy: the proposal scores 22 at most.
     """
-    both = entries.join(translations, ["file", "index"]).where(~is_blank(F.col("text")))
+    # Dealt over a fixed number of tasks: the rows cost far more than their bytes say, by which joined tasks are merged.
+    n = dealt(entries.sparkSession)
+    both = entries.repartition(n, "file", "index").join(translations.where(~is_blank(F.col("text"))).repartition(n, "file", "index").hint("merge"), ["file", "index"])
     o, t = F.col("original"), F.col("text")
-    rows = both.withColumn("diagnosis", linesplit.diagnose(o, t)).where(F.col("diagnosis.score") >= linesplit.SHOWN).withColumn("proposed", linesplit.propose(o, t))
-    rows = rows.withColumn("_new", F.col("proposed") != t).where(F.col("_new") | (F.col("diagnosis.score") >= linesplit.SHOWN_WITHOUT_PROPOSAL))
+    # Generated rows: what follows then reads the values instead of working them out again.
+    once = lambda rows, value, name: rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+    rows = once(both, linesplit.diagnose(o, t), "diagnosis").where(F.col("diagnosis.score") >= linesplit.SHOWN)
+    rows = once(rows, linesplit.propose(o, t), "proposed").withColumn("_new", F.col("proposed") != t)
+    rows = rows.where(F.col("_new") | (F.col("diagnosis.score") >= linesplit.SHOWN_WITHOUT_PROPOSAL))
     easy = F.col("_new") & (linesplit.diagnose(o, F.col("proposed")).score <= linesplit.EASY)
-    rows = rows.withColumn("difficulty", F.when(easy, "easy").otherwise("hard"))
+    # Written before it is ordered: an ordering goes through its rows twice.
+    rows = Tables(entries.sparkSession).write(rows.withColumn("difficulty", F.when(easy, "easy").otherwise("hard")), "badly-split")
     out = rows.select(F.concat("file", F.lit(":"), "index").alias("key"), "file", "index", F.coalesce("label", F.lit("")).alias("label"), "original", F.col("text").alias("current"), "proposed", "diagnosis", "difficulty")
     return out.orderBy(F.desc("diagnosis.score"), "file", "index")
 

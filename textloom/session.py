@@ -45,6 +45,23 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+#: Rows and bytes of an Arrow batch: whole files may be long. They replace Spark's own values; a caller's other values stay.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "64"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
+def small_batches(spark: SparkSession | None = None) -> None:
+    """Keep Arrow batches small, so that a Python worker holds a few texts at a time whatever the table's size."""
+    spark = spark or SparkSession.active()
+    for key, (usual, small) in ARROW_BATCH.items():
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, small)
+
+
+def dealt(spark: SparkSession) -> int:
+    """Over how many tasks joined rows are dealt whose work costs far more than their bytes say."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 class Tables:
     """Tables that a job writes on its way into the shared folder, so that nothing is worked out twice and no lineage grows."""
 

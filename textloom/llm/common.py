@@ -11,15 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of an Arrow batch: whole texts may be long. They replace Spark's own values; a caller's other values stay.
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "64"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
-
+from ..session import small_batches
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches small and make sure that a checkpoint folder exists."""
-    for key, (usual, small) in ARROW_BATCH.items():
-        if spark.conf.get(key, usual) == usual:
-            spark.conf.set(key, small)
+    small_batches(spark)
     checkpoint_dir(spark)
     return spark
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
+from ..session import small_batches
 from ..sources.trees import entries, load, most_nodes
 
 
@@ -145,6 +146,7 @@ def _write_trees(files: DataFrame, segments: DataFrame, kind: str, root: str, ke
                     out.append((None, f"{kind} cannot be written: {error}"))
             yield batch[["file_id", *counts]].assign(output=[o for o, _ in out], write_error=[e for _, e in out])
 
+    small_batches(files.sparkSession)
     return both.mapInPandas(write, ", ".join(["file_id long", "output string", *(f"{c} long" for c in counts), "write_error string"]))
 
 
@@ -200,6 +202,7 @@ def write_epub(files: DataFrame, segments: DataFrame) -> DataFrame:
                 out.append(made.getvalue())
             yield batch[["file_id", *counts]].assign(output=out)
 
+    small_batches(files.sparkSession)
     return both.mapInPandas(write, ", ".join(["file_id long", "output binary", *(f"{c} long" for c in counts)]))
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -152,6 +154,7 @@ def _zipped(rows: DataFrame, entries) -> DataFrame:
                 made.append(held.getvalue())
             yield pd.DataFrame({"file_id": batch["conv_id"], "content": made})
 
+    small_batches(rows.sparkSession)
     return per.mapInPandas(pack, "file_id long, content binary").withColumn("file_name", F.lit("package"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..jsstr import trim, unix_lines
 from ..schema import ERROR
+from ..session import small_batches
 from .text_formats import _segments
 from .trees import html_tokens
 
@@ -75,6 +76,7 @@ def epub_segments(files: DataFrame) -> DataFrame:
                     out.append((file_id, 0, None, f"no valid e-book: {error}", 0, 0, True))
             yield pd.DataFrame(out, columns=["file_id", "seg_no", "path", "text", "start", "end", "error"])
 
+    small_batches(files.sparkSession)
     rows = files.select("file_id", "content").mapInPandas(read, "file_id long, seg_no int, path string, text string, start int, end int, error boolean")
     attrs = F.create_map(F.lit("start"), F.col("start").cast("string"), F.lit("end"), F.col("end").cast("string"))
     return _segments(rows, F.when(F.col("error"), ERROR).otherwise("node"), F.col("text"), ~F.col("error"), attrs, F.col("path"))
@@ -95,6 +97,7 @@ def epub_entries(files: DataFrame) -> DataFrame:
                     continue
             yield pd.DataFrame(out, columns=["file_id", "name", "is_chapter", "data"])
 
+    small_batches(files.sparkSession)
     return files.select("file_id", "content").mapInPandas(read, "file_id long, name string, is_chapter boolean, data binary")
 
 
@@ -123,6 +126,7 @@ def docx_segments(files: DataFrame) -> DataFrame:
             found = [told(c) for c in batch["content"]]
             yield pd.DataFrame({"file_id": batch["file_id"], "content": [t for t, _ in found], "error": [e for _, e in found]})
 
+    small_batches(files.sparkSession)
     texts = files.select("file_id", "content").mapInPandas(read, "file_id long, content string, error boolean")
     parts = F.filter(F.transform(F.split(unix_lines(F.col("content")), r"\n\n+"), trim), lambda p: p != "")
     rows = texts.select("file_id", "error", F.posexplode(parts).alias("seg_no", "text"))

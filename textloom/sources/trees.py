@@ -18,6 +18,7 @@ from ..functions import markup
 from ..functions.text import JAPANESE
 from ..jsstr import WHITE, WHITE_CLASS, trim
 from ..schema import ERROR
+from ..session import small_batches
 
 # Keys whose values are technical, compared in lower case.
 TECHNICAL_KEYS = frozenset(
@@ -100,6 +101,7 @@ def tree_leaves(files: DataFrame, kind: str, root: str, excluded: frozenset[str]
                 out += [(file_id, i, *leaf, False) for i, leaf in enumerate(found)]
             yield pd.DataFrame(out, columns=["file_id", "seg_no", "path", "text", "depth", "error"])
 
+    small_batches(files.sparkSession)
     return files.select("file_id", "content").mapInPandas(read, _LEAF)
 
 
@@ -139,6 +141,7 @@ def json_depths(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"file_id": batch["file_id"], "depth": pd.array([depth(c) for c in batch["content"]], dtype="Int32")})
 
+    small_batches(files.sparkSession)
     return files.select("file_id", "content").mapInPandas(read, "file_id long, depth int")
 
 
@@ -213,6 +216,7 @@ def html_segments(files: DataFrame, clean: bool = False) -> DataFrame:
                 out += [(file_id, i, kind, content[a:b], good, a, b) for i, (a, b, kind, good) in enumerate(html_tokens(content, clean))]
             yield pd.DataFrame(out, columns=["file_id", "seg_no", "kind", "text", "translatable", "start", "end"])
 
+    small_batches(files.sparkSession)
     rows = files.select("file_id", "content").mapInPandas(read, "file_id long, seg_no int, kind string, text string, translatable boolean, start int, end int")
     attrs = F.create_map(F.lit("start"), F.col("start").cast("string"), F.lit("end"), F.col("end").cast("string"))
     return rows.select("file_id", "seg_no", "kind", F.lit(None).cast("string").alias("path"), "text", "translatable", attrs.alias("attrs"))

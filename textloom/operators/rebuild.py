@@ -11,12 +11,13 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..session import small_batches
-from ..sources.trees import entries, load, most_nodes
+from ..sources.trees import entries, load_shared, most_nodes, own_tasks
 
 
 def _counts(segments: DataFrame) -> list[Column]:
@@ -98,8 +99,11 @@ def replacements(segments: DataFrame) -> DataFrame:
     return rows.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "t"))).alias("by_path"), *_added(rows))
 
 
-def _replaced(tree: object, path: str, by_path: dict[str, str], keep_empty: bool, most: int) -> object:
-    """A copy of the tree with the strings at known paths replaced; a stack stands for the depth, and aliases may not make it endless."""
+def _replaced(tree: object, path: str, by_path: dict[str, str], keep_empty: bool, most: int, shared: bool = True) -> object:
+    """A copy of the tree with the strings at known paths replaced; a stack stands for the depth, and aliases may not make it endless.
+
+    Of a tree without shared parts what is copied is let go.
+    """
     top: list[object] = [None]
     todo: list[tuple[object, str, object, object]] = [(tree, path, top, 0)]
     seen = 0
@@ -114,40 +118,48 @@ def _replaced(tree: object, path: str, by_path: dict[str, str], keep_empty: bool
         elif isinstance(here, list):
             holder[key] = made = [None] * len(here)
             todo += [(x, f"{at}[{i}]", made, i) for i, x in enumerate(here)]
+            if not shared:
+                here.clear()
         elif isinstance(here, dict):
             known = entries({str(k): v for k, v in here.items()})
             holder[key] = made = dict.fromkeys(k for k, _ in known)
             todo += [(v, f"{at}.{k}" if at else k, made, k) for k, v in known]
+            if not shared:
+                here.clear()
         else:
             holder[key] = int(here) if isinstance(here, float) and here.is_integer() and abs(here) < 1e21 else here
     return top[0]
 
 
-def _dumped(tree: object, kind: str) -> str:
+def _dumped(tree: object, kind: str, shared: bool) -> str:
     if kind == "yaml":
-        import yaml
+        from ..sources import yaml_text
 
-        return yaml.safe_dump(tree, allow_unicode=True, sort_keys=False, width=float("inf"))
+        return yaml_text.whole(tree) if shared else "".join(yaml_text.dumped(tree))
     return json.dumps(tree, indent=2, ensure_ascii=False)
 
 
 def _write_trees(files: DataFrame, segments: DataFrame, kind: str, root: str, keep_empty: bool) -> DataFrame:
-    both = files.select("file_id", "content").join(replacements(segments), "file_id", "left")
+    both = own_tasks(files.select("file_id", "content").join(replacements(segments), "file_id", "left"), kind)
     counts = _kept(both)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def written(content: str | None, by_path: pa.MapScalar) -> tuple[str | None, str | None]:
+        try:
+            tree, shared = load_shared(content or "", kind)
+            new = dict(zip(by_path.values.field(0).to_pylist(), by_path.values.field(1).to_pylist(), strict=True)) if by_path.is_valid else {}
+            return _dumped(_replaced(tree, root, new, keep_empty, most_nodes(content or ""), shared), kind, shared), None
+        except Exception as error:  # a file that does not parse, or that is nested too deep for the writer
+            return None, f"{kind} cannot be written: {error}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for content, by_path in zip(batch["content"], batch["by_path"], strict=True):
-                try:
-                    made = _replaced(load(content or "", kind), root, dict(by_path or {}), keep_empty, most_nodes(content or ""))
-                    out.append((_dumped(made, kind), None))
-                except Exception as error:  # a file that does not parse, or that is nested too deep for the writer
-                    out.append((None, f"{kind} cannot be written: {error}"))
-            yield batch[["file_id", *counts]].assign(output=[o for o, _ in out], write_error=[e for _, e in out])
+            # Columns as Arrow has them: as objects, the texts of a large file's map would take several times the room.
+            made = [written(content.as_py(), by_path) for content, by_path in zip(batch["content"], batch["by_path"], strict=True)]
+            longs = [batch[c].cast(pa.int64()) for c in ("file_id", *counts)]
+            yield pa.RecordBatch.from_arrays([*longs, *(pa.array(x, pa.string()) for x in zip(*made, strict=True))] if made else [*longs, pa.array([], pa.string()), pa.array([], pa.string())], names=["file_id", *counts, "output", "write_error"])
 
     small_batches(files.sparkSession)
-    return both.mapInPandas(write, ", ".join(["file_id long", "output string", *(f"{c} long" for c in counts), "write_error string"]))
+    return both.mapInArrow(write, ", ".join(["file_id long", *(f"{c} long" for c in counts), "output string", "write_error string"]))
 
 
 def write_json(files: DataFrame, segments: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from ..functions import markup
 from ..functions.text import JAPANESE
 from ..jsstr import WHITE, WHITE_CLASS, trim
 from ..schema import ERROR
-from ..session import small_batches
+from ..session import dealt, small_batches
 
 # Keys whose values are technical, compared in lower case.
 TECHNICAL_KEYS = frozenset(
@@ -73,11 +74,25 @@ def leaves(tree: object, path: str, excluded: frozenset[str], limit: int | None,
 
 
 def load(text: str, kind: str) -> object:
+    return load_shared(text, kind)[0]
+
+
+def load_shared(text: str, kind: str) -> tuple[object, bool]:
+    """The tree of a file, and whether parts of it may be shared."""
     if kind == "yaml":
-        import yaml
+        from . import yaml_text
+
+        return yaml_text.load(text)
+    return json.loads(text), False
+
 
-        return yaml.safe_load(text)
-    return json.loads(text)
+#: Leaves that a worker holds as rows; a file may have any number.
+HELD = 20_000
+
+
+def own_tasks(files: DataFrame, kind: str) -> DataFrame:
+    """YAML files over a fixed number of tasks: reading them costs far more than their bytes say, by which tasks are merged."""
+    return files.repartition(dealt(files.sparkSession), "file_id") if kind == "yaml" else files
 
 
 def tree_leaves(files: DataFrame, kind: str, root: str, excluded: frozenset[str], limit: int | None, strict: bool = False) -> DataFrame:
@@ -87,22 +102,35 @@ def tree_leaves(files: DataFrame, kind: str, root: str, excluded: frozenset[str]
     text says why and whose error is true; with `strict` the job fails.
     """
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["file_id", "seg_no", "path", "text", "depth", "error"])
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
                 try:
-                    found = list(leaves(load(content or "", kind), root, excluded, limit, most_nodes(content or "")))
+                    tree, most = load(content or "", kind), most_nodes(content or "")
+                    walk = leaves(tree, root, excluded, limit, most)
+                    found = list(islice(walk, HELD))
+                    if len(found) == HELD:  # gone through to the end before its first row goes out, then again
+                        for _ in walk:
+                            pass
+                        found = leaves(tree, root, excluded, limit, most)
                 except Exception as error:
                     if strict:
                         raise ValueError(f"file {file_id} is no valid {kind}: {error}") from error
                     out.append((file_id, 0, None, f"no valid {kind}: {error}", 0, True))
                     continue
-                out += [(file_id, i, *leaf, False) for i, leaf in enumerate(found)]
-            yield pd.DataFrame(out, columns=["file_id", "seg_no", "path", "text", "depth", "error"])
+                for i, leaf in enumerate(found):
+                    out.append((file_id, i, *leaf, False))
+                    if len(out) >= HELD:
+                        yield frame(out)
+                        out = []
+            yield frame(out)
 
     small_batches(files.sparkSession)
-    return files.select("file_id", "content").mapInPandas(read, _LEAF)
+    return own_tasks(files.select("file_id", "content"), kind).mapInPandas(read, _LEAF)
 
 
 def _as_segments(rows: DataFrame, attrs=None) -> DataFrame:

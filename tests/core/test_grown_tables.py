@@ -75,3 +75,18 @@ def test_white_space_classes(spark):
     blank = {r.c for r in rows.where(is_blank(rows["c"])).collect()}
     spaces = {r.c for r in rows.where(rows["c"].rlike(WS)).collect()}
     assert blank == spaces == set(WHITE)
+
+
+def test_chunks_cost_little_for_each_word(spark):
+    """Words were matched one by one, some two microseconds for each, and once more to see whether a paragraph is long."""
+    from textloom.functions.chunks import chunks_of, n_words
+    from textloom.sources.text_formats import txt_chunks
+
+    begun = time.monotonic()
+    text = "one two three four. " * 200_000
+    assert len(chunks_of(text, 30, True)) == -(-200_000 // 7) and time.monotonic() - begun < 2
+    every = [chr(i) for i in (*range(0xD800), *range(0xE000, 0x10000))]
+    assert {c for c in every if n_words(c) == 0} == set(WHITE) and n_words("a﻿b\x85c　d\x1c") == 3
+    rows = spark.createDataFrame([(1, " a b\n\n" + "c d e. " * 3 + "\n\n x y z w v "), (2, None), (3, " \n"), (4, "")], "id long, t string")
+    found = {r.id: r.c for r in rows.select("id", txt_chunks(rows["t"], 4, True).alias("c")).collect()}
+    assert found == {1: [" a b", "c d e.", "c d e.", "c d e.", "x y z w v"], 2: None, 3: [], 4: []}

@@ -1,11 +1,12 @@
-"""Text functions as column expressions; nothing here leaves the JVM."""
+"""Text functions as column expressions; but for chunks of so many words, nothing here leaves the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..jsstr import WS, is_blank, let, trim, word_count, words
+from ..jsstr import WS, let, trim, words
+from .chunks import chunked
 
 JAPANESE = r"[぀-ゟ゠-ヿ一-鿿]"
 ARABIC = r"[؀-ۿ]"
@@ -85,32 +86,8 @@ def sentences(text: Column, lossless: bool = False) -> Column:
 
 
 def smart_chunks(text: Column, max_words: int = 500, lossless: bool = False) -> Column:
-    """Sentences packed in order into chunks of at most `max_words` words; a longer sentence is a chunk of its own.
-
-    One pass adds up where chunks begin; the sentences of a chunk are joined once at the end, so that no text is copied at
-    every step.
-    """
-    counted = F.transform(sentences(text, lossless), lambda s: F.struct(s.alias("s"), word_count(s).alias("n")))
-    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).alias("chars"))
-
-    def pack(acc: Column, x: Column) -> Column:
-        full = (acc.n + x.n > max_words) & (acc.chars > 0)
-        return F.struct(
-            F.when(full, F.array_append(acc.starts, acc.i)).otherwise(acc.starts).alias("starts"),
-            (acc.i + 1).alias("i"),
-            F.when(full, x.n).otherwise(acc.n + x.n).alias("n"),
-            F.when(full, F.length(x.s)).otherwise(acc.chars + F.length(x.s)).alias("chars"),
-        )
-
-    def cut(found: Column) -> Column:
-        starts = F.aggregate(found, start, pack, lambda acc: F.concat(F.array(F.lit(0)), acc.starts, F.array(acc.i)))
-        piece = lambda bounds: F.transform(
-            F.slice(bounds, 1, F.size(bounds) - 1),
-            lambda a, k: trim(F.array_join(F.transform(F.slice(found, a + 1, F.get(bounds, k + 1) - a), lambda x: x.s), " ")),
-        )
-        return F.filter(let(starts, piece), lambda c: c != "")
-
-    return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(let(counted, cut))
+    """Sentences packed in order into chunks of at most `max_words` words; a longer sentence is a chunk of its own."""
+    return chunked(text, max_words, lossless)
 
 
 def split_after_commas(text: Column) -> Column:

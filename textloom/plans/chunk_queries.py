@@ -47,14 +47,14 @@ _DOCS = "docs AS (SELECT doc_id AS k, text FROM documents WHERE text IS NOT NULL
 @query(f"WITH RECURSIVE {_DOCS}, {_chunks('docs', _usual, 50)} SELECT k AS doc_id, no AS chunk_no, chunk FROM chunks")
 def txt_smart_chunks(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.posexplode(smart_chunks(F.col("text"), 50)).alias("chunk_no", "chunk"))
+    return docs.select("doc_id", smart_chunks(F.col("text"), 50).alias("c")).select("doc_id", F.posexplode("c").alias("chunk_no", "chunk"))
 
 
 @query(f"WITH RECURSIVE {_DOCS}, {_chunks('docs', _lossless, 50)} SELECT k AS doc_id, no AS chunk_no, chunk FROM chunks")
 def txt_chunks_lossless(spark, sf_dir):
     """Sentence chunks of 50 words that keep every character but white space."""
     docs = A.table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.posexplode(smart_chunks(F.col("text"), 50, lossless=True)).alias("chunk_no", "chunk"))
+    return docs.select("doc_id", smart_chunks(F.col("text"), 50, lossless=True).alias("c")).select("doc_id", F.posexplode("c").alias("chunk_no", "chunk"))
 
 
 @query(

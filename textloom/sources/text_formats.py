@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import smart_chunks
-from ..jsstr import WS, is_blank, let, trim, unix_lines, words
+from ..functions.chunks import chunked
+from ..jsstr import WS, is_blank, trim, unix_lines, words
 
 NO_ATTRS = "cast(map() as map<string,string>)"
 
@@ -31,26 +31,14 @@ def _filled(items: Column) -> Column:
     return F.filter(items, lambda x: ~is_blank(x))
 
 
-def paragraphs(content: Column) -> Column:
-    """Blocks between empty lines; with one block at most, lines; else the trimmed text."""
-
-    def blocks(text: Column) -> Column:
-        lines = lambda found: F.when((F.size(found) <= 1) & F.contains(text, F.lit("\n")), _filled(F.split(text, "\n"))).otherwise(found)
-        whole = lambda found: F.when((F.size(found) == 0) & ~is_blank(text), F.array(trim(text))).otherwise(found)
-        return let(let(_filled(F.split(text, r"\n\n+")), lines), whole)
-
-    return let(unix_lines(content, lone_cr=True), blocks)
-
-
 def txt_chunks(content: Column, chunk_size: int = 500, lossless: bool = False) -> Column:
     """Paragraphs, those of more words than `chunk_size` in sentence chunks."""
-    few = lambda p: (F.length(p) < chunk_size) | (F.size(words(p)) <= chunk_size)  # noqa: E731  short texts need no counting
-    cut = lambda p: F.when(few(p), F.array(p)).otherwise(smart_chunks(p, chunk_size, lossless))
-    return F.flatten(F.transform(paragraphs(content), cut))
+    return chunked(content, chunk_size, lossless, paragraphs=True)
 
 
 def txt_segments(files: DataFrame, chunk_size: int = 500, lossless: bool = False) -> DataFrame:
-    rows = files.select("file_id", F.posexplode(txt_chunks(F.col("content"), chunk_size, lossless)).alias("seg_no", "text"))
+    cut = files.select("file_id", txt_chunks(F.col("content"), chunk_size, lossless).alias("chunks"))
+    rows = cut.select("file_id", F.posexplode("chunks").alias("seg_no", "text"))
     return _segments(rows, F.lit("text"), F.col("text"), F.lit(True))
 
 

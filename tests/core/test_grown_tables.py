@@ -90,3 +90,21 @@ def test_chunks_cost_little_for_each_word(spark):
     rows = spark.createDataFrame([(1, " a b\n\n" + "c d e. " * 3 + "\n\n x y z w v "), (2, None), (3, " \n"), (4, "")], "id long, t string")
     found = {r.id: r.c for r in rows.select("id", txt_chunks(rows["t"], 4, True).alias("c")).collect()}
     assert found == {1: [" a b", "c d e.", "c d e.", "c d e.", "x y z w v"], 2: None, 3: [], 4: []}
+
+
+def test_breaks_of_few_lines_are_those_of_characters(spark, monkeypatch):
+    from textloom.functions import linesplit
+
+    texts = ["", "\n", "a", "a\n", "\na\n\nb c", "[XENO:x ]a\nb😀\nc", "é\n" * 30, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = lambda: {r.id: r.r for r in rows.select("id", linesplit.break_ratios(rows["t"]).alias("r")).collect()}
+    few = found()
+    monkeypatch.setattr(linesplit, "FEW_LINES", 0)
+    assert few == found() and few[4] == [0.0, 2 / 7, 3 / 7] and few[1] == [0.0] and few[2] == []
+
+
+def test_a_review_places_breaks_once(spark):
+    """Filters on the proposal named it twice, and each naming worked it out."""
+    rows = spark.createDataFrame([(0, 1, "p", "k", "one two\nthree four five", "one\ntwo three four five\nx")], "file_id long, seg_no int, path string, key string, original string, translation string")
+    plan = quality.badly_split(rows, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_broken_lines(") == 1 and "Filter ((NOT CASE" not in plan

@@ -35,6 +35,7 @@ CAUSES = ("line-count-mismatch", "very-short-line", "very-unbalanced", "broken-p
 
 #: Where the score of badness is high enough to be shown, and where a line counts as easy to mend.
 SHOWN, SHOWN_WITHOUT_PROPOSAL, EASY = 25, 50, 22
+FEW_LINES = 1000
 
 
 def strip_tags(text: Column) -> Column:
@@ -56,8 +57,21 @@ def _may_not_start(text: Column) -> Column:
 
 
 def break_ratios(text: Column) -> Column:
-    """Where the breaks stand, as parts of the length without tags; one pass over the characters."""
-    breaks = lambda plain: F.array_compact(F.transform(F.split(plain, ""), lambda c, i: F.when(c == "\n", i)))
+    """Where the breaks stand, as parts of the length without tags; one pass over the lines, over the characters where lines are very many."""
+    every = lambda plain: F.array_compact(F.transform(F.split(plain, ""), lambda c, i: F.when(c == "\n", i)))
+    start = F.struct(F.array().cast("array<int>").alias("found"), F.lit(-1).alias("at"))
+
+    def summed(lines: Column) -> Column:
+        def step(acc: Column, line: Column) -> Column:
+            return let(acc.at + 1 + F.length(line), lambda at: F.struct(F.array_append(acc.found, at).alias("found"), at.alias("at")))
+
+        # The last line ends with the text, not with a break.
+        return F.aggregate(lines, start, step, lambda acc: F.slice(acc.found, 1, F.size(lines) - 1))
+
+    def breaks(plain: Column) -> Column:
+        # An array grows by a copy: of few lines that costs less than each character on its own.
+        return let(F.split(plain, "\n"), lambda lines: F.when(F.size(lines) <= FEW_LINES, summed(lines)).otherwise(every(plain)))
+
     return let(strip_tags(text), lambda plain: F.transform(breaks(plain), lambda at: at / F.length(plain)))
 
 

@@ -50,10 +50,11 @@ def _issue(entries: DataFrame, kind: Column, suggestion: Column, severity: Colum
 def scan_symbols(entries: DataFrame) -> DataFrame:
     """At most one issue for each entry: missing tags, else other tags, else line breaks."""
     o, t = F.col("original"), F.col("translation")
-    facts = F.struct(F.size(markup.tag_texts(o)).alias("_o"), F.size(markup.tag_texts(t)).alias("_t"), markup.same_tags(o, t).alias("_same"), (count_lines(o) != count_lines(t)).alias("_uneven"))
+    found = F.struct(markup.tag_texts(o).alias("o"), markup.tag_texts(t).alias("t"))
+    compared = lambda x: F.struct(F.size(x.o).alias("_o"), F.size(x.t).alias("_t"), (F.array_sort(x.o) == F.array_sort(x.t)).alias("_same"), (count_lines(o) != count_lines(t)).alias("_uneven"))
     # Generated rows: the conditions below then read the values instead of working them out again. Tags and lines decide first;
     # only what they do not clear is restored.
-    rows = entries.where(~is_blank(t)).select("*", F.inline(F.array(facts)))
+    rows = entries.where(~is_blank(t)).select("*", F.inline(F.transform(F.array(found), compared)))
     rows = rows.where((F.col("_o") != F.col("_t")) | ~F.col("_same") | F.col("_uneven"))
     rows = rows.select("*", F.inline(F.array(F.struct(markup.restore(o, t).alias("_restored"), normalize_breaks(t).alias("_plain")))))
     breaks = (F.col("_restored") != F.col("_plain")) & F.col("_uneven")
@@ -74,7 +75,8 @@ def badly_split(entries: DataFrame, compat: bool = True) -> DataFrame:
     # A generated row: the conditions below then read the values instead of working them out again.
     rows = entries.where(~is_blank(t)).select("*", F.inline(F.array(F.struct(linesplit.diagnose(o, t).alias("_d")))))
     score = F.col("_d.score")
-    rows = rows.where(score < 75 if compat else score >= linesplit.SHOWN).withColumn("proposed", linesplit.propose(o, t))
+    rows = rows.where(score < 75 if compat else score >= linesplit.SHOWN)
+    rows = rows.select("*", F.inline(F.array(F.struct(linesplit.propose(o, t).alias("proposed")))))
     severity = F.when(score < 45 if compat else score >= linesplit.SHOWN_WITHOUT_PROPOSAL, "high").otherwise("medium")
     reason = F.when(F.size("_d.causes") > 0, F.array_join("_d.causes", "; ")).otherwise(F.concat(F.lit("score "), score.cast("string")))
     return rows.where((F.col("proposed") != "") & (F.col("proposed") != t)).withColumns({"severity": severity, "reason": reason}).drop("_d")

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,32 @@ def test_search_reads_the_postings_of_its_grams_alone(spark, tmp_path):
     assert "PartitionFilters" in plan and "PushedFilters: [In(gram" in plan.replace("IsNotNull(gram), ", "")
 
 
+def test_postings_are_lists_of_ids(spark, tmp_path):
+    rows = spark.range(2000).select("id", F.concat(F.lit("common words and number "), F.col("id").cast("string")).alias("t")).repartition(3)
+    index = search_index.build_index(rows, "id", "t", str(tmp_path / "i"))
+    search_index.add_to_index(rows.where("id < 5"), index)  # ids that are given again
+    postings = spark.read.parquet(f"{index.path}/postings")
+    plain = {(t[i : i + 3], r.id) for r in rows.collect() for t in [r.t] for i in range(len(t) - 2)}
+    assert {(r.gram, r.id) for r in postings.select("gram", F.explode("ids").alias("id")).collect()} == plain
+    most = postings.groupBy("gram").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * spark.sparkContext.defaultParallelism  # one for each task, not one for each id
+    assert sorted(r.id for r in search_index.candidates(rows, index, "number 4").collect()) == [i for i in range(2000) if str(i)[0] == "4"]
+
+
+def test_runs_are_gathered_in_parts(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab\0Ä日😀\U0010ffff") for _ in range(n)) for n in [3, 4, 5, 8, 13, 40, 200, 3, 7] * 8]
+    rows = [(f"k{i % 50}", t) for i, t in enumerate(texts)]
+    want = {(t[i : i + 3], k) for k, t in rows for i in range(len(t) - 2)}
+    for part, gathered, size in [(1_000_000, 2_000_000, 100), (1, 1, 1), (5, 60, 7)]:
+        monkeypatch.setattr(search_index, "PART", part)
+        monkeypatch.setattr(search_index, "GATHERED", gathered)
+        batches = [pa.RecordBatch.from_pylist([{"id": k, "text": t} for k, t in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        out = list(search_index._gathered(iter([batches[0].slice(0, 0), *batches])))
+        assert {(x["gram"], k) for b in out for x in b.to_pylist() for k in x["ids"]} == want
+        assert all(len(set(grams := b["gram"].to_pylist())) == len(grams) for b in out) and (len(out) > 1) == (gathered < 1000)
+
+
 def test_a_segment_counts_once(spark, tmp_path):
     rows = [[(1, 0, 4), (1, 1, 4), (2, 0, 1)], [(1, 1, 4), (1, 1, 4), (1, 0, 4)], [(1, 3, 4)], [(1, 2, 4), (1, 3, 4)]]
     for number, batch in enumerate(rows):

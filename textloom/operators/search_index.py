@@ -1,21 +1,31 @@
 """Substring search through a posting table of trigrams.
 
-Each row's search text, in lower case, is written once as its distinct runs of three characters, dealt into folders by hash and
-ordered in them. A query reads the postings of its rarest few runs alone, the rows that have all of them are looked up, and the
-exact test decides. Queries of fewer than three characters are tested against all rows.
+Each row's search text, in lower case, is cut once into its distinct runs of three characters. The tasks that read the texts gather
+the ids of each run in lists, and these lists, not a row for each id, are dealt into folders by hash and ordered in them. A query
+reads the lists of its rarest few runs alone, the rows that have all of them are looked up, and the exact test decides. Queries of
+fewer than three characters are tested against all rows.
 
-Defined cases: a null search text is found by nothing but the blank query, which finds every row; ids must not be null; rows that
-are added later bring postings of their own (`add_to_index`).
+Defined cases: a null search text is found by nothing but the blank query, which finds every row; ids must not be null; an id that
+is given again counts once; rows that are added later bring lists of their own (`add_to_index`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import small_batches, spread
 
 GRAM, FOLDERS, RAREST = 3, 64, 3
+#: Ids that a task gathers before it gives out their lists, and characters of a text that are cut at once.
+GATHERED, PART = 2_000_000, 1_000_000
 
 
 def grams(text: Column) -> Column:
@@ -37,12 +47,62 @@ class SearchIndex:
     text: str
 
 
+def _first(ordered: np.ndarray) -> np.ndarray:
+    """Where ordered numbers differ from the one before."""
+    return np.concatenate([[True], ordered[1:] != ordered[:-1]])
+
+
+def _runs(text: str) -> np.ndarray:
+    """Distinct runs of three characters, ordered, as numbers of 21 bits for each character."""
+    found = []
+    for start in range(0, len(text) - GRAM + 1, PART):
+        letters = np.frombuffer(text[start : start + PART + GRAM - 1].encode("utf-32-le"), np.uint32).astype(np.int64)
+        runs = letters[:-2] << 42 | letters[1:-1] << 21 | letters[2:]
+        runs.sort()
+        found.append(runs[_first(runs)])
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def _lists(ids: pa.Array, counts: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
+    """Each run with the ids of the texts that hold it; counts: the runs of each text, which stand text after text."""
+    order = np.argsort(runs, kind="stable")
+    runs, places = runs[order], np.repeat(np.arange(len(counts)), counts)[order]
+    starts = np.flatnonzero(_first(runs))
+    letters = np.stack([runs[starts] >> shift & 0x1FFFFF for shift in (42, 21, 0)], axis=1).astype(np.uint32).tobytes().decode("utf-32-le")
+    grams = pa.array([letters[i : i + GRAM] for i in range(0, len(letters), GRAM)], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(runs)), pa.int32()), ids.take(pa.array(places)))
+    return pa.RecordBatch.from_arrays([grams, lists], names=["gram", "ids"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, counts, runs, held = [], [], [], 0
+
+    def lists() -> pa.RecordBatch:
+        return _lists(pa.concat_arrays(ids), np.concatenate(counts), np.concatenate(runs))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = [_runs(text.as_py()) for text in batch["text"]]
+        ids.append(batch["id"].take(pa.array(range(batch.num_rows))))  # a copy: the column itself would keep the texts of its batch
+        counts.append(np.array([len(x) for x in found]))
+        runs.append(np.concatenate(found))
+        held += len(runs[-1])
+        if held >= GATHERED:
+            yield lists()
+            ids, counts, runs, held = [], [], [], 0
+    if runs:
+        yield lists()
+
+
 def add_to_index(rows: DataFrame, index: SearchIndex) -> None:
     """Write the postings of rows that are not indexed yet."""
-    posted = rows.select(F.col(index.id).alias("id"), F.explode(grams(F.col(index.text))).alias("gram")).where(F.length("gram") == GRAM)
-    posted = posted.withColumn("folder", _folder(F.col("gram")))
+    small_batches(rows.sparkSession)
+    texts = spread(rows.select(F.col(index.id).alias("id"), F.lower(F.col(index.text)).alias("text"))).where(F.length("text") >= GRAM)
+    schema = T.StructType().add("gram", "string").add("ids", T.ArrayType(texts.schema["id"].dataType))
+    posted = texts.mapInArrow(_gathered, schema).withColumn("folder", _folder(F.col("gram")))
     # Each folder's rows in few files, ordered, so that a file's statistics tell which of its parts hold a gram.
-    posted.repartition("folder", F.pmod(F.xxhash64("gram", F.lit(1)), F.lit(4))).sortWithinPartitions("folder", "gram", "id").write.mode("append").partitionBy("folder").parquet(f"{index.path}/postings")
+    posted.repartition("folder", F.pmod(F.xxhash64("gram", F.lit(1)), F.lit(4))).sortWithinPartitions("folder", "gram").write.mode("append").partitionBy("folder").parquet(f"{index.path}/postings")
 
 
 def build_index(rows: DataFrame, id: str, text: str, path: str) -> SearchIndex:
@@ -58,9 +118,10 @@ def candidates(rows: DataFrame, index: SearchIndex, query: str) -> DataFrame:
     postings = spark.read.parquet(f"{index.path}/postings")
     folders = [r.f for r in spark.createDataFrame([(g,) for g in wanted], "g string").select(_folder(F.col("g")).alias("f")).distinct().collect()]
     found = postings.where(F.col("folder").isin(folders) & F.col("gram").isin(wanted))
-    counts = {r.gram: r["count"] for r in found.groupBy("gram").count().collect()}  # a row for each trigram of the query
+    counts = {r.gram: r.n for r in found.groupBy("gram").agg(F.sum(F.size("ids")).alias("n")).collect()}  # a row for each trigram of the query
     rarest = sorted(wanted, key=lambda g: (counts.get(g, 0), g))[:RAREST]
-    return found.where(F.col("gram").isin(rarest)).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rarest)).select("id")
+    every = reduce(Column.__and__, [F.max(F.col("gram") == g) for g in rarest])
+    return found.where(F.col("gram").isin(rarest)).select("gram", F.explode("ids").alias("id")).groupBy("id").agg(every.alias("every")).where("every").select("id")
 
 
 def indexed_search(rows: DataFrame, index: SearchIndex, query: str) -> DataFrame:

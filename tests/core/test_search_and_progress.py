@@ -44,6 +44,14 @@ def test_postings_are_lists_of_ids(spark, tmp_path):
     assert sorted(r.id for r in search_index.candidates(rows, index, "number 4").collect()) == [i for i in range(2000) if str(i)[0] == "4"]
 
 
+@pytest.mark.parametrize("texts", [[], [None, "", "ab"]])
+def test_an_index_without_runs(spark, tmp_path, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    index = search_index.build_index(rows, "id", "t", str(tmp_path / "i"))
+    assert search_index.indexed_search(rows, index, "abc").collect() == []
+    assert [r.t for r in search_index.indexed_search(rows, index, "AB").collect()] == texts[2:]
+
+
 def test_runs_are_gathered_in_parts(monkeypatch):
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab\0Ä日😀\U0010ffff") for _ in range(n)) for n in [3, 4, 5, 8, 13, 40, 200, 3, 7] * 8]

@@ -95,12 +95,15 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield lists()
 
 
+def _schema(rows: DataFrame, index: SearchIndex) -> T.StructType:
+    return T.StructType().add("gram", "string").add("ids", T.ArrayType(rows.select(index.id).schema[0].dataType))
+
+
 def add_to_index(rows: DataFrame, index: SearchIndex) -> None:
     """Write the postings of rows that are not indexed yet."""
     small_batches(rows.sparkSession)
     texts = spread(rows.select(F.col(index.id).alias("id"), F.lower(F.col(index.text)).alias("text"))).where(F.length("text") >= GRAM)
-    schema = T.StructType().add("gram", "string").add("ids", T.ArrayType(texts.schema["id"].dataType))
-    posted = texts.mapInArrow(_gathered, schema).withColumn("folder", _folder(F.col("gram")))
+    posted = texts.mapInArrow(_gathered, _schema(rows, index)).withColumn("folder", _folder(F.col("gram")))
     # Each folder's rows in few files, ordered, so that a file's statistics tell which of its parts hold a gram.
     posted.repartition("folder", F.pmod(F.xxhash64("gram", F.lit(1)), F.lit(4))).sortWithinPartitions("folder", "gram").write.mode("append").partitionBy("folder").parquet(f"{index.path}/postings")
 
@@ -115,7 +118,8 @@ def candidates(rows: DataFrame, index: SearchIndex, query: str) -> DataFrame:
     """(id) of the rows that hold the rarest trigrams of a query."""
     spark = rows.sparkSession
     wanted = [r.g for r in spark.range(1).select(F.explode(grams(F.lit(query))).alias("g")).collect() if len(r.g) == GRAM]
-    postings = spark.read.parquet(f"{index.path}/postings")
+    # With its schema, as an index of texts that are all too short has no file to tell it.
+    postings = spark.read.schema(_schema(rows, index).add("folder", T.IntegerType())).parquet(f"{index.path}/postings")
     folders = [r.f for r in spark.createDataFrame([(g,) for g in wanted], "g string").select(_folder(F.col("g")).alias("f")).distinct().collect()]
     found = postings.where(F.col("folder").isin(folders) & F.col("gram").isin(wanted))
     counts = {r.gram: r.n for r in found.groupBy("gram").agg(F.sum(F.size("ids")).alias("n")).collect()}  # a row for each trigram of the query
